@@ -142,3 +142,243 @@ def q_r1(spark, sf):
     from churnkit.operators.schema import infer_roles
     from churnkit.operators.union import union_full
     return infer_roles(union_full(*both(spark, sf)))
+
+
+# --------------------------------------------------------------------------------------
+# helpers shared by the profile / quality / association queries
+# --------------------------------------------------------------------------------------
+
+LEFT_COLS = {"ID": "BIGINT", "CDSEXE": "INTEGER", "MTREV": "INTEGER", "NBENF": "INTEGER", "CDSITFAM": "VARCHAR",
+             "DTADH": "VARCHAR", "CDTMT": "INTEGER", "CDCATCL": "INTEGER", "CDMOTDEM": "VARCHAR", "DTDEM": "VARCHAR",
+             "AGEAD": "INTEGER", "RANGADH": "VARCHAR"}
+MIXED_COLS = {"ID": "BIGINT", "CDSEXE": "INTEGER", "MTREV": "INTEGER", "NBENF": "INTEGER", "CDSITFAM": "VARCHAR",
+              "DTADH": "VARCHAR", "CDTMT": "INTEGER", "CDCATCL": "INTEGER", "CDMOTDEM": "VARCHAR", "DTDEM": "VARCHAR",
+              "DTNAIS": "VARCHAR", "BPADH": "INTEGER"}
+UNION_COLS = dict(LEFT_COLS, source="VARCHAR", id_fichier="BIGINT", cible_churn="INTEGER", DTNAIS="VARCHAR",
+                  BPADH="INTEGER")
+
+
+def quant_of(cols: dict[str, str]) -> list[str]:
+    return [c for c, t in cols.items() if t != "VARCHAR" and c != "ID"]
+
+
+def qual_of(cols: dict[str, str]) -> list[str]:
+    return [c for c, t in cols.items() if t == "VARCHAR"]
+
+
+def stable_round(x):
+    """6 decimals below 1e5, 11 significant digits above (the last bits of a double differ
+    between engines; large variances have no stable 6th decimal)."""
+    e = F.floor(F.log10(F.abs(x)))
+    return F.when(F.abs(x) < 1e5, F.round(x, 6)).otherwise(F.round(x / F.pow(F.lit(10.0), e), 10) * F.pow(F.lit(10.0), e))
+
+
+def sround(expr: str) -> str:
+    """SQL twin of ``stable_round``."""
+    e = f"floor(log10(abs({expr})))"
+    return (f"(CASE WHEN abs({expr}) < 1e5 THEN round({expr}, 6) "
+            f"ELSE round(({expr}) / pow(10.0, {e}), 10) * pow(10.0, {e}) END)")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Round every double column with ``stable_round``."""
+    return df.select(*[stable_round(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def sql_long(table: str, cols: list[str], typ: str, name: str = "colonne") -> str:
+    casts = ", ".join(f"CAST({c} AS {typ}) AS {c}" for c in cols)
+    return (f"(SELECT * FROM (SELECT {casts} FROM {table}) "
+            f"UNPIVOT INCLUDE NULLS (value FOR {name} IN ({', '.join(cols)})))")
+
+
+def sql_quant_profile(table: str, cols: list[str]) -> str:
+    return f"""SELECT colonne, count(*) AS n, count(value) AS n_non_null, {sround('avg(value)')} AS mean,
+       {sround('quantile_cont(value, 0.5)')} AS median, {sround('stddev_samp(value)')} AS std,
+       {sround('var_samp(value)')} AS var, {sround('min(value)')} AS min, {sround('max(value)')} AS max,
+       {sround('quantile_cont(value, 0.25)')} AS q25, {sround('quantile_cont(value, 0.5)')} AS q50,
+       {sround('quantile_cont(value, 0.75)')} AS q75,
+       {sround('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)')} AS iqr
+FROM {sql_long(table, cols, 'DOUBLE')} GROUP BY colonne"""
+
+
+def sql_qual_profile(table: str, cols: list[str]) -> str:
+    lng = sql_long(table, cols, "VARCHAR")
+    return f"""SELECT b.colonne, b.n, b.n_non_null, coalesce(p.n_modalites, 0) AS n_modalites, m.mode,
+       coalesce(p.effectif_mode, 0) AS effectif_mode
+FROM (SELECT colonne, count(*) AS n, count(value) AS n_non_null FROM {lng} GROUP BY colonne) b
+LEFT JOIN (SELECT colonne, count(*) AS n_modalites, max(cnt) AS effectif_mode
+           FROM (SELECT colonne, value, count(*) AS cnt FROM {lng} WHERE value IS NOT NULL GROUP BY ALL) GROUP BY colonne) p
+  ON b.colonne = p.colonne
+LEFT JOIN (SELECT c.colonne, min(c.value) AS mode
+           FROM (SELECT colonne, value, count(*) AS cnt FROM {lng} WHERE value IS NOT NULL GROUP BY ALL) c
+           JOIN (SELECT colonne, max(cnt) AS mx FROM (SELECT colonne, value, count(*) AS cnt FROM {lng}
+                 WHERE value IS NOT NULL GROUP BY ALL) GROUP BY colonne) x ON c.colonne = x.colonne AND c.cnt = x.mx
+           GROUP BY c.colonne) m ON b.colonne = m.colonne"""
+
+
+def union_tables(spark, sf):
+    from churnkit.operators.union import union_full
+    return union_full(*both(spark, sf))
+
+
+# --------------------------------------------------------------------------------------
+# Profiles (A1-A3, A8)
+# --------------------------------------------------------------------------------------
+
+@query("A1_quant_profile_union", with_members(UNION_FULL_CTE, body=sql_quant_profile("union_full", quant_of(UNION_COLS))))
+def q_a1(spark, sf):
+    from churnkit.operators.profile import quantitative_profile
+    return rounded(quantitative_profile(union_tables(spark, sf), quant_of(UNION_COLS)))
+
+
+@query("A2_qual_profile_union", with_members(UNION_FULL_CTE, body=sql_qual_profile("union_full", qual_of(UNION_COLS))))
+def q_a2(spark, sf):
+    from churnkit.operators.profile import qualitative_profile
+    return qualitative_profile(union_tables(spark, sf), qual_of(UNION_COLS))
+
+
+def _sql_a3(table: str, cols: dict[str, str]) -> str:
+    return with_members(body=f"""SELECT *, 'quantitatif' AS type FROM ({sql_quant_profile(table, quant_of(cols))})
+UNION ALL BY NAME
+SELECT *, 'qualitatif' AS type FROM ({sql_qual_profile(table, qual_of(cols))})""")
+
+
+@query("A3_univariate_table1", _sql_a3("members_left", LEFT_COLS))
+def q_a3_left(spark, sf):
+    from churnkit.operators.profile import univariate_summary
+    return rounded(univariate_summary(members_left(spark, sf)))
+
+
+@query("A3_univariate_table2", _sql_a3("members_mixed", MIXED_COLS))
+def q_a3_mixed(spark, sf):
+    from churnkit.operators.profile import univariate_summary
+    return rounded(univariate_summary(members_mixed(spark, sf)))
+
+
+A8_COLS = ["CDCATCL", "CDSEXE", "CDTMT", "MTREV", "NBENF"]
+
+
+@query("A8_common_numeric_descriptives", with_members(f"""
+l AS (SELECT variable, count(value) AS n, quantile_cont(value, 0.5) AS med, avg(value) AS mean
+      FROM {sql_long('members_left', A8_COLS, 'DOUBLE', 'variable')} WHERE value IS NOT NULL GROUP BY variable)""", f"""
+m AS (SELECT variable, count(value) AS n, quantile_cont(value, 0.5) AS med, avg(value) AS mean
+      FROM {sql_long('members_mixed', A8_COLS, 'DOUBLE', 'variable')} WHERE value IS NOT NULL GROUP BY variable)""", body=f"""
+SELECT l.variable, l.n AS n_table1, m.n AS n_table2, {sround('l.med')} AS median_table1,
+       {sround('m.med')} AS median_table2, {sround('l.mean')} AS mean_table1, {sround('m.mean')} AS mean_table2
+FROM l JOIN m ON l.variable = m.variable"""))
+def q_a8(spark, sf):
+    from churnkit.operators.profile import compare_numeric_descriptives
+    return rounded(compare_numeric_descriptives(*both(spark, sf), A8_COLS))
+
+
+# --------------------------------------------------------------------------------------
+# Data quality
+# --------------------------------------------------------------------------------------
+
+def _sql_missing(table: str, label: str, cols: dict[str, str]) -> str:
+    parts = []
+    for c, t in cols.items():
+        blanks = (f"count_if({c} IS NOT NULL AND {sql_strip(c)} = '')" if t == "VARCHAR" else "0")
+        parts.append(f"""SELECT '{label}' AS "table", '{c}' AS colonne, count(*) AS n_lignes,
+  CAST(count_if({c} IS NULL) AS BIGINT) AS manquants_pandas, CAST({blanks} AS BIGINT) AS chaines_vides,
+  CAST(count_if({c} IS NULL) + {blanks} AS BIGINT) AS total_manquants,
+  coalesce(round(CAST(count_if({c} IS NULL) + {blanks} AS DOUBLE) * 100 / count(*), 4), 0.0) AS pct FROM {table}""")
+    return with_members(body="\nUNION ALL\n".join(parts))
+
+
+@query("A4_missing_report_table1", _sql_missing("members_left", "table1", LEFT_COLS))
+def q_a4_left(spark, sf):
+    from churnkit.operators.quality import missing_report
+    return missing_report(members_left(spark, sf), "table1")
+
+
+@query("A4_missing_report_table2", _sql_missing("members_mixed", "table2", MIXED_COLS))
+def q_a4_mixed(spark, sf):
+    from churnkit.operators.quality import missing_report
+    return missing_report(members_mixed(spark, sf), "table2")
+
+
+@query("A5_sentinels_table2", with_members(body=f"""
+SELECT CAST(count_if({sql_strip('DTNAIS')} = '0000-00-00') AS BIGINT) AS DTNAIS_0000_00_00,
+       CAST(count_if(DTNAIS IS NOT NULL AND {sql_strip('DTNAIS')} <> '0000-00-00') AS BIGINT) AS DTNAIS_autres,
+       CAST(count_if({sql_strip('DTDEM')} = '31/12/1900') AS BIGINT) AS DTDEM_31_12_1900_non_dem,
+       CAST(count_if(DTDEM IS NOT NULL AND {sql_strip('DTDEM')} <> '31/12/1900') AS BIGINT) AS DTDEM_autres,
+       CAST(count_if(CDMOTDEM IS NULL OR {sql_strip('CDMOTDEM')} IN ('', 'nan')) AS BIGINT) AS CDMOTDEM_vide_ou_na
+FROM members_mixed"""))
+def q_a5(spark, sf):
+    from churnkit.operators.quality import sentinels_mixed
+    return sentinels_mixed(members_mixed(spark, sf))
+
+
+@query("A6_sentinels_table1", with_members(body="""
+SELECT CAST(count_if(RANGADH IS NULL) AS BIGINT) AS RANGADH_manquants,
+       round(CAST(count_if(RANGADH IS NULL) AS DOUBLE) * 100 / count(*), 4) AS RANGADH_pct FROM members_left"""))
+def q_a6(spark, sf):
+    from churnkit.operators.quality import sentinels_left
+    return sentinels_left(members_left(spark, sf))
+
+
+def _sql_outlier_summary(table: str, label: str, cols: list[str]) -> str:
+    lng = sql_long(table, cols, "DOUBLE")
+    return with_members(body=f"""
+SELECT '{label}' AS "table", l.colonne, count(*) AS n,
+       CAST(count_if(coalesce(l.value < f.low OR l.value > f.high, false)) AS BIGINT) AS outliers_iqr_1_5,
+       coalesce(round(CAST(count_if(coalesce(l.value < f.low OR l.value > f.high, false)) AS DOUBLE) * 100 / count(*), 4), 0.0)
+         AS pct_outliers, min(l.value) AS min, max(l.value) AS max
+FROM {lng} l JOIN (
+  SELECT colonne, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high
+  FROM (SELECT colonne, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {lng} GROUP BY colonne)
+) f ON l.colonne = f.colonne GROUP BY l.colonne""")
+
+
+@query("A7_outlier_summary_table1", _sql_outlier_summary("members_left", "table1", quant_of(LEFT_COLS)))
+def q_a7_left(spark, sf):
+    from churnkit.operators.quality import outlier_summary
+    return outlier_summary(members_left(spark, sf), "table1")
+
+
+@query("A7_outlier_summary_table2", _sql_outlier_summary("members_mixed", "table2", quant_of(MIXED_COLS)))
+def q_a7_mixed(spark, sf):
+    from churnkit.operators.quality import outlier_summary
+    return outlier_summary(members_mixed(spark, sf), "table2")
+
+
+@query("P15_iqr_outlier_flags", with_members(body="""
+SELECT ID, BPADH, coalesce(CAST(BPADH AS DOUBLE) < low OR CAST(BPADH AS DOUBLE) > high, false) AS is_outlier
+FROM members_mixed, (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high
+                     FROM (SELECT quantile_cont(CAST(BPADH AS DOUBLE), 0.25) AS q1,
+                                  quantile_cont(CAST(BPADH AS DOUBLE), 0.75) AS q3 FROM members_mixed))"""))
+def q_p15(spark, sf):
+    from churnkit.operators.quality import outlier_flags
+    return outlier_flags(members_mixed(spark, sf), "BPADH")
+
+
+@query("P12_all_null_rows", with_members(UNION_FULL_CTE, body=f"""
+SELECT CAST(count_if({' AND '.join(f'{c} IS NULL' for c in UNION_COLS)}) AS BIGINT) AS n_all_null_rows,
+       count(*) AS n_rows FROM union_full"""))
+def q_p12(spark, sf):
+    from churnkit.operators.quality import all_null_rows
+    return all_null_rows(union_tables(spark, sf))
+
+
+@query("R3_duplicate_rows", with_members(body=f"""
+SELECT CAST(count_if({' AND '.join(f'{c} IS NULL' for c in LEFT_COLS if c != 'ID')}) AS BIGINT) AS n_all_null_rows,
+       count(*) AS n_rows,
+       (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM members_left
+          GROUP BY {', '.join(c for c in LEFT_COLS if c != 'ID')} HAVING count(*) > 1)) AS n_duplicate_rows,
+       (SELECT count(*) FROM (SELECT count(*) AS c FROM members_left
+          GROUP BY {', '.join(c for c in LEFT_COLS if c != 'ID')} HAVING count(*) > 1)) AS n_duplicated_groups
+FROM members_left"""))
+def q_r3(spark, sf):
+    from churnkit.operators.quality import data_quality_table
+    return data_quality_table(members_left(spark, sf))
+
+
+@query("R5_near_constant_columns", with_members(body=f"""
+SELECT colonne, mode, effectif_mode, n_non_null, round(CAST(effectif_mode AS DOUBLE) / n_non_null, 6) AS mode_share,
+       coalesce(CAST(effectif_mode AS DOUBLE) / n_non_null, 0.0) >= 0.95 AS near_constant
+FROM ({sql_qual_profile('members_left', [c for c in LEFT_COLS if c != 'ID'])})"""))
+def q_r5(spark, sf):
+    from churnkit.operators.quality import near_constant
+    return near_constant(members_left(spark, sf))

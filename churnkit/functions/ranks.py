@@ -35,12 +35,13 @@ def _attach_buckets(df: DataFrame, value_col: str, group_cols: list[str], n_buck
     return joined.withColumn("_b", F.size(F.filter("_splits", lambda s: s < v))).drop("_splits")
 
 
-def average_rank_table(df: DataFrame, value_col: str, group_cols=(), weight_col: str | None = None,
-                       n_buckets: int = DEFAULT_BUCKETS, out_col: str = "rank") -> DataFrame:
-    """Distinct values of ``value_col`` per group with their average (tie-aware, 1-based) rank.
+def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: str | None = None,
+                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Distinct non-null values per group with their multiplicity and sorted position.
 
-    Output columns: ``*group_cols, value_col, n, out_col`` where ``n`` is the number of rows
-    (or the summed weight) holding that value. NULL values are not ranked.
+    Output: ``*group_cols, value_col, n, before`` where ``before`` = number of rows (or
+    summed weight) of the group holding a strictly smaller value. Rows holding the value
+    occupy 1-based positions ``before + 1 .. before + n``.
     """
     g = list(group_cols)
     base = df.filter(F.col(value_col).isNotNull())
@@ -50,11 +51,50 @@ def average_rank_table(df: DataFrame, value_col: str, group_cols=(), weight_col:
     within = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("n").over(within))
     per_bucket = counts.groupBy(*g, "_b").agg(F.sum("n").alias("_bn"))
-    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    ranked = counts.join(F.broadcast(offsets), g + ["_b"], "inner")
-    rank = F.col("_off") + F.col("_cum") - F.col("n") + (F.col("n") + F.lit(1)) / F.lit(2.0)
-    return ranked.select(*g, value_col, "n", rank.cast("double").alias(out_col))
+    prior = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(prior), F.lit(0))).drop("_bn")
+    pos = counts.join(F.broadcast(offsets), g + ["_b"], "inner")
+    return pos.select(*g, value_col, "n", (F.col("_off") + F.col("_cum") - F.col("n")).cast("long").alias("before"))
+
+
+def average_rank_table(df: DataFrame, value_col: str, group_cols=(), weight_col: str | None = None,
+                       n_buckets: int = DEFAULT_BUCKETS, out_col: str = "rank") -> DataFrame:
+    """Distinct values of ``value_col`` per group with their average (tie-aware, 1-based) rank.
+
+    Output columns: ``*group_cols, value_col, n, out_col``. NULL values are not ranked.
+    """
+    pos = value_positions(df, value_col, group_cols, weight_col, n_buckets)
+    rank = F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0)
+    return pos.select(*group_cols, value_col, "n", rank.cast("double").alias(out_col))
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float], group_cols=(),
+                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact linear-interpolated quantiles (same definition as pandas / ``quantile_cont``).
+
+    One row per group with one column per entry of ``probs``. Only the two order statistics
+    around each requested position are looked up in the distinct-value position table, so
+    no task ever holds a whole group (unlike the ``percentile`` aggregate, whose final merge
+    keeps every distinct value of a group in one task).
+    """
+    g = list(group_cols)
+    pos = value_positions(df, value_col, g, n_buckets=n_buckets)
+    totals = pos.groupBy(*g).agg(F.sum("n").alias("_N"))
+    targets = F.array(*[F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p")) for k, p in probs.items()])
+    t = totals.select(*g, "_N", F.explode(targets).alias("_t")).select(*g, "_N", "_t._q", "_t._p")
+    h = (F.col("_N") - 1) * F.col("_p")
+    t = t.select(*g, "_q", (F.floor(h) + 1).alias("_klo"), (h - F.floor(h)).alias("_frac"),
+                 F.least(F.floor(h) + 2, F.col("_N")).alias("_khi"))
+    # targets: groups x len(probs) rows
+    j = pos.crossJoin(F.broadcast(t)) if not g else pos.join(F.broadcast(t), g, "inner")
+    lo_hit = (F.col("before") < F.col("_klo")) & (F.col("_klo") <= F.col("before") + F.col("n"))
+    hi_hit = (F.col("before") < F.col("_khi")) & (F.col("_khi") <= F.col("before") + F.col("n"))
+    v = F.col(value_col).cast("double")
+    picked = (j.filter(lo_hit | hi_hit).groupBy(*g, "_q")
+              .agg(F.max(F.when(lo_hit, v)).alias("_lo"), F.max(F.when(hi_hit, v)).alias("_hi"),
+                   F.first("_frac").alias("_frac")))
+    picked = picked.withColumn("_v", F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo")))
+    return picked.groupBy(*g).pivot("_q", list(probs)).agg(F.first("_v"))
 
 
 def with_average_rank(df: DataFrame, value_col: str, group_cols=(), out_col: str = "rank",
