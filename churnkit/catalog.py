@@ -382,3 +382,175 @@ FROM ({sql_qual_profile('members_left', [c for c in LEFT_COLS if c != 'ID'])})""
 def q_r5(spark, sf):
     from churnkit.operators.quality import near_constant
     return near_constant(members_left(spark, sf))
+
+
+# --------------------------------------------------------------------------------------
+# Association tests
+# --------------------------------------------------------------------------------------
+
+LEFT_QUANT = quant_of(LEFT_COLS)                      # CDSEXE MTREV NBENF CDTMT CDCATCL AGEAD
+LEFT_QUAL = [c for c in qual_of(LEFT_COLS)]           # CDSITFAM DTADH CDMOTDEM DTDEM RANGADH
+MIXED_QUAL = [c for c in qual_of(MIXED_COLS)]         # CDSITFAM DTADH CDMOTDEM DTDEM DTNAIS
+
+
+def _combos(cols):
+    from itertools import combinations
+    return list(combinations(cols, 2))
+
+
+QQ_PAIRS = _combos(LEFT_QUANT)
+CC_PAIRS = _combos(MIXED_QUAL)
+QC_PAIRS = [(q, c) for q in LEFT_QUANT for c in LEFT_QUAL]
+
+
+def _pair_rows(table: str, a: str, b: str, xt: str = "DOUBLE", yt: str = "DOUBLE") -> str:
+    return f"(SELECT CAST({a} AS {xt}) AS x, CAST({b} AS {yt}) AS y FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+
+
+def _sql_pearson(table: str, pairs) -> str:
+    parts = [f"""SELECT '{a}' AS var1, '{b}' AS var2, count(*) AS n_apparies,
+  {sround("CASE WHEN count(*) >= 2 THEN greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), covar_pop(x, y) / NULLIF(stddev_pop(x) * stddev_pop(y), 0))) END")} AS pearson_r
+FROM {_pair_rows(table, a, b)}""" for a, b in pairs]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _avg_rank(v: str) -> str:
+    return f"(rank() OVER (ORDER BY {v}) + CAST(count(*) OVER (PARTITION BY {v}) - 1 AS DOUBLE) / 2)"
+
+
+def _sql_spearman(table: str, pairs) -> str:
+    parts = []
+    for a, b in pairs:
+        ranked = (f"(SELECT {_avg_rank('x')} AS rx, {_avg_rank('y')} AS ry, CAST(count(*) OVER () + 1 AS DOUBLE) / 2 AS m "
+                  f"FROM {_pair_rows(table, a, b)})")
+        rho = ("CASE WHEN count(*) >= 2 THEN greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), "
+               "sum((rx - m) * (ry - m)) / NULLIF(sqrt(sum((rx - m) * (rx - m)) * sum((ry - m) * (ry - m))), 0))) END")
+        parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, count(*) AS n_apparies, {sround(rho)} AS spearman_rho FROM {ranked}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _sql_kendall(table: str, pairs) -> str:
+    parts = []
+    for a, b in pairs:
+        cells = f"(SELECT x, y, CAST(count(*) AS DOUBLE) AS w FROM {_pair_rows(table, a, b)} GROUP BY x, y)"
+        parts.append(f"""SELECT '{a}' AS var1, '{b}' AS var2, CAST(N AS BIGINT) AS n_apparies, s AS kendall_s,
+  {sround("CASE WHEN n0 - n1 > 0 AND n0 - n2 > 0 THEN greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), s / (sqrt(n0 - n1) * sqrt(n0 - n2)))) END")} AS kendall_tau,
+  {sround("CASE WHEN n0 - n1 > 0 AND n0 - n2 > 0 THEN s / sqrt((N * (N - 1) * (2 * N + 5) - x1 - y1) / 18 + 2 * n1 * n2 / (N * (N - 1)) + x0 * y0 / NULLIF(9 * N * (N - 1) * (N - 2), 0)) END")} AS kendall_z
+FROM (SELECT (SELECT sum(w) FROM {cells}) AS N,
+             (SELECT sum(w) * (sum(w) - 1) / 2 FROM {cells}) AS n0,
+             (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(w) AS t FROM {cells} GROUP BY x)) AS n1,
+             (SELECT sum(t * (t - 1) * (t - 2)) FROM (SELECT sum(w) AS t FROM {cells} GROUP BY x)) AS x0,
+             (SELECT sum(t * (t - 1) * (2 * t + 5)) FROM (SELECT sum(w) AS t FROM {cells} GROUP BY x)) AS x1,
+             (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(w) AS t FROM {cells} GROUP BY y)) AS n2,
+             (SELECT sum(t * (t - 1) * (t - 2)) FROM (SELECT sum(w) AS t FROM {cells} GROUP BY y)) AS y0,
+             (SELECT sum(t * (t - 1) * (2 * t + 5)) FROM (SELECT sum(w) AS t FROM {cells} GROUP BY y)) AS y1,
+             (SELECT sum(c1.w * c2.w * sign(c1.x - c2.x) * sign(c1.y - c2.y)) / 2 FROM {cells} c1, {cells} c2) AS s)""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _sql_chi2_pair(table: str, a: str, b: str, xt: str = "VARCHAR", yt: str = "VARCHAR") -> str:
+    rows = _pair_rows(table, a, b, xt, yt)
+    cells = f"(SELECT x, y, CAST(count(*) AS DOUBLE) AS O FROM {rows} GROUP BY x, y)"
+    rm = f"(SELECT x, sum(O) AS R FROM {cells} GROUP BY x)"
+    cm = f"(SELECT y, sum(O) AS C FROM {cells} GROUP BY y)"
+    return f"""SELECT '{a}' AS var1, '{b}' AS var2, CAST(N AS BIGINT) AS n_apparies,
+  {sround("CASE WHEN N >= 2 THEN (CASE WHEN (r - 1) * (k - 1) = 1 THEN yates ELSE greatest(CAST(0 AS DOUBLE), N * (s - 1)) END) END")} AS chi2,
+  CASE WHEN N >= 2 THEN CAST((r - 1) * (k - 1) AS BIGINT) END AS dof,
+  {sround("CASE WHEN least(r, k) > 1 AND N >= 2 THEN least(CAST(1 AS DOUBLE), sqrt((CASE WHEN (r - 1) * (k - 1) = 1 THEN yates ELSE greatest(CAST(0 AS DOUBLE), N * (s - 1)) END) / (N * (least(r, k) - 1)))) END")} AS cramers_v
+FROM (SELECT (SELECT sum(O) FROM {cells}) AS N, (SELECT count(*) FROM {rm}) AS r, (SELECT count(*) FROM {cm}) AS k,
+             (SELECT sum(c.O * c.O / (rm.R * cm.C)) FROM {cells} c JOIN {rm} rm ON c.x = rm.x JOIN {cm} cm ON c.y = cm.y) AS s,
+             (SELECT sum(power(abs(coalesce(c.O, 0) - rm.R * cm.C / t.N) - least(0.5, abs(coalesce(c.O, 0) - rm.R * cm.C / t.N)), 2)
+                         / (rm.R * cm.C / t.N))
+              FROM {rm} rm CROSS JOIN {cm} cm CROSS JOIN (SELECT sum(O) AS N FROM {cells}) t
+              LEFT JOIN {cells} c ON c.x = rm.x AND c.y = cm.y) AS yates)"""
+
+
+def _sql_kruskal_pair(table: str, q: str, g: str) -> str:
+    rows = _pair_rows(table, q, g, "DOUBLE", "VARCHAR")
+    ranked = f"(SELECT x, y, {_avg_rank('x')} AS rk FROM {rows})"
+    return f"""SELECT '{q}' AS var1, '{g}' AS var2, CAST(N AS BIGINT) AS n_apparies, CAST(k AS BIGINT) AS n_groups,
+  {sround("CASE WHEN N >= 3 AND k >= 2 AND 1 - tie / (N * N * N - N) > 0 THEN (12.0 / (N * (N + 1)) * sr2 - 3 * (N + 1)) / (1 - tie / (N * N * N - N)) END")} AS kruskal_h,
+  {sround("CASE WHEN N >= 3 AND k >= 2 AND N > k AND 1 - tie / (N * N * N - N) > 0 THEN greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ((12.0 / (N * (N + 1)) * sr2 - 3 * (N + 1)) / (1 - tie / (N * N * N - N)) - k + 1) / (N - k))) END")} AS epsilon2_kruskal,
+  {sround("CASE WHEN NOT (N >= 3 AND k >= 2) OR N <= k THEN NULL WHEN ssw = 0 AND ssb > 0 THEN CAST('inf' AS DOUBLE) WHEN ssw = 0 THEN NULL ELSE (ssb / (k - 1)) / (ssw / (N - k)) END")} AS anova_f
+FROM (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM {rows}) AS N,
+             (SELECT CAST(count(DISTINCT y) AS DOUBLE) FROM {rows}) AS k,
+             (SELECT sum(R * R / ng) FROM (SELECT y, sum(rk) AS R, CAST(count(*) AS DOUBLE) AS ng FROM {ranked} GROUP BY y)) AS sr2,
+             (SELECT coalesce(sum(t * t * t - t), 0) FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM {rows} GROUP BY x)) AS tie,
+             (SELECT sum(ng * (mg - gm) * (mg - gm)) FROM (SELECT y, CAST(count(*) AS DOUBLE) AS ng, avg(x) AS mg FROM {rows} GROUP BY y),
+                     (SELECT avg(x) AS gm FROM {rows})) AS ssb,
+             (SELECT sum((r.x - m.mg) * (r.x - m.mg)) FROM {rows} r JOIN (SELECT y, avg(x) AS mg FROM {rows} GROUP BY y) m ON r.y = m.y) AS ssw)"""
+
+
+@query("T1_pearson", with_members(body=_sql_pearson("members_left", QQ_PAIRS)))
+def q_t1(spark, sf):
+    from churnkit.operators.assoc import pearson_pairs
+    return rounded(pearson_pairs(members_left(spark, sf), QQ_PAIRS))
+
+
+@query("T2_spearman", with_members(body=_sql_spearman("members_left", QQ_PAIRS)))
+def q_t2(spark, sf):
+    from churnkit.operators.assoc import spearman_pairs
+    return rounded(spearman_pairs(members_left(spark, sf), QQ_PAIRS))
+
+
+@query("T3_kendall_tau_b", with_members(body=_sql_kendall("members_left", QQ_PAIRS)))
+def q_t3(spark, sf):
+    from churnkit.operators.assoc import kendall_pairs
+    return rounded(kendall_pairs(members_left(spark, sf), QQ_PAIRS))
+
+
+@query("T4_T5_chi2_cramers_v", with_members(body="\nUNION ALL\n".join(_sql_chi2_pair("members_mixed", a, b) for a, b in CC_PAIRS)))
+def q_t4(spark, sf):
+    from churnkit.operators.assoc import chi2_pairs
+    return rounded(chi2_pairs(members_mixed(spark, sf), CC_PAIRS))
+
+
+@query("T4_chi2_yates_lineitem", "WITH li AS (SELECT l_linestatus, CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS returned, "
+       "l_returnflag, l_shipdate FROM lineitem)\n"
+       + "\nUNION ALL\n".join(_sql_chi2_pair("li", a, b) for a, b in [("l_linestatus", "returned"), ("l_linestatus", "l_returnflag")]))
+def q_t4_yates(spark, sf):
+    from churnkit.operators.assoc import chi2_pairs
+    from churnkit.sources.tables import read_table
+    li = read_table(spark, sf, "lineitem").select(
+        "l_linestatus", "l_returnflag", F.when(F.col("l_returnflag") == "R", "1").otherwise("0").alias("returned"))
+    return rounded(chi2_pairs(li, [("l_linestatus", "returned"), ("l_linestatus", "l_returnflag")]))
+
+
+@query("T6_T8_kruskal_anova", with_members(body="\nUNION ALL\n".join(_sql_kruskal_pair("members_left", q, g) for q, g in QC_PAIRS)))
+def q_t6(spark, sf):
+    from churnkit.operators.assoc import kruskal_anova_pairs
+    return rounded(kruskal_anova_pairs(members_left(spark, sf), QC_PAIRS))
+
+
+@query("T9_bivariate_table1")
+def q_t9_left(spark, sf):
+    from churnkit.operators.assoc import bivariate_summary
+    return bivariate_summary(members_left(spark, sf))
+
+
+@query("T9_bivariate_table2")
+def q_t9_mixed(spark, sf):
+    from churnkit.operators.assoc import bivariate_summary
+    return bivariate_summary(members_mixed(spark, sf))
+
+
+@query("G4_correlation_matrix_pearson", with_members(body=f"""
+SELECT var1, var2, pearson_r AS r FROM ({_sql_pearson('members_left', QQ_PAIRS)})
+UNION ALL SELECT var2 AS var1, var1 AS var2, pearson_r AS r FROM ({_sql_pearson('members_left', QQ_PAIRS)})
+UNION ALL """ + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS var1, '{c}' AS var2, CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) > 0 THEN CAST(1 AS DOUBLE) END AS r FROM members_left"
+    for c in LEFT_QUANT)))
+def q_g4(spark, sf):
+    from churnkit.operators.assoc import correlation_matrix
+    return rounded(correlation_matrix(members_left(spark, sf), LEFT_QUANT, "pearson"))
+
+
+@query("G4_correlation_matrix_spearman", with_members(body=f"""
+SELECT var1, var2, spearman_rho AS r FROM ({_sql_spearman('members_left', QQ_PAIRS)})
+UNION ALL SELECT var2 AS var1, var1 AS var2, spearman_rho AS r FROM ({_sql_spearman('members_left', QQ_PAIRS)})
+UNION ALL """ + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS var1, '{c}' AS var2, CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) > 0 THEN CAST(1 AS DOUBLE) END AS r FROM members_left"
+    for c in LEFT_QUANT)))
+def q_g4s(spark, sf):
+    from churnkit.operators.assoc import correlation_matrix
+    return rounded(correlation_matrix(members_left(spark, sf), LEFT_QUANT, "spearman"))
