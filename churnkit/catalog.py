@@ -554,3 +554,94 @@ UNION ALL """ + "\nUNION ALL ".join(
 def q_g4s(spark, sf):
     from churnkit.operators.assoc import correlation_matrix
     return rounded(correlation_matrix(members_left(spark, sf), LEFT_QUANT, "spearman"))
+
+
+# --------------------------------------------------------------------------------------
+# Plot data (G1-G3, G5, G6) and contingency (A10)
+# --------------------------------------------------------------------------------------
+
+def _sql_hist(source: str, col: str, members: bool = False) -> str:
+    head = ("WITH " + MEMBERS_SQL + ",\n") if members else "WITH "
+    return head + f"""d AS (SELECT CAST({col} AS DOUBLE) AS x FROM {source} WHERE {col} IS NOT NULL),
+r AS (SELECT count(x) AS n, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+             CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi,
+             least(50, greatest(10, CAST(floor(sqrt(count(x))) AS INTEGER))) AS bins FROM d),
+c AS (SELECT CAST(least(floor((x - lo) * bins / (hi - lo)), bins - 1) AS INTEGER) AS bin, count(*) AS n FROM d, r GROUP BY 1),
+b AS (SELECT lo, hi, bins, CAST(unnest(range(0, bins)) AS INTEGER) AS bin FROM r WHERE n > 0)
+SELECT b.bin, {sround('lo + b.bin * ((hi - lo) / bins)')} AS lower, {sround('lo + (b.bin + 1) * ((hi - lo) / bins)')} AS upper,
+       coalesce(c.n, 0) AS n FROM b LEFT JOIN c ON b.bin = c.bin"""
+
+
+@query("G1_histogram_lineitem_price", _sql_hist("lineitem", "l_extendedprice"))
+def q_g1(spark, sf):
+    from churnkit.operators.plotdata import histogram
+    from churnkit.sources.tables import read_table
+    return rounded(histogram(read_table(spark, sf, "lineitem"), "l_extendedprice"))
+
+
+@query("G1_histogram_member_age", _sql_hist("members_left", "AGEAD", members=True))
+def q_g1_age(spark, sf):
+    from churnkit.operators.plotdata import histogram
+    return rounded(histogram(members_left(spark, sf), "AGEAD"))
+
+
+@query("G2_top_categories", with_members(UNION_FULL_CTE, body="""
+SELECT value, n, row_number() OVER (ORDER BY n DESC, value ASC NULLS LAST) AS rank
+FROM (SELECT CAST(DTADH AS VARCHAR) AS value, count(*) AS n FROM union_full GROUP BY 1)
+ORDER BY n DESC, value ASC NULLS LAST LIMIT 40"""))
+def q_g2(spark, sf):
+    from churnkit.operators.plotdata import top_categories
+    return top_categories(union_tables(spark, sf), "DTADH", 40).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("G3_scatter_bins", """
+WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+r AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS xlo, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS xhi,
+             CASE WHEN min(y) = max(y) THEN min(y) - 0.5 ELSE min(y) END AS ylo, CASE WHEN min(y) = max(y) THEN max(y) + 0.5 ELSE max(y) END AS yhi FROM d)
+SELECT CAST(least(floor((x - xlo) * 20 / (xhi - xlo)), 20 - 1) AS INTEGER) AS bin_x,
+       CAST(least(floor((y - ylo) * 20 / (yhi - ylo)), 20 - 1) AS INTEGER) AS bin_y, count(*) AS n
+FROM d, r GROUP BY 1, 2""")
+def q_g3(spark, sf):
+    from churnkit.operators.plotdata import scatter_bins
+    from churnkit.sources.tables import read_table
+    return scatter_bins(read_table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 20)
+
+
+@query("G5_box_stats", f"""
+WITH d AS (SELECT CAST(o_orderpriority AS VARCHAR) AS grp, CAST(o_totalprice AS DOUBLE) AS x FROM orders
+           WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL),
+g AS (SELECT grp, count(*) AS n FROM d GROUP BY grp ORDER BY n DESC, grp LIMIT 35),
+q AS (SELECT d.grp, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3
+      FROM d JOIN g ON d.grp = g.grp GROUP BY d.grp),
+w AS (SELECT d.grp, min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END) AS whisker_low,
+             max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_high FROM d JOIN q ON d.grp = q.grp GROUP BY d.grp)
+SELECT g.grp AS o_orderpriority, g.n, {sround('q.q1')} AS q1, {sround('q.median')} AS median, {sround('q.q3')} AS q3,
+       {sround('w.whisker_low')} AS whisker_low, {sround('w.whisker_high')} AS whisker_high
+FROM g JOIN q ON g.grp = q.grp JOIN w ON g.grp = w.grp""")
+def q_g5(spark, sf):
+    from churnkit.operators.plotdata import box_stats
+    from churnkit.sources.tables import read_table
+    return rounded(box_stats(read_table(spark, sf, "orders"), "o_totalprice", "o_orderpriority", 35))
+
+
+@query("G6_contingency_bars", """
+WITH c AS (SELECT CAST(p_brand AS VARCHAR) AS p_brand, CAST(p_size AS VARCHAR) AS p_size, count(*) AS n FROM part
+           WHERE p_brand IS NOT NULL AND p_size IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT p_brand FROM c GROUP BY p_brand ORDER BY sum(n) DESC, p_brand LIMIT 25),
+k AS (SELECT c.* FROM c JOIN r ON c.p_brand = r.p_brand),
+s AS (SELECT p_size FROM k GROUP BY p_size ORDER BY sum(n) DESC, p_size LIMIT 15)
+SELECT k.p_brand, k.p_size, k.n FROM k JOIN s ON k.p_size = s.p_size""")
+def q_g6(spark, sf):
+    from churnkit.operators.plotdata import contingency_bars
+    from churnkit.sources.tables import read_table
+    return contingency_bars(read_table(spark, sf, "part"), "p_brand", "p_size", 25, 15)
+
+
+@query("A10_contingency_table", """
+SELECT CAST(l_returnflag AS VARCHAR) AS l_returnflag, CAST(l_linestatus AS VARCHAR) AS l_linestatus, count(*) AS n
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2""")
+def q_a10(spark, sf):
+    from churnkit.operators.plotdata import contingency
+    from churnkit.sources.tables import read_table
+    return contingency(read_table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
