@@ -218,8 +218,10 @@ LEFT JOIN (SELECT c.colonne, min(c.value) AS mode
 
 
 def union_tables(spark, sf):
+    """The stacked members table, checkpointed (stage handover reused by later operators)."""
     from churnkit.operators.union import union_full
-    return union_full(*both(spark, sf))
+    from churnkit.session import materialize
+    return materialize(union_full(*both(spark, sf)))
 
 
 # --------------------------------------------------------------------------------------
@@ -645,3 +647,171 @@ def q_a10(spark, sf):
     from churnkit.operators.plotdata import contingency
     from churnkit.sources.tables import read_table
     return contingency(read_table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+# --------------------------------------------------------------------------------------
+# Recoding (C6-C10, F1-F13, A12, D1, D2)
+# --------------------------------------------------------------------------------------
+
+def sql_years(d: str) -> str:
+    return f"CAST(DATE '2007-01-01' - CAST({d} AS DATE) AS DOUBLE) / 365.25"
+
+
+SQL_DMY = lambda c: f"try_strptime({sql_strip(c)}, '%d/%m/%Y')"                       # noqa: E731
+SQL_ISO = lambda c: f"try_strptime(NULLIF({sql_strip(c)}, '0000-00-00'), '%Y-%m-%d')"
+
+
+def sql_qcut(x: str, edges: str) -> str:
+    return (f"(CASE WHEN {x} IS NULL OR len({edges}) < 2 THEN NULL "
+            f"ELSE CAST(greatest(0, len(list_filter({edges}, lambda e: e < {x})) - 1) AS INTEGER) END)")
+
+
+def sql_edges(x: str) -> str:
+    return f"list_sort(list_distinct(quantile_cont({x}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])))"
+
+
+PREP_UNION_CTE = f"""
+prep0 AS (
+  SELECT *, {sql_years(SQL_DMY('DTADH'))} AS anciennete_adh_ans FROM union_full),
+prep1 AS (
+  SELECT * REPLACE (coalesce(CAST(CDSITFAM AS VARCHAR), 'nan') AS CDSITFAM, coalesce(CAST(CDMOTDEM AS VARCHAR), '__MANQUANT__') AS CDMOTDEM),
+         CASE WHEN source = 'table2' THEN {sql_years(SQL_ISO('DTNAIS'))}
+              WHEN source = 'table1' THEN CAST(AGEAD AS DOUBLE) + anciennete_adh_ans END AS age_ref
+  FROM prep0),
+prep AS (
+  SELECT p.*, {sql_qcut('CAST(p.MTREV AS DOUBLE)', 'e.edges')} AS MTREV_discrete
+  FROM prep1 p, (SELECT {sql_edges('CAST(MTREV AS DOUBLE)')} AS edges FROM prep1) e)"""
+
+Z_COLS = ["CDSEXE", "MTREV", "NBENF", "BPADH", "age_ref", "anciennete_adh_ans"]
+SIT_LEVELS = list("ABCDEFGMPSUV")
+
+MATRIX_CTE = PREP_UNION_CTE + ",\n" + f"""
+med AS (SELECT {', '.join(f'quantile_cont(CAST({c} AS DOUBLE), 0.5) AS med_{c}' for c in Z_COLS)} FROM prep),
+imp AS (SELECT p.*, {', '.join(f'coalesce(CAST(p.{c} AS DOUBLE), m.med_{c}) AS i_{c}' for c in Z_COLS)} FROM prep p, med m),
+mom AS (SELECT {', '.join(f'avg(i_{c}) AS mean_{c}, stddev_pop(i_{c}) AS std_{c}' for c in Z_COLS)},
+               min(CAST(trunc(coalesce(CAST(CDSEXE AS DOUBLE), 0)) AS INTEGER)) AS min_CDSEXE,
+               min(CAST(trunc(coalesce(CAST(NBENF AS DOUBLE), 0)) AS INTEGER)) AS min_NBENF,
+               {sql_edges('i_MTREV')} AS e_mtrev, {sql_edges('i_age_ref')} AS e_age, {sql_edges('i_anciennete_adh_ans')} AS e_anc
+        FROM imp),
+fac AS (SELECT CDSITFAM, CAST(dense_rank() OVER (ORDER BY first_id) - 1 AS INTEGER) AS cat_sitfam
+        FROM (SELECT CDSITFAM, min(ID) AS first_id FROM prep GROUP BY CDSITFAM)),
+matrix AS (
+  SELECT i.ID, i.cible_churn,
+         {', '.join(f'CASE WHEN m.std_{c} > 0 THEN (i.i_{c} - m.mean_{c}) / m.std_{c} ELSE i.i_{c} - m.mean_{c} END AS z_{c}' for c in Z_COLS)},
+         {', '.join(f"CAST(i.CDSITFAM = '{lv}' AS INTEGER) AS sit_{lv}" for lv in SIT_LEVELS)},
+         f.cat_sitfam,
+         CAST(CAST(trunc(coalesce(CAST(i.CDSEXE AS DOUBLE), 0)) AS INTEGER) - m.min_CDSEXE AS INTEGER) AS cat_sexe,
+         CAST(CAST(trunc(coalesce(CAST(i.NBENF AS DOUBLE), 0)) AS INTEGER) - m.min_NBENF AS INTEGER) AS cat_nbenf,
+         coalesce({sql_qcut('i.i_MTREV', 'm.e_mtrev')}, 0) AS cat_mtrev,
+         coalesce({sql_qcut('i.i_age_ref', 'm.e_age')}, 0) AS cat_age,
+         coalesce({sql_qcut('i.i_anciennete_adh_ans', 'm.e_anc')}, 0) AS cat_anc
+  FROM imp i CROSS JOIN mom m LEFT JOIN fac f ON i.CDSITFAM = f.CDSITFAM)"""
+
+
+def prepared_union(spark, sf):
+    from churnkit.operators.recode import prepare_union
+    from churnkit.session import materialize
+    return materialize(prepare_union(union_tables(spark, sf)))
+
+
+def matrix_union(spark, sf):
+    from churnkit.operators.recode import model_matrix
+    from churnkit.session import materialize
+    return materialize(model_matrix(prepared_union(spark, sf))[0])
+
+
+@query("F9_derive_dates_union", with_members(UNION_FULL_CTE, PREP_UNION_CTE, body=f"""
+SELECT ID, source, {sround('age_ref')} AS age_ref, {sround('anciennete_adh_ans')} AS anciennete_adh_ans FROM prep"""))
+def q_f9(spark, sf):
+    from churnkit.operators.recode import derive_dates_union
+    return rounded(derive_dates_union(union_tables(spark, sf)).select("ID", "source", "age_ref", "anciennete_adh_ans"))
+
+
+@query("F8_derive_dates_table2", with_members(body=f"""
+SELECT ID, {sround(sql_years(SQL_ISO('DTNAIS')))} AS age_ref, {sround(sql_years(SQL_DMY('DTADH')))} AS anciennete_adh_ans
+FROM members_mixed"""))
+def q_f8(spark, sf):
+    from churnkit.operators.recode import derive_dates_table2
+    return rounded(derive_dates_table2(members_mixed(spark, sf)).select("ID", "age_ref", "anciennete_adh_ans"))
+
+
+@query("F11_prepared_union", with_members(UNION_FULL_CTE, PREP_UNION_CTE, body=f"""
+SELECT ID, source, id_fichier, CDSEXE, MTREV, NBENF, CDSITFAM, CDTMT, CDMOTDEM, CDCATCL, BPADH, DTDEM,
+       {sround('age_ref')} AS age_ref, {sround('anciennete_adh_ans')} AS anciennete_adh_ans, MTREV_discrete, cible_churn
+FROM prep"""))
+def q_f11(spark, sf):
+    cols = ["ID", "source", "id_fichier", "CDSEXE", "MTREV", "NBENF", "CDSITFAM", "CDTMT", "CDMOTDEM", "CDCATCL",
+            "BPADH", "DTDEM", "age_ref", "anciennete_adh_ans", "MTREV_discrete", "cible_churn"]
+    return rounded(prepared_union(spark, sf).select(*cols))
+
+
+@query("F10_prepared_table2", with_members(f"""
+p2 AS (SELECT *, {sql_years(SQL_ISO('DTNAIS'))} AS age_ref, {sql_years(SQL_DMY('DTADH'))} AS anciennete_adh_ans,
+              {sql_target()} AS cible_churn FROM members_mixed)""", body=f"""
+SELECT p.ID, p.CDSEXE, p.MTREV, p.NBENF, coalesce(CAST(p.CDSITFAM AS VARCHAR), 'nan') AS CDSITFAM, p.CDTMT,
+       coalesce(CAST(p.CDMOTDEM AS VARCHAR), '__MANQUANT__') AS CDMOTDEM, p.CDCATCL, p.BPADH, p.DTDEM,
+       {sround('p.age_ref')} AS age_ref, {sround('p.anciennete_adh_ans')} AS anciennete_adh_ans,
+       {sql_qcut('CAST(p.MTREV AS DOUBLE)', 'e.edges')} AS MTREV_discrete, p.cible_churn
+FROM p2 p, (SELECT {sql_edges('CAST(MTREV AS DOUBLE)')} AS edges FROM p2) e"""))
+def q_f10(spark, sf):
+    from churnkit.operators.recode import prepare_table2
+    cols = ["ID", "CDSEXE", "MTREV", "NBENF", "CDSITFAM", "CDTMT", "CDMOTDEM", "CDCATCL", "BPADH", "DTDEM",
+            "age_ref", "anciennete_adh_ans", "MTREV_discrete", "cible_churn"]
+    return rounded(prepare_table2(members_mixed(spark, sf)).select(*cols))
+
+
+MATRIX_SELECT = ("SELECT ID, cible_churn, " + ", ".join(f"{sround('z_' + c)} AS z_{c}" for c in Z_COLS) + ", "
+                 + ", ".join(f"sit_{lv}" for lv in SIT_LEVELS)
+                 + ", cat_sitfam, cat_sexe, cat_nbenf, cat_mtrev, cat_age, cat_anc FROM matrix")
+
+
+@query("F12_model_matrix", with_members(UNION_FULL_CTE, MATRIX_CTE, body=MATRIX_SELECT))
+def q_f12(spark, sf):
+    return rounded(matrix_union(spark, sf))
+
+
+@query("F1_F2_recode_params", with_members(UNION_FULL_CTE, MATRIX_CTE, body="SELECT "
+       + ", ".join(f"{sround('med_' + c)} AS med_{c}" for c in Z_COLS) + ", "
+       + ", ".join(f"{sround('mean_' + c)} AS mean_{c}, {sround('std_' + c)} AS std_{c}" for c in Z_COLS)
+       + " FROM med, mom"))
+def q_f1(spark, sf):
+    from churnkit.operators.recode import fit_recode
+    m = fit_recode(prepared_union(spark, sf))
+    cols = [f"med_{c}" for c in Z_COLS] + [x for c in Z_COLS for x in (f"mean_{c}", f"std_{c}")]
+    return rounded(m.params.select(*cols))
+
+
+@query("F4_factorize_codes", with_members(UNION_FULL_CTE, MATRIX_CTE, body="SELECT CDSITFAM, cat_sitfam FROM fac"))
+def q_f4(spark, sf):
+    from churnkit.operators.recode import fit_recode
+    m = fit_recode(prepared_union(spark, sf))
+    return m.sitfam_codes.select("CDSITFAM", F.col("_sitfam_code").cast("int").alias("cat_sitfam"))
+
+
+@query("A12_recode_summary", with_members(UNION_FULL_CTE, MATRIX_CTE, body="""
+SELECT count(*) AS n_rows, CAST(26 AS INTEGER) AS n_columns, CAST(count_if(cible_churn = 1) AS BIGINT) AS n_churn_1,
+       CAST(count_if(cible_churn = 0) AS BIGINT) AS n_churn_0, round(avg(cible_churn), 6) AS churn_rate FROM matrix"""))
+def q_a12(spark, sf):
+    m = matrix_union(spark, sf)
+    return m.agg(F.count("*").alias("n_rows"), F.lit(len(m.columns)).alias("n_columns"),
+                 F.count_if(F.col("cible_churn") == 1).alias("n_churn_1"),
+                 F.count_if(F.col("cible_churn") == 0).alias("n_churn_0"),
+                 F.round(F.avg("cible_churn"), 6).alias("churn_rate"))
+
+
+@query("D1_min_max_block", with_members(body="SELECT ID, " + ", ".join(
+    f"{sround(f'coalesce((CAST({c} AS DOUBLE) - mn_{c}) / NULLIF(mx_{c} - mn_{c}, 0), 0)')} AS mm_{c}"
+    for c in ["CDSEXE", "MTREV", "NBENF", "BPADH"]) + " FROM members_mixed, (SELECT " + ", ".join(
+    f"min(CAST({c} AS DOUBLE)) AS mn_{c}, max(CAST({c} AS DOUBLE)) AS mx_{c}" for c in ["CDSEXE", "MTREV", "NBENF", "BPADH"])
+    + " FROM members_mixed)"))
+def q_d1(spark, sf):
+    from churnkit.operators.recode import min_max_block
+    return rounded(min_max_block(members_mixed(spark, sf), ["CDSEXE", "MTREV", "NBENF", "BPADH"]))
+
+
+@query("D2_motive_one_hot", with_members(body="SELECT ID, " + ", ".join(
+    f"CAST(coalesce(CAST(CDMOTDEM AS VARCHAR), '__MANQUANT__') = '{v}' AS INTEGER) AS mot_{v}"
+    for v in ["1", "2", "3", "4", "5", "__MANQUANT__"]) + " FROM members_mixed"))
+def q_d2(spark, sf):
+    from churnkit.operators.recode import one_hot
+    return one_hot(members_mixed(spark, sf), "CDMOTDEM", "mot")
