@@ -815,3 +815,62 @@ def q_d1(spark, sf):
 def q_d2(spark, sf):
     from churnkit.operators.recode import one_hot
     return one_hot(members_mixed(spark, sf), "CDMOTDEM", "mot")
+
+
+# --------------------------------------------------------------------------------------
+# Split (F17, A11, U4, SRC6)
+# --------------------------------------------------------------------------------------
+
+def sql_lr(counts: str, cnt: str, draws: str, out: str) -> str:
+    """Largest-remainder allocation in SQL (ties -> smaller class value)."""
+    return f"""(SELECT *, fl + CAST(row_number() OVER (ORDER BY rem DESC, cible_churn) <= need AS BIGINT) AS {out}
+   FROM (SELECT *, CAST({draws} AS BIGINT) - sum(fl) OVER () AS need
+         FROM (SELECT *, CAST(floor({cnt} * ({draws}) / tot) AS BIGINT) AS fl, ({cnt} * ({draws})) % tot AS rem
+               FROM (SELECT *, sum({cnt}) OVER () AS tot FROM {counts}))))"""
+
+
+SPLIT_CTE = f"""
+cls AS (SELECT cible_churn, count(*) AS n_class FROM union_full GROUP BY cible_churn),
+q1 AS {sql_lr("cls", "n_class", "sum(n_class) OVER () - CAST(ceil(0.15 * sum(n_class) OVER ()) AS BIGINT)", "n_trval")},
+q2 AS {sql_lr("(SELECT cible_churn, n_class, n_trval FROM q1)", "n_trval",
+              "sum(n_trval) OVER () - CAST(ceil((0.15 / (1 - 0.15)) * sum(n_trval) OVER ()) AS BIGINT)", "n_train")},
+quota AS (SELECT cible_churn, n_class - n_trval AS n_test, n_trval - n_train AS n_val, n_train FROM q2),
+keyed AS (SELECT ID, cible_churn,
+                 row_number() OVER (PARTITION BY cible_churn ORDER BY
+                   CAST(('0x' || substr(md5(CAST(ID AS VARCHAR) || '|42'), 1, 15)) AS BIGINT), ID) AS pos FROM union_full),
+splitted AS (SELECT k.ID, k.cible_churn, CASE WHEN pos <= n_test THEN 'test' WHEN pos <= n_test + n_val THEN 'val'
+                                                 ELSE 'train' END AS split
+             FROM keyed k JOIN quota q ON k.cible_churn = q.cible_churn)"""
+
+
+def split_union(spark, sf):
+    from churnkit.operators.split import stratified_split
+    from churnkit.session import materialize
+    return materialize(stratified_split(union_tables(spark, sf).select("ID", "cible_churn")))
+
+
+@query("F17_stratified_split", with_members(UNION_FULL_CTE, SPLIT_CTE, body="SELECT * FROM splitted"))
+def q_f17(spark, sf):
+    return split_union(spark, sf)
+
+
+@query("F17_split_quotas", with_members(UNION_FULL_CTE, SPLIT_CTE, body="SELECT cible_churn, n_class, n_test, n_val, n_train FROM quota JOIN cls USING (cible_churn)"))
+def q_f17q(spark, sf):
+    from churnkit.operators.split import split_quotas
+    return split_quotas(union_tables(spark, sf))
+
+
+@query("A11_partition_stats", with_members(UNION_FULL_CTE, SPLIT_CTE, body="""
+SELECT split AS nom, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct_total,
+       CAST(count_if(cible_churn = 1) AS BIGINT) AS n_churn_1, CAST(count_if(cible_churn = 0) AS BIGINT) AS n_churn_0,
+       round(avg(CAST(cible_churn AS DOUBLE)), 6) AS taux_churn FROM splitted GROUP BY split"""))
+def q_a11(spark, sf):
+    from churnkit.operators.split import partition_stats
+    return partition_stats(split_union(spark, sf))
+
+
+@query("U4_train_and_validation", with_members(UNION_FULL_CTE, SPLIT_CTE,
+                                                body="SELECT * FROM splitted WHERE split IN ('train', 'val')"))
+def q_u4(spark, sf):
+    from churnkit.operators.union import train_and_validation
+    return train_and_validation(split_union(spark, sf))

@@ -106,12 +106,14 @@ def with_average_rank(df: DataFrame, value_col: str, group_cols=(), out_col: str
 
 
 def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list]] | None = None,
-                  out_col: str = "ID", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Dense ids ``1..n`` following ``(group order, key_col)`` (W2), computed in parallel.
+                  out_col: str = "ID", n_buckets: int = DEFAULT_BUCKETS, group_cols=(), tie_cols=()) -> DataFrame:
+    """Dense ids ``1..n`` following ``(group order, key_col, tie_cols)`` (W2), computed in parallel.
 
     ``group_order`` = ``[(column, [value, ...])]`` fixes the order of a low-cardinality group
-    column (e.g. ``source`` with table1 first). ``key_col`` must be unique within a group
-    (it is an identifier).
+    column (e.g. ``source`` with table1 first); ids run across those groups. With
+    ``group_cols`` the numbering restarts at 1 inside each group instead. Rows are bucketed
+    on ``key_col`` alone (monotone in the full order), so ``tie_cols`` only order rows that
+    share a key value.
     """
     g: list[str] = []
     d = df
@@ -122,12 +124,14 @@ def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list
                 rank_expr = F.when(F.col(col) == F.lit(v), F.lit(i)).otherwise(rank_expr)
             d = d.withColumn(f"_g_{col}", rank_expr)
             g.append(f"_g_{col}")
-    d = _attach_buckets(d, key_col, g, n_buckets)
-    within = Window.partitionBy(*g, "_b").orderBy(key_col)
+    part = list(group_cols)
+    d = _attach_buckets(d, key_col, part + g, n_buckets)
+    within = Window.partitionBy(*part, *g, "_b").orderBy(key_col, *tie_cols)
     d = d.withColumn("_rn", F.row_number().over(within))
-    per_bucket = d.groupBy(*g, "_b").agg(F.count("*").alias("_bn"))
-    before = Window.orderBy(*g, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = d.groupBy(*part, *g, "_b").agg(F.count("*").alias("_bn"))
+    # groups x buckets rows: bounded
+    before = Window.partitionBy(*part).orderBy(*g, "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    out = d.join(F.broadcast(offsets), g + ["_b"], "inner")
+    out = d.join(F.broadcast(offsets), part + g + ["_b"], "inner")
     out = out.withColumn(out_col, (F.col("_off") + F.col("_rn")).cast("long"))
     return out.drop("_rn", "_off", "_b", *g)
