@@ -36,6 +36,19 @@ def both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return members_left(spark, sf), members_mixed(spark, sf)
 
 
+_STAGES: dict = {}
+
+
+def stage(name: str, spark: SparkSession, sf: str, build):
+    """A checkpointed stage handover (union, prepared table, matrix, split), built once per
+    session and data folder; later queries reuse the checkpoint files instead of the lineage."""
+    key = (name, sf, spark.sparkContext.applicationId)
+    if key not in _STAGES:
+        from churnkit.session import materialize
+        _STAGES[key] = materialize(build())
+    return _STAGES[key]
+
+
 # --------------------------------------------------------------------------------------
 # SQL building blocks (DuckDB)
 # --------------------------------------------------------------------------------------
@@ -220,8 +233,7 @@ LEFT JOIN (SELECT c.colonne, min(c.value) AS mode
 def union_tables(spark, sf):
     """The stacked members table, checkpointed (stage handover reused by later operators)."""
     from churnkit.operators.union import union_full
-    from churnkit.session import materialize
-    return materialize(union_full(*both(spark, sf)))
+    return stage("union", spark, sf, lambda: union_full(*both(spark, sf)))
 
 
 # --------------------------------------------------------------------------------------
@@ -710,14 +722,12 @@ matrix AS (
 
 def prepared_union(spark, sf):
     from churnkit.operators.recode import prepare_union
-    from churnkit.session import materialize
-    return materialize(prepare_union(union_tables(spark, sf)))
+    return stage("prepared", spark, sf, lambda: prepare_union(union_tables(spark, sf)))
 
 
 def matrix_union(spark, sf):
     from churnkit.operators.recode import model_matrix
-    from churnkit.session import materialize
-    return materialize(model_matrix(prepared_union(spark, sf))[0])
+    return stage("matrix", spark, sf, lambda: model_matrix(prepared_union(spark, sf))[0])
 
 
 @query("F9_derive_dates_union", with_members(UNION_FULL_CTE, PREP_UNION_CTE, body=f"""
@@ -845,8 +855,13 @@ splitted AS (SELECT k.ID, k.cible_churn, CASE WHEN pos <= n_test THEN 'test' WHE
 
 def split_union(spark, sf):
     from churnkit.operators.split import stratified_split
-    from churnkit.session import materialize
-    return materialize(stratified_split(union_tables(spark, sf).select("ID", "cible_churn")))
+    return stage("split", spark, sf, lambda: stratified_split(union_tables(spark, sf).select("ID", "cible_churn")))
+
+
+def matrix_split(spark, sf):
+    """Model matrix with its ``split`` column (the split depends on ID and target only)."""
+    return stage("matrix_split", spark, sf,
+                 lambda: matrix_union(spark, sf).join(split_union(spark, sf).select("ID", "split"), "ID"))
 
 
 @query("F17_stratified_split", with_members(UNION_FULL_CTE, SPLIT_CTE, body="SELECT * FROM splitted"))
@@ -874,3 +889,182 @@ def q_a11(spark, sf):
 def q_u4(spark, sf):
     from churnkit.operators.union import train_and_validation
     return train_and_validation(split_union(spark, sf))
+
+
+# --------------------------------------------------------------------------------------
+# Categorical naive Bayes (M3, P7), metrics (M11, M13, M14), comparison
+# --------------------------------------------------------------------------------------
+
+CAT_FEATURES = ["cat_age", "cat_anc", "cat_mtrev", "cat_nbenf", "cat_sexe", "cat_sitfam"]
+NB_ALPHAS = {"cnb_a01": 0.1, "cnb_a05": 0.5, "cnb_a10": 1.0}
+
+
+def _sql_nb_scores(alpha: float, algo: str, part: str = "val") -> str:
+    """Categorical NB fitted on the training rows, scored on ``part`` rows (DuckDB)."""
+    feats = ", ".join(CAT_FEATURES)
+    return f"""(WITH ms AS (SELECT m.*, s.split FROM matrix m JOIN splitted s ON m.ID = s.ID),
+tr AS (SELECT cible_churn AS y, {feats} FROM ms WHERE split = 'train'),
+lng AS (SELECT y, feature, value FROM (SELECT * FROM tr UNPIVOT (value FOR feature IN ({feats})))),
+cnt AS (SELECT y, feature, value, CAST(count(*) AS DOUBLE) AS n FROM lng GROUP BY ALL),
+kf AS (SELECT feature, CAST(max(value) + 1 AS DOUBLE) AS K FROM lng GROUP BY feature),
+ny AS (SELECT y, CAST(count(*) AS DOUBLE) AS ny FROM tr GROUP BY y),
+pr AS (SELECT y, ln(ny / sum(ny) OVER ()) AS prior FROM ny),
+sc AS (SELECT ID, cible_churn AS y_true, {feats} FROM ms WHERE split = '{part}'),
+sl AS (SELECT ID, y_true, feature, value FROM (SELECT * FROM sc UNPIVOT (value FOR feature IN ({feats})))),
+jl AS (SELECT sl.ID, sl.y_true, ny.y,
+              sum(coalesce(ln((cnt.n + {alpha}) / (ny.ny + {alpha} * kf.K)), ln({alpha} / (ny.ny + {alpha} * kf.K)))) AS ll
+       FROM sl CROSS JOIN ny JOIN kf ON sl.feature = kf.feature
+       LEFT JOIN cnt ON cnt.y = ny.y AND cnt.feature = sl.feature AND cnt.value = sl.value
+       GROUP BY sl.ID, sl.y_true, ny.y),
+j AS (SELECT jl.ID, jl.y_true, max(CASE WHEN jl.y = 0 THEN jl.ll + pr.prior END) AS j0,
+             max(CASE WHEN jl.y = 1 THEN jl.ll + pr.prior END) AS j1
+      FROM jl JOIN pr ON jl.y = pr.y GROUP BY jl.ID, jl.y_true)
+SELECT ID, y_true, '{algo}' AS algo, CAST(j1 > j0 AS INTEGER) AS pred, 1.0 / (1.0 + exp(j0 - j1)) AS proba FROM j)"""
+
+
+def nb_predictions(spark, sf, part: str = "val") -> DataFrame:
+    """Long predictions ``ID, y_true, algo, pred, proba`` of the naive Bayes grid on ``part``."""
+    def build():
+        from functools import reduce
+
+        from churnkit.operators.models import fit_categorical_nb
+        from churnkit.operators.schema import select_features
+        ms = matrix_split(spark, sf)
+        train = select_features(ms.filter(F.col("split") == "train"), "cat")
+        scored = select_features(ms.filter(F.col("split") == part), "cat")
+        outs = []
+        for algo, a in NB_ALPHAS.items():
+            m = fit_categorical_nb(train, CAT_FEATURES, a)
+            outs.append(m.transform(scored, keep=("ID", "cible_churn")).select(
+                "ID", F.col("cible_churn").alias("y_true"), F.lit(algo).alias("algo"), "pred", "proba"))
+        return reduce(lambda x, y: x.unionByName(y), outs)
+    return stage(f"nb_{part}", spark, sf, build)
+
+
+NB_SQL_UNION = "\nUNION ALL\n".join(f"SELECT * FROM {_sql_nb_scores(a, k)}" for k, a in NB_ALPHAS.items())
+MODEL_CTES = (UNION_FULL_CTE, MATRIX_CTE, SPLIT_CTE, f"preds AS ({NB_SQL_UNION})")
+
+
+@query("P7_select_features_cat", with_members(UNION_FULL_CTE, MATRIX_CTE, body=
+       "SELECT ID, cible_churn, " + ", ".join(f"CAST(greatest({c}, 0) AS INTEGER) AS {c}" for c in CAT_FEATURES) + " FROM matrix"))
+def q_p7(spark, sf):
+    from churnkit.operators.schema import select_features
+    return select_features(matrix_union(spark, sf), "cat")
+
+
+@query("M3_categorical_nb_scores", with_members(*MODEL_CTES, body=f"SELECT ID, y_true, algo, pred, {sround('proba')} AS proba FROM preds"))
+def q_m3(spark, sf):
+    return rounded(nb_predictions(spark, sf))
+
+
+def _sql_auc(src: str) -> str:
+    return f"""(SELECT algo, CASE WHEN sum(pos) > 0 AND sum(n - pos) > 0 THEN
+        (sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * sum(n - pos)) END AS roc_auc
+   FROM (SELECT algo, proba, n, pos, sum(n) OVER (PARTITION BY algo ORDER BY proba) - n + (n + 1) / 2.0 AS rk
+         FROM (SELECT algo, proba, count(*) AS n, sum(y_true) AS pos FROM {src} GROUP BY algo, proba))
+   GROUP BY algo)"""
+
+
+@query("M11_binary_metrics", with_members(*MODEL_CTES, body=f"""
+SELECT c.algo, {sround('a.roc_auc')} AS roc_auc,
+       {sround('coalesce(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0)')} AS f1,
+       {sround('CAST(tp + tn AS DOUBLE) / n')} AS accuracy,
+       {sround('coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0)')} AS precision,
+       {sround('coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0)')} AS recall
+FROM (SELECT algo, count(*) AS n, count_if(y_true = 1 AND pred = 1) AS tp, count_if(y_true = 0 AND pred = 1) AS fp,
+             count_if(y_true = 1 AND pred = 0) AS fn, count_if(y_true = 0 AND pred = 0) AS tn FROM preds GROUP BY algo) c
+JOIN {_sql_auc('preds')} a ON c.algo = a.algo"""))
+def q_m11(spark, sf):
+    from churnkit.operators.metrics import binary_metrics
+    return rounded(binary_metrics(nb_predictions(spark, sf), ["algo"]))
+
+
+@query("M13_confusion_matrix", with_members(*MODEL_CTES, body="""
+SELECT algo, CAST(count_if(y_true = 0 AND pred = 0) AS BIGINT) AS tn, CAST(count_if(y_true = 0 AND pred = 1) AS BIGINT) AS fp,
+       CAST(count_if(y_true = 1 AND pred = 0) AS BIGINT) AS fn, CAST(count_if(y_true = 1 AND pred = 1) AS BIGINT) AS tp
+FROM preds GROUP BY algo"""))
+def q_m13(spark, sf):
+    from churnkit.operators.metrics import confusion
+    return confusion(nb_predictions(spark, sf), ["algo"])
+
+
+@query("M14_classification_report", with_members(*MODEL_CTES, f"""
+cm AS (SELECT algo, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(y_true = 1 AND pred = 1) AS DOUBLE) AS tp,
+              CAST(count_if(y_true = 0 AND pred = 1) AS DOUBLE) AS fp, CAST(count_if(y_true = 1 AND pred = 0) AS DOUBLE) AS fn,
+              CAST(count_if(y_true = 0 AND pred = 0) AS DOUBLE) AS tn FROM preds GROUP BY algo)""", """
+crep AS (SELECT algo, n, tp, tn,
+               coalesce(tn / NULLIF(tn + fn, 0), 0) AS p0, coalesce(tn / NULLIF(tn + fp, 0), 0) AS r0,
+               coalesce(2 * tn / NULLIF(2 * tn + fn + fp, 0), 0) AS f0, tn + fp AS s0,
+               coalesce(tp / NULLIF(tp + fp, 0), 0) AS p1, coalesce(tp / NULLIF(tp + fn, 0), 0) AS r1,
+               coalesce(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0) AS f1, tp + fn AS s1 FROM cm)""", body=f"""
+SELECT algo, label, {sround('precision')} AS precision, {sround('recall')} AS recall, {sround('f1')} AS f1,
+       CAST(support AS BIGINT) AS support FROM (
+  SELECT algo, 'non-churn' AS label, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS support FROM crep
+  UNION ALL SELECT algo, 'churn', p1, r1, f1, s1 FROM crep
+  UNION ALL SELECT algo, 'accuracy', NULL, NULL, (tp + tn) / n, n FROM crep
+  UNION ALL SELECT algo, 'macro avg', (p0 * 1.0 + p1 * 1.0) / 2.0, (r0 * 1.0 + r1 * 1.0) / 2.0, (f0 * 1.0 + f1 * 1.0) / 2.0, n FROM crep
+  UNION ALL SELECT algo, 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1), (r0 * s0 + r1 * s1) / (s0 + s1),
+                   (f0 * s0 + f1 * s1) / (s0 + s1), n FROM crep)"""))
+def q_m14(spark, sf):
+    from churnkit.operators.metrics import classification_report
+    return rounded(classification_report(nb_predictions(spark, sf), ["algo"]))
+
+
+@query("J2_wide_predictions", with_members(*MODEL_CTES, body="SELECT p.ID, p.y_true, " + ", ".join(
+    f"max(CASE WHEN algo = '{a}' THEN pred END) AS pred_{a}" for a in NB_ALPHAS) + ", " + ", ".join(
+    f"{sround(f'max(CASE WHEN algo = {chr(39)}{a}{chr(39)} THEN proba END)')} AS proba_{a}" for a in NB_ALPHAS)
+    + " FROM preds p GROUP BY p.ID, p.y_true"))
+def q_j2(spark, sf):
+    from churnkit.operators.compare import wide_predictions
+    return rounded(wide_predictions(nb_predictions(spark, sf), list(NB_ALPHAS)))
+
+
+@query("T10_T11_mcnemar", with_members(*MODEL_CTES, body="\nUNION ALL\n".join(f"""
+SELECT '{a}' AS model_a, '{b}' AS model_b, n01, n10,
+       CASE WHEN n01 + n10 > 0 THEN power(abs(n01 - n10) - 1, 2) / (n01 + n10) END AS stat
+FROM (SELECT CAST(count_if(pa.pred <> pa.y_true AND pb.pred = pb.y_true) AS BIGINT) AS n01,
+             CAST(count_if(pa.pred = pa.y_true AND pb.pred <> pb.y_true) AS BIGINT) AS n10
+      FROM preds pa JOIN preds pb ON pa.ID = pb.ID AND pa.algo = '{a}' AND pb.algo = '{b}')"""
+    for a, b in _combos(list(NB_ALPHAS)))))
+def q_t10(spark, sf):
+    from churnkit.operators.compare import mcnemar, wide_predictions
+    w = wide_predictions(nb_predictions(spark, sf), list(NB_ALPHAS))
+    return rounded(mcnemar(w, list(NB_ALPHAS)).select("model_a", "model_b", "n01", "n10", "stat"))
+
+
+@query("T11_mcnemar_detail")
+def q_t11(spark, sf):
+    from churnkit.operators.compare import mcnemar, wide_predictions
+    return mcnemar(wide_predictions(nb_predictions(spark, sf), list(NB_ALPHAS)), list(NB_ALPHAS))
+
+
+def _nb_results(spark, sf):
+    from churnkit.operators.metrics import binary_metrics
+    m = binary_metrics(nb_predictions(spark, sf), ["algo"])
+    return m.select(F.col("algo").alias("key"), *[F.col(c).alias(f"val_{c}") for c in
+                                                 ("roc_auc", "f1", "accuracy", "precision", "recall")])
+
+
+@query("L1_leaderboard_auc", with_members(*MODEL_CTES, body=f"""
+SELECT key, val_roc_auc, row_number() OVER (ORDER BY val_roc_auc DESC NULLS LAST, key) AS rank
+FROM (SELECT algo AS key, {sround('roc_auc')} AS val_roc_auc FROM {_sql_auc('preds')})"""))
+def q_l1(spark, sf):
+    from churnkit.operators.compare import leaderboard
+    return leaderboard(rounded(_nb_results(spark, sf)), "roc_auc").select("key", "val_roc_auc", "rank")
+
+
+@query("L3_best_by_recall", with_members(*MODEL_CTES, body=f"""
+SELECT key, val_recall FROM (SELECT algo AS key, {sround('coalesce(CAST(count_if(y_true = 1 AND pred = 1) AS DOUBLE) / NULLIF(count_if(y_true = 1), 0), 0)')} AS val_recall
+FROM preds GROUP BY algo) ORDER BY val_recall DESC, key LIMIT 1"""))
+def q_l3(spark, sf):
+    from churnkit.operators.compare import best_row
+    return best_row(rounded(_nb_results(spark, sf)), "recall").select("key", "val_recall")
+
+
+@query("M6_balanced_weights", with_members(*MODEL_CTES, body="""
+SELECT cible_churn, CAST(sum(count(*)) OVER () AS DOUBLE) / (2 * count(*)) AS weight
+FROM (SELECT m.cible_churn FROM matrix m JOIN splitted s ON m.ID = s.ID WHERE s.split = 'train') GROUP BY cible_churn"""))
+def q_m6(spark, sf):
+    from churnkit.operators.models import with_balanced_weights
+    tr = matrix_split(spark, sf).filter(F.col("split") == "train")
+    return with_balanced_weights(tr.select("cible_churn")).groupBy("cible_churn").agg(F.first("weight").alias("weight"))
