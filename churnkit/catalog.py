@@ -1068,3 +1068,37 @@ def q_m6(spark, sf):
     from churnkit.operators.models import with_balanced_weights
     tr = matrix_split(spark, sf).filter(F.col("split") == "train")
     return with_balanced_weights(tr.select("cible_churn")).groupBy("cible_churn").agg(F.first("weight").alias("weight"))
+
+
+# --------------------------------------------------------------------------------------
+# Oversampling
+# --------------------------------------------------------------------------------------
+
+MATRIX_FEATURES = [f"z_{c}" for c in Z_COLS] + [f"sit_{lv}" for lv in SIT_LEVELS] + [
+    "cat_sitfam", "cat_sexe", "cat_nbenf", "cat_mtrev", "cat_age", "cat_anc"]
+
+
+def train_rows(spark, sf):
+    return matrix_split(spark, sf).filter(F.col("split") == "train").drop("split")
+
+
+@query("F18_smote_train")
+def q_f18(spark, sf):
+    from churnkit.operators.balance import smote
+    return smote(train_rows(spark, sf), MATRIX_FEATURES)
+
+
+@query("J5_minority_neighbours")
+def q_j5(spark, sf):
+    from churnkit.operators.balance import minority_neighbours
+    tr = train_rows(spark, sf)
+    return minority_neighbours(tr.filter(F.col("cible_churn") == 0), MATRIX_FEATURES, 5)
+
+
+@query("A13_smote_summary", with_members(UNION_FULL_CTE, SPLIT_CTE, body="""
+SELECT cible_churn, n_before, mx AS n_after, mx - n_before AS n_synthetic
+FROM (SELECT cible_churn, count(*) AS n_before, max(count(*)) OVER () AS mx FROM splitted WHERE split = 'train' GROUP BY cible_churn)"""))
+def q_a13(spark, sf):
+    from churnkit.operators.balance import smote, smote_summary
+    tr = train_rows(spark, sf)
+    return smote_summary(tr, smote(tr, MATRIX_FEATURES))

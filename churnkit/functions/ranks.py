@@ -106,14 +106,16 @@ def with_average_rank(df: DataFrame, value_col: str, group_cols=(), out_col: str
 
 
 def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list]] | None = None,
-                  out_col: str = "ID", n_buckets: int = DEFAULT_BUCKETS, group_cols=(), tie_cols=()) -> DataFrame:
+                  out_col: str = "ID", n_buckets: int = DEFAULT_BUCKETS, group_cols=(), tie_cols=(),
+                  global_buckets: bool = False) -> DataFrame:
     """Dense ids ``1..n`` following ``(group order, key_col, tie_cols)`` (W2), computed in parallel.
 
     ``group_order`` = ``[(column, [value, ...])]`` fixes the order of a low-cardinality group
     column (e.g. ``source`` with table1 first); ids run across those groups. With
     ``group_cols`` the numbering restarts at 1 inside each group instead. Rows are bucketed
     on ``key_col`` alone (monotone in the full order), so ``tie_cols`` only order rows that
-    share a key value.
+    share a key value. ``global_buckets`` computes one set of bucket splits for all groups
+    (use it when ``group_cols`` has many values: the per-group split table would not be small).
     """
     g: list[str] = []
     d = df
@@ -125,13 +127,15 @@ def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list
             d = d.withColumn(f"_g_{col}", rank_expr)
             g.append(f"_g_{col}")
     part = list(group_cols)
-    d = _attach_buckets(d, key_col, part + g, n_buckets)
+    d = _attach_buckets(d, key_col, [] if global_buckets else part + g, n_buckets)
     within = Window.partitionBy(*part, *g, "_b").orderBy(key_col, *tie_cols)
     d = d.withColumn("_rn", F.row_number().over(within))
     per_bucket = d.groupBy(*part, *g, "_b").agg(F.count("*").alias("_bn"))
     # groups x buckets rows: bounded
     before = Window.partitionBy(*part).orderBy(*g, "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    out = d.join(F.broadcast(offsets), part + g + ["_b"], "inner")
+    # with many groups the offset table is not small: plain (shuffle) join, planner decides
+    off = offsets if global_buckets and part else F.broadcast(offsets)
+    out = d.join(off, part + g + ["_b"], "inner")
     out = out.withColumn(out_col, (F.col("_off") + F.col("_rn")).cast("long"))
     return out.drop("_rn", "_off", "_b", *g)
