@@ -1102,3 +1102,190 @@ def q_a13(spark, sf):
     from churnkit.operators.balance import smote, smote_summary
     tr = train_rows(spark, sf)
     return smote_summary(tr, smote(tr, MATRIX_FEATURES))
+
+
+# --------------------------------------------------------------------------------------
+# Reduction
+# --------------------------------------------------------------------------------------
+
+def pca_fit(spark, sf, n_components=None):
+    from churnkit.operators.reduce import fit_pca
+    key = ("pca", sf, spark.sparkContext.applicationId, n_components)
+    if key not in _STAGES:
+        _STAGES[key] = fit_pca(matrix_union(spark, sf), MATRIX_FEATURES, 0.95, n_components)
+    return _STAGES[key]
+
+
+@query("F14_pca_scores")
+def q_f14(spark, sf):
+    return pca_fit(spark, sf).scores(matrix_union(spark, sf))
+
+
+@query("F15_explained_variance")
+def q_f15(spark, sf):
+    return pca_fit(spark, sf).variance_table(spark)
+
+
+@query("F16_pca_loadings")
+def q_f16(spark, sf):
+    return pca_fit(spark, sf).loadings_table(spark)
+
+
+@query("A14_reduction_summary")
+def q_a14(spark, sf):
+    m = matrix_union(spark, sf)
+    return pca_fit(spark, sf).summary(spark, m.count())
+
+
+@query("D4_pca_10_components")
+def q_d4(spark, sf):
+    return pca_fit(spark, sf, 10).scores(matrix_union(spark, sf))
+
+
+@query("D3_select_k_best", with_members(UNION_FULL_CTE, MATRIX_CTE, body=f"""
+SELECT feature, {sround('f_score')} AS f_score, row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS rank,
+       row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= 10 AS selected
+FROM (""" + "\nUNION ALL\n".join(f"""
+  SELECT '{f}' AS feature, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / NULLIF(sum(n * v) / (sum(n) - count(*)), 0) AS f_score
+  FROM (SELECT cible_churn, count(*) AS n, avg(CAST({f} AS DOUBLE)) AS m, var_pop(CAST({f} AS DOUBLE)) AS v
+        FROM matrix GROUP BY cible_churn) c,
+       (SELECT avg(CAST({f} AS DOUBLE)) AS g FROM matrix) t""" for f in MATRIX_FEATURES) + ")"))
+def q_d3(spark, sf):
+    from churnkit.operators.reduce import select_k_best
+    return rounded(select_k_best(matrix_union(spark, sf), MATRIX_FEATURES, 10))
+
+
+# --------------------------------------------------------------------------------------
+# Legacy options
+# --------------------------------------------------------------------------------------
+
+@query("D5_split_60_20_20", with_members(UNION_FULL_CTE, SPLIT_CTE.replace("0.15 * sum(n_class)", "0.2 * sum(n_class)")
+                                         .replace("(0.15 / (1 - 0.15))", "0.25"), body="""
+SELECT split, cible_churn, count(*) AS n FROM splitted GROUP BY split, cible_churn"""))
+def q_d5(spark, sf):
+    from churnkit.operators.split import stratified_split
+    s = stratified_split(union_tables(spark, sf).select("ID", "cible_churn"), test_size=0.2, val_size=0.25)
+    return s.groupBy("split", "cible_churn").agg(F.count("*").alias("n"))
+
+
+@query("D6_suggested_treatments", with_members(body=f"""
+SELECT ID, {sround('ln(1 + CAST(MTREV AS DOUBLE))')} AS log_mtrev,
+       {sround('least(greatest(CAST(BPADH AS DOUBLE), p01), p99)')} AS bpadh_winsorized,
+       CASE WHEN cnt < 30 THEN 'other' ELSE DTNAIS END AS dtnais_grouped
+FROM (SELECT m.*, count(*) OVER (PARTITION BY DTNAIS) AS cnt FROM members_mixed m),
+     (SELECT quantile_cont(CAST(BPADH AS DOUBLE), 0.01) AS p01, quantile_cont(CAST(BPADH AS DOUBLE), 0.99) AS p99 FROM members_mixed)"""))
+def q_d6(spark, sf):
+    from churnkit.operators.quality import suggested_treatments
+    return rounded(suggested_treatments(members_mixed(spark, sf), "MTREV", "BPADH", "DTNAIS", 30))
+
+
+@query("D7_weights_by_source", with_members(UNION_FULL_CTE, body="""
+SELECT source, count(*) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight
+FROM union_full GROUP BY source"""))
+def q_d7(spark, sf):
+    from churnkit.operators.models import with_balanced_weights
+    u = union_tables(spark, sf)
+    return (with_balanced_weights(u.select("source"), y="source").groupBy("source")
+            .agg(F.count("*").alias("n"), F.first("weight").alias("weight")))
+
+
+# --------------------------------------------------------------------------------------
+# Training, tuning, evaluation, interpretation, scoring
+# --------------------------------------------------------------------------------------
+
+def split_rows(spark, sf, part):
+    return matrix_split(spark, sf).filter(F.col("split") == part).drop("split")
+
+
+def tuned(spark, sf):
+    from churnkit.plans.experiment import tune
+    key = ("tune_quick", sf, spark.sparkContext.applicationId)
+    if key not in _STAGES:
+        _STAGES[key] = tune(spark, split_rows(spark, sf, "train"), split_rows(spark, sf, "val"), quick=True)
+    return _STAGES[key]
+
+
+def final(spark, sf):
+    from churnkit.plans.experiment import choose, final_evaluation
+    key = ("final", sf, spark.sparkContext.applicationId)
+    if key not in _STAGES:
+        cfg = choose(tuned(spark, sf)[2], "best")
+        tv = matrix_split(spark, sf).filter(F.col("split").isin("train", "val")).drop("split")
+        _STAGES[key] = final_evaluation(spark, tv, split_rows(spark, sf, "test"), cfg)
+    return _STAGES[key]
+
+
+@query("M9_first_pass_linear")
+def q_m9(spark, sf):
+    from churnkit.plans.experiment import first_pass
+    return first_pass(spark, split_rows(spark, sf, "train"), split_rows(spark, sf, "val"), ["cnb", "logreg", "tree"])
+
+
+@query("M10_tuning_quick")
+def q_m10(spark, sf):
+    return tuned(spark, sf)[0]
+
+
+@query("M10_best_validation_predictions")
+def q_m10p(spark, sf):
+    return tuned(spark, sf)[1]
+
+
+@query("M12_final_test_metrics")
+def q_m12(spark, sf):
+    return final(spark, sf)["metrics"]
+
+
+@query("M13_final_confusion")
+def q_m13f(spark, sf):
+    return final(spark, sf)["confusion"]
+
+
+@query("M16_interpretation")
+def q_m16(spark, sf):
+    from churnkit.plans.experiment import interpretation
+    return interpretation(spark, final(spark, sf)["model"])
+
+
+@query("M17_comparison_report")
+def q_m17(spark, sf):
+    from churnkit.operators.compare import comparison_report, mcnemar, wide_predictions
+    board, preds, cfg = tuned(spark, sf)
+    algos = [k for k in cfg if not k.startswith("_")]
+    tests = mcnemar(wide_predictions(preds, algos), algos)
+    return comparison_report(board, tests)
+
+
+def _current_members(spark, sf):
+    """Members still present (table2 rows whose leave date is the sentinel): the scoring population."""
+    from churnkit.functions.scalar import leave_target
+    return members_mixed(spark, sf).filter(leave_target("DTDEM") == 0).withColumn("source", F.lit("table2"))
+
+
+def _scoring_parts(spark, sf):
+    from churnkit.operators.recode import fit_recode
+    recode = fit_recode(prepared_union(spark, sf))
+    return recode, final(spark, sf)["model"]
+
+
+@query("M18_score_members")
+def q_m18(spark, sf):
+    from churnkit.operators.score import campaign, score_rows
+    recode, model = _scoring_parts(spark, sf)
+    return campaign(score_rows(_current_members(spark, sf), recode, model))
+
+
+@query("STREAM_scoring")
+def q_stream(spark, sf):
+    """Streams the current members through the fitted recoding + model (availableNow trigger)."""
+    import uuid
+
+    from churnkit.session import checkpoint_dir
+    from churnkit.streaming.scoring import start_scoring_stream
+    recode, model = _scoring_parts(spark, sf)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = _current_members(spark, sf)
+    rows.write.mode("overwrite").parquet(f"{base}/in")
+    q = start_scoring_stream(spark, f"{base}/in", rows.schema, recode, model, f"{base}/out", f"{base}/chk")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

@@ -136,11 +136,11 @@ def build_estimator(key: str, params: dict, n_rows: float | None = None):
                                       impurity=params.get("criterion", "gini"),
                                       minInstancesPerNode=int(params.get("min_samples_leaf", 1)), maxBins=64)
     if key == "rf":
-        return RandomForestClassifier(labelCol=TARGET, featuresCol="features", seed=SEED,
-                                      numTrees=int(params.get("n_estimators", 100)),
-                                      maxDepth=_depth(params.get("max_depth")),
-                                      featureSubsetStrategy=params.get("max_features", "sqrt"),
-                                      weightCol="weight" if cw == "balanced" else None, maxBins=64)
+        rf = RandomForestClassifier(labelCol=TARGET, featuresCol="features", seed=SEED,
+                                    numTrees=int(params.get("n_estimators", 100)),
+                                    maxDepth=_depth(params.get("max_depth")),
+                                    featureSubsetStrategy=params.get("max_features", "sqrt"), maxBins=64)
+        return rf.setWeightCol("weight") if cw == "balanced" else rf
     if key == "logreg":
         c = float(params.get("C", 1.0))
         return LogisticRegression(labelCol=TARGET, featuresCol="features", maxIter=5000, elasticNetParam=0.0,
@@ -190,18 +190,17 @@ def _fit_calibrated_svm(params: dict, data: DataFrame, features: list[str], fold
 
 
 def _svm_transform(m: FittedModel, df: DataFrame, keep: list[str]) -> DataFrame:
-    probas = []
-    base = df.select(*keep, *m.features)
+    """Average calibrated probability over the folds, as one chain of projections (no join,
+    so it also runs on a streaming DataFrame)."""
+    cur = df.select(*keep, *m.features)
     for i, (svc, platt) in enumerate(m.calibrated):
-        s = svc.transform(base).select(*keep, vector_to_array("rawPrediction")[1].alias("margin"))
-        s = VectorAssembler(inputCols=["margin"], outputCol="features").transform(s)
-        p = platt.transform(s).select(*keep, vector_to_array("probability")[1].alias(f"p{i}"))
-        probas.append(p)
-    out = probas[0]
-    for p in probas[1:]:
-        out = out.join(p, keep)
-    avg = sum((F.col(f"p{i}") for i in range(len(probas))), F.lit(0.0)) / len(probas)
-    return out.select(*keep, (avg > 0.5).cast("int").alias("pred"), avg.alias("proba"))
+        cols = cur.columns
+        cur = svc.transform(cur).select(*cols, vector_to_array("rawPrediction")[1].alias("_margin"))
+        cur = platt.transform(VectorAssembler(inputCols=["_margin"], outputCol="features").transform(cur))
+        cur = cur.select(*cols, vector_to_array("probability")[1].alias(f"_p{i}"))
+    n = len(m.calibrated)
+    avg = sum((F.col(f"_p{i}") for i in range(n)), F.lit(0.0)) / n
+    return cur.select(*keep, (avg > 0.5).cast("int").alias("pred"), avg.alias("proba"))
 
 
 def feature_importance(m: FittedModel) -> list[tuple[str, float]]:
