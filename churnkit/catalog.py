@@ -1289,3 +1289,39 @@ def q_stream(spark, sf):
     q = start_scoring_stream(spark, f"{base}/in", rows.schema, recode, model, f"{base}/out", f"{base}/chk")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+# --------------------------------------------------------------------------------------
+# I/O round trip (SRC1, SNK1), redundancy (R2), quality synthesis
+# --------------------------------------------------------------------------------------
+
+@query("SRC1_csv_roundtrip", with_members(body="SELECT * FROM members_left"))
+def q_src1_csv(spark, sf):
+    """members_left written as header CSV to the shared checkpoint folder, read back with the
+    explicit schema and the missing-value tokens."""
+    import uuid
+
+    from churnkit.session import checkpoint_dir
+    from churnkit.sources.io import read_members_csv, write_csv
+    df = members_left(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(df, path)
+    return read_members_csv(spark, path, df.schema)
+
+
+FD_PAIRS = [("RANGADH", "AGEAD"), ("CDCATCL", "CDSITFAM"), ("CDSITFAM", "CDCATCL"), ("DTDEM", "DTADH")]
+
+
+@query("R2_functional_dependencies", with_members(body="\nUNION ALL\n".join(f"""
+SELECT '{a}' AS determinant, '{b}' AS dependent, max(nd) AS max_levels, coalesce(max(nd), 0) <= 1 AS determines
+FROM (SELECT {a}, count(DISTINCT {b}) AS nd FROM members_left WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a})"""
+                                                                  for a, b in FD_PAIRS)))
+def q_r2(spark, sf):
+    from churnkit.operators.quality import functional_dependencies
+    return functional_dependencies(members_left(spark, sf), FD_PAIRS)
+
+
+@query("R4_quality_summary")
+def q_r4(spark, sf):
+    from churnkit.operators.quality import quality_summary
+    return quality_summary(*both(spark, sf))

@@ -122,10 +122,10 @@ def minority_neighbours(rows: DataFrame, features: list[str], k: int = K_NEIGHBO
 def smote(train: DataFrame, features: list[str], target: str = "cible_churn", k: int = K_NEIGHBOURS,
           seed: int = SEED, int_features: list[str] | None = None) -> DataFrame:
     """original training rows (``is_synthetic`` false) + synthetic minority rows until the
-    classes are balanced. ``ID`` is not carried (synthetic rows have none)."""
+    classes are balanced. Synthetic rows get the negative ids -1, -2, ... (deterministic)."""
     counts = train.groupBy(target).agg(F.count("*").alias("n"))
     c = {row[target]: row["n"] for row in counts.collect()}      # one row per class
-    orig = train.select(*features, target, F.lit(False).alias("is_synthetic"))
+    orig = train.select("ID", *features, target, F.lit(False).alias("is_synthetic"))
     if len(c) < 2 or len(set(c.values())) == 1:
         return orig
     minority = min(c, key=lambda key: (c[key], key))
@@ -137,10 +137,11 @@ def smote(train: DataFrame, features: list[str], target: str = "cible_churn", k:
     m = c[minority]
     h = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}")))
     syn = train.sparkSession.range(n_syn).select(
+        (-F.col("id") - 1).alias("sid"),
         (F.pmod(_hex_int(h, 1, 12), F.lit(m)) + 1).alias("p"), _hex_int(h, 13, 8).alias("jr"),
         (_hex_int(h, 21, 8) / F.lit(float(16 ** 8))).alias("lam"))
     syn = syn.join(pos, "p").join(n_nb, "ID").withColumn("j", F.pmod(F.col("jr"), F.col("k_avail")).cast("int"))
-    syn = syn.join(nb, ["ID", "j"]).select(F.col("ID").alias("base_id"), "nbr_id", "lam")
+    syn = syn.join(nb, ["ID", "j"]).select("sid", F.col("ID").alias("base_id"), "nbr_id", "lam")
     xb = mino.select(F.col("ID").alias("base_id"), *[F.col(f).alias(f"b_{f}") for f in features])
     xn = mino.select(F.col("ID").alias("nbr_id"), *[F.col(f).alias(f"n_{f}") for f in features])
     s = syn.join(xb, "base_id").join(xn, "nbr_id")
@@ -150,7 +151,7 @@ def smote(train: DataFrame, features: list[str], target: str = "cible_churn", k:
     for f in features:
         x = F.col(f"b_{f}").cast("double") + F.col("lam") * (F.col(f"n_{f}").cast("double") - F.col(f"b_{f}").cast("double"))
         cols.append((x.cast(train.schema[f].dataType) if f in ints else x).alias(f))
-    synthetic = s.select(*cols, F.lit(minority).cast(train.schema[target].dataType).alias(target),
+    synthetic = s.select(F.col("sid").alias("ID"), *cols, F.lit(minority).cast(train.schema[target].dataType).alias(target),
                          F.lit(True).alias("is_synthetic"))
     return orig.unionByName(synthetic)
 
