@@ -1325,3 +1325,19 @@ def q_r2(spark, sf):
 def q_r4(spark, sf):
     from churnkit.operators.quality import quality_summary
     return quality_summary(*both(spark, sf))
+
+
+@query("W1_average_rank", with_members(body=f"""
+SELECT ID, MTREV, CAST(rank() OVER (ORDER BY MTREV) AS DOUBLE) + CAST(count(*) OVER (PARTITION BY MTREV) - 1 AS DOUBLE) / 2 AS rank
+FROM members_left"""))
+def q_w1(spark, sf):
+    from churnkit.functions.ranks import with_average_rank
+    return with_average_rank(members_left(spark, sf).select("ID", "MTREV"), "MTREV", out_col="rank")
+
+
+@query("L2_leaderboard_accuracy", with_members(*MODEL_CTES, body=f"""
+SELECT key, val_accuracy, row_number() OVER (ORDER BY val_accuracy DESC NULLS LAST, key) AS rank
+FROM (SELECT algo AS key, {sround('CAST(count_if(y_true = pred) AS DOUBLE) / count(*)')} AS val_accuracy FROM preds GROUP BY algo)"""))
+def q_l2(spark, sf):
+    from churnkit.operators.compare import leaderboard
+    return leaderboard(rounded(_nb_results(spark, sf)), "accuracy").select("key", "val_accuracy", "rank")

@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from churnkit.functions import pvalues as pv
 from churnkit.functions.ranks import average_rank_table
+from churnkit.functions.scalar import pair_key, sanitize_name
 from churnkit.operators.schema import columns_without_id, is_quantitative
 
 PAIR = ["var1", "var2"]
@@ -355,7 +356,8 @@ def bivariate_summary(df: DataFrame, cols: list[str] | None = None, kendall_buck
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    # Canonical, file-name-safe pair label
+    return out.withColumn("paire", pair_key(sanitize_name("var1"), sanitize_name("var2")))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
