@@ -186,6 +186,16 @@ def stable_round(x):
     return F.when(F.abs(x) < 1e5, F.round(x, 6)).otherwise(F.round(x / F.pow(F.lit(10.0), e), 10) * F.pow(F.lit(10.0), e))
 
 
+def sql_clip(expr: str, lo=None, hi=None) -> str:
+    """SQL twin of ``clip``: NULL stays NULL."""
+    y = expr
+    if hi is not None:
+        y = f"least({y}, CAST({hi} AS DOUBLE))"
+    if lo is not None:
+        y = f"greatest({y}, CAST({lo} AS DOUBLE))"
+    return f"(CASE WHEN ({expr}) IS NULL THEN NULL ELSE {y} END)"
+
+
 def sround(expr: str) -> str:
     """SQL twin of ``stable_round``."""
     e = f"floor(log10(abs({expr})))"
@@ -423,7 +433,7 @@ def _pair_rows(table: str, a: str, b: str, xt: str = "DOUBLE", yt: str = "DOUBLE
 
 def _sql_pearson(table: str, pairs) -> str:
     parts = [f"""SELECT '{a}' AS var1, '{b}' AS var2, count(*) AS n_apparies,
-  {sround("CASE WHEN count(*) >= 2 THEN greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), covar_pop(x, y) / NULLIF(stddev_pop(x) * stddev_pop(y), 0))) END")} AS pearson_r
+  {sround("CASE WHEN count(*) >= 2 THEN " + sql_clip("covar_pop(x, y) / NULLIF(stddev_pop(x) * stddev_pop(y), 0)", -1, 1) + " END")} AS pearson_r
 FROM {_pair_rows(table, a, b)}""" for a, b in pairs]
     return "\nUNION ALL\n".join(parts)
 
@@ -437,8 +447,8 @@ def _sql_spearman(table: str, pairs) -> str:
     for a, b in pairs:
         ranked = (f"(SELECT {_avg_rank('x')} AS rx, {_avg_rank('y')} AS ry, CAST(count(*) OVER () + 1 AS DOUBLE) / 2 AS m "
                   f"FROM {_pair_rows(table, a, b)})")
-        rho = ("CASE WHEN count(*) >= 2 THEN greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), "
-               "sum((rx - m) * (ry - m)) / NULLIF(sqrt(sum((rx - m) * (rx - m)) * sum((ry - m) * (ry - m))), 0))) END")
+        rho = ("CASE WHEN count(*) >= 2 THEN " + sql_clip(
+            "sum((rx - m) * (ry - m)) / NULLIF(sqrt(sum((rx - m) * (rx - m)) * sum((ry - m) * (ry - m))), 0)", -1, 1) + " END")
         parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, count(*) AS n_apparies, {sround(rho)} AS spearman_rho FROM {ranked}")
     return "\nUNION ALL\n".join(parts)
 
@@ -448,7 +458,7 @@ def _sql_kendall(table: str, pairs) -> str:
     for a, b in pairs:
         cells = f"(SELECT x, y, CAST(count(*) AS DOUBLE) AS w FROM {_pair_rows(table, a, b)} GROUP BY x, y)"
         parts.append(f"""SELECT '{a}' AS var1, '{b}' AS var2, CAST(N AS BIGINT) AS n_apparies, s AS kendall_s,
-  {sround("CASE WHEN n0 - n1 > 0 AND n0 - n2 > 0 THEN greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), s / (sqrt(n0 - n1) * sqrt(n0 - n2)))) END")} AS kendall_tau,
+  {sround("CASE WHEN n0 - n1 > 0 AND n0 - n2 > 0 THEN " + sql_clip("s / (sqrt(n0 - n1) * sqrt(n0 - n2))", -1, 1) + " END")} AS kendall_tau,
   {sround("CASE WHEN n0 - n1 > 0 AND n0 - n2 > 0 THEN s / sqrt((N * (N - 1) * (2 * N + 5) - x1 - y1) / 18 + 2 * n1 * n2 / (N * (N - 1)) + x0 * y0 / NULLIF(9 * N * (N - 1) * (N - 2), 0)) END")} AS kendall_z
 FROM (SELECT (SELECT sum(w) FROM {cells}) AS N,
              (SELECT sum(w) * (sum(w) - 1) / 2 FROM {cells}) AS n0,
@@ -468,9 +478,9 @@ def _sql_chi2_pair(table: str, a: str, b: str, xt: str = "VARCHAR", yt: str = "V
     rm = f"(SELECT x, sum(O) AS R FROM {cells} GROUP BY x)"
     cm = f"(SELECT y, sum(O) AS C FROM {cells} GROUP BY y)"
     return f"""SELECT '{a}' AS var1, '{b}' AS var2, CAST(N AS BIGINT) AS n_apparies,
-  {sround("CASE WHEN N >= 2 THEN (CASE WHEN (r - 1) * (k - 1) = 1 THEN yates ELSE greatest(CAST(0 AS DOUBLE), N * (s - 1)) END) END")} AS chi2,
+  {sround("CASE WHEN N >= 2 THEN (CASE WHEN (r - 1) * (k - 1) = 1 THEN yates ELSE " + sql_clip("N * (s - 1)", 0, None) + " END) END")} AS chi2,
   CASE WHEN N >= 2 THEN CAST((r - 1) * (k - 1) AS BIGINT) END AS dof,
-  {sround("CASE WHEN least(r, k) > 1 AND N >= 2 THEN least(CAST(1 AS DOUBLE), sqrt((CASE WHEN (r - 1) * (k - 1) = 1 THEN yates ELSE greatest(CAST(0 AS DOUBLE), N * (s - 1)) END) / (N * (least(r, k) - 1)))) END")} AS cramers_v
+  {sround("CASE WHEN least(r, k) > 1 AND N >= 2 THEN " + sql_clip("sqrt((CASE WHEN (r - 1) * (k - 1) = 1 THEN yates ELSE " + sql_clip("N * (s - 1)", 0, None) + " END) / (N * (least(r, k) - 1)))", None, 1) + " END")} AS cramers_v
 FROM (SELECT (SELECT sum(O) FROM {cells}) AS N, (SELECT count(*) FROM {rm}) AS r, (SELECT count(*) FROM {cm}) AS k,
              (SELECT sum(c.O * c.O / (rm.R * cm.C)) FROM {cells} c JOIN {rm} rm ON c.x = rm.x JOIN {cm} cm ON c.y = cm.y) AS s,
              (SELECT sum(power(abs(coalesce(c.O, 0) - rm.R * cm.C / t.N) - least(0.5, abs(coalesce(c.O, 0) - rm.R * cm.C / t.N)), 2)
@@ -484,7 +494,7 @@ def _sql_kruskal_pair(table: str, q: str, g: str) -> str:
     ranked = f"(SELECT x, y, {_avg_rank('x')} AS rk FROM {rows})"
     return f"""SELECT '{q}' AS var1, '{g}' AS var2, CAST(N AS BIGINT) AS n_apparies, CAST(k AS BIGINT) AS n_groups,
   {sround("CASE WHEN N >= 3 AND k >= 2 AND 1 - tie / (N * N * N - N) > 0 THEN (12.0 / (N * (N + 1)) * sr2 - 3 * (N + 1)) / (1 - tie / (N * N * N - N)) END")} AS kruskal_h,
-  {sround("CASE WHEN N >= 3 AND k >= 2 AND N > k AND 1 - tie / (N * N * N - N) > 0 THEN greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ((12.0 / (N * (N + 1)) * sr2 - 3 * (N + 1)) / (1 - tie / (N * N * N - N)) - k + 1) / (N - k))) END")} AS epsilon2_kruskal,
+  {sround("CASE WHEN N >= 3 AND k >= 2 AND N > k AND 1 - tie / (N * N * N - N) > 0 THEN " + sql_clip("((12.0 / (N * (N + 1)) * sr2 - 3 * (N + 1)) / (1 - tie / (N * N * N - N)) - k + 1) / (N - k)", 0, 1) + " END")} AS epsilon2_kruskal,
   {sround("CASE WHEN NOT (N >= 3 AND k >= 2) OR N <= k THEN NULL WHEN ssw = 0 AND ssb > 0 THEN CAST('inf' AS DOUBLE) WHEN ssw = 0 THEN NULL ELSE (ssb / (k - 1)) / (ssw / (N - k)) END")} AS anova_f
 FROM (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM {rows}) AS N,
              (SELECT CAST(count(DISTINCT y) AS DOUBLE) FROM {rows}) AS k,
@@ -1170,7 +1180,7 @@ def q_d5(spark, sf):
 
 @query("D6_suggested_treatments", with_members(body=f"""
 SELECT ID, {sround('ln(1 + CAST(MTREV AS DOUBLE))')} AS log_mtrev,
-       {sround('least(greatest(CAST(BPADH AS DOUBLE), p01), p99)')} AS bpadh_winsorized,
+       {sround("CASE WHEN BPADH IS NULL THEN NULL ELSE least(greatest(CAST(BPADH AS DOUBLE), p01), p99) END")} AS bpadh_winsorized,
        CASE WHEN cnt < 30 THEN 'other' ELSE DTNAIS END AS dtnais_grouped
 FROM (SELECT m.*, count(*) OVER (PARTITION BY DTNAIS) AS cnt FROM members_mixed m),
      (SELECT quantile_cont(CAST(BPADH AS DOUBLE), 0.01) AS p01, quantile_cont(CAST(BPADH AS DOUBLE), 0.99) AS p99 FROM members_mixed)"""))

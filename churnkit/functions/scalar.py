@@ -76,3 +76,13 @@ def sanitize_name(col: str | Column) -> Column:
 def pair_key(a: str | Column, b: str | Column) -> Column:
     """Canonical, order-free key of a column pair."""
     return F.concat_ws("__", F.least(_c(a), _c(b)), F.greatest(_c(a), _c(b)))
+
+
+def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """Clip to [lo, hi] keeping NULL as NULL (``greatest``/``least`` skip NULL arguments)."""
+    y = x
+    if hi is not None:
+        y = F.least(y, F.lit(float(hi)))
+    if lo is not None:
+        y = F.greatest(y, F.lit(float(lo)))
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(y)

@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from churnkit.functions import pvalues as pv
 from churnkit.functions.ranks import average_rank_table
-from churnkit.functions.scalar import pair_key, sanitize_name
+from churnkit.functions.scalar import clip, pair_key, sanitize_name
 from churnkit.operators.schema import columns_without_id, is_quantitative
 
 PAIR = ["var1", "var2"]
@@ -84,7 +84,7 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     rows = []
     for i, (a, b) in enumerate(pairs):
         r = F.try_divide(F.col(f"c{i}"), F.col(f"sx{i}") * F.col(f"sy{i}"))
-        r = F.when(F.col(f"n{i}") >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+        r = F.when(F.col(f"n{i}") >= 2, clip(r, -1.0, 1.0))
         rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
                              F.col(f"n{i}").cast("long").alias("n_apparies"), r.alias("pearson_r")))
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -113,7 +113,7 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         F.first("N").alias("N"), F.sum(F.col("w") * dx * dy).alias("sxy"),
         F.sum(F.col("w") * dx * dx).alias("sxx"), F.sum(F.col("w") * dy * dy).alias("syy"))
     rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
-    rho = F.when(F.col("N") >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
+    rho = F.when(F.col("N") >= 2, clip(rho, -1.0, 1.0))
     out = _pairs_frame(df, pairs).join(agg, PAIR, "left")
     return out.select(*PAIR, F.coalesce(F.col("N"), F.lit(0)).cast("long").alias("n_apparies"), rho.alias("spearman_rho"))
 
@@ -228,7 +228,7 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int =
     disc = F.col("d_grid") + F.col("d_x") + F.col("d_y")
     s = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * disc
     tau = F.try_divide(s, F.sqrt(n0 - F.col("n1")) * F.sqrt(n0 - F.col("n2")))
-    tau = F.when((n0 - F.col("n1") > 0) & (n0 - F.col("n2") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), tau)))
+    tau = F.when((n0 - F.col("n1") > 0) & (n0 - F.col("n2") > 0), clip(tau, -1.0, 1.0))
     m = F.col("N") * (F.col("N") - 1)
     var = ((m * (2 * F.col("N") + 5) - F.col("x1") - F.col("y1")) / 18
            + (2 * F.col("n1") * F.col("n2")) / m
@@ -266,14 +266,14 @@ def chi2_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     yates = dense.groupBy(*PAIR).agg(F.sum(F.pow(dev - F.least(F.lit(0.5), dev), 2) / e).alias("chi2_yates"))
     t = shape.join(plain, PAIR).join(yates, PAIR, "left")
     dof = (F.col("r") - 1) * (F.col("k") - 1)
-    chi2 = F.when(dof == 1, F.col("chi2_yates")).otherwise(F.greatest(F.lit(0.0), F.col("N") * (F.col("s") - 1)))
+    chi2 = F.when(dof == 1, F.col("chi2_yates")).otherwise(clip(F.col("N") * (F.col("s") - 1), 0.0))
     chi2 = F.when(F.col("N") >= 2, chi2)
     mn = F.least(F.col("r"), F.col("k"))
     v = F.when((mn > 1) & (F.col("N") >= 2), F.sqrt(F.try_divide(chi2, F.col("N") * (mn - 1))))
     out = _pairs_frame(df, pairs).join(t, PAIR, "left")
     return out.select(*PAIR, F.coalesce(F.col("N"), F.lit(0.0)).cast("long").alias("n_apparies"),
                       chi2.alias("chi2"), F.when(F.col("N") >= 2, dof).cast("long").alias("dof"),
-                      F.least(F.lit(1.0), v).alias("cramers_v"))
+                      clip(v, None, 1.0).alias("cramers_v"))
 
 
 # --------------------------------------------------------------------------------------
@@ -311,7 +311,7 @@ def kruskal_anova_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
     h_raw = 12.0 / (N * (N + 1)) * F.col("sr2") - 3 * (N + 1)
     corr = 1 - F.col("tie") / (N * N * N - N)
     h = F.when(ok & (corr > 0), h_raw / corr)
-    eps = F.when(ok & (N > k), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - k + 1) / (N - k))))
+    eps = F.when(ok & (N > k), clip((h - k + 1) / (N - k), 0.0, 1.0))
     ssb, ssw = F.col("ssb"), F.col("ssw")
     f = (F.when(~ok | (N <= k), F.lit(None).cast("double"))
          .when((ssw == 0) & (ssb > 0), F.lit(float("inf")))

@@ -153,5 +153,5 @@ def suggested_treatments(df: DataFrame, income: str, skewed: str, category: str,
     d = df.join(counts, category, "left").crossJoin(F.broadcast(q))   # q: one row
     x = F.col(skewed).cast("double")
     return d.select("ID", F.log1p(F.col(income).cast("double")).alias("log_mtrev"),
-                    F.least(F.greatest(x, F.col("p01")), F.col("p99")).alias("bpadh_winsorized"),
+                    F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.greatest(x, F.col("p01")), F.col("p99"))).alias("bpadh_winsorized"),
                     F.when(F.col("_cnt") < min_count, F.lit("other")).otherwise(F.col(category)).alias("dtnais_grouped"))
