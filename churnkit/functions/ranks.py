@@ -51,6 +51,7 @@ def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: st
     within = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("n").over(within))
     per_bucket = counts.groupBy(*g, "_b").agg(F.sum("n").alias("_bn"))
+    # per group at most n_buckets rows: the only ordered pass over a whole group is on this table
     prior = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(prior), F.lit(0))).drop("_bn")
     pos = counts.join(F.broadcast(offsets), g + ["_b"], "inner")

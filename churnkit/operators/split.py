@@ -30,7 +30,8 @@ def md5_order_key(id_col: str = "ID", seed: int = SEED) -> Column:
 
 def _largest_remainder(counts: DataFrame, count_col: str, draws: Column, out_col: str, class_col: str) -> DataFrame:
     """Allocate ``draws`` items to classes proportionally to ``count_col``: floors, then one
-    more to the largest remainders (exact integer arithmetic; ties -> smaller class value)."""
+    more to the largest remainders (exact integer arithmetic; ties -> smaller class value).
+    ``counts`` has one row per class, so the whole-table windows below see a handful of rows."""
     tot = F.sum(count_col).over(Window.partitionBy())
     c = counts.withColumn("_tot", tot).withColumn("_m", draws)
     num = F.col(count_col) * F.col("_m")
