@@ -136,7 +136,8 @@ def fit_recode(prepared: DataFrame, z_columns: list[str] | None = None, exclude=
     # exact medians (one row)
     med = exact_quantiles(long_form(prepared, med_cols, "double"), "value", {"m": 0.5}, ["colonne"])
     med_row = med.groupBy().pivot("colonne", med_cols).agg(F.first("m"))
-    med_row = med_row.select(*[F.col(c).alias(f"med_{c}") for c in med_cols])
+    # one row reused by the moments and the edges below: checkpoint it once
+    med_row = materialize(med_row.select(*[F.col(c).alias(f"med_{c}") for c in med_cols]))
     # mean / population std of the imputed columns; F5: minimum of the shifted codes
     d = prepared.crossJoin(F.broadcast(med_row))
     aggs = []
@@ -155,15 +156,15 @@ def fit_recode(prepared: DataFrame, z_columns: list[str] | None = None, exclude=
     params = med_row.crossJoin(moments).crossJoin(edges)
     # factorize in first-appearance (ID) order -> dense codes 0..K-1, computed in parallel
     first = prepared.groupBy(ONE_HOT_COLUMN).agg(F.min("ID").alias("_first"))
-    codes = dense_row_ids(first, "_first", out_col="_sitfam_code").select(
-        ONE_HOT_COLUMN, (F.col("_sitfam_code") - 1).alias("_sitfam_code"))
+    codes = materialize(dense_row_ids(first, "_first", out_col="_sitfam_code").select(
+        ONE_HOT_COLUMN, (F.col("_sitfam_code") - 1).alias("_sitfam_code")))
     # one-hot levels define the output schema, so they are collected; their number is checked
     levels = sorted(r[0] for r in codes.select(ONE_HOT_COLUMN).limit(MAX_ONE_HOT_LEVELS + 1).collect())
     if len(levels) > MAX_ONE_HOT_LEVELS:
         raise ValueError(f"{ONE_HOT_COLUMN} has more than {MAX_ONE_HOT_LEVELS} levels; one-hot would be too wide")
     # the fitted parameters are small tables: checkpoint them so later plans do not carry
     # (and re-run) the whole fitting lineage
-    return RecodeModel(z_cols, materialize(params), materialize(codes), levels)
+    return RecodeModel(z_cols, materialize(params), codes, levels)
 
 
 def model_matrix(prepared: DataFrame, exclude=()) -> tuple[DataFrame, RecodeModel]:
