@@ -1351,3 +1351,12 @@ FROM (SELECT algo AS key, {sround('CAST(count_if(y_true = pred) AS DOUBLE) / cou
 def q_l2(spark, sf):
     from churnkit.operators.compare import leaderboard
     return leaderboard(rounded(_nb_results(spark, sf)), "accuracy").select("key", "val_accuracy", "rank")
+
+
+@query("F12_model_matrix_fit_on_train")
+def q_f12_train(spark, sf):
+    """Leak-free variant: recoding parameters learned on the training rows only, applied to all."""
+    from churnkit.operators.recode import model_matrix
+    prepared = prepared_union(spark, sf)
+    train_ids = split_union(spark, sf).filter(F.col("split") == "train").select("ID")
+    return rounded(model_matrix(prepared, fit_rows=prepared.join(train_ids, "ID"))[0])

@@ -167,9 +167,10 @@ def fit_recode(prepared: DataFrame, z_columns: list[str] | None = None, exclude=
     return RecodeModel(z_cols, materialize(params), codes, levels)
 
 
-def model_matrix(prepared: DataFrame, exclude=()) -> tuple[DataFrame, RecodeModel]:
-    """fit on all rows and build the matrix (26 columns on the study data)."""
-    model = fit_recode(prepared, exclude=exclude)
+def model_matrix(prepared: DataFrame, exclude=(), fit_rows: DataFrame | None = None) -> tuple[DataFrame, RecodeModel]:
+    """build the matrix (26 columns on the study data). Parameters are fitted on all rows
+    as in the study, or on ``fit_rows`` (e.g. the training rows only: no preprocessing leak)."""
+    model = fit_recode(prepared if fit_rows is None else fit_rows, exclude=exclude)
     return model.transform(prepared), model
 
 
