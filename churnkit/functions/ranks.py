@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnkit.session import materialize
+
 DEFAULT_BUCKETS = 64
 
 
@@ -47,7 +49,9 @@ def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: st
     base = df.filter(F.col(value_col).isNotNull())
     w = F.col(weight_col) if weight_col else F.lit(1)
     counts = base.groupBy(*g, value_col).agg(F.sum(w).cast("long").alias("n"))
-    counts = _attach_buckets(counts, value_col, g, n_buckets)
+    # the bucketed distinct-value table feeds the splits, the window, the bucket totals and the
+    # final join: checkpoint it once so the source is scanned once, not once per branch
+    counts = materialize(_attach_buckets(counts, value_col, g, n_buckets))
     within = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("n").over(within))
     per_bucket = counts.groupBy(*g, "_b").agg(F.sum("n").alias("_bn"))
@@ -128,7 +132,9 @@ def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list
             d = d.withColumn(f"_g_{col}", rank_expr)
             g.append(f"_g_{col}")
     part = list(group_cols)
-    d = _attach_buckets(d, key_col, [] if global_buckets else part + g, n_buckets)
+    # rows with their bucket feed the numbering window, the bucket counts and the final join:
+    # checkpoint once so the input is computed once
+    d = materialize(_attach_buckets(d, key_col, [] if global_buckets else part + g, n_buckets))
     within = Window.partitionBy(*part, *g, "_b").orderBy(key_col, *tie_cols)
     d = d.withColumn("_rn", F.row_number().over(within))
     per_bucket = d.groupBy(*part, *g, "_b").agg(F.count("*").alias("_bn"))
