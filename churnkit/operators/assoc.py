@@ -26,6 +26,7 @@ from churnkit.functions import pvalues as pv
 from churnkit.functions.ranks import average_rank_table
 from churnkit.functions.scalar import clip, pair_key, sanitize_name
 from churnkit.operators.schema import columns_without_id, is_quantitative
+from churnkit.session import materialize
 
 PAIR = ["var1", "var2"]
 
@@ -92,7 +93,7 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def _ranked_pairs(long: DataFrame) -> DataFrame:
     """Collapsed ``(var1, var2, x, y, w)`` with average ranks ``rx``, ``ry`` within each pair."""
-    cells = long.groupBy(*PAIR, "x", "y").agg(F.count("*").alias("w"))
+    cells = materialize(long.groupBy(*PAIR, "x", "y").agg(F.count("*").alias("w")))
     rx = average_rank_table(cells, "x", PAIR, weight_col="w", out_col="rx").drop("n")
     ry = average_rank_table(cells, "y", PAIR, weight_col="w", out_col="ry").drop("n")
     return cells.join(rx, PAIR + ["x"]).join(ry, PAIR + ["y"])
@@ -190,9 +191,10 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int =
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = cells.groupBy(*PAIR).agg(F.percentile_approx("x", probs, 10 * n_buckets * 10).alias("sx"),
                                       F.percentile_approx("y", probs, 10 * n_buckets * 10).alias("sy"))
-    c = (cells.join(F.broadcast(splits), PAIR)
-         .withColumn("bx", _isolating_bucket("x", "sx")).withColumn("by", _isolating_bucket("y", "sy"))
-         .drop("sx", "sy"))
+    # the bucketed cell table feeds six branches (ties, grid, two inversion passes): cut once
+    c = materialize(cells.join(F.broadcast(splits), PAIR)
+                    .withColumn("bx", _isolating_bucket("x", "sx")).withColumn("by", _isolating_bucket("y", "sy"))
+                    .drop("sx", "sy"))
     # tie terms
     tx = c.groupBy(*PAIR, "x").agg(F.sum("w").alias("t")).groupBy(*PAIR).agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"),
@@ -251,7 +253,7 @@ def chi2_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     cells of the table (zero cells included).
     """
     long = long_pairs(df, pairs, "string", "string")
-    cells = long.groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("O"))
+    cells = materialize(long.groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("O")))
     rows = cells.groupBy(*PAIR, "x").agg(F.sum("O").alias("R"))
     cols = cells.groupBy(*PAIR, "y").agg(F.sum("O").alias("C"))
     shape = (rows.groupBy(*PAIR).agg(F.count("*").alias("r"), F.sum("R").alias("N"))
@@ -288,7 +290,7 @@ def kruskal_anova_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
     Perfect separation (within-group variance 0) gives F = +inf; all-equal values give NULL.
     """
     long = long_pairs(df, pairs, "double", "string")
-    cells = long.groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("w"))
+    cells = materialize(long.groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("w")))
     ranks = average_rank_table(cells, "x", PAIR, weight_col="w", out_col="rk")
     ties = ranks.groupBy(*PAIR).agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie"))
     rc = cells.join(ranks.drop("n"), PAIR + ["x"])
