@@ -640,7 +640,7 @@ q AS (SELECT d.grp, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS media
       FROM d JOIN g ON d.grp = g.grp GROUP BY d.grp),
 w AS (SELECT d.grp, min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END) AS whisker_low,
              max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_high FROM d JOIN q ON d.grp = q.grp GROUP BY d.grp)
-SELECT g.grp AS o_orderpriority, g.n, {sround('q.q1')} AS q1, {sround('q.median')} AS median, {sround('q.q3')} AS q3,
+SELECT g.grp AS o_orderpriority, substr(g.grp, 1, 20) AS label, g.n, {sround('q.q1')} AS q1, {sround('q.median')} AS median, {sround('q.q3')} AS q3,
        {sround('w.whisker_low')} AS whisker_low, {sround('w.whisker_high')} AS whisker_high
 FROM g JOIN q ON g.grp = q.grp JOIN w ON g.grp = w.grp""")
 def q_g5(spark, sf):

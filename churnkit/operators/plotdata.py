@@ -81,7 +81,9 @@ def box_stats(df: DataFrame, value_col: str, group_col: str, k: int = 35, whiske
     wh = (kept.join(F.broadcast(fences), "grp")
           .groupBy("grp").agg(F.min(F.when(F.col("x") >= F.col("lo"), F.col("x"))).alias("whisker_low"),
                               F.max(F.when(F.col("x") <= F.col("hi"), F.col("x"))).alias("whisker_high")))
-    return groups.join(fences.drop("lo", "hi"), "grp").join(wh, "grp").withColumnRenamed("grp", group_col)
+    out = groups.join(fences.drop("lo", "hi"), "grp").join(wh, "grp")
+    # The chart label is the category text cut to 20 characters
+    return out.withColumn("label", F.substring("grp", 1, 20)).withColumnRenamed("grp", group_col)
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
