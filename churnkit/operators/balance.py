@@ -215,6 +215,3 @@ def smote_summary(train: DataFrame, balanced: DataFrame, target: str = "cible_ch
                                          F.count_if(F.col("is_synthetic")).alias("n_synthetic"))
     return before.join(after, target, "full")
 
-
-def expected_synthetic(n_major: int, n_minor: int) -> int:
-    return max(0, n_major - n_minor) if math.isfinite(n_major) else 0

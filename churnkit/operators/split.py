@@ -10,8 +10,6 @@ parallel buckets, so no class is ever gathered into one task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +75,3 @@ def partition_stats(split_df: DataFrame, target: str = "cible_churn") -> DataFra
     return g.select(F.col("split").alias("nom"), "n", F.round(100.0 * F.col("n") / total, 2).alias("pct_total"),
                     "n_churn_1", "n_churn_0", F.round("_rate", 6).alias("taux_churn"))
 
-
-def expected_test_size(n: int, test_size: float = TEST_SIZE) -> int:
-    return math.ceil(test_size * n)
