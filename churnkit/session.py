@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, app: str = "churnkit", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # checkpoint files of DataFrames that went out of scope are removed by the context cleaner
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CHURNKIT_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
