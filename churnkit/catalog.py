@@ -520,7 +520,7 @@ def q_t2(spark, sf):
 @query("T3_kendall_tau_b", with_members(body=_sql_kendall("members_left", QQ_PAIRS)))
 def q_t3(spark, sf):
     from churnkit.operators.assoc import kendall_pairs
-    return rounded(kendall_pairs(members_left(spark, sf), QQ_PAIRS))
+    return rounded(kendall_pairs(members_left(spark, sf), QQ_PAIRS).drop("ties_x", "ties_y"))
 
 
 @query("T4_T5_chi2_cramers_v", with_members(body="\nUNION ALL\n".join(_sql_chi2_pair("members_mixed", a, b) for a, b in CC_PAIRS)))

@@ -238,7 +238,8 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int =
     z = F.when(tau.isNotNull(), F.try_divide(s, F.sqrt(var)))
     out = _pairs_frame(df, pairs).join(t, PAIR, "left")
     return out.select(*PAIR, F.coalesce(F.col("N"), F.lit(0.0)).cast("long").alias("n_apparies"),
-                      s.alias("kendall_s"), tau.alias("kendall_tau"), z.alias("kendall_z"))
+                      s.alias("kendall_s"), tau.alias("kendall_tau"), z.alias("kendall_z"),
+                      F.col("n1").alias("ties_x"), F.col("n2").alias("ties_y"))
 
 
 # --------------------------------------------------------------------------------------
@@ -337,13 +338,14 @@ def bivariate_summary(df: DataFrame, cols: list[str] | None = None, kendall_buck
         q = plan["quant"]
         pr = pearson_pairs(df, q)
         sp = spearman_pairs(df, q).drop("n_apparies")
-        kd = kendall_pairs(df, q, kendall_buckets).drop("n_apparies", "kendall_s")
+        kd = kendall_pairs(df, q, kendall_buckets).drop("n_apparies")
         t = pr.join(sp, PAIR).join(kd, PAIR)
         parts.append(t.select(
             *PAIR, F.lit("quantitatif_quantitatif").alias("cas"), "n_apparies", "pearson_r",
             pv.corr_pvalue(F.col("pearson_r"), F.col("n_apparies")).alias("pearson_p"),
             "spearman_rho", pv.corr_pvalue(F.col("spearman_rho"), F.col("n_apparies")).alias("spearman_p"),
-            "kendall_tau", pv.normal_pvalue(F.col("kendall_z")).alias("kendall_p")))
+            "kendall_tau", pv.kendall_pvalue(F.col("n_apparies"), F.col("kendall_s"), F.col("ties_x"), F.col("ties_y"),
+                                             F.col("kendall_z")).alias("kendall_p")))
     if plan["qual"]:
         c = chi2_pairs(df, plan["qual"])
         parts.append(c.select(*PAIR, F.lit("qualitatif_qualitatif").alias("cas"), "n_apparies", "chi2",
