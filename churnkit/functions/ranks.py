@@ -20,11 +20,20 @@ from pyspark.sql import functions as F
 from churnkit.session import materialize
 
 DEFAULT_BUCKETS = 64
+BUCKETS_CONF = "churnkit.rank.buckets"   # session setting: raise with the data (~ rows per group / 1e7)
 
 
-def _attach_buckets(df: DataFrame, value_col: str, group_cols: list[str], n_buckets: int,
+def _buckets(df: DataFrame, n_buckets: int | None) -> int:
+    if n_buckets is not None:
+        return n_buckets
+    return int(df.sparkSession.conf.get(BUCKETS_CONF, str(DEFAULT_BUCKETS)))
+
+
+def _attach_buckets(df: DataFrame, value_col: str, group_cols: list[str], n_buckets: int | None,
                     accuracy: int = 10000) -> DataFrame:
     """Adds ``_b``: equi-depth bucket of ``value_col`` within ``group_cols``."""
+    n_buckets = _buckets(df, n_buckets)
+    accuracy = max(accuracy, 10 * n_buckets)
     if n_buckets <= 1:
         return df.withColumn("_b", F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -38,7 +47,7 @@ def _attach_buckets(df: DataFrame, value_col: str, group_cols: list[str], n_buck
 
 
 def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: str | None = None,
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    n_buckets: int | None = None) -> DataFrame:
     """Distinct non-null values per group with their multiplicity and sorted position.
 
     Output: ``*group_cols, value_col, n, before`` where ``before`` = number of rows (or
@@ -63,7 +72,7 @@ def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: st
 
 
 def average_rank_table(df: DataFrame, value_col: str, group_cols=(), weight_col: str | None = None,
-                       n_buckets: int = DEFAULT_BUCKETS, out_col: str = "rank") -> DataFrame:
+                       n_buckets: int | None = None, out_col: str = "rank") -> DataFrame:
     """Distinct values of ``value_col`` per group with their average (tie-aware, 1-based) rank.
 
     Output columns: ``*group_cols, value_col, n, out_col``. NULL values are not ranked.
@@ -74,7 +83,7 @@ def average_rank_table(df: DataFrame, value_col: str, group_cols=(), weight_col:
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float], group_cols=(),
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (same definition as pandas / ``quantile_cont``).
 
     One row per group with one column per entry of ``probs``. Only the two order statistics
@@ -103,7 +112,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float], grou
 
 
 def with_average_rank(df: DataFrame, value_col: str, group_cols=(), out_col: str = "rank",
-                      n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      n_buckets: int | None = None) -> DataFrame:
     """Row-level average rank (W1): joins the distinct-value rank table back on the value."""
     g = list(group_cols)
     table = average_rank_table(df, value_col, g, n_buckets=n_buckets, out_col=out_col).drop("n")
@@ -111,7 +120,7 @@ def with_average_rank(df: DataFrame, value_col: str, group_cols=(), out_col: str
 
 
 def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list]] | None = None,
-                  out_col: str = "ID", n_buckets: int = DEFAULT_BUCKETS, group_cols=(), tie_cols=(),
+                  out_col: str = "ID", n_buckets: int | None = None, group_cols=(), tie_cols=(),
                   global_buckets: bool = False) -> DataFrame:
     """Dense ids ``1..n`` following ``(group order, key_col, tie_cols)`` (W2), computed in parallel.
 

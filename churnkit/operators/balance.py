@@ -138,7 +138,7 @@ def _group_knn(groups: DataFrame, k: int, block: int, dim: int) -> DataFrame:
 
 
 def minority_neighbours(rows: DataFrame, features: list[str], k: int = K_NEIGHBOURS, block: int = 32,
-                        n_buckets: int = 64) -> DataFrame:
+                        n_buckets: int | None = None) -> DataFrame:
     """``(ID, j, nbr_id)`` for j = 0..k-1, the k nearest other rows (distance, then group
     order, then id rank). ``rows`` holds ``ID`` and the feature columns."""
     r = rows.select("ID", F.array(*[F.col(c).cast("double") for c in features]).alias("v"))

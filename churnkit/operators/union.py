@@ -21,21 +21,21 @@ def _renumber(u: DataFrame, n_buckets: int) -> DataFrame:
     return dense_row_ids(u, "id_fichier", [("source", SOURCES)], out_col="ID", n_buckets=n_buckets)
 
 
-def union_common(t1: DataFrame, t2: DataFrame, n_buckets: int = 64) -> DataFrame:
+def union_common(t1: DataFrame, t2: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """UNION ALL on the common columns + ``source``; original id kept as ``id_fichier``."""
     cols = common_columns(t1, t2)
     u = _tag(t1.select(*cols), SOURCES[0]).unionByName(_tag(t2.select(*cols), SOURCES[1]))
     return _renumber(u, n_buckets).select(*cols, "source", "id_fichier")
 
 
-def union_labelled(t1: DataFrame, t2: DataFrame, n_buckets: int = 64) -> DataFrame:
+def union_labelled(t1: DataFrame, t2: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """U1 + observed label (every table1 row left; table2 by the leave-date sentinel)."""
     u = union_common(t1, t2, n_buckets)
     return u.withColumn("label_churn_obs",
                         F.when(F.col("source") == SOURCES[1], leave_target("DTDEM")).otherwise(F.lit(1)))
 
 
-def union_full(t1: DataFrame, t2: DataFrame, n_buckets: int = 64) -> DataFrame:
+def union_full(t1: DataFrame, t2: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """UNION ALL on all columns (absent -> NULL), ``source``, ``id_fichier``, ``cible_churn``."""
     a = _tag(t1, SOURCES[0]).withColumn("cible_churn", F.lit(1))
     b = _tag(t2, SOURCES[1]).withColumn("cible_churn", leave_target("DTDEM"))
