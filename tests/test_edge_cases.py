@@ -123,3 +123,21 @@ def test_auc_matches_pairwise_definition(spark):
     pos, neg = s[y == 1], s[y == 0]
     exp = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
     assert roc_auc(d).first()["roc_auc"] == pytest.approx(exp)
+
+
+def test_one_hot_level_guard(spark):
+    from churnkit.operators.recode import MAX_ONE_HOT_LEVELS, one_hot
+    df = spark.range(MAX_ONE_HOT_LEVELS + 5).select(F.col("id").alias("ID"), F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError):
+        one_hot(df, "c", "x")
+
+
+def test_rank_buckets_session_setting(spark):
+    from churnkit.functions.ranks import BUCKETS_CONF, average_rank_table
+    df = spark.createDataFrame([(float(v),) for v in [3, 1, 2, 2, 5, 5, 5]], "x double")
+    spark.conf.set(BUCKETS_CONF, "3")
+    try:
+        got = {r["x"]: r["rank"] for r in average_rank_table(df, "x").collect()}
+    finally:
+        spark.conf.unset(BUCKETS_CONF)
+    assert got == {1.0: 1.0, 2.0: 2.5, 3.0: 4.0, 5.0: 6.0}
