@@ -141,3 +141,11 @@ def test_rank_buckets_session_setting(spark):
     finally:
         spark.conf.unset(BUCKETS_CONF)
     assert got == {1.0: 1.0, 2.0: 2.5, 3.0: 4.0, 5.0: 6.0}
+
+
+def test_infer_roles_on_member_table(spark):
+    from churnkit.operators.schema import infer_roles
+    from churnkit.sources.members import members_mixed
+    roles = {r["column"]: r["role"] for r in infer_roles(members_mixed(spark, "/root/testdata/sf0.001")).collect()}
+    assert roles["ID"] == "identifier" and roles["CDSEXE"] == "code" and roles["CDSITFAM"] == "nominal"
+    assert roles["DTADH"] == "date" and roles["DTNAIS"] == "date_or_sentinel" and roles["MTREV"] == "quantitative"
