@@ -81,3 +81,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     return (score_toxicity(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score")
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
+
+
+WINDOWS_SQL = rf"""
+doc_words AS (SELECT doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (SELECT item_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS span, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
+  FROM item_words, unnest(range(1, greatest(len(w) - 11, 2))) AS u(i) WHERE len(w) > 0),
+found AS (
+  SELECT d.doc_id, i, s.span, x.item_id FROM doc_words d, (SELECT DISTINCT span FROM item_windows) s, unnest(range(1, len(w) - s.span + 2)) AS u(i)
+  JOIN item_windows x ON x.span = s.span AND x.g = array_to_string(d.w[i:i + s.span - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + span)) AS u(p) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)"""
+
+
+@query("op3_decontamination", f"""WITH {WINDOWS_SQL}
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.decontamination import contamination
+
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
