@@ -48,9 +48,11 @@ def fingerprints(words: Column, short: list[int]) -> Column:
             F.slice(all_grams, i + 1, WINDOW), lambda own: i + F.array_position(own, F.array_min(own)).cast("int")))
         return F.transform(F.array_distinct(lowest), lambda p: F.struct(F.lit(SPAN).alias("span"), F.element_at(all_grams, p).alias("code"), (p - 1).alias("place")))
 
+    def every(all_grams: Column, k: int) -> Column:
+        return F.transform(all_grams, lambda c, i: F.struct(F.lit(k).alias("span"), c.alias("code"), i.alias("place")))
+
     def all_of(codes: Column) -> Column:
-        parts = [let(grams(codes, GRAM), pick)]
-        parts += [F.transform(grams(codes, k), lambda c, i, k=k: F.struct(F.lit(k).alias("span"), c.alias("code"), i.alias("place"))) for k in short]
+        parts = [let(grams(codes, GRAM), pick)] + [every(grams(codes, k), k) for k in short]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), all_of)

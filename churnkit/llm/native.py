@@ -12,6 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: code points that stand for marks inside a text; those a text holds itself are replaced first
 OPEN, CLOSE, DASH, DOT = "\uE000", "\uE001", "\uE002", "\uE003"
 
+MATCHES = "array<struct<start:int,end:int,value:string,before:string>>"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, however often (or inside which lambda) it is used."""
@@ -32,19 +34,37 @@ def without_marks(text: Column) -> Column:
     return F.when(held, F.translate(text, marks, "\uFFFD" * len(marks))).otherwise(text)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points, end exclusive.
+def prefix_sums(sizes: Column, block: int = 256) -> Column:
+    """Exclusive running sums of a non-empty array<int>, block by block, so long arrays stay cheap."""
+    def grow(first: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    `text` must be free of marks. The matches are bracketed by marks in one pass and the pieces
-    between marks are measured.
-    """
-    pieces = F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]", -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        return let(grow(F.lit(0), totals), lambda at: F.flatten(F.transform(blocks, lambda b, j: F.slice(grow(F.element_at(at, j + 1), b), 1, F.size(b)))))
+
+    def of_sizes(all_sizes: Column) -> Column:
+        last = F.floor((F.size(all_sizes) - 1) / F.lit(block)).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(all_sizes, j * block + 1, block)), of_blocks)
 
-    def step(acc: Column, piece: Column) -> Column:
-        stop = acc["at"] + F.length(piece)
-        own = F.array(F.struct(acc["at"].alias("start"), stop.alias("end"), piece.alias("value")))
-        return F.struct(stop.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
+    return let(sizes, of_sizes)
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+
+def matches(text: Column, pattern: str, context: int = 0) -> Column:
+    """array<struct<start, end, value, before>> of the leftmost non-overlapping matches, in code points, end exclusive.
+
+    `before` is the end of the text before the match, `context` code points at most. `text` must be free
+    of marks: the matches are bracketed by marks in one pass and the pieces between marks are measured.
+    """
+    def found(pieces: Column, at: Column) -> Column:
+        def one(i: Column) -> Column:
+            start, value = F.element_at(at, i), F.element_at(pieces, i)
+            before = F.lit("")
+            if context:
+                earlier = F.concat(F.when(i > 2, F.element_at(pieces, F.greatest(i - 2, F.lit(1)))).otherwise(F.lit("")), F.element_at(pieces, i - 1))
+                before = F.substring(earlier, -context, context)
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before"))
+        return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(2), F.size(pieces) - 1, F.lit(2)), one)).otherwise(F.array().cast(MATCHES))
+
+    split = F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]", -1)
+    return let(split, lambda pieces: let(prefix_sums(F.transform(pieces, lambda x: F.length(x))), lambda at: found(pieces, at)))

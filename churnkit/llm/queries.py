@@ -105,3 +105,76 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring in turns and matches without retries aren't SQL; base spans are tested against plain regular
+    expressions, discovered ones against a brute-force scoring."""
+    from churnkit.llm.pii import KINDS, count_of, listed, personal_data
+
+    found = personal_data(read(spark, sf_dir, "documents"))
+    counts = [count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op5_document_fingerprints")
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DuckDB has no xxHash of arrays; signatures are tested against a plain Python order MinHash."""
+    from churnkit.llm.fingerprint import as_text, edited_fingerprints
+
+    found = edited_fingerprints(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("signature")).alias("fingerprint"),
+                        as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op4_chat_formatting", """WITH
+t AS (
+  SELECT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|im_', '< |im_') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS body,
+    CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) AS part FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+v AS (
+  SELECT t.conv_id, speaker, part, turn, role, body,
+    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
+  FROM t JOIN speakers s ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 11) OVER (
+    PARTITION BY conv_id, speaker ORDER BY part, turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM v)
+SELECT conv_id, speaker, part, count(*) AS n_turns, CAST(min(pos) AS BIGINT) AS start,
+  string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text,
+  coalesce(string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(head) + length(body) + 10 AS BIGINT) AS VARCHAR), ',' ORDER BY pos)
+    FILTER (WHERE role = speaker), '') AS mask
+FROM placed GROUP BY conv_id, speaker, part""")
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.chat import rotated
+
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return rotated(read(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, ","))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash retrieval isn't SQL; tested against exact containment of every template in every text."""
+    from churnkit.llm.licenses import scan
+
+    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), F.round(x["contained"], 4).cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(listed, ",").alias("licenses"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches without retries and guess costs aren't SQL; tested against plain regular expressions and known costs."""
+    from churnkit.llm.secrets import KINDS, scan
+
+    names = F.array(*[F.lit(k) for k in KINDS])
+    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: int):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
