@@ -19,31 +19,48 @@ from pyspark.sql import functions as F
 
 from churnkit.session import materialize
 
-DEFAULT_BUCKETS = 64
-BUCKETS_CONF = "churnkit.rank.buckets"   # session setting: raise with the data (~ rows per group / 1e7)
+ROWS_PER_BUCKET = 1_000_000              # rows one ordered window may hold
+BUCKETS_CONF = "churnkit.rank.buckets"   # session setting: overrides the measured bucket count
 
 
 def _buckets(df: DataFrame, n_buckets: int | None) -> int:
+    """Bucket count: as asked, as set in the session, or measured (rows / ROWS_PER_BUCKET)."""
     if n_buckets is not None:
         return n_buckets
-    return int(df.sparkSession.conf.get(BUCKETS_CONF, str(DEFAULT_BUCKETS)))
+    asked = df.sparkSession.conf.get(BUCKETS_CONF, None)
+    return int(asked) if asked else max(1, -(-df.count() // ROWS_PER_BUCKET))
 
 
-def _attach_buckets(df: DataFrame, value_col: str, group_cols: list[str], n_buckets: int | None,
-                    accuracy: int = 10000) -> DataFrame:
-    """Adds ``_b``: equi-depth bucket of ``value_col`` within ``group_cols``."""
-    n_buckets = _buckets(df, n_buckets)
+def _same(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on ``cols`` where NULL equals NULL; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_k_{c}") for c in cols], *[c for c in right.columns if c not in cols])
+    if small:
+        renamed = F.broadcast(renamed)
+    on = F.lit(True)
+    for c in cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return (left.join(renamed, on, how) if cols else left.crossJoin(renamed)).drop(*[f"_k_{c}" for c in cols])
+
+
+def _attach_buckets(df: DataFrame, value_col: str, group_cols: list[str], n_buckets: int,
+                    accuracy: int = 10000, out: str = "_b") -> DataFrame:
+    """Adds ``_b``: equi-depth bucket of ``value_col`` within ``group_cols``.
+
+    A value that is itself a split has a bucket of its own (odd number), so a hot value shares its
+    window with no other; NULL values (and groups without any value) are in bucket 0.
+    """
     accuracy = max(accuracy, 10 * n_buckets)
     if n_buckets <= 1:
-        return df.withColumn("_b", F.lit(0))
+        return df.withColumn(out, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = df.groupBy(*group_cols).agg(
         F.percentile_approx(F.col(value_col).cast("double"), probs, accuracy).alias("_splits"))
-    # one row per group: bounded by the number of groups
-    joined = (df.crossJoin(F.broadcast(splits)) if not group_cols
-              else df.join(F.broadcast(splits), group_cols, "left"))
+    # one row per group; without groups it is one row and broadcast, else the planner sizes it
+    joined = _same(df, splits, group_cols, "left", small=not group_cols)
     v = F.col(value_col).cast("double")
-    return joined.withColumn("_b", F.size(F.filter("_splits", lambda s: s < v))).drop("_splits")
+    own = F.array_distinct("_splits")
+    bucket = 2 * F.size(F.filter(own, lambda s: s < v)) + F.coalesce(F.array_contains(own, v), F.lit(False)).cast("int")
+    return joined.withColumn(out, F.when(v.isNull() | F.col("_splits").isNull(), F.lit(0)).otherwise(bucket)).drop("_splits")
 
 
 def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: str | None = None,
@@ -58,8 +75,13 @@ def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: st
     base = df.filter(F.col(value_col).isNotNull())
     w = F.col(weight_col) if weight_col else F.lit(1)
     counts = base.groupBy(*g, value_col).agg(F.sum(w).cast("long").alias("n"))
-    # the bucketed distinct-value table feeds the splits, the window, the bucket totals and the
-    # final join: checkpoint it once so the source is scanned once, not once per branch
+    # the distinct-value table feeds the count, the splits, the window, the bucket totals and the
+    # final join: write it once so the source is scanned once, not once per branch
+    counts = materialize(counts)
+    n_buckets = _buckets(counts, n_buckets)
+    if n_buckets <= 1:
+        upto = Window.partitionBy(*g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.select(*g, value_col, "n", (F.sum("n").over(upto) - F.col("n")).cast("long").alias("before"))
     counts = materialize(_attach_buckets(counts, value_col, g, n_buckets))
     within = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("n").over(within))
@@ -67,7 +89,7 @@ def value_positions(df: DataFrame, value_col: str, group_cols=(), weight_col: st
     # per group at most n_buckets rows: the only ordered pass over a whole group is on this table
     prior = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(prior), F.lit(0))).drop("_bn")
-    pos = counts.join(F.broadcast(offsets), g + ["_b"], "inner")
+    pos = _same(counts, offsets, g + ["_b"])
     return pos.select(*g, value_col, "n", (F.col("_off") + F.col("_cum") - F.col("n")).cast("long").alias("before"))
 
 
@@ -127,8 +149,8 @@ def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list
     ``group_order`` = ``[(column, [value, ...])]`` fixes the order of a low-cardinality group
     column (e.g. ``source`` with table1 first); ids run across those groups. With
     ``group_cols`` the numbering restarts at 1 inside each group instead. Rows are bucketed
-    on ``key_col`` alone (monotone in the full order), so ``tie_cols`` only order rows that
-    share a key value. ``global_buckets`` computes one set of bucket splits for all groups
+    on ``key_col`` (monotone in the full order); rows that share a hot key are bucketed again on the
+    first of ``tie_cols``, which order rows that share a key value. NULL keys come first. ``global_buckets`` computes one set of bucket splits for all groups
     (use it when ``group_cols`` has many values: the per-group split table would not be small).
     """
     g: list[str] = []
@@ -141,17 +163,25 @@ def dense_row_ids(df: DataFrame, key_col: str, group_order: list[tuple[str, list
             d = d.withColumn(f"_g_{col}", rank_expr)
             g.append(f"_g_{col}")
     part = list(group_cols)
-    # rows with their bucket feed the numbering window, the bucket counts and the final join:
-    # checkpoint once so the input is computed once
-    d = materialize(_attach_buckets(d, key_col, [] if global_buckets else part + g, n_buckets))
-    within = Window.partitionBy(*part, *g, "_b").orderBy(key_col, *tie_cols)
-    d = d.withColumn("_rn", F.row_number().over(within))
-    per_bucket = d.groupBy(*part, *g, "_b").agg(F.count("*").alias("_bn"))
-    # groups x buckets rows: bounded
-    before = Window.partitionBy(*part).orderBy(*g, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    n_buckets = _buckets(d, n_buckets)
+    if n_buckets <= 1:
+        whole = Window.partitionBy(*part).orderBy(*g, key_col, *tie_cols)
+        return d.withColumn(out_col, F.row_number().over(whole).cast("long")).drop(*g)
+    d = _attach_buckets(d, key_col, [] if global_buckets else part + g, n_buckets)
+    # rows that share a hot key are cut again by the first tie column
+    if tie_cols:
+        d = d.withColumn("_tie", F.when(F.col("_b") % 2 == 1, F.col(tie_cols[0]).try_cast("double")))
+        d = _attach_buckets(d, "_tie", part + g + ["_b"], n_buckets, out="_b2").drop("_tie")
+    else:
+        d = d.withColumn("_b2", F.lit(0))
+    # rows with their bucket feed the numbering window, the bucket counts and the final join: written once
+    d = materialize(d)
+    within = Window.partitionBy(*part, *g, "_b", "_b2").orderBy(key_col, *tie_cols)
+    numbered = d.withColumn("_rn", F.row_number().over(within))
+    per_bucket = d.groupBy(*part, *g, "_b", "_b2").agg(F.count("*").alias("_bn"))
+    # groups x buckets rows; the planner sizes the join
+    before = Window.partitionBy(*part).orderBy(*g, "_b", "_b2").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    # with many groups the offset table is not small: plain (shuffle) join, planner decides
-    off = offsets if global_buckets and part else F.broadcast(offsets)
-    out = d.join(off, part + g + ["_b"], "inner")
+    out = _same(numbered, offsets, part + g + ["_b", "_b2"])
     out = out.withColumn(out_col, (F.col("_off") + F.col("_rn")).cast("long"))
-    return out.drop("_rn", "_off", "_b", *g)
+    return out.drop("_rn", "_off", "_b", "_b2", *g)

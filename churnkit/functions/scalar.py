@@ -11,7 +11,6 @@ BIRTH_DATE_SENTINEL = "0000-00-00"   # DTNAIS unknown
 REFERENCE_DATE = "2007-01-01"        # extraction date used for ages and tenures
 DAYS_PER_YEAR = 365.25
 MISSING_TOKEN = "__MANQUANT__"       # structurally missing category (leave motive of stayers)
-NAN_TOKEN = "__NAN__"                # missing category before integer encoding
 # Text read as missing by the CSV reader (pandas' default NA tokens).
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -39,8 +38,8 @@ def parse_iso_date(col: str | Column, sentinel: str = BIRTH_DATE_SENTINEL) -> Co
 
 
 def parse_dmy_date(col: str | Column) -> Column:
-    """Day-first ``dd/MM/yyyy`` date, unparsable text -> NULL."""
-    return F.try_to_date(strip(col), "dd/MM/yyyy")
+    """Day-first date, padded (``05/01/2001``) or not (``5/1/2001``); unparsable text -> NULL."""
+    return F.try_to_date(strip(col), "d/M/yyyy")
 
 
 def years_to_reference(date_col: str | Column, reference: str = REFERENCE_DATE) -> Column:
@@ -48,26 +47,6 @@ def years_to_reference(date_col: str | Column, reference: str = REFERENCE_DATE)
     return F.datediff(F.lit(reference).cast("date"), _c(date_col)) / F.lit(DAYS_PER_YEAR)
 
 
-def to_number(col: str | Column) -> Column:
-    """Coercing numeric cast: anything unparsable becomes NULL."""
-    return F.expr(f"try_cast({col} as double)") if isinstance(col, str) else col.try_cast("double")
-
-
-def null_tokens_to_null(col: str | Column, tokens=NULL_TOKENS) -> Column:
-    """Map the CSV missing-value tokens to NULL (Spark keeps e.g. 'NA' as text)."""
-    c = _c(col)
-    return F.when(c.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
-
-
-def fill_missing(col: str | Column, token: str = MISSING_TOKEN) -> Column:
-    return F.coalesce(_c(col).cast("string"), F.lit(token))
-
-
-def safe_div(num: Column, den: Column) -> Column:
-    """Division that yields NULL on a zero or NULL denominator (ANSI-safe)."""
-    return F.try_divide(num, den)
-
-
 def sanitize_name(col: str | Column) -> Column:
     """File-name-safe label: every run of characters other than letters, digits, '_' and '-' -> '_'."""
     return F.regexp_replace(_c(col), r"[^A-Za-z0-9_\-]+", "_")
@@ -79,10 +58,16 @@ def pair_key(a: str | Column, b: str | Column) -> Column:
 
 
 def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """Clip to [lo, hi] keeping NULL as NULL (``greatest``/``least`` skip NULL arguments)."""
+    """Clip to [lo, hi] keeping NULL as NULL (``greatest``/``least`` skip NULL arguments); NaN is NULL."""
     y = x
     if hi is not None:
         y = F.least(y, F.lit(float(hi)))
     if lo is not None:
         y = F.greatest(y, F.lit(float(lo)))
-    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(y)
+    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double")).otherwise(y)
+
+
+def number(col: str | Column) -> Column:
+    """The value as a double; NaN is missing, like NULL."""
+    x = _c(col).cast("double")
+    return F.when(~F.isnan(x), x)

@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from churnkit.functions import pvalues as pv
 from churnkit.functions.ranks import average_rank_table
-from churnkit.functions.scalar import clip, pair_key, sanitize_name
+from churnkit.functions.scalar import clip, number, pair_key, sanitize_name
 from churnkit.operators.schema import columns_without_id, is_quantitative
 from churnkit.session import materialize
 
@@ -51,9 +51,12 @@ def pair_plan(df: DataFrame, cols: list[str] | None = None) -> dict[str, list[tu
 
 
 def long_pairs(df: DataFrame, pairs: list[tuple[str, str]], x_type: str, y_type: str) -> DataFrame:
-    """Complete rows of every pair as ``(var1, var2, x, y)``."""
+    """Complete rows of every pair as ``(var1, var2, x, y)``; NaN is missing."""
+    def of_type(c: str, kind: str):
+        return number(c) if kind == "double" else F.col(c).cast(kind)
+
     items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                      F.col(a).cast(x_type).alias("x"), F.col(b).cast(y_type).alias("y")) for a, b in pairs]
+                      of_type(a, x_type).alias("x"), of_type(b, y_type).alias("y")) for a, b in pairs]
     cols = sorted({c for p in pairs for c in p})
     return (df.select(*cols).select(F.explode(F.array(*items)).alias("p")).select("p.*")
             .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
@@ -76,7 +79,7 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = number(a), number(b)
         xx = F.when(y.isNotNull(), x)
         yy = F.when(x.isNotNull(), y)
         aggs += [F.count(xx).alias(f"n{i}"), F.covar_pop(x, y).alias(f"c{i}"),

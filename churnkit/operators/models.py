@@ -42,6 +42,12 @@ def with_unit_weights(df: DataFrame, out: str = "weight") -> DataFrame:
     return df.withColumn(out, F.lit(1.0))
 
 
+def code(column: str) -> Column:
+    """Integer category code, negative ones as 0; an unknown category stays NULL."""
+    c = F.col(column).cast("int")
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(0)))
+
+
 # ---- categorical naive Bayes (M3) ---------------------------------------------------------
 
 @dataclass
@@ -54,7 +60,7 @@ class CategoricalNBModel:
     def jll(self, c: int) -> Column:
         total = F.col(f"prior_{c}")
         for f in self.features:
-            x = F.greatest(F.col(f), F.lit(0)).cast("int")
+            x = code(f)
             total = total + F.coalesce(F.element_at(F.col(f"map_{c}_{f}"), x), F.col(f"def_{c}_{f}"))
         return total
 
@@ -71,7 +77,7 @@ class CategoricalNBModel:
 def fit_categorical_nb(train: DataFrame, features: list[str], alpha: float = 1.0, y: str = TARGET) -> CategoricalNBModel:
     """M3: log P(v | c, f) = log((n_cfv + alpha) / (n_c + alpha * K_f)), K_f = max code + 1;
     priors from class frequencies. An unseen code falls back to n_cfv = 0."""
-    d = train.select(F.col(y).cast("int").alias("_y"), *[F.greatest(F.col(f), F.lit(0)).cast("int").alias(f) for f in features])
+    d = train.select(F.col(y).cast("int").alias("_y"), *[code(f).alias(f) for f in features])
     long = long_form(d, features, "int", ids=["_y"], name="feature").filter(F.col("value").isNotNull())
     counts = long.groupBy("_y", "feature", "value").agg(F.count("*").cast("double").alias("n"))
     k = long.groupBy("feature").agg((F.max("value") + 1).cast("double").alias("K"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from churnkit.functions.ranks import exact_quantiles
+from churnkit.functions.scalar import number
 from churnkit.operators.schema import columns_without_id, split_quant_qual
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -37,7 +38,8 @@ def _rows_from_wide(wide: DataFrame, cols: list[str], fields: list[str], label:
 def long_form(df: DataFrame, cols: list[str], value_type: str, ids=(), name: str = "colonne",
               value: str = "value") -> DataFrame:
     """Unpivot ``cols`` (cast to one type) into ``(*ids, name, value)``; NULLs are kept."""
-    sel = [F.col(i) for i in ids] + [F.col(c).cast(value_type).alias(c) for c in cols]
+    value_of = number if value_type == "double" else (lambda c: F.col(c).cast(value_type))
+    sel = [F.col(i) for i in ids] + [value_of(c).alias(c) for c in cols]
     return df.select(*sel).unpivot(list(ids), cols, name, value)
 
 
@@ -49,7 +51,7 @@ def quantitative_profile(df: DataFrame, cols: list[str] | None = None) -> DataFr
         return df.sparkSession.createDataFrame([], QUANT_SCHEMA)
     aggs = [F.count("*").alias("__n")]
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"{c}__n_non_null"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.var_samp(x).alias(f"{c}__var"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
@@ -68,13 +70,13 @@ def qualitative_profile(df: DataFrame, cols: list[str] | None = None) -> DataFra
         cols = split_quant_qual(df)[1]
     counts = (long_form(df, cols, "string").filter(F.col("value").isNotNull())
               .groupBy("colonne", "value").agg(F.count("*").alias("cnt")))
-    per_col = counts.groupBy("colonne").agg(F.count("*").alias("n_modalites"), F.max("cnt").alias("effectif_mode"))
-    mode = (counts.join(per_col.select("colonne", F.col("effectif_mode").alias("cnt")), ["colonne", "cnt"])
-            .groupBy("colonne").agg(F.min("value").alias("mode")))
+    per_col = counts.groupBy("colonne").agg(
+        F.count("*").alias("n_modalites"), F.max("cnt").alias("effectif_mode"),
+        F.min(F.struct((-F.col("cnt")).alias("c"), F.col("value").alias("v")))["v"].alias("mode"))
     aggs = [F.count("*").alias("__n")] + [F.count(F.col(c)).alias(f"{c}__n_non_null") for c in cols]
     wide = df.agg(*aggs)
     base = _rows_from_wide(wide, cols, ["n_non_null"])
-    return (base.join(per_col, "colonne", "left").join(mode, "colonne", "left")
+    return (base.join(per_col, "colonne", "left")
             .select("colonne", "n", F.col("n_non_null").cast("long").alias("n_non_null"),
                     F.coalesce(F.col("n_modalites"), F.lit(0)).cast("long").alias("n_modalites"),
                     "mode", F.coalesce(F.col("effectif_mode"), F.lit(0)).cast("long").alias("effectif_mode")))

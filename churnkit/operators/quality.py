@@ -147,11 +147,11 @@ def quality_summary(left: DataFrame, mixed: DataFrame) -> DataFrame:
 def suggested_treatments(df: DataFrame, income: str, skewed: str, category: str, min_count: int = 30,
                          low: float = 0.01, high: float = 0.99) -> DataFrame:
     """log(1 + income), winsorised skewed column (exact 1 % / 99 % quantiles), rare
-    categories (< ``min_count`` rows) grouped as 'other'."""
+    categories (< ``min_count`` rows) grouped as 'other'. Names follow the input columns."""
     q = exact_quantiles(df.select(F.col(skewed).cast("double").alias("v")), "v", {"p01": low, "p99": high})
     counts = df.groupBy(category).agg(F.count("*").alias("_cnt"))
     d = df.join(counts, category, "left").crossJoin(F.broadcast(q))   # q: one row
     x = F.col(skewed).cast("double")
-    return d.select("ID", F.log1p(F.col(income).cast("double")).alias("log_mtrev"),
-                    F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.greatest(x, F.col("p01")), F.col("p99"))).alias("bpadh_winsorized"),
-                    F.when(F.col("_cnt") < min_count, F.lit("other")).otherwise(F.col(category)).alias("dtnais_grouped"))
+    return d.select("ID", F.log1p(F.col(income).cast("double")).alias(f"log_{income}"),
+                    F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.least(F.greatest(x, F.col("p01")), F.col("p99"))).alias(f"{skewed}_winsorized"),
+                    F.when(F.col("_cnt") < min_count, F.lit("other")).otherwise(F.col(category)).alias(f"{category}_grouped"))

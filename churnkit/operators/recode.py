@@ -28,7 +28,6 @@ QCUT_BINS = 5
 QCUT_COLUMNS = {"cat_mtrev": "MTREV", "cat_age": "age_ref", "cat_anc": "anciennete_adh_ans"}
 SHIFT_COLUMNS = {"cat_sexe": "CDSEXE", "cat_nbenf": "NBENF"}
 ONE_HOT_COLUMN, ONE_HOT_PREFIX = "CDSITFAM", "sit"
-MAX_ONE_HOT_LEVELS = 1000
 
 
 def _num(c: str) -> Column:
@@ -158,10 +157,8 @@ def fit_recode(prepared: DataFrame, z_columns: list[str] | None = None, exclude=
     first = prepared.groupBy(ONE_HOT_COLUMN).agg(F.min("ID").alias("_first"))
     codes = materialize(dense_row_ids(first, "_first", out_col="_sitfam_code").select(
         ONE_HOT_COLUMN, (F.col("_sitfam_code") - 1).alias("_sitfam_code")))
-    # one-hot levels define the output schema, so they are collected; their number is checked
-    levels = sorted(r[0] for r in codes.select(ONE_HOT_COLUMN).limit(MAX_ONE_HOT_LEVELS + 1).collect())
-    if len(levels) > MAX_ONE_HOT_LEVELS:
-        raise ValueError(f"{ONE_HOT_COLUMN} has more than {MAX_ONE_HOT_LEVELS} levels; one-hot would be too wide")
+    # one column per level, so the levels (not rows) define the output schema and are collected
+    levels = sorted(r[0] for r in codes.select(ONE_HOT_COLUMN).collect())
     # the fitted parameters are small tables: checkpoint them so later plans do not carry
     # (and re-run) the whole fitting lineage
     return RecodeModel(z_cols, materialize(params), codes, levels)
@@ -182,13 +179,17 @@ def min_max_block(df: DataFrame, cols: list[str]) -> DataFrame:
                                        F.lit(0.0)).alias(f"mm_{c}") for c in cols])
 
 
+def one_hot_rows(df: DataFrame, col: str, id_col: str = "ID") -> DataFrame:
+    """F7 / D2 for any number of levels: the ones only, as ``(ID, level)`` rows (no schema per level)."""
+    return df.select(id_col, F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TOKEN)).alias("level"))
+
+
 def one_hot(df: DataFrame, col: str, prefix: str, levels: list[str] | None = None) -> DataFrame:
-    """One-hot of any column (levels collected with a size check when not given)."""
-    if levels is None:
-        rows = df.select(F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TOKEN))).distinct().limit(
-            MAX_ONE_HOT_LEVELS + 1).collect()
-        if len(rows) > MAX_ONE_HOT_LEVELS:
-            raise ValueError(f"{col}: too many levels for one-hot")
-        levels = sorted(r[0] for r in rows)
+    """One-hot of any column, a 0/1 column per level (the levels found, when not given).
+
+    The result is as wide as there are levels; ``one_hot_rows`` is the long form for wide columns.
+    """
     v = F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TOKEN))
+    if levels is None:
+        levels = sorted(r[0] for r in df.select(v).distinct().collect())
     return df.select("ID", *[(v == F.lit(lv)).cast("int").alias(f"{prefix}_{lv}") for lv in levels])

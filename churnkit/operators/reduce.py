@@ -107,7 +107,7 @@ def anova_f_scores(df: DataFrame, features: list[str], target: str = "cible_chur
                F.sum(F.col("cnt") * F.col(f"v_{f}")).alias(f"w_{f}")]
     s = j.groupBy("_N", "_K").agg(*ss)
     rows = [F.struct(F.lit(f).alias("feature"),
-                     F.try_divide(F.col(f"b_{f}") / (F.col("_K") - 1), F.col(f"w_{f}") / (F.col("_N") - F.col("_K"))).alias("f_score"))
+                     F.try_divide(F.try_divide(F.col(f"b_{f}"), F.col("_K") - 1), F.try_divide(F.col(f"w_{f}"), F.col("_N") - F.col("_K"))).alias("f_score"))
             for f in features]
     return s.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

@@ -64,13 +64,13 @@ def features_for_mode(df: DataFrame, mode: str) -> list[str]:
 
 
 def select_features(df: DataFrame, mode: str, keep=(ID_COL, TARGET_COL)) -> DataFrame:
-    """Identifier + integer target + features of the mode (``cat`` codes clipped at 0, int)."""
+    """Identifier + integer target + features of the mode (``cat`` codes clipped at 0, int; NULL stays NULL)."""
     feats = features_for_mode(df, mode)
     cols = [F.col(k) for k in keep if k in df.columns and k != TARGET_COL]
     if TARGET_COL in df.columns and TARGET_COL in keep:
         cols.append(F.col(TARGET_COL).cast("int").alias(TARGET_COL))
     if mode == "cat":
-        cols += [F.greatest(F.col(c), F.lit(0)).cast("int").alias(c) for c in feats]
+        cols += [F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0))).cast("int").alias(c) for c in feats]
     else:
         cols += [F.col(c) for c in feats]
     return df.select(*cols)
@@ -81,41 +81,38 @@ def drop_meta(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in META_COLUMNS if c in df.columns])
 
 
-def infer_roles(df: DataFrame, id_candidates=(ID_COL,), max_code_levels: int = 20) -> DataFrame:
-    """Role of each column from data, in one aggregation over all columns.
+# Declared nature of the study's columns (codes are numbers without a scale, so data can't tell).
+DECLARED_ROLES = {
+    "ID": "identifier", "CDSEXE": "nominal_ordinal", "MTREV": "ratio", "NBENF": "discrete_interval", "CDSITFAM": "nominal",
+    "DTADH": "date", "CDTMT": "nominal", "CDCATCL": "nominal", "BPADH": "unknown", "CDDEM": "nominal", "DTDEM": "date_or_sentinel",
+    "ANNEEDEM": "ordinal_interval", "CDMOTDEM": "nominal", "AGEAD": "interval", "RANGAGEAD": "ordinal", "AGEDEM": "interval",
+    "RANGAGEDEM": "ordinal", "RANGDEM": "ordinal", "ADH": "interval", "RANGADH": "ordinal", "DTNAIS": "date_or_sentinel",
+}
 
-    Rules: declared id or a unique, never-null integer -> ``identifier``; text mostly
-    parsable as ``dd/MM/yyyy`` or ISO date -> ``date`` (``date_or_sentinel`` when some
-    non-null values do not parse); integers with few levels -> ``code``; other numbers ->
-    ``quantitative``; other text -> ``nominal``.
+
+def infer_roles(df: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
+    """Role of each column, with exact counts: ``column, dtype, n_non_null, n_distinct, role``.
+
+    Declared roles come first (``DECLARED_ROLES`` unless given). Other columns are judged by their data:
+    a never-null, all-distinct whole number -> ``identifier``; two values or fewer -> ``binary``; other numbers
+    -> ``quantitative``; text of dates only -> ``date``; text of dates and other values ->
+    ``date_or_sentinel``; other text -> ``nominal``; a column without values -> ``empty``.
+
+    Counts come from one (column, value) aggregate, pre-aggregated before its shuffle.
     """
-    aggs = [F.count("*").alias("__n")]
-    for c in df.columns:
-        col = F.col(c)
-        aggs += [F.count(col).alias(f"{c}__nn"), F.approx_count_distinct(col).alias(f"{c}__nd")]
-        if not is_quantitative(df, c):
-            s = strip(col)
-            parsed = F.coalesce(F.try_to_date(s, "dd/MM/yyyy"), F.try_to_date(s, "yyyy-MM-dd"))
-            aggs.append(F.count_if(parsed.isNotNull()).alias(f"{c}__dates"))
-    row = df.agg(*aggs)
-    rows = []
-    for c in df.columns:
-        dt = df.schema[c].dataType
-        quant = is_quantitative(df, c)
-        integral = quant and dt.typeName() in ("integer", "long", "short", "byte")
-        nn, nd = F.col(f"{c}__nn"), F.col(f"{c}__nd")
-        if quant:
-            role = (F.when(F.lit(c in id_candidates) | (F.lit(integral) & (nn == F.col("__n")) & (nd >= F.col("__n") * 0.98)),
-                           F.lit("identifier"))
-                    .when(F.lit(integral) & (nd <= max_code_levels), F.lit("code"))
-                    .otherwise(F.lit("quantitative")))
-        else:
-            dates = F.col(f"{c}__dates")
-            role = (F.when(F.lit(c in id_candidates), F.lit("identifier"))
-                    .when((nn > 0) & (dates == nn), F.lit("date"))
-                    .when((nn > 0) & (dates >= nn * 0.5), F.lit("date_or_sentinel"))
-                    .otherwise(F.lit("nominal")))
-        rows.append(F.struct(F.lit(c).alias("column"), F.lit(dt.simpleString()).alias("dtype"),
-                             nn.cast("long").alias("n_non_null"), nd.cast("long").alias("approx_distinct"),
-                             role.alias("role")))
-    return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    declared = DECLARED_ROLES if declared is None else declared
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column", "value")
+    values = text.groupBy("column", "value").agg(F.count("*").alias("n"))
+    s = strip("value")
+    dated = F.coalesce(F.try_to_date(s, "d/M/yyyy"), F.try_to_date(s, "yyyy-MM-dd")).isNotNull()
+    found = values.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_non_null"),
+        F.count("value").alias("n_distinct"), F.coalesce(F.sum(F.when(dated, F.col("n"))), F.lit(0)).alias("dates"))
+    known = df.sparkSession.createDataFrame(
+        [(i, c, df.schema[c].dataType.simpleString(), is_quantitative(df, c), df.schema[c].dataType.typeName() in ("integer", "long", "short", "byte"), declared.get(c))
+         for i, c in enumerate(df.columns)], "position int, column string, dtype string, quantitative boolean, whole boolean, declared string")
+    r = known.join(found, "column", "left")
+    n, nn, nd = F.coalesce("rows", F.lit(0)), F.coalesce("n_non_null", F.lit(0)), F.coalesce("n_distinct", F.lit(0))
+    role = (F.when(nn == 0, "empty").when(F.col("whole") & (nn == n) & (nd == n), "identifier").when(nd <= 2, "binary").when(F.col("quantitative"), "quantitative")
+            .when(F.col("dates") == nn, "date").when(F.col("dates") > 0, "date_or_sentinel").otherwise("nominal"))
+    return r.select("column", "dtype", nn.cast("long").alias("n_non_null"), nd.cast("long").alias("n_distinct"), F.coalesce("declared", role).alias("role"))

@@ -56,11 +56,15 @@ def split_quotas(df: DataFrame, target: str = "cible_churn", test_size: float =
 
 def stratified_split(df: DataFrame, target: str = "cible_churn", id_col: str = "ID", seed: int = SEED,
                      test_size: float = TEST_SIZE, val_size: float = VAL_SIZE_IN_REST) -> DataFrame:
-    """adds ``split`` in {'train', 'val', 'test'} with exact per-class sizes."""
+    """adds ``split`` in {'train', 'val', 'test'} with exact per-class sizes.
+
+    Rows without a target are a class of their own: none is lost.
+    """
     quotas = split_quotas(df, target, test_size, val_size)   # one row per class
     keyed = df.withColumn("_h", md5_order_key(id_col, seed))
     pos = dense_row_ids(keyed, "_h", out_col="_pos", group_cols=[target], tie_cols=[id_col])
-    j = pos.join(F.broadcast(quotas.select(target, "n_test", "n_val")), target)
+    small = F.broadcast(quotas.select(F.col(target).alias("_class"), "n_test", "n_val"))
+    j = pos.join(small, pos[target].eqNullSafe(small["_class"])).drop("_class")
     split = (F.when(F.col("_pos") <= F.col("n_test"), F.lit("test"))
              .when(F.col("_pos") <= F.col("n_test") + F.col("n_val"), F.lit("val")).otherwise(F.lit("train")))
     return j.withColumn("split", split).drop("_h", "_pos", "n_test", "n_val")

@@ -18,7 +18,8 @@ def _tag(df: DataFrame, source: str) -> DataFrame:
 
 def _renumber(u: DataFrame, n_buckets: int) -> DataFrame:
     """Fresh dense ``ID`` 1..n: table1 rows first, each source in original-id order."""
-    return dense_row_ids(u, "id_fichier", [("source", SOURCES)], out_col="ID", n_buckets=n_buckets)
+    keyed = u.withColumn("_content", F.xxhash64(*u.columns))   # rows that share an id keep a reproducible order
+    return dense_row_ids(keyed, "id_fichier", [("source", SOURCES)], out_col="ID", n_buckets=n_buckets, tie_cols=["_content"]).drop("_content")
 
 
 def union_common(t1: DataFrame, t2: DataFrame, n_buckets: int | None = None) -> DataFrame:

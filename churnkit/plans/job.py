@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from churnkit.operators import assoc, balance, compare, profile, quality, recode, reduce, split, union
+from churnkit.functions.scalar import leave_target
+from churnkit.operators import assoc, balance, compare, profile, quality, recode, reduce, score, split, union
 from churnkit.plans import experiment
 from churnkit.session import materialize
 from churnkit.sources.io import write_json_summary, write_table
 from churnkit.sources.members import members_left, members_mixed
 
 
-def run(spark: SparkSession, sf_dir: str, out_dir: str, quick: bool = True, use_smote: bool = False,
+def run(spark: SparkSession, sf_dir: str, out_dir: str, quick: bool = False, use_smote: bool = False,
         algo: str = "best") -> dict:
     out = out_dir.rstrip("/")
     t1, t2 = members_left(spark, sf_dir), members_mixed(spark, sf_dir)
@@ -58,17 +59,23 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, quick: bool = True, use_
         write_table(balance.smote_summary(train, bal), f"{out}/split/smote_summary")
         fit_train = bal.drop("is_synthetic")   # synthetic rows carry negative ids
     # tuning, comparison, final evaluation, interpretation
-    board, preds, best_cfg = experiment.tune(spark, fit_train, val, quick=quick)
-    write_table(board, f"{out}/selection/leaderboard")
-    write_table(preds, f"{out}/selection/validation_predictions")
-    algos = [k for k in best_cfg if not k.startswith("_")]
-    tests = compare.mcnemar(compare.wide_predictions(preds, algos), algos)
-    write_table(compare.comparison_report(board, tests), f"{out}/selection/comparison")
-    cfg = experiment.choose(best_cfg, algo)
+    tuned = experiment.tune(spark, fit_train, val, "quick" if quick else "grid")
+    write_table(tuned.fits, f"{out}/selection/fits")
+    write_table(tuned.board, f"{out}/selection/leaderboard")
+    write_table(tuned.predictions, f"{out}/selection/validation_predictions")
+    algos = [r.key for r in tuned.winners.orderBy("position").select("key").collect()]
+    tests = compare.mcnemar(compare.wide_predictions(tuned.predictions, algos), algos)
+    write_table(compare.comparison_report(tuned.board, tests), f"{out}/selection/comparison")
+    cfg = experiment.choose(tuned.winners, algo)
     final = experiment.final_evaluation(spark, train.unionByName(val), test, cfg)
     write_table(final["metrics"], f"{out}/selection/test_metrics")
     write_table(final["report"], f"{out}/selection/test_report")
+    write_table(final["confusion"], f"{out}/selection/test_confusion")
     write_table(experiment.interpretation(spark, final["model"]), f"{out}/selection/interpretation")
+    # first pass, and scoring of the members still present
+    write_table(experiment.first_pass(spark, fit_train, val), f"{out}/selection/first_pass")
+    current = t2.filter(leave_target("DTDEM") == 0).withColumn("source", F.lit("table2"))
+    write_table(score.campaign(score.score_rows(current, model, final["model"])), f"{out}/scoring/campaign")
     summary = {"best": cfg["key"], "params": cfg["params"], "val_roc_auc": cfg["val_roc_auc"]}
     write_json_summary(spark, summary, f"{out}/selection/best_model")
     return summary

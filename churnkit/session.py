@@ -15,12 +15,11 @@ def get_spark(master: str | None = None, app: str = "churnkit", shuffle_partitio
     * AQE on (coalesces tiny shuffles, splits skewed join partitions at runtime),
     * Arrow for the few pandas UDFs,
     * no UI server.
+
+    The master and the number of shuffle partitions are the cluster's (``spark-submit``) unless asked for.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -29,8 +28,13 @@ def get_spark(master: str | None = None, app: str = "churnkit", shuffle_partitio
         .config("spark.ui.enabled", "false")
         # checkpoint files of DataFrames that went out of scope are removed by the context cleaner
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("CHURNKIT_DRIVER_MEMORY", "16g"))
     )
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", os.environ.get("CHURNKIT_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -40,7 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
     On a cluster the setting names a shared, fault-tolerant folder and is used as is.
-    Only when it is unset (local tests) a scratch folder is created and registered.
+    Only when it is unset on a one-machine ``local[...]`` master (tests) a scratch folder is created and
+    registered; anywhere else an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         configured = tempfile.mkdtemp(prefix="churnkit-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

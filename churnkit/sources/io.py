@@ -12,7 +12,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from churnkit.functions.scalar import NULL_TOKENS
 
@@ -24,19 +24,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_members_csv(spark: SparkSession, path: str, schema: StructType, null_tokens=NULL_TOKENS) -> DataFrame:
+def read_members_csv(spark: SparkSession, path: str, schema: StructType, null_tokens=NULL_TOKENS,
+                     multi_line: bool = True) -> DataFrame:
     """SRC1/SRC2: header CSV (UTF-8, a BOM header is handled), explicit schema, NULL tokens.
 
-    Columns are read as text first and cast with ``try_cast`` so that a token such as 'NA' in a
-    numeric column becomes NULL instead of failing the read.
+    Columns are taken by name in the order of ``schema``; a missing one raises, and so does a part file
+    whose header differs from the others. Quotes inside quoted fields are doubled. With ``multi_line``
+    quoted fields may hold line breaks, and each file is one task; switch it off for large files without
+    them. Text is NULL only where it equals a token exactly (a blank string stays one); numbers are
+    trimmed first, and what doesn't parse is NULL.
     """
-    text_schema = StructType([f.__class__(f.name, StringType(), True) for f in schema.fields])
-    raw = (spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-           .schema(text_schema).csv(path))
+    def reader():
+        return (spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+
+    names = [c.lstrip("\ufeff") for c in reader().csv(path).columns]
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"columns {missing} are not in the header of {path}: {names}")
+    raw = reader().option("enforceSchema", False).schema(StructType([StructField(c, StringType(), True) for c in names])).csv(path)
     cols = []
     for f in schema.fields:
-        c = F.when(F.trim(F.col(f.name)).isin(list(null_tokens)), F.lit(None)).otherwise(F.col(f.name))
-        cols.append((c if isinstance(f.dataType, StringType) else c.try_cast(f.dataType)).alias(f.name))
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType):
+            cols.append(F.when(~c.isin(list(null_tokens)), c).alias(f.name))
+        else:
+            cols.append(F.when(~F.trim(c).isin(list(null_tokens)), F.trim(c)).try_cast(f.dataType).alias(f.name))
     return raw.select(*cols)
 
 
@@ -79,7 +92,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def write_csv(df: DataFrame, path: str) -> None:
     """SNK1 (CSV flavour): header, UTF-8, written by the executors in parallel part files."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_json_summary(spark: SparkSession, summary: dict, path: str) -> None:

@@ -125,11 +125,13 @@ def test_auc_matches_pairwise_definition(spark):
     assert roc_auc(d).first()["roc_auc"] == pytest.approx(exp)
 
 
-def test_one_hot_level_guard(spark):
-    from churnkit.operators.recode import MAX_ONE_HOT_LEVELS, one_hot
-    df = spark.range(MAX_ONE_HOT_LEVELS + 5).select(F.col("id").alias("ID"), F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError):
-        one_hot(df, "c", "x")
+def test_one_hot_many_levels(spark):
+    from churnkit.operators.recode import one_hot, one_hot_rows
+    df = spark.range(1200).select(F.col("id").alias("ID"), F.col("id").cast("string").alias("c"))
+    wide = one_hot(df, "c", "x")
+    assert len(wide.columns) == 1201
+    assert wide.filter("ID = 1199").select("x_1199", "x_0").first() == (1, 0)
+    assert one_hot_rows(df, "c").count() == 1200
 
 
 def test_rank_buckets_session_setting(spark):
@@ -146,6 +148,11 @@ def test_rank_buckets_session_setting(spark):
 def test_infer_roles_on_member_table(spark):
     from churnkit.operators.schema import infer_roles
     from churnkit.sources.members import members_mixed
-    roles = {r["column"]: r["role"] for r in infer_roles(members_mixed(spark, "/root/testdata/sf0.001")).collect()}
-    assert roles["ID"] == "identifier" and roles["CDSEXE"] == "code" and roles["CDSITFAM"] == "nominal"
-    assert roles["DTADH"] == "date" and roles["DTNAIS"] == "date_or_sentinel" and roles["MTREV"] == "quantitative"
+    df = members_mixed(spark, "/root/testdata/sf0.001").withColumn("id_fichier", F.col("ID")).withColumn("flag", F.lit(1))
+    roles = {r["column"]: r for r in infer_roles(df).collect()}
+    assert {c: roles[c]["role"] for c in ("ID", "CDCATCL", "CDSITFAM", "MTREV", "DTNAIS")} == {
+        "ID": "identifier", "CDCATCL": "nominal", "CDSITFAM": "nominal", "MTREV": "ratio", "DTNAIS": "date_or_sentinel"}
+    assert roles["id_fichier"]["role"] == "identifier" and roles["flag"]["role"] == "binary"
+    undeclared = {r["column"]: r["role"] for r in infer_roles(df, {}).collect()}
+    assert undeclared["DTADH"] == "date" and undeclared["DTNAIS"] == "date_or_sentinel" and undeclared["MTREV"] == "quantitative"
+    assert roles["id_fichier"]["n_distinct"] == df.count()

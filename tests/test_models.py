@@ -44,13 +44,21 @@ def test_categorical_nb_direct(spark):
         assert got[r[0]] == pytest.approx(p1, rel=1e-12)
 
 
-def test_plan_sizes():
-    from churnkit.plans.experiment import experiment_plan, grid_product
-    assert len(experiment_plan()) == 41 and len(experiment_plan(quick=True)) == 5
-    assert grid_product({"a": [1, 2], "b": ["x"]}) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
+def test_plan_table(spark):
+    from churnkit.plans.experiment import first_points, plan_table
+    full = plan_table(spark).orderBy("position", "grid_index").collect()
+    assert len(full) == 41 and plan_table(spark, "quick").count() == 5 and first_points(plan_table(spark)).count() == 5
+    tree = [r.params for r in full if r.key == "tree"]
+    assert tree[0] == '{"max_depth": null, "criterion": "gini", "min_samples_leaf": 1}'
+    assert tree[1] == '{"max_depth": null, "criterion": "gini", "min_samples_leaf": 5}'
+    assert tree[-1] == '{"max_depth": 10, "criterion": "entropy", "min_samples_leaf": 5}'
+    assert len(set(r.params for r in full if r.key == "rf")) == 12
 
 
-def test_choose_rejects_unknown():
+def test_choose(spark):
     from churnkit.plans.experiment import choose
+    w = spark.createDataFrame([(0, "tree", "{}", 0.7), (1, "rf", '{"a": null}', 0.7), (2, "svm", "{}", None)], "position int, key string, params string, val_roc_auc double")
+    assert choose(w)["key"] == "tree" and choose(w, "rf")["params"] == {"a": None}
+    assert choose(w.filter("key = 'svm'"))["key"] == "svm"
     with pytest.raises(ValueError):
-        choose({"tree": {}, "_best_overall": "tree"}, "knn")
+        choose(w, "knn")
