@@ -14,8 +14,10 @@ Around the tree, Spark does what keeps it distributed and exact:
     stream in constant memory; each run names its smallest member as the cell of its members;
 3.  cells with more shingles than a block are split by hash into blocks, and pairs of blocks are
     the work units, so one group of near copies is spread over many tasks;
-4.  each unit builds the tree, verifies, and returns a spanning forest of the links it found
-    (never all pairs); the components of those edges are computed with DataFrame operations.
+4.  units first get only the points: members without a partner that the tree lets through fall
+    away. The others meet again with their full sets; each unit verifies what survives the tree and
+    returns a spanning forest of the links it found (never all pairs); the components of those edges
+    are computed with DataFrame operations.
 
 Equal sets are one node throughout, so exact copies cost one row each.
 """
@@ -39,9 +41,9 @@ HOT_TOKENS = 1 << 17
 HOT_DOCS = 16
 #: documents ids broadcast at most (8 bytes each); beyond it the planner joins by shuffle
 BROADCAST_IDS = 1 << 20
-#: shingles of one block of a cell
-BLOCK_SHINGLES = 1 << 20
-#: coordinates of a point, and entries of an R-tree leaf
+#: shingles of one block of a cell, when full sets are shipped and when points are
+BLOCK_SHINGLES, BLOCK_POINTS = 1 << 20, 1 << 23
+#: coordinates of a point: at least so many, else an eighth of the shingles or more; entries of an R-tree leaf
 GROUPS, LEAF = 64, 16
 
 
@@ -84,7 +86,7 @@ def hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sig, prefix): size and identity of every document's set, and its prefix tokens."""
+    """(doc_id, n, sig, prefix, point): size and identity of every document's set, its prefix tokens and its point."""
     order = np.argsort(hot)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((hot[order], order.astype(np.int64)))
@@ -92,7 +94,7 @@ def shingle_table(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int)
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = shared.value
         for batch in batches:
-            sizes, sigs, firsts = [], [], []
+            sizes, sigs, firsts, counts = [], [], [], []
             for own in shingle_sets(as_bytes(batch.column(1)), k):
                 n = len(own)
                 take = n - -(-num * n // den) + 1 if n else 0
@@ -110,9 +112,10 @@ def shingle_table(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int)
                 sizes.append(n)
                 sigs.append(_set_id(own))
                 firsts.append(own_first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, dtype=np.int64)), pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), binary_array(firsts)], names=["doc_id", "n", "sig", "prefix"])
+                counts.append(point(own, group_count(n)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, dtype=np.int64)), pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), binary_array(firsts), binary_array(counts)], names=["doc_id", "n", "sig", "prefix", "point"])
 
-    return stage_table(docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, n long, sig long, prefix binary"), "shingles")
+    return stage_table(docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, n long, sig long, prefix binary, point binary"), "shingles")
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +168,21 @@ def _cells(num: int, den: int):
     return run
 
 
-def _points(sets: list[np.ndarray], groups: int) -> np.ndarray:
-    """Count vectors: shingles of each set per group (the group is the top bits of the hash)."""
-    out = np.zeros((len(sets), groups), dtype=np.int32)
-    shift = np.uint64(64 - groups.bit_length() + 1)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s >> shift).astype(np.int64), minlength=groups)
-    return out
+def group_count(n: int) -> int:
+    """Coordinates of the point of a set of n shingles (a power of two)."""
+    return max(GROUPS, 1 << max(0, (n - 1) // 8).bit_length())
+
+
+def point(tokens: np.ndarray, groups: int) -> np.ndarray:
+    """Count vector: shingles per group (the top bits of the hash name the group)."""
+    counts = np.bincount((tokens >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 65535).astype("<u2")
+
+
+def _folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points with the fewest coordinates any of them has: neighbouring groups are added up."""
+    groups = min(len(p) for p in points) if points else GROUPS
+    return np.array([p.astype(np.int32).reshape(groups, -1).sum(axis=1) for p in points], dtype=np.int32).reshape(len(points), groups)
 
 
 class CountTree:
@@ -207,6 +218,24 @@ class CountTree:
         return self.order[nodes[bound >= _needed(self.sizes[nodes], size, num, den)]]
 
 
+def surviving(points: np.ndarray, sizes: np.ndarray, left: int, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, entries that may be linked with it) for the first `left` points.
+
+    Entries are the later points; of the first ones too if `left` is all of them.
+    """
+    base = left if left < len(sizes) else 0
+    if len(sizes) - base <= 4 * LEAF:
+        for q in range(left):
+            own = np.arange(max(base, q + 1), len(sizes))
+            bound = np.minimum(points[own], points[q]).sum(axis=1)
+            yield q, own[bound >= _needed(sizes[own], int(sizes[q]), num, den)]
+        return
+    tree = CountTree(points[base:], sizes[base:])
+    for q in range(left):
+        found = tree.search(points[q], int(sizes[q]), num, den) + base
+        yield q, found[found > q]
+
+
 def linked_forest(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
     """Links that span the components of the sets of one unit (`right` None: pairs within `left`).
 
@@ -215,19 +244,15 @@ def linked_forest(left: list[np.ndarray], right: list[np.ndarray] | None, num: i
     """
     sets = left + (right or [])
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    points = _points(sets, GROUPS)
-    base = len(left) if right is not None else 0
-    tree = CountTree(points[base:], sizes[base:])
+    groups = group_count(int(sizes.min())) if len(sets) else GROUPS
+    points = _folded([point(s, groups) for s in sets])
     starts = np.cumsum(sizes) - sizes
     tokens, local = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
     mark = np.zeros(len(tokens), dtype=np.int32)
     label = np.arange(len(sets))
     edges = []
-    for q in range(len(left)):
-        found = tree.search(points[q], int(sizes[q]), num, den) + base
-        found = found[(found != q) & (label[found] != label[q])]
-        if right is None:
-            found = found[found > q]
+    for q, found in surviving(points, sizes, len(left), num, den):
+        found = found[label[found] != label[q]]
         if not len(found):
             continue
         mine = local[starts[q]:starts[q] + sizes[q]]
@@ -242,20 +267,54 @@ def linked_forest(left: list[np.ndarray], right: list[np.ndarray] | None, num: i
     return edges
 
 
+def _unit(table: pa.Table, payload: str, dtype: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
+    """(sig, n, payload) of a unit's rows, those of block i first, and how many these are."""
+    block = table.column("block").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    mine = np.flatnonzero(block == i)
+    order = np.concatenate([mine, np.flatnonzero(block == j)]) if i != j else mine
+    data = table.column(payload).to_pylist()
+    return table.column("sig").to_numpy()[order], table.column("n").to_numpy()[order], [np.frombuffer(data[k], dtype=dtype) for k in order], len(mine)
+
+
+def _unit_survivors(num: int, den: int):
+    """Members with a partner that the bound lets through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        names = ["cell", "cell_n", "sig", "n"]
+
+        def flush():
+            rows = np.concatenate(out, axis=1) if out else np.zeros((4, 0), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=names)
+
+        for unit in sorted_groups(batches, ["cell", "cell_n", "i", "j"]):
+            sig, n, points, left = _unit(unit, "point", "<u2")
+            keep = np.zeros(len(sig), dtype=bool)
+            for q, found in surviving(_folded(points), n, left, num, den):
+                if len(found):
+                    keep[q] = True
+                    keep[found] = True
+            if keep.any():
+                cell, cell_n = unit.column("cell")[0].as_py(), unit.column("cell_n")[0].as_py()
+                m = int(keep.sum())
+                out.append(np.stack([np.full(m, cell), np.full(m, cell_n), sig[keep], n[keep]]))
+                size += m
+                if size > 10_000:
+                    yield flush()
+                    out, size = [], 0
+        yield flush()
+    return run
+
+
 def _unit_links(num: int, den: int):
+    """Links between the sets of each unit, as a spanning forest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for unit in sorted_groups(batches, ["cell", "cell_n", "i", "j"]):
-            sig = unit.column("sig").to_numpy()
-            block = unit.column("block").to_numpy()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in unit.column("tokens").to_pylist()]
-            i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
-            mine = np.flatnonzero(block == i)
-            other = np.flatnonzero(block == j) if i != j else np.zeros(0, int)
-            ids = sig[np.concatenate([mine, other])]
-            for x, y in linked_forest([sets[k] for k in mine], [sets[k] for k in other] if i != j else None, num, den):
-                a.append(ids[x])
-                b.append(ids[y])
+            sig, _, sets, left = _unit(unit, "tokens", "<u8")
+            for x, y in linked_forest(sets[:left], sets[left:] or None, num, den):
+                a.append(sig[x])
+                b.append(sig[y])
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -263,6 +322,18 @@ def _unit_links(num: int, den: int):
     return run
 
 
+def _by_unit(cells: DataFrame, payload: DataFrame, block: int) -> DataFrame:
+    """Work units of cells: rows of each pair of blocks together, with their `payload` (sig, n, ...)."""
+    blocks = cells.groupBy("cell", "cell_n").agg((F.ceil(F.sum("n") / F.lit(block))).cast("int").alias("nb"))
+    members = (cells.join(blocks, ["cell", "cell_n"])
+               .withColumn("block", F.pmod(F.xxhash64("sig", "n"), F.col("nb")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+               .select("cell", "cell_n", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n"))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.join(payload, ["sig", "n"])
+    return rows.repartition(parts, "cell", "cell_n", "i", "j").sortWithinPartitions("cell", "cell_n", "i", "j", "sig")
+
+
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Groups of documents connected by shingle Jaccard similarity >= num / den.
 
@@ -278,17 +349,14 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     table = shingle_table(docs, hot_shingles(docs, k), k, num, den)
     sets = table.filter("n > 0").select("sig", "n", "prefix")
     rows = sets.mapInArrow(_token_rows, "token long, sig long, n long")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "sig")
     cells = stage_table(runs.mapInArrow(_cells(num, den), "cell long, cell_n long, sig long, n long").distinct(), "cells")
 
-    # work units: blocks of a cell, and pairs of blocks
-    blocks = cells.groupBy("cell", "cell_n").agg((F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("nb"))
-    members = (cells.join(blocks, ["cell", "cell_n"])
-               .withColumn("block", F.pmod(F.xxhash64("sig", "n"), F.col("nb")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-               .select("cell", "cell_n", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n"))
+    # members that the bound on their points lets through
+    points = table.filter("n > 0").groupBy("sig", "n").agg(F.first("point").alias("point"))
+    survivors = _by_unit(cells, points, BLOCK_POINTS).mapInArrow(_unit_survivors(num, den), "cell long, cell_n long, sig long, n long")
+    cells = stage_table(survivors.distinct(), "survivors")
 
     # full sets of the members, recomputed from one document of each
     nodes = cells.select("sig", "n").distinct()
@@ -303,8 +371,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_set_id(s) for s in own], dtype=np.uint64).view(np.int64)), pa.array(np.array([len(s) for s in own], dtype=np.int64)), binary_array(own)], names=["sig", "n", "tokens"])
 
     full = docs.join(picked, "doc_id", "left_semi").select("text").mapInArrow(full_sets, "sig long, n long, tokens binary")
-    units = members.join(full.dropDuplicates(["sig", "n"]), ["sig", "n"])
-    units = units.repartition(parts, "cell", "cell_n", "i", "j").sortWithinPartitions("cell", "cell_n", "i", "j", "sig")
+    units = _by_unit(cells, full.dropDuplicates(["sig", "n"]), BLOCK_SHINGLES)
     links = units.mapInArrow(_unit_links(num, den), "a long, b long")
 
     # links between sets, and between a set and the ids that hold it; nodes are sets
