@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from churnkit.llm.tables import as_bytes, extended
-from churnkit.llm.wordhash import mix64, word_hashes
+from churnkit.llm.wordhash import chunks, mix64, word_hashes
 
 #: pre-tokens remembered by a task before it starts afresh
 MEMO_SIZE = 500_000
@@ -116,25 +117,34 @@ class PerfectHash:
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of a pre-token: merge the lowest-ranked neighbouring pieces until none is in the vocabulary."""
     n = len(piece)
-    after = list(range(1, n + 2))   # start of the next piece
+    rank = ranks.get
+    after = list(range(1, n + 2))   # start of the next piece; 0 for a piece that was merged away
     before = list(range(-1, n))     # start of the piece before
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
+    heap = []
+    for i in range(n - 1):
+        r = rank(piece[i:i + 2])
+        if r is not None:
+            heap.append((r, i, i + 2))
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        _, i, stop = pop(heap)
         j = after[i]
-        if not alive[i] or j >= n or after[j] != stop:
+        if not j or j >= n or after[j] != stop:
             continue
-        alive[j] = False
+        after[j] = 0
         after[i] = stop
         if stop < n:
             before[stop] = i
             longer = after[stop]
-            if (r := ranks.get(piece[i:longer])) is not None:
-                heapq.heappush(heap, (r, i, longer))
-        if before[i] >= 0 and (r := ranks.get(piece[before[i]:stop])) is not None:
-            heapq.heappush(heap, (r, before[i], stop))
+            r = rank(piece[i:longer])
+            if r is not None:
+                push(heap, (r, i, longer))
+        k = before[i]
+        if k >= 0:
+            r = rank(piece[k:stop])
+            if r is not None:
+                push(heap, (r, k, stop))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:after[i]]])
@@ -153,21 +163,25 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Resolve pre-tokens that the memo does not hold."""
-        new = [p for p in pieces if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO_SIZE:
-            self.memo.clear()
+        memo = self.memo
+        new = [p for p in pieces if p not in memo]
+        if len(memo) + len(new) > MEMO_SIZE:
+            memo.clear()
             new = list(pieces)
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
         for piece, own, rank in zip(new, raw, self.index.find(raw, self.tokens).tolist(), strict=True):
-            ids = [rank] if rank >= 0 else merge_bytes(own, self.ranks)
-            self.memo[piece] = np.array(ids, dtype="<u4").tobytes()
+            if rank >= 0:
+                memo[piece] = rank.to_bytes(4, "little")
+            else:
+                ids = merge_bytes(own, self.ranks)
+                memo[piece] = pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            pieces = self.split(text)
-            self.learn(set(pieces))
-            yield b"".join(map(self.memo.__getitem__, pieces))
+        split = list(map(self.split, texts))
+        self.learn(set().union(*split))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in split]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -191,9 +205,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
             _ENCODERS[key] = Encoder(*shared.value, pattern)
         encoder = _ENCODERS[key]
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids = list(encoder.encode([t or "" for t in part.column(at).to_pylist()]))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in chunks(texts, 1_000_000):
+                part = batch.slice(a, b - a)
+                ids = encoder.encode(texts[a:b])
                 n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, n, pa.array(ids, type=pa.binary())], names=[*kept, "n_tokens", "token_ids"])
 

@@ -86,7 +86,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, dtype=np.uint64)
     running = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_CODE[data] * _powers(POWER, len(data)), out=running[1:])
-    total = (running[ends] - running[starts]) * _powers(INVERSE, len(data))[starts]
+    total = (running[ends] - running[starts]) * _powers(INVERSE, len(data) + 1)[starts]
     return mix64(total + (ends - starts).astype(np.uint64))
 
 
@@ -127,8 +127,8 @@ def distinct_sets(values: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray
         at += n
 
 
-def chunks(raw: list[bytes], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of a batch of about `size` bytes each (a longer text stands alone)."""
+def chunks(raw: list, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Index ranges of a batch of texts of about `size` bytes (characters) each, or one text more."""
     at = total = 0
     for i, r in enumerate(raw):
         total += len(r) + 1
