@@ -164,19 +164,27 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are one, named after the first. If there is a column n_chars, it gets the new
     length of changed texts. A null text stays null.
     """
-    columns = docs.columns
-    found = personal_data(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_code").alias("_code"), "spans").dropDuplicates(["_doc", "_code"])
+    found = personal_data(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("doc"), F.col("text_code").alias("code"), "spans").dropDuplicates(["doc", "code"])
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    text = F.col("row.text")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
+        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
         return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = docs.withColumn("_text_code", F.xxhash64("text"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc"]) & (rows["_text_code"] == found["_code"]), "left")
-    rows = rows.withColumn("_new", F.when(F.col("spans").isNotNull(), cleaned).otherwise(F.col("text")))
-    out = [F.col("_new").alias("text") if c == "text" else F.when(F.col("spans").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in columns]
-    return rows.select(out)
+    cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # the row travels as one value, so that no name of its columns can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("own_code"))
+    rows = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc")) & (F.col("own_code") == F.col("code")), "left")
+    rows = rows.select("row", "spans", F.when(F.col("spans").isNotNull(), cleaned).otherwise(text).alias("new"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("new").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("spans").isNotNull(), F.length("new")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"row.`{c}`").alias(c)
+
+    return rows.select(*[column(c) for c in docs.columns])
