@@ -31,6 +31,8 @@ TRAIN_ROWS = 20_000
 WORDS, FORMS, DIMS, NONZERO = 8192, 512, 64, 4
 BUCKETS = WORDS + FORMS + 1
 HIDDEN, EPOCHS, SEED = 32, 40, 7
+#: texts pooled at once
+TEXTS = 128
 
 _bit = np.zeros(256, dtype=np.uint32)
 _bit[97:123], _bit[65:91], _bit[48:58], _bit[128:] = 1, 2, 4, 8
@@ -70,8 +72,9 @@ def context_table(raw: list[bytes], out: np.ndarray) -> None:
     for a, b in ((word, word), (word, form), (form, form)):
         pairs += [(a[1:][near], b[:-1][near]), (a[:-1][near], b[1:][near])]
     for target, context in pairs:
+        base = target * DIMS
         for t in range(NONZERO):
-            flat += np.bincount(target * DIMS + INDEX_AT[context, t], weights=INDEX_SIGN[context, t], minlength=len(flat))
+            flat += np.bincount(base + INDEX_AT[context, t], weights=INDEX_SIGN[context, t], minlength=len(flat))
     out[:, :DIMS] += flat.reshape(BUCKETS, DIMS)
     out[:, DIMS] += np.bincount(np.concatenate([word, form, repeat]), minlength=BUCKETS)
 
@@ -83,7 +86,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         total = np.zeros((BUCKETS, DIMS + 1))
         for batch in batches:
             raw = as_bytes(batch.column(0))
-            for i, j in chunks(raw, 1_000_000):
+            for i, j in chunks(raw, 2_000_000):
                 context_table(raw[i:j], total)
         used = np.flatnonzero(total[:, DIMS])
         yield pa.RecordBatch.from_arrays([pa.array(used), binary_array(total[used].astype(np.float32))], names=["bucket", "vector"])
@@ -110,16 +113,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def document_vectors(raw: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """Pooled vectors of texts: word part, form part, log of the number of tokens."""
     out = np.zeros((len(raw), 2 * DIMS + 1), dtype=np.float32)
-    for i, j in chunks(raw, 500_000):
+    for i, j in [(a, min(a + TEXTS, z)) for x, z in chunks(raw, 1_000_000) for a in range(x, z, TEXTS)]:
         word, form, again, counts = token_buckets(raw[i:j])
-        full = np.flatnonzero(counts)
-        if not len(full):
+        if not len(word):
             continue
-        at = (np.cumsum(counts) - counts)[full]
-        n = counts[full, None]
-        out[i + full, :DIMS] = np.add.reduceat(vectors[word], at) / n
-        out[i + full, DIMS:2 * DIMS] = (np.add.reduceat(vectors[form], at) + np.add.reduceat(again.astype(np.float32), at)[:, None] * vectors[-1]) / n
-        out[i + full, -1] = np.log1p(counts[full]) / 10
+        row = np.repeat(np.arange(j - i), counts) * BUCKETS
+        held = np.bincount(np.concatenate([row + word, row + form, row[again] + BUCKETS - 1]), minlength=(j - i) * BUCKETS)
+        held = held.reshape(j - i, BUCKETS).astype(np.float32) / np.maximum(counts, 1).astype(np.float32)[:, None]
+        out[i:j, :DIMS] = held[:, :WORDS] @ vectors[:WORDS]
+        out[i:j, DIMS:2 * DIMS] = held[:, WORDS:] @ vectors[WORDS:]
+        out[i:j, -1] = np.log1p(counts) / 10
     return out
 
 
