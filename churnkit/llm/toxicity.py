@@ -1,9 +1,9 @@
 """Toxicity: linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are the distinct character n-grams (lengths 3 to 5, word boundaries included)
-of its words, hashed to 2^18 numbers. For each feature, the log ratio of its smoothed document
+A document's features are the distinct character n-grams (lengths 3 to 8, word boundaries included)
+of its words, hashed to 2^20 numbers. For each feature, the log ratio of its smoothed document
 frequency in the two classes is its scale; a logistic regression is learned on the scaled features
-that tell the classes apart. Scales and weights come from at most TRAIN_ROWS labelled documents; a
+that speak for toxicity. Scales and weights come from at most TRAIN_ROWS labelled documents; a
 score needs only the text, word by word, in constant memory.
 """
 
@@ -22,11 +22,12 @@ from churnkit.llm.wordhash import BYTE_CODE, INVERSE, POWER, _powers, byte_class
 
 #: labelled documents learned from, at most
 TRAIN_ROWS = 20_000
-LENGTHS, FEATURES, SHIFT = (3, 4, 5), 1 << 18, np.uint64(64 - 18)
+LENGTHS, FEATURES, SHIFT = (3, 4, 5, 6, 7, 8), 1 << 20, np.uint64(64 - 20)
 #: documents that stand for what was not seen
 PRIOR = 10.0
-#: features whose log ratio is smaller than this are left out of the regression
-LEAST_RATIO = 2.0
+#: features whose log ratio is smaller than this are left out of the regression (those that speak for the
+#: other class too: ordinary words don't excuse a toxic one, however many there are)
+LEAST_RATIO = 1.0
 STEPS, PENALTY = 150, 1e-4
 
 #: words are runs of letters, digits and all characters beyond ASCII
@@ -82,7 +83,7 @@ def log_ratios(seen: np.ndarray, n0: int, n1: int) -> np.ndarray:
     p = (seen[1] + PRIOR * n1 / (n0 + n1)) / n1
     q = (seen[0] + PRIOR * n0 / (n0 + n1)) / n0
     ratio = np.log(p) - np.log(q)
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0
+    ratio[ratio < LEAST_RATIO] = 0
     return ratio
 
 
