@@ -1098,17 +1098,50 @@ def train_rows(spark, sf):
     return matrix_split(spark, sf).filter(F.col("split") == "train").drop("split")
 
 
-@query("F18_smote_train")
-def q_f18(spark, sf):
-    from churnkit.operators.balance import smote
-    return smote(train_rows(spark, sf), MATRIX_FEATURES)
-
-
-@query("J5_minority_neighbours")
+def train_rounded(spark, sf):
+    """Training rows with scores to 6 decimals, so that distances are the same bits in any engine."""
+    return train_rows(spark, sf).select("ID", "cible_churn", *[F.round(f, 6).alias(f) if f.startswith("z_") else F.col(f) for f in MATRIX_FEATURES])
+
+
+_DISTANCE = "0.0" + "".join(f" + (a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(len(MATRIX_FEATURES)))
+NEIGHBOUR_CTE = f"""
+train_rows AS (SELECT m.ID, s.cible_churn, {', '.join(f"{f'round({f}, 6)' if f.startswith('z_') else f'CAST({f} AS DOUBLE)'} AS f{i}" for i, f in enumerate(MATRIX_FEATURES))}
+          FROM matrix m JOIN splitted s ON s.ID = m.ID WHERE s.split = 'train'),
+cls_n AS (SELECT cible_churn AS c, count(*) AS n FROM train_rows GROUP BY cible_churn),
+minority AS (SELECT c, n, (SELECT max(n) FROM cls_n) - n AS n_syn FROM cls_n ORDER BY n, c LIMIT 1),
+mino AS (SELECT t.*, min(ID) OVER (PARTITION BY {', '.join(f'f{i}' for i in range(len(MATRIX_FEATURES)))}) AS gid
+         FROM train_rows t, minority WHERE t.cible_churn = minority.c),
+neighbours AS (
+  SELECT ID, CAST(row_number() OVER (PARTITION BY ID ORDER BY d2, nid, nbr_id) - 1 AS INTEGER) AS j, nbr_id
+  FROM (SELECT a.ID, b.ID AS nbr_id, b.gid AS nid, {_DISTANCE} AS d2 FROM mino a JOIN mino b ON a.ID <> b.ID)
+  QUALIFY row_number() OVER (PARTITION BY ID ORDER BY d2, nid, nbr_id) <= 5)"""
+
+
+@query("J5_minority_neighbours", with_members(UNION_FULL_CTE, MATRIX_CTE, SPLIT_CTE, NEIGHBOUR_CTE, body="SELECT ID, j, nbr_id FROM neighbours"))
 def q_j5(spark, sf):
     from churnkit.operators.balance import minority_neighbours
-    tr = train_rows(spark, sf)
-    return minority_neighbours(tr.filter(F.col("cible_churn") == 0), MATRIX_FEATURES, 5)
+    return minority_neighbours(train_rounded(spark, sf).filter(F.col("cible_churn") == 0), MATRIX_FEATURES, 5).withColumn("j", F.col("j").cast("int"))
+
+
+def _sql_synthetic(i: int, f: str) -> str:
+    x = f"(b.f{i} + lam * (n.f{i} - b.f{i}))"
+    return f"{sround(x)} AS {f}" if f.startswith("z_") else f"CAST(trunc({x}) AS INTEGER) AS {f}"
+
+
+@query("F18_smote_train", with_members(UNION_FULL_CTE, MATRIX_CTE, SPLIT_CTE, NEIGHBOUR_CTE, f"""
+place AS (SELECT ID, row_number() OVER (ORDER BY ID) AS p FROM mino),
+have AS (SELECT ID, count(*) AS k FROM neighbours GROUP BY ID),
+draws AS (SELECT id, md5(CAST(id AS VARCHAR) || '|42') AS h FROM (SELECT unnest(range((SELECT CAST(n_syn AS BIGINT) FROM minority))) AS id)),
+drawn AS (SELECT -id - 1 AS sid, CAST(('0x' || substr(h, 1, 12)) AS BIGINT) % (SELECT n FROM minority) + 1 AS p,
+                 CAST(('0x' || substr(h, 13, 8)) AS BIGINT) AS jr, CAST(('0x' || substr(h, 21, 8)) AS BIGINT) / 4294967296.0 AS lam FROM draws)""", body=f"""
+SELECT ID, {', '.join(f"{sround(f'f{i}') if f.startswith('z_') else f'CAST(f{i} AS INTEGER)'} AS {f}" for i, f in enumerate(MATRIX_FEATURES))}, cible_churn, false AS is_synthetic FROM train_rows
+UNION ALL
+SELECT d.sid, {', '.join(_sql_synthetic(i, f) for i, f in enumerate(MATRIX_FEATURES))}, b.cible_churn, true
+FROM drawn d JOIN place USING (p) JOIN have USING (ID) JOIN neighbours x ON x.ID = place.ID AND x.j = d.jr % have.k
+JOIN mino b ON b.ID = place.ID JOIN mino n ON n.ID = x.nbr_id"""))
+def q_f18(spark, sf):
+    from churnkit.operators.balance import smote
+    return rounded(smote(train_rounded(spark, sf), MATRIX_FEATURES))
 
 
 @query("A13_smote_summary", with_members(UNION_FULL_CTE, SPLIT_CTE, body="""

@@ -6,11 +6,13 @@ k-NN inside the minority class, exact, without enumerating all pairs:
 1. identical feature vectors are collapsed into groups; a row's first neighbours are the
    other rows of its own group (distance 0, smallest ranks first), so a hot duplicate group
    never has to be searched or gathered;
-2. distinct vectors are sorted on a 1-D projection ``u = sum(x)/sqrt(d)`` (``|u_a - u_b| <=
-   ||a - b||``); each vector takes the vectors of its own and both adjacent position blocks
-   as candidates, and the result is proven exact when the k-th candidate distance is
-   smaller than the projection gap to the nearest vector outside those blocks;
-3. vectors that fail the proof are re-searched exactly with a band join on ``u``.
+2. distinct vectors are cut at medians of their widest coordinates, level by level, into
+   blocks of at most ``BLOCK_ROWS`` vectors (a k-d partition built with grouped aggregates);
+3. each vector's k nearest inside its own block bound its radius; it then goes down the tree, a few
+   levels a step, to the nodes whose bounding boxes its radius reaches;
+4. only the vectors of the blocks it ends in are compared; what is within the radius is ranked.
+
+Everything is joins and grouped aggregates of fixed-size blocks; there is no Python step.
 
 Synthetic rows: for s in 0..S-1 (S = majority - minority), seeded md5 picks the base row,
 the neighbour rank and the step lambda in [0, 1); x_new = x + lambda * (x_nn - x); integer
@@ -19,60 +21,16 @@ features are truncated back to integers.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from churnkit.functions.ranks import dense_row_ids
 from churnkit.session import materialize
 
 K_NEIGHBOURS = 5
 SEED = 42
-MAX_BAND_BUCKETS = 1024
-_KNN_SCHEMA = StructType([StructField("gid", LongType()), StructField("nid", LongType()), StructField("d2", DoubleType())])
-
-
-def _knn_block(pdf: pd.DataFrame, k: int, dim: int, chunk: int = 256) -> pd.DataFrame:
-    """Exact k nearest candidates (by squared distance, then id) of the query rows of one group.
-
-    Squared distances come from the BLAS identity |a|^2 + |b|^2 - 2ab; the neighbours within a
-    relative 1e-9 of the k-th are then re-measured exactly as sum((a - b)^2) (the same sum as the
-    Spark path) so ties and rounding cannot change the chosen set.
-    """
-    xs = [f"x{i}" for i in range(dim)]
-    qd = pdf[pdf["is_q"]]
-    cd = pdf[~pdf["is_q"]].drop_duplicates("gid")
-    C = cd[xs].to_numpy(dtype=np.float64)
-    cid = cd["gid"].to_numpy(dtype=np.int64)
-    cn = (C * C).sum(axis=1)
-    out_g, out_n, out_d = [], [], []
-    Q = qd[xs].to_numpy(dtype=np.float64)
-    qid = qd["gid"].to_numpy(dtype=np.int64)
-    for s0 in range(0, len(Q), chunk):
-        qb, ib = Q[s0:s0 + chunk], qid[s0:s0 + chunk]
-        approx = (qb * qb).sum(axis=1)[:, None] + cn[None, :] - 2.0 * qb @ C.T
-        approx[ib[:, None] == cid[None, :]] = np.inf
-        for row in range(len(qb)):
-            a = approx[row]
-            kk = min(k, int(np.isfinite(a).sum()))
-            if kk == 0:
-                continue
-            kth = np.partition(a, kk - 1)[kk - 1]
-            sel = np.nonzero(a <= kth + 1e-9 * (abs(kth) + 1.0))[0]
-            diff = C[sel] - qb[row]
-            exact = np.zeros(len(sel))
-            for j in range(dim):          # same left-to-right sum as the Spark expression
-                exact = exact + diff[:, j] * diff[:, j]
-            order = np.lexsort((cid[sel], exact))[:kk]
-            out_g.extend([ib[row]] * kk)
-            out_n.extend(cid[sel][order].tolist())
-            out_d.extend(exact[order].tolist())
-    return pd.DataFrame({"gid": np.array(out_g, dtype=np.int64), "nid": np.array(out_n, dtype=np.int64),
-                         "d2": np.array(out_d, dtype=np.float64)})
+BLOCK_ROWS = 32     # distinct vectors of a block
+LEVELS = 5          # tree levels of one step down
 
 
 def _d2(dim: int) -> Column:
@@ -84,6 +42,50 @@ def _hex_int(h: Column, start: int, length: int) -> Column:
     return F.conv(F.substring(h, start, length), 16, 10).cast("long")
 
 
+def kd_blocks(groups: DataFrame, dim: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``blk`` (long): nodes of more than ``block`` vectors are cut at the median of their widest
+    coordinate until none is left. The vectors are distinct, so every cut leaves both sides filled."""
+    xs = [f"x{i}" for i in range(dim)]
+    g = materialize(groups.withColumn("blk", F.lit(1).cast("long")))
+    while True:
+        # per node: its widest coordinate, where that ends, and its median
+        widest = F.array_max(F.array(*[F.struct((F.max(x) - F.min(x)).alias("w"), F.lit(i).alias("i"), F.max(x).alias("hi"), F.percentile_approx(x, 0.5).alias("m"))
+                                       for i, x in enumerate(xs)]))
+        cuts = materialize(g.groupBy("blk").agg(F.count("*").alias("n"), widest.alias("cut")).filter(F.col("n") > block).select("blk", "cut"))
+        if cuts.isEmpty():
+            return g
+        v, m = F.element_at(F.array(*xs), F.col("cut.i") + 1), F.col("cut.m")
+        right = (v > m) | ((m == F.col("cut.hi")) & (v == m))
+        g = materialize(g.join(cuts, "blk", "left").withColumn("blk", F.when(F.col("cut").isNull(), F.col("blk")).otherwise(2 * F.col("blk") + right.cast("int"))).drop("cut"))
+
+
+def _ancestor(level: int) -> Column:
+    """Node at depth ``level`` above a block (the block itself if it isn't that deep)."""
+    depth = F.floor(F.log2(F.col("blk"))).cast("int")
+    return F.when(depth <= level, F.col("blk")).otherwise(F.expr(f"shiftright(blk, cast(floor(log2(blk)) as int) - {level})"))
+
+
+def comparisons(g: DataFrame, radius: DataFrame, dim: int) -> DataFrame:
+    """(gid, x.., r2, oblk, rows): the blocks that vectors must be compared with, and their sizes.
+
+    The tree is descended LEVELS levels at a time: a vector goes on to the nodes whose bounding box is
+    within its radius, so the rows at each step are the nodes visited, not vectors times blocks.
+    """
+    xs = [f"x{i}" for i in range(dim)]
+    depth = g.agg(F.max(F.floor(F.log2("blk")))).first()[0] or 0
+    ends = [F.min(x).alias(f"lo_{x}") for x in xs] + [F.max(x).alias(f"hi_{x}") for x in xs]
+    near = g.join(radius, "gid").select("gid", *xs, "r2", F.lit(1).cast("long").alias("node"))
+    gap = [F.greatest(F.col(f"lo_{x}") - F.col(x), F.col(x) - F.col(f"hi_{x}"), F.lit(0.0)) for x in xs]
+    reach = sum((e * e for e in gap), F.lit(0.0)) <= F.col("r2")
+    for level in range(LEVELS, int(depth) + LEVELS, LEVELS):
+        boxes = g.groupBy(_ancestor(level - LEVELS).alias("node"), _ancestor(level).alias("below")).agg(*ends, F.count("*").alias("rows"))
+        step = near.drop("rows").join(materialize(boxes), "node").filter(reach)
+        near = step.select("gid", *xs, "r2", F.col("below").alias("node"), "rows")
+    if "rows" not in near.columns:
+        near = near.withColumn("rows", F.lit(g.count()))
+    return near.withColumnRenamed("node", "oblk")
+
+
 def _group_knn(groups: DataFrame, k: int, block: int, dim: int) -> DataFrame:
     """Exact k nearest distinct vectors: ``(gid, nid, d2)`` for the k nearest other groups.
 
@@ -91,53 +93,28 @@ def _group_knn(groups: DataFrame, k: int, block: int, dim: int) -> DataFrame:
     """
     xs = [f"x{i}" for i in range(dim)]
     ys = [F.col(f"x{i}").alias(f"y{i}") for i in range(dim)]
-    # unit-norm projection: |u_a - u_b| <= ||a - b|| (Cauchy-Schwarz)
-    g = groups.withColumn("u", sum((F.col(x) for x in xs), F.lit(0.0)) / math.sqrt(dim))
-    g = dense_row_ids(g, "u", out_col="pos", tie_cols=["gid"])
-    # positions feed four later joins: cut the lineage once (reliable checkpoint)
-    g = materialize(g.withColumn("blk", F.floor((F.col("pos") - 1) / block).cast("long")))
-    bstats = g.groupBy("blk").agg(F.min("u").alias("umin"), F.max("u").alias("umax"))
-    q = g.select("gid", *xs, "u", "blk")
-    cand = g.select(F.col("gid").alias("nid"), *ys,
-                    F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"))
-    pairs = q.join(cand, "blk").filter(F.col("gid") != F.col("nid")).select("gid", "nid", _d2(dim).alias("d2"))
-    w = Window.partitionBy("gid").orderBy("d2", "nid")     # <= 3 * block candidates per vector
-    top = materialize(pairs.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k))
-    radius = top.groupBy("gid").agg(F.max("d2").alias("r2"))
-    left = bstats.select((F.col("blk") + 2).alias("blk"), F.col("umax").alias("u_left_out"))
-    right = bstats.select((F.col("blk") - 2).alias("blk"), F.col("umin").alias("u_right_out"))
-    chk = q.join(radius, "gid", "left").join(left, "blk", "left").join(right, "blk", "left")
-    r = F.sqrt(F.coalesce(F.col("r2"), F.lit(0.0)))
-    exact = ((F.col("u_left_out").isNull() | (F.col("u") - F.col("u_left_out") > r))
-             & (F.col("u_right_out").isNull() | (F.col("u_right_out") - F.col("u") > r)))
-    chk = materialize(chk.withColumn("exact", exact).withColumn("r", r)
-                      .withColumn("r2", F.coalesce(F.col("r2"), F.lit(0.0))))
-    good = top.join(chk.filter("exact").select("gid"), "gid").select("gid", "nid", "d2")
-    # exact re-search for the rest: every vector within the k-th candidate distance on u.
-    # Vectors are bucketed on u (at most MAX_BAND_BUCKETS buckets: a proven bound on the group
-    # table); each query bucket receives the vectors of the bucket range its queries can reach,
-    # and distances are evaluated in vectorised numpy blocks per group (never as row pairs).
-    bad = chk.filter(~F.col("exact")).select("gid", *xs, "u", "r", "r2")
-    span = g.agg(F.min("u").alias("umin"), F.max("u").alias("umax"))
-    hw = bad.agg(F.percentile_approx("r", 0.9).alias("p90")).crossJoin(span).select(
-        "umin", F.greatest(F.coalesce(F.col("p90"), F.lit(0.0)),
-                           (F.col("umax") - F.col("umin")) / MAX_BAND_BUCKETS, F.lit(1e-9)).alias("h"))
-    hw = materialize(hw)                                    # one row
-    bucket = lambda u: F.floor((u - F.col("umin")) / F.col("h")).cast("long")
-    q = bad.crossJoin(F.broadcast(hw)).select(
-        "gid", *xs, "r2", bucket(F.col("u")).alias("qb"),
-        bucket(F.col("u") - F.col("r")).alias("lo"), bucket(F.col("u") + F.col("r")).alias("hi"))
-    reach = q.groupBy("qb").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))   # <= MAX_BAND_BUCKETS + 1 rows
-    pts = g.crossJoin(F.broadcast(hw)).select("gid", *xs, bucket(F.col("u")).alias("pb"))
-    cands = (pts.join(F.broadcast(reach), (F.col("pb") >= F.col("lo")) & (F.col("pb") <= F.col("hi")))
-             .select("qb", "gid", *xs, F.lit(None).cast("double").alias("r2"), F.lit(False).alias("is_q")))
-    queries = q.select("qb", "gid", *xs, "r2", F.lit(True).alias("is_q"))
-    fixed = (queries.unionByName(cands).groupBy("qb")
-             .applyInPandas(lambda pdf: _knn_block(pdf, k, dim), _KNN_SCHEMA))
-    return good.unionByName(fixed)
-
-
-def minority_neighbours(rows: DataFrame, features: list[str], k: int = K_NEIGHBOURS, block: int = 32,
+    g = kd_blocks(groups, dim, max(block, k + 1))
+    w = Window.partitionBy("gid").orderBy("d2", "nid")
+    # the own block: at most `block` candidates per vector
+    own = g.join(g.select(F.col("gid").alias("nid"), *ys, "blk"), "blk").filter(F.col("gid") != F.col("nid")).select("gid", "nid", _d2(dim).alias("d2"))
+    top = materialize(own.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("gid", "nid", "d2"))
+    radius = materialize(g.select("gid", "blk", *xs).join(top, "gid", "left").groupBy("gid", "blk", *xs).agg(
+        F.when(F.count("d2") >= k, F.max("d2")).alias("r2")))
+    # a block with fewer than k others bounds nothing: look among the vectors under a common node above
+    up = F.expr(f"shiftright(blk, greatest(0, least({LEVELS}, cast(floor(log2(blk)) as int))))")
+    lone = radius.filter("r2 is null").withColumn("up", up)
+    wider = (lone.join(g.select(F.col("gid").alias("nid"), *ys, "blk").withColumn("up", up).drop("blk"), "up").filter(F.col("gid") != F.col("nid"))
+             .select("gid", "nid", _d2(dim).alias("d2")).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+             .groupBy("gid").agg(F.when(F.count("*") >= k, F.max("d2")).alias("wide")))
+    radius = materialize(radius.select("gid", "r2").join(wider, "gid", "left").select("gid", F.coalesce("r2", "wide", F.lit(float("inf"))).alias("r2")))
+    q = comparisons(g, radius, dim)
+    more = (q.join(g.select(F.col("gid").alias("nid"), *ys, F.col("blk").alias("oblk")), "oblk")
+            .select("gid", "nid", _d2(dim).alias("d2"), "r2").filter(F.col("d2") <= F.col("r2")).select("gid", "nid", "d2"))
+    found = more.filter(F.col("gid") != F.col("nid"))   # the own block is among them
+    return found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).drop("rk")
+
+
+def minority_neighbours(rows: DataFrame, features: list[str], k: int = K_NEIGHBOURS, block: int = BLOCK_ROWS,
                         n_buckets: int | None = None) -> DataFrame:
     """``(ID, j, nbr_id)`` for j = 0..k-1, the k nearest other rows (distance, then group
     order, then id rank). ``rows`` holds ``ID`` and the feature columns."""
