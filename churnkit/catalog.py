@@ -1243,7 +1243,8 @@ def split_rows(spark, sf, part):
     return matrix_split(spark, sf).filter(F.col("split") == part).drop("split")
 
 
-def tuned(spark, sf, grid="grid"):
+def tuned(spark, sf, grid="quick"):
+    """Tuning that the queries after it share: the quick grid (the whole one is the default of ``tune`` and of the job)."""
     from churnkit.plans.experiment import tune
     return stage(f"tune_{grid}", spark, sf, lambda: tune(spark, split_rows(spark, sf, "train"), split_rows(spark, sf, "val"), grid), keep=lambda t: t)
 
@@ -1265,17 +1266,6 @@ def q_m9(spark, sf):
 
 @query("M10_tuning_quick")
 def q_m10q(spark, sf):
-    return tuned(spark, sf, "quick").board
-
-
-@query("M10_tuning")
-def q_m10(spark, sf):
-    """The whole grid, one row per fit."""
-    return tuned(spark, sf).fits.drop("position")
-
-
-@query("L7_best_of_each_algorithm")
-def q_l7(spark, sf):
     return tuned(spark, sf).board
 
 
