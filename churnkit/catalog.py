@@ -1048,12 +1048,37 @@ def q_t10(spark, sf):
     return rounded(mcnemar(w, list(NB_ALPHAS)).select("model_a", "model_b", "n01", "n10", "stat"))
 
 
-@query("T11_mcnemar_detail")
-def q_t11(spark, sf):
+# 95 % point of the chi-square distribution with one degree of freedom
+CHI2_95 = 3.841458820694124
+MCNEMAR_SQL = "\nUNION ALL\n".join(f"""
+SELECT '{a}' AS model_a, '{b}' AS model_b, n01, n10,
+       CASE WHEN n01 + n10 > 0 THEN power(abs(n01 - n10) - 1, 2) / (n01 + n10) END AS stat
+FROM (SELECT CAST(count_if(pa.pred <> pa.y_true AND pb.pred = pb.y_true) AS BIGINT) AS n01,
+             CAST(count_if(pa.pred = pa.y_true AND pb.pred <> pb.y_true) AS BIGINT) AS n10
+      FROM preds pa JOIN preds pb ON pa.ID = pb.ID AND pa.algo = '{a}' AND pb.algo = '{b}')""" for a, b in _combos(list(NB_ALPHAS)))
+
+
+def _nb_mcnemar(spark, sf):
     from churnkit.operators.compare import mcnemar, wide_predictions
     return mcnemar(wide_predictions(nb_predictions(spark, sf), list(NB_ALPHAS)), list(NB_ALPHAS))
 
 
+@query("T11_mcnemar_verdicts", with_members(*MODEL_CTES, body=f"""
+SELECT model_a, model_b, n01, n10, stat, CASE WHEN stat > {CHI2_95} THEN 'SIGNIFICATIF' ELSE 'NON SIGNIFICATIF' END AS verdict FROM ({MCNEMAR_SQL})"""))
+def q_t11(spark, sf):
+    """p-values themselves are held against golden values in the unit tests."""
+    return rounded(_nb_mcnemar(spark, sf).select("model_a", "model_b", "n01", "n10", "stat", "verdict"))
+
+
+@query("J4_mcnemar_matrix", with_members(*MODEL_CTES, body=f"""
+SELECT model_a, model_b, coalesce(stat > {CHI2_95}, false) AS significant FROM ({MCNEMAR_SQL})
+UNION ALL SELECT model_b, model_a, coalesce(stat > {CHI2_95}, false) FROM ({MCNEMAR_SQL})
+UNION ALL SELECT DISTINCT algo, algo, false FROM preds"""))
+def q_j4(spark, sf):
+    from churnkit.operators.compare import mcnemar_matrix
+    return mcnemar_matrix(_nb_mcnemar(spark, sf), list(NB_ALPHAS)).select("model_a", "model_b", (F.col("p_value") < 0.05).alias("significant"))
+
+
 def _nb_results(spark, sf):
     from churnkit.operators.metrics import binary_metrics
     m = binary_metrics(nb_predictions(spark, sf), ["algo"])
