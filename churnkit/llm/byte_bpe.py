@@ -26,7 +26,7 @@ from churnkit.llm.tables import as_bytes, extended
 from churnkit.llm.wordhash import chunks, mix64, word_hashes
 
 #: pre-tokens remembered by a task before it starts afresh
-MEMO_SIZE = 500_000
+MEMO_SIZE = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -68,14 +68,14 @@ def hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
         def flush():
             tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = n >= 3
+            keep = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
             for own in shingle_sets(as_bytes(batch.column(0)), k):
                 held.append(own)
                 size += len(own)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         yield flush()
