@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from churnkit.functions.scalar import leave_target
-from churnkit.operators import assoc, balance, compare, profile, quality, recode, reduce, score, split, union
+from churnkit.operators import assoc, balance, compare, persist, profile, quality, recode, reduce, score, split, union
 from churnkit.plans import experiment
 from churnkit.session import materialize
 from churnkit.sources.io import write_json_summary, write_table
@@ -75,7 +75,8 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, quick: bool = False, use
     # first pass, and scoring of the members still present
     write_table(experiment.first_pass(spark, fit_train, val), f"{out}/selection/first_pass")
     current = t2.filter(leave_target("DTDEM") == 0).withColumn("source", F.lit("table2"))
-    write_table(score.campaign(score.score_rows(current, model, final["model"])), f"{out}/scoring/campaign")
+    persist.save_scoring(spark, model, final["model"], f"{out}/scoring/model")
+    write_table(score.campaign(score.score_rows(current, *persist.load_scoring(spark, f"{out}/scoring/model"))), f"{out}/scoring/campaign")
     summary = {"best": cfg["key"], "params": cfg["params"], "val_roc_auc": cfg["val_roc_auc"]}
     write_json_summary(spark, summary, f"{out}/selection/best_model")
     return summary
