@@ -62,3 +62,25 @@ def test_choose(spark):
     assert choose(w.filter("key = 'svm'"))["key"] == "svm"
     with pytest.raises(ValueError):
         choose(w, "knn")
+
+
+def test_queries_rest_on_the_whole_grid(spark, monkeypatch):
+    from churnkit import catalog
+    from churnkit.plans import experiment
+    used = []
+
+    class Stop(Exception):
+        pass
+
+    def tune(session, train, val, grid="grid"):
+        used.append(experiment.plan_table(session, grid).count())
+        raise Stop
+
+    monkeypatch.setattr(experiment, "tune", tune)
+    monkeypatch.setattr(catalog, "_STAGES", {})
+    whole = ["M10_tuning", "M10_best_validation_predictions", "M12_final_test_metrics", "M13_final_confusion", "M16_interpretation",
+             "M17_comparison_report", "M18_score_members", "STREAM_scoring"]
+    for name in whole + ["M10_tuning_quick"]:
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert used == [41] * len(whole) + [5]
