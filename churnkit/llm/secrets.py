@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and password guess cost of values in credential contexts.
 
 Base spans follow the patterns of the contract. Besides, values that stand in a credential context (a
-credential word, then `:`, `=` or "is", then a run of value characters) are judged by how many
-guesses they would take: dynamic programming finds the cheapest segmentation of the value into
+credential word, then `:`, `=`, "is" or a space, then a run of value characters; contexts may overlap, as
+in "auth password: ...") are judged, values of letters only too, by how many guesses they would take: dynamic programming finds the cheapest segmentation of the value into
 dictionary words, dates, repeats, keyboard walks, sequences and brute-force spans; the cost is the sum of
 the segments' log10 guesses plus a price per further segment. Values that cost GUESSES (log10) or
 more are secrets and become spans of kind `value`; words, dates and walks stay out.
@@ -12,10 +12,12 @@ Every text is scanned whole inside Spark tasks; nothing is shuffled.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,8 +33,8 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CREDENTIAL = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|pin)"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20is\x20|\x20)["']?([!-&(-~]{6,})""", re.IGNORECASE | re.ASCII)
+    r"""(?=(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|pin)"""
+    r"""["']?(?:\x20*[:=]\x20*|\x20is\x20|\x20)["']?([!-&(-~]{6,}))""", re.IGNORECASE | re.ASCII)
 
 #: fixed values: words that guessers try first, by rank
 COMMON = ("password 123456 qwerty admin welcome letmein login master hello dragon monkey shadow sunshine princess football baseball superman "
@@ -49,6 +51,14 @@ LEET = str.maketrans("430157$@!", "aeoistsai")
 RANK = {}
 for _r, _w in enumerate(COMMON, 1):
     RANK.setdefault(_w, _r)
+#: after them the words and word parts of a public vocabulary, by rank
+with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as _lines:
+    for _line in _lines:
+        _part = base64.b64decode(_line.split()[0]).removeprefix(b" ")
+        if len(_part) >= 4 and _part.isalpha():
+            RANK.setdefault(_part.decode().lower(), len(RANK) + 1)
+#: characters of the longest word
+LONGEST = max(map(len, RANK))
 NEAR = {}
 for _y, _row in enumerate(ROWS):
     for _x, _c in enumerate(_row):
@@ -90,7 +100,7 @@ def segment_costs(s: str) -> dict[tuple[int, int], float]:
             cost[i, j] = c
 
     for i in range(n):
-        for j in range(i + 3, min(n, i + 16) + 1):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             c = _word_cost(s[i:j])
             if c is not None:
                 offer(i, j, c)
@@ -169,13 +179,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, tuple[int, int]]]:
 
 def credential_values(text: str) -> list[tuple[int, int, float]]:
     """(start, end, log10 guesses) of the values in credential contexts; quotes and closing marks are left off."""
-    out = []
-    for m in CREDENTIAL.finditer(text):
-        start = m.start(1)
-        value = m[1].rstrip("\"',;.)]}>")
-        if len(value) >= 6 and not value.isalpha():
-            out.append((start, start + len(value), guess_cost(value)))
-    return out
+    found = {m.start(1): m[1].rstrip("\"',;.)]}>") for m in CREDENTIAL.finditer(text)}
+    return [(start, start + len(value), guess_cost(value)) for start, value in sorted(found.items()) if len(value) >= 6]
 
 
 def scan_text(text: str) -> list[tuple[int, int, int, float | None]]:
