@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from churnkit.llm.tables import extended
 
 KINDS = ["assign", "access", "hex", "value"]
-#: least log10 of the guesses of a secret value; values are cut into pieces of so many characters for the search
-GUESSES, PIECE = 8.0, 64
+#: least log10 of the guesses of a secret value
+GUESSES = 8.0
 #: price of each further segment (log10)
 JOINT = 0.5
 
@@ -79,6 +79,10 @@ def _word_cost(s: str) -> float | None:
 ALPHABET = [math.log10(max(10, 10 * (m & 1) + 26 * (m >> 1 & 1) + 26 * (m >> 2 & 1) + 33 * (m >> 3))) for m in range(16)]
 
 
+#: the sets that hold each class, with their prices
+HOLDING = {k: [(m, ALPHABET[m]) for m in range(16) if m & k] for k in (1, 2, 4, 8)}
+
+
 def _class(c: str) -> int:
     return 1 if c.isdigit() else 2 if "a" <= c <= "z" else 4 if "A" <= c <= "Z" else 8
 
@@ -90,48 +94,104 @@ def _brute(s: str) -> float:
     return len(s) * ALPHABET[mask]
 
 
-def segment_costs(s: str) -> dict[tuple[int, int], float]:
-    """log10 guesses of the segments of `s` that are a word, a date, a repeat, a walk or a sequence."""
+def _known(s: str) -> dict[int, list[tuple[int, float]]]:
+    """By end: (start, log10 guesses) of the words and dates in `s`."""
     n = len(s)
-    cost: dict[tuple[int, int], float] = {}
-
-    def offer(i: int, j: int, c: float) -> None:
-        if c < cost.get((i, j), math.inf):
-            cost[i, j] = c
-
+    ends: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             c = _word_cost(s[i:j])
             if c is not None:
-                offer(i, j, c)
+                ends.setdefault(j, []).append((i, c))
         m = DATE.match(s, i)
         if m and m.end() - i >= 4:
-            offer(i, m.end(), 2.1 if m.end() - i == 4 else 4.6)
-    low = s.lower()
-    for kind, step in (("walk", None), ("up", 1), ("down", -1)):
-        i = 0
-        while i < n - 1:
+            ends.setdefault(m.end(), []).append((i, 2.1 if m.end() - i == 4 else 4.6))
+    return ends
+
+
+def _alike(s: str, i: int, j: int, most: int) -> int:
+    """Characters, `most` at most, that `s` has alike from i and from j on (i < j); slices double, then halve."""
+    most = min(most, len(s) - j)
+    k, w = 0, 1
+    while k + w <= most and s[i + k:i + k + w] == s[j + k:j + k + w]:
+        k += w
+        w *= 2
+    while w:
+        if k + w <= most and s[i + k:i + k + w] == s[j + k:j + k + w]:
+            k += w
+        w //= 2
+    return k
+
+
+def repeats(s: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of all maximal repeats: stretches of two periods or more that no neighbour continues.
+
+    A repeat's period is the length of the longest Lyndon word at some place, in one of the two orders of
+    characters; the words follow from comparing suffixes, right to left. What is alike at a distance is kept for
+    the next place, so long repeats are compared once.
+    """
+    n = len(s)
+    back = s[::-1]
+    found = set()
+    for sign in (1, -1):
+        ends = [n] * n
+        alike: dict[int, tuple[int, int]] = {}   # by distance: the last place, and where likeness from there on ends
+        seen: dict[int, int] = {}                # by period: the start of the last repeat
+        for i in range(n - 1, -1, -1):
             j = i + 1
-            while j < n and _next_to(low[j - 1], low[j], step):
-                j += 1
-            for a in range(i, j - 2):
-                for b in range(a + 3, j + 1):
-                    offer(a, b, (2.0 + 0.5 * (b - a) ** 0.5 if kind == "walk" else 1.3) + math.log10(b - a))
-            i = max(j, i + 1) if j > i + 1 else i + 1
-    for size in range(1, n // 2 + 1):
-        i = 0
-        while i + 2 * size <= n:
-            k = 1
-            while s[i + k * size:i + (k + 1) * size] == s[i:i + size]:
-                k += 1
-            if k > 1 and size * k >= 3:
-                for m in range(2, k + 1):
-                    if size * m >= 3:
-                        offer(i, i + size * m, (_word_cost(s[i:i + size]) or _brute(s[i:i + size])) + math.log10(m))
-                i += size * (k - 1) + 1
-            else:
-                i += 1
-    return cost
+            while j < n:
+                p = j - i
+                place, end = alike.get(p, (n, i))
+                k = _alike(s, i, j, place - i)
+                if k == place - i:
+                    k = end - i
+                alike[p] = (i, i + k)
+                if j + k == n or (s[j + k] < s[i + k]) == (sign > 0):
+                    if k and seen.get(p, n) > i:
+                        left = _alike(back, n - j, n - i, n)
+                        if left + p + k >= 2 * p:
+                            found.add((i - left, j + k, p))
+                            seen[p] = i - left
+                    break
+                j = ends[j]
+            ends[i] = j
+    return sorted(found)
+
+
+class _Repeat:
+    """Segments of a whole number of units inside one repeat; a unit costs its word or brute force."""
+
+    def __init__(self, s: str, start: int, end: int, size: int) -> None:
+        self.start, self.end, self.size, self.least = start, end, size, 3 if size == 1 else 2 * size
+        brute = _brute(s[start:start + size])
+        self.units = [brute] * size
+        if size <= LONGEST:
+            for i in range(start, start + size):
+                word = _word_cost(s[i:i + size])
+                if word is not None:
+                    self.units[i % size] = min(brute, word)
+        self.open: dict[int, list[tuple[int, float]]] = {}
+
+    def cheapest(self, j: int, before: list[float]) -> float:
+        a = j - self.least
+        starts = self.open.setdefault(j % self.size, [])
+        starts.append((a, before[a] + self.units[a % self.size]))
+        return _cheapest(starts, lambda i: math.log10((j - i) // self.size))
+
+
+def _cheapest(starts: list[tuple[int, float]], price) -> float:
+    """Least cost of a segment from one of `starts` (place, cost up to there) on; starts that can't win any more are dropped.
+
+    `price` grows ever slower with the length, so a start that costs no less than an earlier one never will.
+    """
+    least, kept = math.inf, []
+    for i, c in starts:
+        total = c + price(i)
+        if total < least:
+            least = total
+            kept.append((i, c))
+    starts[:] = kept
+    return least
 
 
 def _next_to(a: str, b: str, step: int | None) -> bool:
@@ -144,29 +204,43 @@ def _next_to(a: str, b: str, step: int | None) -> bool:
 
 
 def guess_cost(value: str) -> float:
-    """log10 of the guesses a value takes: cheapest segmentation, piece by piece of PIECE characters."""
-    total = 0.0
-    for at in range(0, len(value), PIECE):
-        s = value[at:at + PIECE]
-        known = segment_costs(s)
-        ends: dict[int, list[tuple[int, float]]] = {}
-        for (i, j), c in known.items():
-            ends.setdefault(j, []).append((i, c))
-        classes = list(map(_class, s))
-        best = [0.0] + [math.inf] * len(s)
-        for j in range(1, len(s) + 1):
-            least = math.inf
-            for i, c in ends.get(j, ()):
-                least = min(least, best[i] + c + (JOINT if i else 0.0))
-            mask = 0
-            for i in range(j - 1, -1, -1):
-                mask |= classes[i]
-                c = best[i] + (j - i) * ALPHABET[mask] + (JOINT if i else 0.0)
-                if c < least:
-                    least = c
-            best[j] = least
-        total += best[-1] + (JOINT if at else 0.0)
-    return total
+    """log10 of the guesses a value takes: its cheapest segmentation, one search over the whole value."""
+    n = len(value)
+    low = value.lower()
+    known = _known(value)
+    begin: dict[int, list[_Repeat]] = {}
+    for start, end, period in repeats(value):
+        for size in range(period, max(period, min(LONGEST, (end - start) // 2)) + 1, period):
+            r = _Repeat(value, start, end, size)
+            if end - start >= r.least and (size == period or min(r.units) < _brute(value[start:start + size])):
+                begin.setdefault(start + r.least, []).append(r)
+    active: list[_Repeat] = []
+    chains = [[None, 0, [], lambda k: 2.0 + 0.5 * k ** 0.5 + math.log10(k)], [1, 0, [], lambda k: 1.3 + math.log10(k)], [-1, 0, [], lambda k: 1.3 + math.log10(k)]]
+    before = [0.0]            # cost up to each place, with the price of a further segment
+    brute = [math.inf] * 16   # the last segment is brute force over this set of classes
+    least = 0.0
+    for j in range(1, n + 1):
+        least = math.inf
+        for m in range(16):
+            if not m & _class(value[j - 1]):
+                brute[m] = math.inf
+        for m, price in HOLDING[_class(value[j - 1])]:
+            brute[m] = min(brute[m], before[j - 1]) + price
+            least = min(least, brute[m])
+        for i, c in known.get(j, ()):
+            least = min(least, before[i] + c)
+        for chain in chains:
+            step, start, starts, price = chain
+            if j > 1 and not _next_to(low[j - 2], low[j - 1], step):
+                chain[1], chain[2] = j - 1, []
+            elif j - start >= 3:
+                starts.append((j - 3, before[j - 3]))
+                least = min(least, _cheapest(starts, lambda i: price(j - i)))
+        active = [r for r in active if r.end >= j] + begin.get(j, [])
+        for r in active:
+            least = min(least, r.cheapest(j, before))
+        before.append(least + JOINT)
+    return least
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, tuple[int, int]]]:

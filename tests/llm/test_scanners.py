@@ -39,6 +39,26 @@ def test_guess_costs_rank_values():
     assert cost("") == 0.0 and cost("a" * 1000) < cost("xK9$mQ2pLw" * 100)
 
 
+def test_guess_costs_of_long_values():
+    cost = secrets.guess_cost
+    assert max(map(cost, ["=" * 200, "0" * 200, "a" * 1000, "qwerty" * 300, "ab" * 5000])) < secrets.GUESSES
+    assert cost("xK9$mQ2pLw" * 100) == cost("xK9$mQ2pLw" * 10) + 1.0
+    assert [s for s in secrets.scan_text("token " + "=" * 200) if s[1] == 3] == []
+
+
+def test_repeats_like_all_stretches_compared():
+    draw = random.Random(3)
+    for _ in range(300):
+        s = "".join(draw.choice("ab" if draw.random() < 0.5 else "abc") for _ in range(draw.randint(0, 30)))
+        plain = set()
+        for p in range(1, len(s) // 2 + 1):
+            for m in re.finditer("1+", "".join("01"[s[i] == s[i + p]] for i in range(len(s) - p))):
+                unit = s[m.start():m.start() + p]
+                if m.end() - m.start() >= p and (unit + unit).find(unit, 1) == p:
+                    plain.add((m.start(), m.end() + p, p))
+        assert secrets.repeats(s) == sorted(plain)
+
+
 def test_context_values():
     found = secrets.scan_text('the auth: xK9$mQ2pLw7z end; pwd = password1 and bearer eyJhbGciOiJIUzI1NiJ9x')
     values = [(s[0], s[2]) for s in found if s[1] == 3]
