@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.llm.components import connected_components
-from churnkit.llm.tables import as_bytes, binary_array, sorted_groups, stage_table
+from churnkit.llm.tables import as_bytes, binary_array, extended, sorted_groups, stage_table
 from churnkit.llm.wordhash import MASK, mix64, shingle_sets
 
 #: shingles put last in the token order: at most so many (8 bytes each are broadcast)
@@ -345,6 +345,11 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     with different texts are one document, linked through their id. A null doc_id keeps its row,
     takes part through its text only and never names a component (null if nothing else is linked).
     """
+    return _grouped(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """`ngram_components` with the identity `sig` of each row's set (null for rows without words)."""
     docs = docs.select("doc_id", "text")
     table = shingle_table(docs, hot_shingles(docs, k), k, num, den)
     sets = table.filter("n > 0").select("sig", "n", "prefix")
@@ -358,9 +363,10 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     survivors = _by_unit(cells, points, BLOCK_POINTS).mapInArrow(_unit_survivors(num, den), "cell long, cell_n long, sig long, n long")
     cells = stage_table(survivors.distinct(), "survivors")
 
-    # full sets of the members, recomputed from one document of each
+    # full sets of the members, recomputed from one document of each, or from the rows without doc_id that alone hold it
     nodes = cells.select("sig", "n").distinct()
-    ids = stage_table(table.select("doc_id", "sig", "n").join(nodes, ["sig", "n"]).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")), "nodes").filter("doc_id is not null")
+    nodes = stage_table(table.select("doc_id", "sig", "n").join(nodes, ["sig", "n"]).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    ids, nameless = nodes.filter("doc_id is not null"), nodes.filter("doc_id is null").select("sig", "n")
     picked = ids.select("doc_id").distinct()
     if picked.count() <= BROADCAST_IDS:
         picked = F.broadcast(picked)
@@ -370,21 +376,28 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
             own = list(shingle_sets(as_bytes(batch.column(0)), k))
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_set_id(s) for s in own], dtype=np.uint64).view(np.int64)), pa.array(np.array([len(s) for s in own], dtype=np.int64)), binary_array(own)], names=["sig", "n", "tokens"])
 
-    full = docs.join(picked, "doc_id", "left_semi").select("text").mapInArrow(full_sets, "sig long, n long, tokens binary")
+    sets_schema = "sig long, n long, tokens binary"
+    full = docs.join(picked, "doc_id", "left_semi").select("text").mapInArrow(full_sets, sets_schema)
+    if n_nameless := nameless.count():
+        wanted = F.broadcast(nameless) if n_nameless <= BROADCAST_IDS else nameless
+        full = full.unionByName(docs.filter("doc_id is null").select("text").mapInArrow(full_sets, sets_schema).join(wanted, ["sig", "n"], "left_semi"))
     units = _by_unit(cells, full.dropDuplicates(["sig", "n"]), BLOCK_SHINGLES)
     links = units.mapInArrow(_unit_links(num, den), "a long, b long")
 
     # links between sets, and between a set and the ids that hold it; nodes are sets
     heads = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("head"))
-    same_id = (table.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b"))
-               .filter("a < b").select("a", "b"))
+    held = table.filter("n > 0 and doc_id is not null").select("doc_id", "sig")
+    several = stage_table(held.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a < b").select("doc_id", "a"), "ids")
+    if several.count() <= BROADCAST_IDS:
+        several = F.broadcast(several)
+    same_id = held.join(several, "doc_id").filter("a < sig").select("a", F.col("sig").alias("b")).distinct()
     groups = connected_components(links.unionByName(same_id))
     named = heads.join(groups, heads["sig"] == groups["node"], "left").select("sig", F.coalesce("component", "sig").alias("component"), "head")
     named = stage_table(named, "named")
     lowest = named.groupBy("component").agg(F.min("head").alias("component_id"))
     by_set = named.select("sig", "component").join(lowest, "component").select("sig", "component_id")
-    alone = table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return table.filter("n > 0").select("doc_id", "n", "sig").join(by_set, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    alone = table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("sig"))
+    return table.filter("n > 0").select("doc_id", "n", "sig").join(by_set, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sig").unionByName(alone)
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -393,6 +406,23 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     A document without words stays; of repeated rows with one doc_id all stay. A row without doc_id
     stays unless it is linked to a document that has one.
     """
-    groups = ngram_components(docs)
-    keep = groups.filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
+    if docs.filter("doc_id is null").isEmpty():
+        return _named_heads(docs, ngram_components(docs))
+    groups = stage_table(_grouped(docs, 5, 4, 5), "groups")
+    linked = groups.filter("doc_id is null and component_id is not null").select(F.col("sig").alias("_linked")).distinct()
+    rows, kept, schema = extended(docs.filter("doc_id is null"), "_set long")
+    at = kept.index("text")
+
+    def set_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = np.array([_set_id(s) for s in shingle_sets(as_bytes(batch.column(at)), 5)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs)], names=[*kept, "_set"])
+
+    nameless = rows.mapInArrow(set_ids, schema)
+    nameless = nameless.join(linked, nameless["_set"] == linked["_linked"], "left_anti").drop("_set")
+    return _named_heads(docs, groups).unionByName(nameless)
+
+
+def _named_heads(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")

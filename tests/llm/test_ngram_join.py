@@ -64,6 +64,21 @@ def test_repeated_rows_null_ids_clashing_columns_and_no_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4] and kept.columns == df.columns[:5]
 
 
+def test_null_id_near_copies_and_three_texts_under_one_id(spark):
+    def text(changed, start=0, stop=100):
+        return " ".join(f"x{changed}" if i == changed else f"w{i}" for i in range(start, stop))
+
+    # 10 and 20 are linked through the text without doc_id only; 30 has three texts, each with a near copy
+    rows = [(10, text(None, 0, 100)), (None, text(None, 8, 108)), (20, text(None, 16, 116)), (None, "on its own here now ok yes")]
+    rows += [(30, text(None, a, a + 100)) for a in (1000, 2000, 3000)] + [(31 + a, text(a * 1000 + 1, a * 1000, a * 1000 + 100)) for a in (1, 2, 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], documents(spark, []).schema)
+    got = sorted((r.doc_id or 0, r.component_id) for r in nj.ngram_components(docs).collect() if r.component_id)
+    assert got == [(0, 10), (10, 10), (20, 10), (30, 30), (30, 30), (30, 30), (32, 30), (33, 30), (34, 30)]
+    kept = nj.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text[:6]) for r in kept.collect()) == [(0, "on its"), (10, "w0 w1 "), (30, "w1000 "), (30, "w2000 "), (30, "w3000 ")]
+
+
 def test_tree_never_loses_a_pair():
     draw = np.random.default_rng(3)
     base = draw.integers(0, 2 ** 63, 600, dtype=np.uint64)
