@@ -98,3 +98,26 @@ def test_licenses_like_exact_containment(spark):
         for x in r.licenses:
             assert len(sets[x.license] & shingle_set(r.text[x.start:x.end])) >= 0.8 * len(sets[x.license])
     assert licenses.scan(documents(spark, []).limit(0)).count() == 0
+
+
+def test_tiny_templates_and_every_occurrence():
+    draw = random.Random(6)
+    held = licenses.Templates(licenses.TEMPLATES)
+
+    def filler(most):
+        return " ".join(f"w{draw.randint(0, 10 ** 6)}" for _ in range(draw.randint(1, most)))
+
+    raw, spans = [], []
+    for i in range(6000):
+        parts, own = [filler(40)], []
+        for name in draw.choices(["MIT-line", "BSD"], k=draw.randint(1, 3)) if i % 20 == 0 else ["MIT-line"]:
+            a = len(" ".join(parts)) + 1
+            parts += [licenses.TEMPLATES[name], filler(40)]
+            own.append((name, a, a + len(licenses.TEMPLATES[name].rstrip(".:"))))
+        raw.append(" ".join(parts).encode())
+        spans.append(sorted(own))
+    found = held.scan(raw)
+    assert [[x[:3] for x in f] for f in found] == spans
+    assert found[0] == held.scan(raw[:1])[0]
+    twice = (licenses.TEMPLATES["BSD"] + " " + licenses.TEMPLATES["BSD"]).encode()
+    assert [x[0] for x in held.scan([twice])[0]] == ["BSD", "BSD"]
