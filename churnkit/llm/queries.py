@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnkit.llm.native import let
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -178,3 +180,53 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The text of one document in ten, by its id's checksum, repeats a stretch of its own words to the end."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(number / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
+        return F.when(n > 0, F.array_join(at, " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    return docs.withColumn("text", F.when(number % 10 == 0, let(words, repeated)).otherwise(F.col("text")))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of every text by SQL would compare every word with every later one; tested against brute force."""
+    from churnkit.llm.runs import periodic_runs
+
+    found = periodic_runs(with_periods(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.col2")).alias("start"), F.col("best.length").alias("length"),
+                    (-F.col("best.col3")).alias("period"), F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+                    F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvectors aren't SQL; tested against numpy on the whole small table."""
+    from churnkit.llm.whitening import whiten_vectors
+
+    found = whiten_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n", "deviation", F.inline("whitened")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens aren't SQL; tested against the tokenizer's library: every id once, sequences without gaps."""
+    import public_tokenizers
+
+    from churnkit.llm.packing import pack_documents
+
+    found = pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
