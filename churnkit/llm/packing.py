@@ -14,65 +14,137 @@ a lost executor cannot give some of its pieces twice.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.tables import as_bytes, sorted_groups, stage_table
-from churnkit.llm.wordhash import chunks
+from churnkit.llm.tables import sorted_groups, stage_table
 
 #: open windows per partition
 WINDOWS = 64
 #: leftovers merged by one task
 FAN_IN = 16
-#: words whose ids a task remembers (twice as many with the generation before)
-MEMO_SIZE = 250_000
+#: words and pieces of words whose ids a task remembers (of each; twice as many with the generation before)
+MEMO_SIZE = 300_000
+#: bytes of text whose distinct words are looked up together
+CHUNK = 4_000_000
 #: words longer than this are not remembered
 LONG_WORD = 64
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long"
 
 
+class Memo(dict):
+    """Results of `work` (a list of keys to their values), two generations; the older one is forgotten at MEMO_SIZE entries."""
+
+    def __init__(self, work: Callable[[list], list]):
+        self.work, self.before = work, {}
+
+    def of(self, keys: list) -> list:
+        """The values of distinct keys."""
+        found = list(map(self.get, keys))
+        missed = [i for i, v in enumerate(found) if v is None]
+        if not missed:
+            return found
+        if len(self) >= MEMO_SIZE:
+            self.before = dict(self)
+            self.clear()
+        old = self.before
+        new = []
+        for i in missed:
+            k = keys[i]
+            v = found[i] = old.get(k)
+            if v is None:
+                new.append(i)
+            else:
+                self[k] = v
+        wanted = [keys[i] for i in new]
+        for i, k, v in zip(new, wanted, self.work(wanted), strict=True):
+            found[i] = v
+            if len(k) <= LONG_WORD:
+                self[k] = v
+        return found
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space, so that words can be encoded one by one."""
+    """Ids of whole texts by a tokenizer that drops white space, so that words can be encoded one by one.
+
+    A word is looked up as it stands. If it is missed and the tokenizer's file says that it only normalizes (NFC),
+    lowers and cuts by one pattern, a word of Latin letters, digits and signs is cut by that pattern and its
+    pieces are looked up, else encoded by the tokenizer's model; any other word is encoded by the tokenizer as a whole.
+    """
 
     def __init__(self, path: str, special: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        self.now: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids (little-endian, 32 bits) of the words, those of long words included."""
-        if len(self.now) > MEMO_SIZE:
-            self.before, self.now = self.now, {}
-        now, before = self.now, self.before
-        own, new = {}, []
-        for w in words:
-            if w not in now:
-                ids = before.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    now[w] = ids
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        for w, e in zip(new, found, strict=True):
-            ids = e.ids
-            (now if len(w) <= LONG_WORD else own)[w] = pack(f"<{len(ids)}I", *ids)
-        return now if not own else now | own
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]              # at the bytes 20 and 09-0D
-        get = self.learn(set().union(*split)).__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.model = self.tokenizer.model
+        self.by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.pieces = Memo(self.word_ids), Memo(self.piece_ids)
+        self.plain = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch   # normalized already, and no white space
+        self.cut = None if special else piece_pattern(json.loads(self.tokenizer.to_str()))
+
+    def word_ids(self, raw: list[bytes]) -> list[bytes]:
+        words = b" ".join(raw).decode("utf-8").split(" ") if raw else []
+        cut = self.cut
+        split = [cut(w.lower()) if cut and self.plain(w) else None for w in words]
+        names = list(set().union(*filter(None, split)))
+        ids = dict(zip(names, self.pieces.of(names)))
+        return [self.whole_ids(w) if s is None else b"".join([ids[p] for p in s]) for w, s in zip(words, split)]
+
+    def whole_ids(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        tokenize, by_bytes = self.model.tokenize, self.by_bytes.pre_tokenize_str
+        for p in pieces:
+            ids = [token.id for token in tokenize(p if p.isascii() else by_bytes(p)[0][0])]
+            out.append(pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow string column; each distinct word of the column is looked up once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))      # at the bytes 20 and 09-0D
+        words = split.flatten().dictionary_encode()
+        known = self.words.of(words.dictionary.cast(pa.binary()).to_pylist())
+        ids = pa.array(known, type=pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset:ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int64)
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        raw = memoryview(ids.buffers()[2]) if cuts[-1] else b""
+        return [bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def piece_pattern(parts: dict) -> Callable[[str], list[str]] | None:
+    """Cuts a lower-case word of the code points below 250 like the tokenizer of this description, if it is of the known kind.
+
+    The letters and digits of its pattern are written out over those code points.
+    """
+    steps = (parts.get("normalizer") or {}).get("normalizers", [])
+    cuts = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"}
+             and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+             and (cuts[1]["add_prefix_space"], cuts[1]["use_regex"]) == (False, False))
+    pattern = cuts[0]["pattern"].get("Regex", "") if known else ""
+    if not pattern or "\\p" in re.sub(r"\[[^]]*\]", "", pattern):
+        return None
+    for kind in "LN":
+        of_kind = "".join(c for c in map(chr, range(0x21, 0x250)) if unicodedata.category(c)[0] == kind)
+        pattern = pattern.replace(f"\\p{{{kind}}}", of_kind)
+    return None if "\\p" in pattern else re.compile(pattern).findall
 
 
 _TOKENIZERS: dict[tuple, WordTokenizer] = {}
@@ -161,6 +233,16 @@ def powers_of_two(pieces: list[tuple]) -> list[list[tuple]]:
     return out
 
 
+def text_chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of a string column of about `size` bytes each, or one text more."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(texts):
+        b = 1 + int(np.searchsorted(total, (total[a - 1] if a else 0) + size))
+        yield a, min(b, len(texts))
+        a = b
+
+
 def _batch(rows: list[tuple], id_type: pa.DataType, part) -> pa.RecordBatch:
     """Rows of (doc, start, ids, tokens, sequence, offset); `part` marks leftovers, null else."""
     doc, start, ids, tokens, sequence, offset = zip(*rows) if rows else ([],) * 6
@@ -200,13 +282,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int
         key = (tokenizer, special)
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = WordTokenizer(*key)
-        packer, id_type = Packer(length, windows, _first_id(0, part)), None
+        encode, packer, id_type = _TOKENIZERS[key].encode, Packer(length, windows, _first_id(0, part)), None
         for batch in batches:
-            ids, raw = batch.column(0), as_bytes(batch.column(1))
+            ids, texts = batch.column(0), batch.column(1)
             id_type = ids.type
             ids = ids.to_pylist()
-            for a, b in chunks(raw):
-                for doc, found in zip(ids[a:b], _TOKENIZERS[key].encode(raw[a:b])):
+            for a, b in text_chunks(texts, CHUNK):
+                for doc, found in zip(ids[a:b], encode(texts.slice(a, b - a))):
                     packer.add(doc, 0, found + end, len(found) // 4 + 1)
                 yield _batch(packer.taken(), id_type, None)
         if id_type is not None:

@@ -5,12 +5,13 @@ from collections import defaultdict
 from struct import unpack
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from churnkit.llm import packing
-from churnkit.llm.packing import Packer, WordTokenizer, pack_documents, powers_of_two
+from churnkit.llm.packing import Packer, WordTokenizer, pack_documents, powers_of_two, text_chunks
 from tests.llm.helpers import documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -61,8 +62,25 @@ def test_words_like_whole_texts(library):
     draw = random.Random(2)
     texts += ["".join(draw.choice("aB9'é́ \n.,ßİ😀中 　-") for _ in range(200)) for _ in range(50)]
     own = WordTokenizer(PATH, False)
-    for t, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
-        assert numbers(ids) == library.encode(t, add_special_tokens=False).ids
+    assert own.cut is not None
+    texts += ["".join(chr(c) for c in range(0x21, 0x250)), *map(chr, range(0x21, 0x3000, 7))]
+    for t in texts:
+        assert numbers(own.encode(pa.array([t]))[0]) == library.encode(t, add_special_tokens=False).ids
+    own.cut = None
+    assert all(numbers(own.encode(pa.array([t]))[0]) == library.encode(t, add_special_tokens=False).ids for t in texts)
+    found = own.encode(pa.array([None, *texts, None, ""], type=pa.string()).slice(1))
+    assert [numbers(x) for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts] + [[], []]
+    assert own.encode(pa.array([], type=pa.string())) == [] and own.encode(pa.array([" ", None])) == [b"", b""]
+    special = WordTokenizer(PATH, True)
+    assert numbers(special.encode(pa.array(["a <|endoftext|>b"]))[0]) == Tokenizer.from_file(PATH).encode("a <|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_every_document_of_the_small_table(spark, library):
+    from churnkit.llm.queries import read
+
+    own = WordTokenizer(PATH, False)
+    for r in read(spark, "/root/testdata/sf0.01", "documents").collect():
+        assert numbers(own.encode(pa.array([r.text]))[0]) == library.encode(r.text or "", add_special_tokens=False).ids
 
 
 def test_memory_of_words_in_generations(monkeypatch, library):
@@ -70,8 +88,16 @@ def test_memory_of_words_in_generations(monkeypatch, library):
     own = WordTokenizer(PATH, False)
     for i in range(30):
         t = f"word{i % 7} other{i} " + "long" * 30
-        assert numbers(own.encode([t.encode()])[0]) == library.encode(t, add_special_tokens=False).ids
-        assert len(own.now) <= 8
+        assert numbers(own.encode(pa.array([t]))[0]) == library.encode(t, add_special_tokens=False).ids
+        assert len(own.words) <= 8 and len(own.pieces) <= 8
+
+
+def test_chunks_of_texts():
+    texts = pa.array(["a" * 10, None, "b" * 50, "", "c" * 5, "d"])
+    for size in (1, 12, 60, 1000):
+        ranges = list(text_chunks(texts, size))
+        assert [i for a, b in ranges for i in range(a, b)] == list(range(6))
+    assert list(text_chunks(texts, 1)) == [(i, i + 1) for i in range(6)] and list(text_chunks(texts, 1000)) == [(0, 6)]
 
 
 def test_best_fit_bounded_and_topped_up():
