@@ -35,9 +35,9 @@ WINDOWS = 64
 #: leftovers merged by one task
 FAN_IN = 16
 #: words and pieces of words whose ids a task remembers (of each; twice as many with the generation before)
-MEMO_SIZE = 300_000
+MEMO_SIZE = 450_000
 #: bytes of text whose distinct words are looked up together
-CHUNK = 4_000_000
+CHUNK = 8_000_000
 #: words longer than this are not remembered
 LONG_WORD = 64
 
