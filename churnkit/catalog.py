@@ -1283,6 +1283,18 @@ def final(spark, sf):
     return stage("final", spark, sf, build, keep=lambda f: f)
 
 
+def scoring_state(spark, sf):
+    """(recoding, model) as scoring loads them: the state that the final evaluation saved beside the tuning's fits."""
+    from churnkit.operators.persist import load_scoring, save_scoring
+    from churnkit.operators.recode import fit_recode
+    from churnkit.plans.experiment import fit_store, written
+
+    path = f"{fit_store(spark, split_rows(spark, sf, 'train'), split_rows(spark, sf, 'val'))}/scoring"
+    if not written(spark, f"{path}/meta"):
+        save_scoring(spark, fit_recode(prepared_union(spark, sf)), final(spark, sf)["model"], path)
+    return load_scoring(spark, path)
+
+
 @query("M9_first_pass")
 def q_m9(spark, sf):
     from churnkit.plans.experiment import first_pass
@@ -1335,16 +1347,10 @@ def _current_members(spark, sf):
     return members_mixed(spark, sf).filter(leave_target("DTDEM") == 0).withColumn("source", F.lit("table2"))
 
 
-def _scoring_parts(spark, sf):
-    from churnkit.operators.recode import fit_recode
-    recode = fit_recode(prepared_union(spark, sf))
-    return recode, final(spark, sf)["model"]
-
-
 @query("M18_score_members")
 def q_m18(spark, sf):
     from churnkit.operators.score import campaign, score_rows
-    recode, model = _scoring_parts(spark, sf)
+    recode, model = scoring_state(spark, sf)
     return campaign(score_rows(_current_members(spark, sf), recode, model))
 
 
@@ -1355,7 +1361,7 @@ def q_stream(spark, sf):
 
     from churnkit.session import checkpoint_dir
     from churnkit.streaming.scoring import start_scoring_stream
-    recode, model = _scoring_parts(spark, sf)
+    recode, model = scoring_state(spark, sf)
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows = _current_members(spark, sf)
     rows.write.mode("overwrite").parquet(f"{base}/in")

@@ -1,7 +1,8 @@
-"""Classifiers (M1-M6): Spark ML estimators for trees, forests, logistic regression and the
-calibrated linear SVM, and a categorical naive Bayes built from grouped counts.
+"""Classifiers (M1-M6): Spark ML estimators for trees, forests and logistic regression, a calibrated
+squared-hinge SVM (``margins.py``) and a categorical naive Bayes built from grouped counts.
 
-Estimators train on an assembled feature vector (``VectorAssembler`` at the ML edge only).
+Estimators train on an assembled feature vector (``VectorAssembler`` at the ML edge only); rows that
+already carry a ``features`` vector are used as they are, so many fits can share one assembled table.
 The categorical naive Bayes has no Spark built-in: it is fitted with one grouped count
 over the long form of the training rows, and scores rows with map lookups against a
 one-row model table (bounded by the number of categories), so scoring needs no shuffle.
@@ -11,15 +12,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnkit.operators.margins import FOLDS, MarginModel, calibrate, fit_margins
 from churnkit.operators.profile import long_form
 from churnkit.operators.schema import features_for_mode
 
@@ -74,14 +74,20 @@ class CategoricalNBModel:
                         (1.0 / (1.0 + F.exp(F.col("_j0") - F.col("_j1")))).alias("proba"))
 
 
-def fit_categorical_nb(train: DataFrame, features: list[str], alpha: float = 1.0, y: str = TARGET) -> CategoricalNBModel:
-    """M3: log P(v | c, f) = log((n_cfv + alpha) / (n_c + alpha * K_f)), K_f = max code + 1;
-    priors from class frequencies. An unseen code falls back to n_cfv = 0."""
+def nb_counts(train: DataFrame, features: list[str], y: str = TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What every smoothing shares: rows per (class, feature, code), per class, and codes per feature (max code + 1)."""
+    from churnkit.session import materialize
     d = train.select(F.col(y).cast("int").alias("_y"), *[code(f).alias(f) for f in features])
     long = long_form(d, features, "int", ids=["_y"], name="feature").filter(F.col("value").isNotNull())
-    counts = long.groupBy("_y", "feature", "value").agg(F.count("*").cast("double").alias("n"))
-    k = long.groupBy("feature").agg((F.max("value") + 1).cast("double").alias("K"))
-    ny = d.groupBy("_y").agg(F.count("*").cast("double").alias("ny"))
+    counts = materialize(long.groupBy("_y", "feature", "value").agg(F.count("*").cast("double").alias("n")))
+    k = counts.groupBy("feature").agg((F.max("value") + 1).cast("double").alias("K"))
+    return counts, materialize(d.groupBy("_y").agg(F.count("*").cast("double").alias("ny"))), k
+
+
+def fit_categorical_nb(train: DataFrame, features: list[str], alpha: float = 1.0, y: str = TARGET, counts=None) -> CategoricalNBModel:
+    """M3: log P(v | c, f) = log((n_cfv + alpha) / (n_c + alpha * K_f)), K_f = max code + 1;
+    priors from class frequencies. An unseen code falls back to n_cfv = 0. ``counts``: what ``nb_counts`` gave."""
+    counts, ny, k = counts or nb_counts(train, features, y)
     n_all = ny.agg(F.sum("ny").alias("N"))
     base = ny.crossJoin(k)   # classes x features: small
     a = F.lit(float(alpha))
@@ -114,8 +120,8 @@ class FittedModel:
     key: str
     params: dict
     features: list[str]
-    model: object = None                       # PipelineModel or CategoricalNBModel
-    calibrated: list = field(default_factory=list)   # M5: [(svc PipelineModel, platt LogisticRegressionModel)]
+    model: object = None                       # PipelineModel (assembler, classifier) or CategoricalNBModel
+    calibrated: list[MarginModel] = field(default_factory=list)   # M5: one model per calibration fold
 
     def transform(self, df: DataFrame, keep=("ID",)) -> DataFrame:
         """Scored rows: ``keep`` columns + ``pred`` + ``proba``."""
@@ -123,8 +129,10 @@ class FittedModel:
         if isinstance(self.model, CategoricalNBModel):
             return self.model.transform(df, keep)
         if self.key == "svm":
-            return _svm_transform(self, df, keep)
-        out = self.model.transform(df)
+            # average calibrated probability over the folds: one projection, so it also runs on a stream
+            avg = sum((m.probability(self.features) for m in self.calibrated), F.lit(0.0)) / len(self.calibrated)
+            return df.select(*keep, avg.alias("proba")).select(*keep, (F.col("proba") > 0.5).cast("int").alias("pred"), "proba")
+        out = (self.model.stages[-1] if "features" in df.columns else self.model).transform(df)
         return out.select(*keep, F.col("prediction").cast("int").alias("pred"),
                           vector_to_array("probability")[1].alias("proba"))
 
@@ -133,8 +141,16 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
+def assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    return df if "features" in df.columns else _assembler(features).transform(df)
+
+
 def build_estimator(key: str, params: dict, n_rows: float | None = None):
-    """Spark estimator for an algorithm key (unknown keys are rejected)."""
+    """Spark estimator for an algorithm key (unknown keys are rejected).
+
+    A forest keeps each row's node in a column instead of shipping the growing trees with every task, and keeps
+    many nodes' histograms at once: a level of a deep forest is then one pass.
+    """
     cw = params.get("class_weight")
     if key == "tree":
         return DecisionTreeClassifier(labelCol=TARGET, featuresCol="features", seed=SEED,
@@ -145,17 +161,14 @@ def build_estimator(key: str, params: dict, n_rows: float | None = None):
         rf = RandomForestClassifier(labelCol=TARGET, featuresCol="features", seed=SEED,
                                     numTrees=int(params.get("n_estimators", 100)),
                                     maxDepth=_depth(params.get("max_depth")),
-                                    featureSubsetStrategy=params.get("max_features", "sqrt"), maxBins=64)
+                                    featureSubsetStrategy=params.get("max_features", "sqrt"), maxBins=64,
+                                    cacheNodeIds=True, maxMemoryInMB=1024)
         return rf.setWeightCol("weight") if cw == "balanced" else rf
     if key == "logreg":
         c = float(params.get("C", 1.0))
         return LogisticRegression(labelCol=TARGET, featuresCol="features", maxIter=5000, elasticNetParam=0.0,
                                   regParam=1.0 / (c * (n_rows or 1.0)), standardization=False,
                                   weightCol="weight")
-    if key == "svm":
-        c = float(params.get("C", 1.0))
-        return LinearSVC(labelCol=TARGET, featuresCol="features", maxIter=3000,
-                         regParam=1.0 / (c * (n_rows or 1.0)), standardization=False, weightCol="weight")
     raise ValueError(f"unknown algorithm {key!r}")
 
 
@@ -163,50 +176,84 @@ def _weighted(df: DataFrame, params: dict) -> DataFrame:
     return with_balanced_weights(df) if params.get("class_weight") == "balanced" else with_unit_weights(df)
 
 
-def fit_model(key: str, params: dict, train: DataFrame, mode: str | None = None) -> FittedModel:
-    """Fit one algorithm on the training rows (feature set from the mode: ``z`` or ``cat``)."""
+def fit_model(key: str, params: dict, train: DataFrame, mode: str | None = None, features: list[str] | None = None) -> FittedModel:
+    """Fit one algorithm on the training rows (feature set from the mode: ``z`` or ``cat``).
+
+    Rows with a ``features`` vector of ``features`` (assembled once for many fits) are not assembled again.
+    """
     mode = mode or ("cat" if key == "cnb" else "z")
-    features = sorted(features_for_mode(train, mode))
+    features = features or sorted(features_for_mode(train, mode))
     if key == "cnb":
         return FittedModel(key, params, features, fit_categorical_nb(train, features, float(params.get("alpha", 1.0))))
-    data = _weighted(train, params)
     if key == "svm":
-        return _fit_calibrated_svm(params, data, features)
+        return fit_svms([params], train, features)[0]
+    data = _weighted(train, params)
     n = data.agg(F.sum("weight")).first()[0] if key == "logreg" else None
-    est = build_estimator(key, params, n)
-    model = Pipeline(stages=[_assembler(features), est]).fit(data)
-    return FittedModel(key, params, features, model)
+    model = build_estimator(key, params, n).fit(assembled(data, features))
+    return FittedModel(key, params, features, PipelineModel(stages=[_assembler(features), model]))
 
 
-def _fit_calibrated_svm(params: dict, data: DataFrame, features: list[str], folds: int = 3) -> FittedModel:
-    """M5: per fold, a linear SVM on the other folds and a one-feature logistic (Platt)
+def fit_svms(grid: list[dict], train: DataFrame, features: list[str], folds: int = FOLDS) -> list[FittedModel]:
+    """M5 for several parameter sets at once: per fold a squared-hinge SVM on the other folds, and Platt's
     calibration on the held-out margins; probabilities are averaged over the folds."""
     from churnkit.operators.split import md5_order_key
-    d = data.withColumn("_fold", F.pmod(md5_order_key("ID", SEED), F.lit(folds)))
-    pairs = []
-    for k in range(folds):
-        tr, ho = d.filter(F.col("_fold") != k), d.filter(F.col("_fold") == k)
-        n = tr.agg(F.sum("weight")).first()[0]
-        svc = Pipeline(stages=[_assembler(features), build_estimator("svm", params, n)]).fit(tr)
-        margin = svc.transform(ho).select(F.col(TARGET), vector_to_array("rawPrediction")[1].alias("margin"))
-        platt_in = VectorAssembler(inputCols=["margin"], outputCol="features").transform(margin)
-        platt = LogisticRegression(labelCol=TARGET, featuresCol="features", maxIter=200, regParam=0.0).fit(platt_in)
-        pairs.append((svc, platt))
-    return FittedModel("svm", params, features, None, pairs)
-
-
-def _svm_transform(m: FittedModel, df: DataFrame, keep: list[str]) -> DataFrame:
-    """Average calibrated probability over the folds, as one chain of projections (no join,
-    so it also runs on a streaming DataFrame)."""
-    cur = df.select(*keep, *m.features)
-    for i, (svc, platt) in enumerate(m.calibrated):
-        cols = cur.columns
-        cur = svc.transform(cur).select(*cols, vector_to_array("rawPrediction")[1].alias("_margin"))
-        cur = platt.transform(VectorAssembler(inputCols=["_margin"], outputCol="features").transform(cur))
-        cur = cur.select(*cols, vector_to_array("probability")[1].alias(f"_p{i}"))
-    n = len(m.calibrated)
-    avg = sum((F.col(f"_p{i}") for i in range(n)), F.lit(0.0)) / n
-    return cur.select(*keep, (avg > 0.5).cast("int").alias("pred"), avg.alias("proba"))
+    from churnkit.session import materialize
+    d = with_balanced_weights(train).withColumn("_fold", F.pmod(md5_order_key("ID", SEED), F.lit(folds)).cast("int"))
+    d = materialize(d.select(TARGET, "weight", "_fold", *features))
+    models = [{"C": float(p.get("C", 1.0)), "balanced": p.get("class_weight") == "balanced", "without": k} for p in grid for k in range(folds)]
+    fitted = fit_margins(d, features, models, y=TARGET, fold="_fold", folds=folds)
+    calibrate(d, features, fitted, [m["without"] for m in models], y=TARGET, fold="_fold")
+    return [FittedModel("svm", p, features, None, fitted[i * folds:(i + 1) * folds]) for i, p in enumerate(grid)]
+
+
+# ---- nested trees: one deep fit serves every depth ------------------------------------------
+
+def cut_leaves(nodes: list, depths: list[int | None]) -> dict[int | None, list[tuple[int, float]]]:
+    """For each depth: (prediction, P(1)) that each leaf's rows get from the tree cut at that depth.
+
+    ``nodes``: rows of a saved tree (prediction, impurityStats, leftChild, rightChild) by id, which is preorder; leaves
+    are numbered from left to right. A greedy tree of limited depth is the deep tree cut there; like Spark, sister
+    leaves with one prediction are merged into their parent.
+    """
+    n = len(nodes)
+    depth, parent = [0] * n, [-1] * n
+    for i, r in enumerate(nodes):
+        for c in (r["leftChild"], r["rightChild"]):
+            if c >= 0:
+                depth[c], parent[c] = depth[i] + 1, i
+    out = {}
+    for limit in depths:
+        leaf = [r["leftChild"] < 0 or (limit is not None and depth[i] >= limit) for i, r in enumerate(nodes)]
+        for i in range(n - 1, -1, -1):
+            if not leaf[i]:
+                a, b = nodes[i]["leftChild"], nodes[i]["rightChild"]
+                leaf[i] = leaf[a] and leaf[b] and nodes[a]["prediction"] == nodes[b]["prediction"]
+        held, rows = [0] * n, []
+        for i, r in enumerate(nodes):      # a node's rows end in its highest ancestor that is a leaf
+            up = parent[i]
+            held[i] = held[up] if up >= 0 and leaf[held[up]] else i
+            if r["leftChild"] < 0:
+                stats = nodes[held[i]]["impurityStats"]
+                rows.append((int(nodes[held[i]]["prediction"]), float(stats[1] / sum(stats)) if len(stats) > 1 else 0.0))
+        out[limit] = rows
+    return out
+
+
+def score_depths(model: FittedModel, df: DataFrame, depths: list[int | None], path: str, keep=("ID",)) -> DataFrame:
+    """Rows scored by the tree ``model`` cut at each of ``depths``: ``keep`` + ``depth_index``, ``pred``, ``proba``.
+
+    One pass finds each row's leaf; what a leaf becomes at each depth is a table with a row per leaf (the node table,
+    written to ``path``, is as large as the model).
+    """
+    spark = df.sparkSession
+    tree = model.model.stages[-1]
+    tree.write().overwrite().save(path)
+    cuts = cut_leaves(spark.read.parquet(f"{path}/data").orderBy("id").collect(), depths)
+    table = spark.createDataFrame([(float(leaf), [(int(cuts[d][leaf][0]), cuts[d][leaf][1]) for d in depths]) for leaf in range(len(cuts[depths[0]]))],
+                                  "leaf double, cuts array<struct<pred:int,proba:double>>")
+    found = tree.copy().setLeafCol("leaf").transform(assembled(df, model.features))
+    scored = found.select(*keep, "leaf").join(table, "leaf").select(*keep, F.posexplode("cuts").alias("depth_index", "c"))
+    return scored.select(*keep, "depth_index", "c.pred", "c.proba")
 
 
 def feature_importance(m: FittedModel) -> list[tuple[str, float]]:
@@ -218,7 +265,6 @@ def feature_importance(m: FittedModel) -> list[tuple[str, float]]:
     if m.key == "logreg":
         return list(zip(m.features, map(float, m.model.stages[-1].coefficients.toArray())))
     if m.key == "svm" and m.calibrated:
-        arrs = [svc.stages[-1].coefficients.toArray() for svc, _ in m.calibrated]
-        mean = [float(sum(a[i] for a in arrs) / len(arrs)) for i in range(len(m.features))]
+        mean = [float(sum(c.weights[i] for c in m.calibrated) / len(m.calibrated)) for i in range(len(m.features))]
         return list(zip(m.features, mean))
     return []
