@@ -6,13 +6,12 @@ k-NN inside the minority class, exact, without enumerating all pairs:
 1. identical feature vectors are collapsed into groups; a row's first neighbours are the
    other rows of its own group (distance 0, smallest ranks first), so a hot duplicate group
    never has to be searched or gathered;
-2. distinct vectors are cut at medians of their widest coordinates, level by level, into
-   blocks of at most ``BLOCK_ROWS`` vectors (a k-d partition built with grouped aggregates);
-3. each vector's k nearest inside its own block bound its radius; it then goes down the tree, a few
-   levels a step, to the nodes whose bounding boxes its radius reaches;
-4. only the vectors of the blocks it ends in are compared; what is within the radius is ranked.
-
-Everything is joins and grouped aggregates of fixed-size blocks; there is no Python step.
+2. a k-d tree is fitted on at most ``SAMPLE`` distinct vectors (in hash order) on the driver and shipped
+   as two arrays; every distinct vector finds its leaf in one pass without a shuffle;
+3. the leaves' exact bounding boxes come from one grouped aggregate; per leaf, each vector's k nearest inside
+   bound its radius, and the boxes within that radius are the leaves it must visit;
+4. the vectors meet the members of those leaves in a co-grouped step; a leaf with many visitors is dealt to several
+   tasks; what is within the radius is ranked. The sample decides only how the work is cut, never the result.
 
 Synthetic rows: for s in 0..S-1 (S = majority - minority), seeded md5 picks the base row,
 the neighbour rank and the step lambda in [0, 1); x_new = x + lambda * (x_nn - x); integer
@@ -21,6 +20,10 @@ features are truncated back to integers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,89 +32,158 @@ from churnkit.session import materialize
 
 K_NEIGHBOURS = 5
 SEED = 42
-BLOCK_ROWS = 32     # distinct vectors of a block
-LEVELS = 5          # tree levels of one step down
-
-
-def _d2(dim: int) -> Column:
-    """Squared distance between the ``x{i}`` and ``y{i}`` columns (plain arithmetic: codegen)."""
-    return sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(dim)), F.lit(0.0))
+BLOCK_ROWS = 256    # distinct vectors of a leaf, on average
+SAMPLE = 65_536     # distinct vectors the tree's cuts are fitted on
+VISITORS = 20_000   # vectors that one task compares with a leaf
+PAIRS = 2_000_000   # distances held at once
 
 
 def _hex_int(h: Column, start: int, length: int) -> Column:
     return F.conv(F.substring(h, start, length), 16, 10).cast("long")
 
 
-def kd_blocks(groups: DataFrame, dim: int, block: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``blk`` (long): nodes of more than ``block`` vectors are cut at the median of their widest
-    coordinate until none is left. The vectors are distinct, so every cut leaves both sides filled."""
-    xs = [f"x{i}" for i in range(dim)]
-    g = materialize(groups.withColumn("blk", F.lit(1).cast("long")))
-    while True:
-        # per node: its widest coordinate, where that ends, and its median
-        widest = F.array_max(F.array(*[F.struct((F.max(x) - F.min(x)).alias("w"), F.lit(i).alias("i"), F.max(x).alias("hi"), F.percentile_approx(x, 0.5).alias("m"))
-                                       for i, x in enumerate(xs)]))
-        cuts = materialize(g.groupBy("blk").agg(F.count("*").alias("n"), widest.alias("cut")).filter(F.col("n") > block).select("blk", "cut"))
-        if cuts.isEmpty():
-            return g
-        v, m = F.element_at(F.array(*xs), F.col("cut.i") + 1), F.col("cut.m")
-        right = (v > m) | ((m == F.col("cut.hi")) & (v == m))
-        g = materialize(g.join(cuts, "blk", "left").withColumn("blk", F.when(F.col("cut").isNull(), F.col("blk")).otherwise(2 * F.col("blk") + right.cast("int"))).drop("cut"))
+def fit_tree(vectors: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinate, cut) of the nodes 1 .. 2^depth - 1 of a k-d tree: the widest coordinate at its median.
 
+    A vector goes right (2 * node + 1) if its coordinate is above the cut; a node whose vectors are all alike
+    sends everything left (coordinate 0, infinite cut).
+    """
+    which, cut = np.zeros(1 << depth, dtype=np.int64), np.full(1 << depth, np.inf)
+    parts = {1: vectors}
+    for node in range(1, 1 << depth):
+        own = parts.pop(node)
+        if len(own):
+            low, high = own.min(axis=0), own.max(axis=0)
+            i = int(np.argmax(high - low))
+            if high[i] > low[i]:
+                column = own[:, i]
+                m = np.partition(column, (len(column) - 1) // 2)[(len(column) - 1) // 2]
+                which[node], cut[node] = i, m if m < high[i] else column[column < m].max()
+        right = own[:, which[node]] > cut[node]
+        parts[2 * node], parts[2 * node + 1] = own[~right], own[right]
+    return which, cut
 
-def _ancestor(level: int) -> Column:
-    """Node at depth ``level`` above a block (the block itself if it isn't that deep)."""
-    depth = F.floor(F.log2(F.col("blk"))).cast("int")
-    return F.when(depth <= level, F.col("blk")).otherwise(F.expr(f"shiftright(blk, cast(floor(log2(blk)) as int) - {level})"))
 
+def leaf_of(vectors: np.ndarray, which: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Leaf (node number at the tree's depth) of each vector."""
+    node = np.ones(len(vectors), dtype=np.int64)
+    at = np.arange(len(vectors))
+    for _ in range(len(which).bit_length() - 1):
+        node = 2 * node + (vectors[at, which[node]] > cut[node])
+    return node
 
-def comparisons(g: DataFrame, radius: DataFrame, dim: int) -> DataFrame:
-    """(gid, x.., r2, oblk, rows): the blocks that vectors must be compared with, and their sizes.
 
-    The tree is descended LEVELS levels at a time: a vector goes on to the nodes whose bounding box is
-    within its radius, so the rows at each step are the nodes visited, not vectors times blocks.
+def _matrix(table: pa.Table, column: str = "v") -> np.ndarray:
+    flat = table.column(column).combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, same: np.ndarray | None = None, within: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, row of y, squared distance), in blocks: the k nearest rows of y, ties in y's order, for each row of x.
+
+    ``same``: the row of y that a row of x is itself (left out); ``within``: only distances up to this. Squares are added
+    coordinate by coordinate, so a distance is the same number wherever it is computed.
     """
-    xs = [f"x{i}" for i in range(dim)]
-    depth = g.agg(F.max(F.floor(F.log2("blk")))).first()[0] or 0
-    ends = [F.min(x).alias(f"lo_{x}") for x in xs] + [F.max(x).alias(f"hi_{x}") for x in xs]
-    near = g.join(radius, "gid").select("gid", *xs, "r2", F.lit(1).cast("long").alias("node"))
-    gap = [F.greatest(F.col(f"lo_{x}") - F.col(x), F.col(x) - F.col(f"hi_{x}"), F.lit(0.0)) for x in xs]
-    reach = sum((e * e for e in gap), F.lit(0.0)) <= F.col("r2")
-    for level in range(LEVELS, int(depth) + LEVELS, LEVELS):
-        boxes = g.groupBy(_ancestor(level - LEVELS).alias("node"), _ancestor(level).alias("below")).agg(*ends, F.count("*").alias("rows"))
-        step = near.drop("rows").join(materialize(boxes), "node").filter(reach)
-        near = step.select("gid", *xs, "r2", F.col("below").alias("node"), "rows")
-    if "rows" not in near.columns:
-        near = near.withColumn("rows", F.lit(g.count()))
-    return near.withColumnRenamed("node", "oblk")
-
-
-def _group_knn(groups: DataFrame, k: int, block: int, dim: int) -> DataFrame:
+    step = max(1, PAIRS // max(1, len(y)))
+    for a in range(0, len(x), step):
+        part = x[a:a + step]
+        d2 = np.zeros((len(part), len(y)))
+        for i in range(x.shape[1]):
+            e = part[:, i, None] - y[None, :, i]
+            d2 += e * e
+        if same is not None:
+            d2[np.arange(len(part)), same[a:a + step]] = np.inf
+        bound = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(y) > k else np.full(len(part), np.inf)
+        if within is not None:
+            bound = np.minimum(bound, within[a:a + step])
+        i, j = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
+        d = d2[i, j]
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0)) if len(i) else i
+        keep = rank < k
+        yield i[keep] + a, j[keep], d[keep]
+
+
+def _group_knn(groups: DataFrame, k: int, block: int) -> DataFrame:
     """Exact k nearest distinct vectors: ``(gid, nid, d2)`` for the k nearest other groups.
 
-    ``groups`` holds ``gid`` and the coordinates ``x0..x{dim-1}``.
+    ``groups`` holds ``gid`` (long) and ``v`` (array<double>, all of one length, distinct); vectors with missing
+    or NaN coordinates have no distance and no neighbours. Beyond 8 * SAMPLE vectors leaves grow with the
+    table (a larger ``SAMPLE``, held on the driver, keeps them small).
     """
-    xs = [f"x{i}" for i in range(dim)]
-    ys = [F.col(f"x{i}").alias(f"y{i}") for i in range(dim)]
-    g = kd_blocks(groups, dim, max(block, k + 1))
+    groups = groups.select("gid", "v").filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c)))
+    n = groups.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, min(n, SAMPLE * 8) / max(block, k + 1))))))
+    taken = groups.orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("v").collect() if depth else []
+    which, cut = fit_tree(np.array([r.v for r in taken], dtype=float).reshape(len(taken), -1), depth) if depth else (np.zeros(1, dtype=np.int64), np.zeros(1))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = leaf_of(_matrix(pa.Table.from_batches([batch])), which, cut)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["gid", "v", "leaf"])
+
+    g = materialize(groups.mapInArrow(assign, "gid long, v array<double>, leaf long"))
+    dim = len(g.first()["v"]) if n else 0
+    ends = [f(F.element_at("v", i + 1)).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(dim)]
+    boxes = g.groupBy("leaf").agg(*ends).orderBy("leaf").collect()      # a row per leaf
+    leaves = np.array([r["leaf"] for r in boxes], dtype=np.int64)
+    low, high = (np.array([[r[f"{name}{i}"] for i in range(dim)] for r in boxes]).reshape(len(boxes), dim) for name in ("lo", "hi"))
+
+    def inside(table: pa.Table) -> pa.Table:
+        """Per vector of a leaf: its k nearest inside (``near``) and the other leaves within reach (``visits``)."""
+        table = table.sort_by("gid")
+        x, gid = _matrix(table), table.column("gid").to_numpy()
+        own = int(np.searchsorted(leaves, table.column("leaf")[0].as_py()))
+        near, far = [[] for _ in gid], np.full(len(gid), np.inf)
+        for i, j, d in nearest(x, x, k, same=np.arange(len(gid))):
+            for a, b, e in zip(i.tolist(), gid[j].tolist(), d.tolist()):
+                near[a].append((b, e))
+                if len(near[a]) == k:
+                    far[a] = e
+        visits = []
+        for a in range(0, len(gid), 256):
+            part, r2 = x[a:a + 256], far[a:a + 256]
+            wide = _gap(part.min(axis=0)[None], part.max(axis=0)[None], low, high)[0] <= r2.max()
+            wide[own] = False
+            some = np.flatnonzero(wide)
+            reach = _gap(part, part, low[some], high[some]) <= r2[:, None]
+            visits += [leaves[some[row]].tolist() for row in reach]
+        return pa.table({"gid": table.column("gid"), "v": table.column("v"), "r2": pa.array(far),
+                         "visits": pa.array(visits, type=pa.list_(pa.int64())),
+                         "near": pa.array([[{"nid": b, "d2": e} for b, e in r] for r in near], type=pa.list_(pa.struct([("nid", pa.int64()), ("d2", pa.float64())])))})
+
+    found = materialize(g.groupBy("leaf").applyInArrow(inside, "gid long, v array<double>, r2 double, visits array<long>, near array<struct<nid:long,d2:double>>"))
+    own = found.select("gid", F.explode("near").alias("e")).select("gid", "e.nid", "e.d2")
+    visits = found.select("gid", "v", "r2", F.explode("visits").alias("leaf"))
+    shares = materialize(visits.groupBy("leaf").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares")))
+    guests = visits.join(F.broadcast(shares), "leaf").withColumn("share", F.pmod(F.xxhash64("gid"), F.col("shares")).cast("int")).drop("shares")   # a row per leaf
+    hosts = g.join(F.broadcast(shares), "leaf").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+
+    def visited(guest: pa.Table, host: pa.Table) -> pa.Table:
+        host = host.sort_by("gid")
+        gid, nid, d2 = [], [], []
+        if guest.num_rows and host.num_rows:
+            ours, theirs = guest.column("gid").to_numpy(), host.column("gid").to_numpy()
+            for i, j, d in nearest(_matrix(guest), _matrix(host), k, within=guest.column("r2").to_numpy()):
+                gid.append(ours[i])
+                nid.append(theirs[j])
+                d2.append(d)
+        return pa.table({"gid": np.concatenate(gid or [np.zeros(0, np.int64)]), "nid": np.concatenate(nid or [np.zeros(0, np.int64)]), "d2": np.concatenate(d2 or [np.zeros(0)])})
+
+    more = guests.groupBy("leaf", "share").cogroup(hosts.groupBy("leaf", "share")).applyInArrow(visited, "gid long, nid long, d2 double")
     w = Window.partitionBy("gid").orderBy("d2", "nid")
-    # the own block: at most `block` candidates per vector
-    own = g.join(g.select(F.col("gid").alias("nid"), *ys, "blk"), "blk").filter(F.col("gid") != F.col("nid")).select("gid", "nid", _d2(dim).alias("d2"))
-    top = materialize(own.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("gid", "nid", "d2"))
-    radius = materialize(g.select("gid", "blk", *xs).join(top, "gid", "left").groupBy("gid", "blk", *xs).agg(
-        F.when(F.count("d2") >= k, F.max("d2")).alias("r2")))
-    # a block with fewer than k others bounds nothing: look among the vectors under a common node above
-    up = F.expr(f"shiftright(blk, greatest(0, least({LEVELS}, cast(floor(log2(blk)) as int))))")
-    lone = radius.filter("r2 is null").withColumn("up", up)
-    wider = (lone.join(g.select(F.col("gid").alias("nid"), *ys, "blk").withColumn("up", up).drop("blk"), "up").filter(F.col("gid") != F.col("nid"))
-             .select("gid", "nid", _d2(dim).alias("d2")).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-             .groupBy("gid").agg(F.when(F.count("*") >= k, F.max("d2")).alias("wide")))
-    radius = materialize(radius.select("gid", "r2").join(wider, "gid", "left").select("gid", F.coalesce("r2", "wide", F.lit(float("inf"))).alias("r2")))
-    q = comparisons(g, radius, dim)
-    more = (q.join(g.select(F.col("gid").alias("nid"), *ys, F.col("blk").alias("oblk")), "oblk")
-            .select("gid", "nid", _d2(dim).alias("d2"), "r2").filter(F.col("d2") <= F.col("r2")).select("gid", "nid", "d2"))
-    found = more.filter(F.col("gid") != F.col("nid"))   # the own block is among them
-    return found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).drop("rk")
+    return own.unionByName(more).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).drop("rk")
+
+
+def _gap(low: np.ndarray, high: np.ndarray, box_low: np.ndarray, box_high: np.ndarray) -> np.ndarray:
+    """Squared distance of boxes (or points: low = high) to boxes."""
+    out = np.zeros((len(low), len(box_low)))
+    for i in range(low.shape[1]):
+        e = np.maximum(np.maximum(box_low[None, :, i] - high[:, i, None], low[:, i, None] - box_high[None, :, i]), 0.0)
+        out += e * e
+    return out
 
 
 def minority_neighbours(rows: DataFrame, features: list[str], k: int = K_NEIGHBOURS, block: int = BLOCK_ROWS,
@@ -134,9 +206,7 @@ def minority_neighbours(rows: DataFrame, features: list[str], k: int = K_NEIGHBO
     need = r.filter(F.col("g") - 1 < k).select("ID", "gid", (F.lit(k) - (F.col("g") - 1)).alias("extra"))
     small = groups.filter(F.col("g") - 1 < k).select("gid", "v")
     if k > 0:
-        dim = len(features)
-        coords = groups.select("gid", *[F.col("v")[i].alias(f"x{i}") for i in range(dim)])
-        near = _group_knn(coords, k, block, dim).join(small.select("gid"), "gid")
+        near = _group_knn(groups, k, block).join(small.select("gid"), "gid")
         cand = near.join(firsts.filter(F.col("frnk") <= k).withColumnRenamed("fgid", "nid")
                          .withColumnRenamed("frnk", "rnk"), "nid")
         ext = need.join(cand, "gid")

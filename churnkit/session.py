@@ -55,11 +55,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        configured = tempfile.mkdtemp(prefix="churnkit-ckpt-")
+        configured = os.path.join(tempfile.gettempdir(), f"churnkit-ckpt-{os.getuid()}")
+        os.makedirs(configured, mode=0o700, exist_ok=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def lasting_dir(spark: SparkSession) -> str:
+    """The folder above this session's checkpoints: what is stored there outlives the session."""
+    own = checkpoint_dir(spark).rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return configured.rstrip("/") if configured else own.rpartition("/")[0]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 

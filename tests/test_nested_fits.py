@@ -85,7 +85,10 @@ def test_margins_of_odd_rows(spark):
 
 
 def test_stopped_tuning_goes_on(spark, rows, monkeypatch):
+    import uuid
+
     from churnkit.plans import experiment
+    monkeypatch.setattr(experiment, "VERSION", uuid.uuid4().hex)
     points = [("tree", "z", {"max_depth": d, "criterion": "gini", "min_samples_leaf": 1}) for d in (None, 3)]
     points += [("rf", "z", {"n_estimators": 3, "max_depth": 3, "max_features": "sqrt", "class_weight": "balanced"}), ("cnb", "cat", {"alpha": 1.0}),
                ("logreg", "z", {"C": 1.0, "class_weight": None}), ("svm", "z", {"C": 1.0, "class_weight": "balanced"})]
