@@ -1,8 +1,11 @@
 """Secret and license scans: against plain regular expressions and exact containment."""
 
+import math
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from churnkit.llm import licenses, secrets
@@ -121,3 +124,62 @@ def test_tiny_templates_and_every_occurrence():
     assert found[0] == held.scan(raw[:1])[0]
     twice = (licenses.TEMPLATES["BSD"] + " " + licenses.TEMPLATES["BSD"]).encode()
     assert [x[0] for x in held.scan([twice])[0]] == ["BSD", "BSD"]
+
+
+def every_segment(s, i, j):
+    """Least price of value[i:j] as one segment, each kind by its own definition."""
+    part = s[i:j]
+    prices = [secrets._brute(part)]
+    if j - i >= 3:
+        word = secrets._word_cost(part)
+        prices += [] if word is None else [word]
+        low = part.lower()
+        if all(secrets._next_to(a, b, None) for a, b in zip(low, low[1:])):
+            prices.append(2.0 + 0.5 * len(part) ** 0.5 + math.log10(len(part)))
+        if any(all(secrets._next_to(a, b, step) for a, b in zip(low, low[1:])) for step in (1, -1)):
+            prices.append(1.3 + math.log10(len(part)))
+        if secrets.DATE.match(s, i) and len(part) >= 4 and secrets.DATE.match(s, i).end() == j:
+            prices.append(2.1 if len(part) == 4 else 4.6)
+    for size in range(1, len(part) // 2 + 1):
+        if len(part) % size == 0 and len(part) >= 3 and part == part[:size] * (len(part) // size):
+            word = secrets._word_cost(part[:size])
+            unit = secrets._brute(part[:size])
+            prices.append(min(unit, unit if word is None else word) + math.log10(len(part) // size))
+    return min(prices)
+
+
+def every_segmentation(s):
+    best = [0.0] + [math.inf] * len(s)
+    for j in range(1, len(s) + 1):
+        best[j] = min(best[i] + (secrets.JOINT if i else 0.0) + every_segment(s, i, j) for i in range(j))
+    return best[-1]
+
+
+def test_cheapest_of_all_segmentations():
+    draw = random.Random(4)
+    values = ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 14))) for alphabet in ("ab", "aB1$", "qwertyasdf12", "0123456789", "passwordtoken") for _ in range(60)]
+    values += ["password1999", "tokentokentoken", "drowssap2024-01-31", "P4ssw0rd!!", "qwerty12345abcabc", "abcABCabcABC", "xK9$mQ2pLw7z"]
+    for v in values:
+        assert abs(secrets.guess_cost(v) - every_segmentation(v)) < 1e-9, v
+        costs = secrets.suffix_costs(v)
+        assert all(abs(costs[i] - secrets.guess_cost(v[i:])) < 1e-9 for i in range(len(v) + 1) if not secrets.DATE.search(v)), v
+
+
+def test_runs_with_many_credential_words_stay_linear():
+    def seconds(text):
+        t0 = time.time()
+        secrets.scan_text(text)
+        return time.time() - t0
+
+    seconds("token=" * 50)
+    small, large = seconds("token=" * 2_500), seconds("token=" * 10_000)
+    assert large < 20 and large < 8 * small + 0.5
+    one = [c for _, _, c in secrets.credential_values("token=" * 5 + "xK9$mQ2pLw7z")]
+    assert one == [pytest.approx(secrets.guess_cost("token=" * k + "xK9$mQ2pLw7z")) for k in (4, 3, 2, 1, 0)]
+
+
+def test_prose_after_credential_words_is_no_secret():
+    prose = ["the token Geschwindigkeitsbegrenzung", "pin Wahrscheinlichkeit", "secret rendezvous", "bearer niespodzianka", "le secret professionnellement", "el token extraordinariamente.",
+             "spin xK9mQ2pLw7z", "password is Unbeschreiblichkeiten"]
+    assert [t for t in prose if any(s[1] == 3 for s in secrets.scan_text(t))] == []
+    assert [s[1] for t in ("bearer xK9mQ2pLw7z", "pwd: xkqzvbnwtrplmghd", "dbPassword=xK9$mQ2pLw7z", "pin is 8Zk!!q0vRt") for s in secrets.scan_text(t) if s[1] == 3] == [3] * 4
