@@ -405,6 +405,27 @@ def q_r3(spark, sf):
     return data_quality_table(members_left(spark, sf))
 
 
+def _sql_duplicates(table: str, cols: list[str]) -> str:
+    same = f"(SELECT count(*) AS c FROM {table} GROUP BY {', '.join(cols)} HAVING count(*) > 1)"
+    return f"""SELECT CAST(count_if({' AND '.join(f'{c} IS NULL' for c in cols)}) AS BIGINT) AS n_all_null_rows, count(*) AS n_rows,
+  (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM {same}) AS n_duplicate_rows, (SELECT count(*) FROM {same}) AS n_duplicated_groups FROM {table}"""
+
+
+@query("R3_duplicate_rows_table2", with_members(body=_sql_duplicates("members_mixed", [c for c in MIXED_COLS if c != "ID"])))
+def q_r3_mixed(spark, sf):
+    from churnkit.operators.quality import data_quality_table
+    return data_quality_table(members_mixed(spark, sf))
+
+
+@query("R5_near_constant_columns_table2", with_members(body=f"""
+SELECT colonne, mode, effectif_mode, n_non_null, round(CAST(effectif_mode AS DOUBLE) / n_non_null, 6) AS mode_share,
+       coalesce(CAST(effectif_mode AS DOUBLE) / n_non_null, 0.0) >= 0.95 AS near_constant
+FROM ({sql_qual_profile('members_mixed', [c for c in MIXED_COLS if c != 'ID'])})"""))
+def q_r5_mixed(spark, sf):
+    from churnkit.operators.quality import near_constant
+    return near_constant(members_mixed(spark, sf))
+
+
 @query("R5_near_constant_columns", with_members(body=f"""
 SELECT colonne, mode, effectif_mode, n_non_null, round(CAST(effectif_mode AS DOUBLE) / n_non_null, 6) AS mode_share,
        coalesce(CAST(effectif_mode AS DOUBLE) / n_non_null, 0.0) >= 0.95 AS near_constant
@@ -552,6 +573,66 @@ def q_t6(spark, sf):
     return rounded(kruskal_anova_pairs(members_left(spark, sf), QC_PAIRS))
 
 
+MIXED_QUANT = quant_of(MIXED_COLS)
+MIXED_QQ, LEFT_CC, MIXED_QC = _combos(MIXED_QUANT), _combos(LEFT_QUAL), [(q, c) for q in MIXED_QUANT for c in MIXED_QUAL]
+
+
+@query("T1_pearson_table2", with_members(body=_sql_pearson("members_mixed", MIXED_QQ)))
+def q_t1_mixed(spark, sf):
+    from churnkit.operators.assoc import pearson_pairs
+    return rounded(pearson_pairs(members_mixed(spark, sf), MIXED_QQ))
+
+
+@query("T2_spearman_table2", with_members(body=_sql_spearman("members_mixed", MIXED_QQ)))
+def q_t2_mixed(spark, sf):
+    from churnkit.operators.assoc import spearman_pairs
+    return rounded(spearman_pairs(members_mixed(spark, sf), MIXED_QQ))
+
+
+@query("T3_kendall_tau_b_table2", with_members(body=_sql_kendall("members_mixed", MIXED_QQ)))
+def q_t3_mixed(spark, sf):
+    from churnkit.operators.assoc import kendall_pairs
+    return rounded(kendall_pairs(members_mixed(spark, sf), MIXED_QQ).drop("ties_x", "ties_y"))
+
+
+@query("T4_T5_chi2_cramers_v_table1", with_members(body="\nUNION ALL\n".join(_sql_chi2_pair("members_left", a, b) for a, b in LEFT_CC)))
+def q_t4_left(spark, sf):
+    from churnkit.operators.assoc import chi2_pairs
+    return rounded(chi2_pairs(members_left(spark, sf), LEFT_CC))
+
+
+@query("T6_T8_kruskal_anova_table2", with_members(body="\nUNION ALL\n".join(_sql_kruskal_pair("members_mixed", q, g) for q, g in MIXED_QC)))
+def q_t6_mixed(spark, sf):
+    from churnkit.operators.assoc import kruskal_anova_pairs
+    return rounded(kruskal_anova_pairs(members_mixed(spark, sf), MIXED_QC))
+
+
+REDUNDANT = 0.9
+
+
+def _sql_redundant(table: str, qq, cc, qc) -> str:
+    parts = [f"SELECT var1, var2, 'spearman' AS measure, spearman_rho AS value FROM ({_sql_spearman(table, qq)})",
+             "SELECT var1, var2, 'cramers_v' AS measure, cramers_v AS value FROM (" + "\nUNION ALL\n".join(_sql_chi2_pair(table, a, b) for a, b in cc) + ")",
+             "SELECT var1, var2, 'epsilon2' AS measure, epsilon2_kruskal AS value FROM (" + "\nUNION ALL\n".join(_sql_kruskal_pair(table, a, b) for a, b in qc) + ")"]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE abs(value) >= {REDUNDANT}"
+
+
+def _redundant(df, qq, cc, qc):
+    from churnkit.operators.assoc import chi2_pairs, kruskal_anova_pairs, spearman_pairs
+    from churnkit.operators.quality import redundant_pairs
+    return redundant_pairs(rounded(spearman_pairs(df, qq)), rounded(chi2_pairs(df, cc)), rounded(kruskal_anova_pairs(df, qc)), REDUNDANT)
+
+
+@query("R2_redundant_pairs_table1", with_members(body=_sql_redundant("members_left", QQ_PAIRS, LEFT_CC, QC_PAIRS)))
+def q_r2_redundant_left(spark, sf):
+    return _redundant(members_left(spark, sf), QQ_PAIRS, LEFT_CC, QC_PAIRS)
+
+
+@query("R2_redundant_pairs_table2", with_members(body=_sql_redundant("members_mixed", MIXED_QQ, CC_PAIRS, MIXED_QC)))
+def q_r2_redundant_mixed(spark, sf):
+    return _redundant(members_mixed(spark, sf), MIXED_QQ, CC_PAIRS, MIXED_QC)
+
+
 @query("T9_bivariate_table1")
 def q_t9_left(spark, sf):
     from churnkit.operators.assoc import bivariate_summary
@@ -1400,7 +1481,45 @@ def q_r2(spark, sf):
     return functional_dependencies(members_left(spark, sf), FD_PAIRS)
 
 
-@query("R4_quality_summary")
+def _sql_dependencies(table: str, cols: list[str]) -> str:
+    """All minimal dependencies by counting distinct tuples: X determines c when adding c makes no new tuple."""
+    from itertools import combinations
+    sets = [x for k in (1, 2, 3) for x in combinations(cols, k)]
+    counts = " UNION ALL ".join(f"SELECT '{', '.join(x)}' AS s, count(*) AS n FROM (SELECT DISTINCT {', '.join(x)} FROM {table})" for x in sets)
+    asked = ", ".join(f"('{', '.join(x)}', '{c}', '{', '.join(sorted((*x, c), key=cols.index))}', {len(x)}, '{x[0]}', '{x[-1]}')"
+                      for k in (1, 2) for x in combinations(cols, k) for c in cols if c not in x)
+    return f"""SELECT determinant, dependent, n_levels FROM (
+  SELECT q.*, a.n AS n_levels, a.n = b.n AS holds FROM (VALUES {asked}) q(determinant, dependent, all_of, size, first_of, last_of)
+  JOIN counts a ON a.s = determinant JOIN counts b ON b.s = all_of) f
+WHERE holds AND (size = 1 OR NOT EXISTS (SELECT 1 FROM counts x JOIN counts y ON true JOIN (VALUES {asked}) q(d, c, all_of, size, f, l)
+  ON x.s = q.d AND y.s = q.all_of WHERE q.size = 1 AND x.n = y.n AND q.c = f.dependent AND q.d IN (f.first_of, f.last_of)))""", counts
+
+
+def _sql_dependencies_of(table: str, cols: list[str]) -> str:
+    body, counts = _sql_dependencies(table, cols)
+    return with_members(f"counts AS MATERIALIZED ({counts})", body=body)
+
+
+@query("R2_dependencies_table1", _sql_dependencies_of("members_left", [c for c in LEFT_COLS if c != "ID"]))
+def q_r2_left(spark, sf):
+    from churnkit.operators.quality import discover_dependencies
+    return discover_dependencies(members_left(spark, sf).drop("ID"))
+
+
+@query("R2_dependencies_table2", _sql_dependencies_of("members_mixed", [c for c in MIXED_COLS if c != "ID"]))
+def q_r2_mixed(spark, sf):
+    from churnkit.operators.quality import discover_dependencies
+    return discover_dependencies(members_mixed(spark, sf).drop("ID"))
+
+
+def _sql_nulls(table: str, name: str, cols) -> str:
+    return f"(SELECT CAST({' + '.join(f'count_if({c} IS NULL)' for c in cols)} AS BIGINT) AS missing_cells_{name} FROM {table})"
+
+
+@query("R4_quality_summary", with_members(body=f"""SELECT * FROM ({ORACLE["A5_sentinels_table2"]}), ({ORACLE["A6_sentinels_table1"]}),
+  (SELECT CAST(sum(outliers_iqr_1_5) AS BIGINT) AS outliers_table1 FROM ({ORACLE["A7_outlier_summary_table1"]})),
+  (SELECT CAST(sum(outliers_iqr_1_5) AS BIGINT) AS outliers_table2 FROM ({ORACLE["A7_outlier_summary_table2"]})),
+  {_sql_nulls('members_left', 'table1', LEFT_COLS)}, {_sql_nulls('members_mixed', 'table2', MIXED_COLS)}"""))
 def q_r4(spark, sf):
     from churnkit.operators.quality import quality_summary
     return quality_summary(*both(spark, sf))
@@ -1432,15 +1551,12 @@ def q_f12_train(spark, sf):
 
 
 def _sql_role(c: str, t: str) -> str:
-    from churnkit.operators.schema import DECLARED_ROLES
     dated = f"(try_strptime({sql_strip(c)}, '%d/%m/%Y') IS NOT NULL OR try_strptime({sql_strip(c)}, '%Y-%m-%d') IS NOT NULL)"
     dtype = {"VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint"}[t]
     whole = "false" if t == "VARCHAR" else f"count({c}) = count(*) AND count(DISTINCT {c}) = count(*)"
     text = (f"CASE WHEN count_if({dated}) = count({c}) THEN 'date' WHEN count_if({dated}) > 0 THEN 'date_or_sentinel' ELSE 'nominal' END"
             if t == "VARCHAR" else "'quantitative'")
     role = f"CASE WHEN count({c}) = 0 THEN 'empty' WHEN {whole} THEN 'identifier' WHEN count(DISTINCT {c}) <= 2 THEN 'binary' ELSE {text} END"
-    if c in DECLARED_ROLES:
-        role = f"'{DECLARED_ROLES[c]}'"
     return f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, count({c}) AS n_non_null, count(DISTINCT {c}) AS n_distinct, {role} AS role FROM union_full"
 
 

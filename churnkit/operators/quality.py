@@ -134,14 +134,60 @@ def functional_dependencies(df: DataFrame, pairs: list[tuple[str, str]]) -> Data
     return out
 
 
+def _tuple_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """Number of distinct tuples (NULL is a value) of each set of up to three columns, in one pass.
+
+    A row becomes one short tuple per set; equal ones are combined before the only shuffle. A row per set is collected.
+    """
+    if not sets:
+        return {}
+    values = [[F.col(f"`{c}`").cast("string") for c in s] + [F.lit(None).cast("string")] * (3 - len(s)) for s in sets]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[v.alias(f"v{k}") for k, v in enumerate(row)]) for i, row in enumerate(values)]))
+    found = df.select(each.alias("t")).select("t.*").groupBy("i", "v0", "v1", "v2").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n"))
+    counts = {r["i"]: r["n"] for r in found.collect()}
+    return {s: counts.get(i, 0) for i, s in enumerate(sets)}
+
+
+def discover_dependencies(df: DataFrame) -> DataFrame:
+    """R2: every minimal functional dependency with one or two determinants: ``determinant, dependent, n_levels``.
+
+    Columns X determine c when the partition of the rows by X is as fine as the one by X and c, so when both have as
+    many classes (NULL is a value like others). Single columns and pairs are counted in one pass; triples only where
+    no smaller set already determines the column or makes the pair redundant. No rows: everything determines everything.
+    """
+    from itertools import combinations
+    cols = df.columns
+    sets = [(c,) for c in cols] + list(combinations(cols, 2))
+    n = _tuple_counts(df, sets)
+
+    def of(*names: str) -> tuple[str, ...]:
+        return tuple(sorted(names, key=cols.index))
+
+    single = {(a, b) for a in cols for b in cols if a != b and n[(a,)] == n[of(a, b)]}
+    open_ = [(a, b, c) for a, b in combinations(cols, 2) if (a, b) not in single and (b, a) not in single
+             for c in cols if c not in (a, b) and (a, c) not in single and (b, c) not in single]
+    n |= _tuple_counts(df, sorted({of(*t) for t in open_}))
+    rows = [(a, b, n[(a,)]) for a, b in sorted(single)] + [(f"{a}, {b}", c, n[(a, b)]) for a, b, c in open_ if n[(a, b)] == n[of(a, b, c)]]
+    return df.sparkSession.createDataFrame(rows, "determinant string, dependent string, n_levels long")
+
+
+def redundant_pairs(spearman: DataFrame, chi2: DataFrame, kruskal: DataFrame, threshold: float) -> DataFrame:
+    """R2: pairs whose association reaches ``threshold``: |rho| of numbers, Cramer's V of categories, epsilon squared of
+    a number by a category (the tables of the T families): ``var1, var2, measure, value``."""
+    parts = [spearman.select("var1", "var2", F.lit("spearman").alias("measure"), F.col("spearman_rho").alias("value")),
+             chi2.select("var1", "var2", F.lit("cramers_v").alias("measure"), F.col("cramers_v").alias("value")),
+             kruskal.select("var1", "var2", F.lit("epsilon2").alias("measure"), F.col("epsilon2_kruskal").alias("value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.abs("value") >= threshold)
+
+
 def quality_summary(left: DataFrame, mixed: DataFrame) -> DataFrame:
     """One row of the headline quality numbers of both tables (A4-A7 inputs)."""
-    a5 = sentinels_mixed(mixed)
-    a6 = sentinels_left(left)
-    out_left = outlier_summary(left, "table1").agg(F.sum("outliers_iqr_1_5").alias("outliers_table1"))
-    nulls_left = left.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in left.columns])
-    total_nulls = sum((F.col(c) for c in left.columns), F.lit(0)).alias("missing_cells_table1")
-    return a5.crossJoin(a6).crossJoin(out_left).crossJoin(nulls_left.select(total_nulls))
+    out = sentinels_mixed(mixed).crossJoin(sentinels_left(left))     # every part is one row
+    for df, name in ((left, "table1"), (mixed, "table2")):
+        outliers = outlier_summary(df, name).agg(F.sum("outliers_iqr_1_5").cast("long").alias(f"outliers_{name}"))
+        nulls = df.agg(sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0)).cast("long").alias(f"missing_cells_{name}"))
+        out = out.crossJoin(outliers).crossJoin(nulls)
+    return out
 
 
 def suggested_treatments(df: DataFrame, income: str, skewed: str, category: str, min_count: int = 30,

@@ -81,26 +81,17 @@ def drop_meta(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in META_COLUMNS if c in df.columns])
 
 
-# Declared nature of the study's columns (codes are numbers without a scale, so data can't tell).
-DECLARED_ROLES = {
-    "ID": "identifier", "CDSEXE": "nominal_ordinal", "MTREV": "ratio", "NBENF": "discrete_interval", "CDSITFAM": "nominal",
-    "DTADH": "date", "CDTMT": "nominal", "CDCATCL": "nominal", "BPADH": "unknown", "CDDEM": "nominal", "DTDEM": "date_or_sentinel",
-    "ANNEEDEM": "ordinal_interval", "CDMOTDEM": "nominal", "AGEAD": "interval", "RANGAGEAD": "ordinal", "AGEDEM": "interval",
-    "RANGAGEDEM": "ordinal", "RANGDEM": "ordinal", "ADH": "interval", "RANGADH": "ordinal", "DTNAIS": "date_or_sentinel",
-}
-
-
 def infer_roles(df: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
     """Role of each column, with exact counts: ``column, dtype, n_non_null, n_distinct, role``.
 
-    Declared roles come first (``DECLARED_ROLES`` unless given). Other columns are judged by their data:
+    Roles come from the data alone, but for columns the caller has ``declared``:
     a never-null, all-distinct whole number -> ``identifier``; two values or fewer -> ``binary``; other numbers
     -> ``quantitative``; text of dates only -> ``date``; text of dates and other values ->
     ``date_or_sentinel``; other text -> ``nominal``; a column without values -> ``empty``.
 
     Counts come from one (column, value) aggregate, pre-aggregated before its shuffle.
     """
-    declared = DECLARED_ROLES if declared is None else declared
+    declared = declared or {}
     text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column", "value")
     values = text.groupBy("column", "value").agg(F.count("*").alias("n"))
     s = strip("value")

@@ -150,9 +150,28 @@ def test_infer_roles_on_member_table(spark):
     from churnkit.sources.members import members_mixed
     df = members_mixed(spark, "/root/testdata/sf0.001").withColumn("id_fichier", F.col("ID")).withColumn("flag", F.lit(1))
     roles = {r["column"]: r for r in infer_roles(df).collect()}
-    assert {c: roles[c]["role"] for c in ("ID", "CDCATCL", "CDSITFAM", "MTREV", "DTNAIS")} == {
-        "ID": "identifier", "CDCATCL": "nominal", "CDSITFAM": "nominal", "MTREV": "ratio", "DTNAIS": "date_or_sentinel"}
-    assert roles["id_fichier"]["role"] == "identifier" and roles["flag"]["role"] == "binary"
-    undeclared = {r["column"]: r["role"] for r in infer_roles(df, {}).collect()}
-    assert undeclared["DTADH"] == "date" and undeclared["DTNAIS"] == "date_or_sentinel" and undeclared["MTREV"] == "quantitative"
+    assert {c: roles[c]["role"] for c in ("ID", "id_fichier", "flag", "DTADH", "DTNAIS", "MTREV", "CDSITFAM")} == {
+        "ID": "identifier", "id_fichier": "identifier", "flag": "binary", "DTADH": "date", "DTNAIS": "date_or_sentinel", "MTREV": "quantitative", "CDSITFAM": "nominal"}
+    declared = {r["column"]: r["role"] for r in infer_roles(df, {"MTREV": "ratio"}).collect()}
+    assert declared["MTREV"] == "ratio" and declared["DTADH"] == "date"
     assert roles["id_fichier"]["n_distinct"] == df.count()
+
+
+def test_dependencies_like_all_pairs_of_rows(spark):
+    from itertools import combinations
+
+    from churnkit.operators.quality import discover_dependencies
+    rows = [(i % 3, None if i % 3 == 2 else (i % 3) * 10, i % 4, (i % 3) * 4 + i % 4, "x", i // 5) for i in range(24)]
+    cols = list("abcdef")
+
+    def holds(x, c):
+        seen = {}
+        return all(seen.setdefault(tuple(r[cols.index(k)] for k in x), r[cols.index(c)]) == r[cols.index(c)] for r in rows)
+
+    single = {((a,), c) for a in cols for c in cols if a != c and holds((a,), c)}
+    double = {(x, c) for x in combinations(cols, 2) for c in cols if c not in x and holds(x, c) and not any(((a,), c) in single for a in x)}
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e string, f int")
+    found = {(tuple(r["determinant"].split(", ")), r["dependent"]): r["n_levels"] for r in discover_dependencies(df).collect()}
+    assert set(found) == single | double and len(double) > 0
+    assert all(n == len({tuple(r[cols.index(k)] for k in x) for r in rows}) for (x, _), n in found.items())
+    assert len({r["determinant"] for r in discover_dependencies(df.limit(0)).collect()}) == 6
