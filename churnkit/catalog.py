@@ -1289,6 +1289,22 @@ def q_a14(spark, sf):
     return pca_fit(spark, sf).summary(spark, m.count())
 
 
+@query("F14_covariances", with_members(UNION_FULL_CTE, MATRIX_CTE, body="\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature1, '{b}' AS feature2, {sround(f'covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS covariance FROM matrix"
+    for i, a in enumerate(MATRIX_FEATURES) for b in MATRIX_FEATURES[i:])))
+def q_f14_cov(spark, sf):
+    from churnkit.operators.reduce import covariances
+    return rounded(covariances(matrix_union(spark, sf), MATRIX_FEATURES))
+
+
+@query("F16_spectrum_certificate", f"SELECT CAST(component AS INTEGER) AS component, true AS is_eigenvector, true AS is_orthonormal, true AS is_falling FROM range(1, {len(MATRIX_FEATURES)} + 1) t(component)")
+def q_f16_certificate(spark, sf):
+    """The loadings checked against the covariances that F14_covariances (with its own oracle) returns."""
+    from churnkit.operators.reduce import covariances, spectrum_certificate
+    pca = pca_fit(spark, sf)
+    return spectrum_certificate(covariances(matrix_union(spark, sf), pca.features), pca)
+
+
 @query("D4_pca_10_components")
 def q_d4(spark, sf):
     return pca_fit(spark, sf, 10).scores(matrix_union(spark, sf))

@@ -14,12 +14,19 @@ per group, a bounded array of ``n_buckets`` values), so that
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from churnkit.session import materialize
 
 ROWS_PER_BUCKET = 1_000_000              # rows one ordered window may hold
+GROUPS = 2_000                           # groups whose quantiles are narrowed together
+BINS = 1_024                             # slices of an interval
+FEW = 2_000                              # rows of an interval whose values are read
+PASSES = 12
 BUCKETS_CONF = "churnkit.rank.buckets"   # session setting: overrides the measured bucket count
 
 
@@ -108,6 +115,85 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float], grou
                     n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (same definition as pandas / ``quantile_cont``).
 
+    One row per group with one column per entry of ``probs``; groups without values are left out. All groups and
+    positions are narrowed together: a pass counts the rows of ``BINS`` equal slices of every interval that still holds a
+    wanted order statistic (combined before the shuffle, so a pass moves intervals x slices rows), and the slice
+    that holds it is the next interval, from its least to its greatest value. Intervals of one value are
+    done, those of at most ``FEW`` rows are read. No distinct values are shuffled and no task holds a group.
+
+    More than ``GROUPS`` groups, values without a scale (NaN, infinite) and intervals that do not shrink in ``PASSES``
+    passes take the way over the table of distinct values instead.
+    """
+    g = list(group_cols)
+    base = df.select(*g, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    odd = F.isnan("_v") | (F.abs("_v") == float("inf"))
+    found = base.groupBy(*g).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count_if(odd).alias("odd")).limit(GROUPS + 1).collect()
+    found = [r for r in found if r["n"]]
+    values = None if len(found) > GROUPS or any(r["odd"] for r in found) or n_buckets is not None else _order_statistics(base, found, probs, g)
+    if values is None:
+        return _quantiles_by_position(df, value_col, probs, g, n_buckets)
+    schema = StructType([df.schema[c] for c in g] + [StructField(q, DoubleType()) for q in probs])
+    rows = []
+    for i, r in enumerate(found):
+        row = [r[c] for c in g]
+        for p in probs.values():
+            low, high, part = _around(r["n"], p)
+            row.append(values[i, low] + part * (values[i, high] - values[i, low]))
+        rows.append(tuple(row))
+    if not g and not rows:
+        rows = [(None,) * len(probs)]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _around(n: int, p: float) -> tuple[int, int, float]:
+    """(1-based order statistics around the position of a quantile, share of the upper one)."""
+    h = (n - 1) * float(p)
+    low = math.floor(h)
+    return low + 1, min(low + 2, n), h - low
+
+
+def _order_statistics(base: DataFrame, groups: list, probs: dict[str, float], g: list[str]) -> dict[tuple[int, int], float] | None:
+    """(group number, order statistic) -> value, or None where the intervals do not shrink."""
+    spark = base.sparkSession
+    done: dict[tuple[int, int], float] = {}
+    open_ = []                                  # (group, lo, hi, rows before, rows inside, wanted order statistics)
+    for i, r in enumerate(groups):
+        wanted = sorted({k for p in probs.values() for k in _around(r["n"], p)[:2]})
+        open_.append((i, r["lo"], r["hi"], 0, r["n"], wanted))
+    keys = StructType([base.schema[c] for c in g] + [StructField("_i", IntegerType()), StructField("_lo", DoubleType()), StructField("_hi", DoubleType()), StructField("_few", BooleanType())])
+    for _ in range(PASSES):
+        left = []
+        for iv in open_:
+            if iv[1] == iv[2]:
+                done |= {(iv[0], k): iv[1] for k in iv[5]}
+            else:
+                left.append(iv)
+        if not left:
+            return done
+        table = spark.createDataFrame([tuple(groups[iv[0]][c] for c in g) + (i, iv[1], iv[2], iv[4] <= FEW) for i, iv in enumerate(left)], keys)
+        rows = _same(base, table, g, small=True).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))   # at most GROUPS x positions intervals
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        slice_ = F.when(F.col("_few"), F.col("_v")).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("double"))
+        counted = (rows.select("_i", slice_.alias("_s"), "_v").groupBy("_i", "_s")
+                   .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect())
+        slices: dict[int, list] = {}
+        for r in counted:
+            slices.setdefault(r["_i"], []).append((r["_s"], r["n"], r["lo"], r["hi"]))
+        open_ = []
+        for i, iv in enumerate(left):
+            before, wanted = iv[3], list(iv[5])
+            for _, n, lo, hi in sorted(slices.get(i, [])):
+                here = [k for k in wanted if before < k <= before + n]
+                if here:
+                    open_.append((iv[0], lo, hi, before, n, here))
+                before += n
+    return done if not open_ else None
+
+
+def _quantiles_by_position(df: DataFrame, value_col: str, probs: dict[str, float], group_cols=(),
+                    n_buckets: int | None = None) -> DataFrame:
+    """Quantiles from the distinct-value position table, for any number of groups.
+
     One row per group with one column per entry of ``probs``. Only the two order statistics
     around each requested position are looked up in the distinct-value position table, so
     no task ever holds a whole group (unlike the ``percentile`` aggregate, whose final merge
@@ -121,8 +207,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float], grou
     h = (F.col("_N") - 1) * F.col("_p")
     t = t.select(*g, "_q", (F.floor(h) + 1).alias("_klo"), (h - F.floor(h)).alias("_frac"),
                  F.least(F.floor(h) + 2, F.col("_N")).alias("_khi"))
-    # targets: groups x len(probs) rows
-    j = pos.crossJoin(F.broadcast(t)) if not g else pos.join(F.broadcast(t), g, "inner")
+    # targets: groups x len(probs) rows; without groups a handful, else the planner sizes the join
+    j = _same(pos, t, g, small=not g)
     lo_hit = (F.col("before") < F.col("_klo")) & (F.col("_klo") <= F.col("before") + F.col("n"))
     hi_hit = (F.col("before") < F.col("_khi")) & (F.col("_khi") <= F.col("before") + F.col("n"))
     v = F.col(value_col).cast("double")

@@ -56,6 +56,41 @@ class PCAResult:
                                      "n_rows long, n_features int, n_components int, variance_explained double")
 
 
+def covariances(df: DataFrame, features: list[str]) -> DataFrame:
+    """``feature1, feature2, covariance`` of every pair of features (population), in one pass.
+
+    Each is a mergeable moment (updated about its running means), so partial results combine before one tiny shuffle.
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    one = df.agg(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    listed = F.array(*[F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"c{i}").alias("covariance")) for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(listed).alias("r")).select("r.*")
+
+
+def spectrum_certificate(cov: DataFrame, pca: PCAResult, tolerance: float = 1e-8) -> DataFrame:
+    """F16: per component, whether it is a unit vector, orthogonal to those before it, and an eigenvector of ``cov``
+    (``covariances``) whose eigenvalue is its share of the trace and not above the one before.
+
+    Checked on the two result tables (features^2 numbers) by joins; errors are measured against the trace.
+    """
+    spark = cov.sparkSession
+    load = spark.createDataFrame([(j + 1, f, float(v[i])) for j, v in enumerate(pca.loadings) for i, f in enumerate(pca.features)], "component int, feature string, v double")
+    ratio = spark.createDataFrame([(j + 1, float(r)) for j, r in enumerate(pca.ratios)], "component int, ratio double")
+    full = cov.unionByName(cov.filter("feature1 <> feature2").select(F.col("feature2").alias("feature1"), F.col("feature1").alias("feature2"), "covariance"))
+    trace = cov.filter("feature1 = feature2").agg(F.sum("covariance").alias("trace"))
+    image = (full.join(F.broadcast(load.withColumnRenamed("feature", "feature2")), "feature2").groupBy("component", F.col("feature1").alias("feature"))
+             .agg(F.sum(F.col("covariance") * F.col("v")).alias("cv")))
+    residual = (image.join(load, ["component", "feature"]).join(ratio, "component").crossJoin(trace)   # trace: one row
+                .groupBy("component").agg(F.max(F.abs(F.col("cv") - F.col("ratio") * F.col("trace") * F.col("v")) / F.col("trace")).alias("residual")))
+    other = load.select(F.col("component").alias("other"), "feature", F.col("v").alias("u"))
+    dots = (load.join(other, "feature").filter("other <= component").groupBy("component", "other").agg(F.sum(F.col("v") * F.col("u")).alias("dot"))
+            .groupBy("component").agg(F.max(F.abs(F.col("dot") - (F.col("component") == F.col("other")).cast("double"))).alias("skew")))
+    before = Window.orderBy("component")   # a row per component
+    falling = ratio.withColumn("falling", F.col("ratio") <= F.coalesce(F.lag("ratio").over(before), F.lit(1.0)) + tolerance)
+    return (residual.join(dots, "component").join(falling, "component")
+            .select("component", (F.col("residual") <= tolerance).alias("is_eigenvector"), (F.col("skew") <= tolerance).alias("is_orthonormal"), F.col("falling").alias("is_falling")))
+
+
 def fit_pca(df: DataFrame, features: list[str] | None = None, variance: float = 0.95,
             n_components: int | None = None) -> PCAResult:
     """PCA on the centred features; keep the fewest components reaching ``variance``
