@@ -16,11 +16,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from churnkit.functions import pvalues as pv
 from churnkit.functions.ranks import average_rank_table
@@ -132,51 +130,29 @@ def _isolating_bucket(col: str, splits: str) -> F.Column:
     return 2 * below + equal
 
 
-def _weighted_discordance(v: np.ndarray, w: np.ndarray) -> float:
-    """Sum of w_i * w_j over i < j (sequence order) with v_i > v_j, by bottom-up merging.
+def _discordance(rows: DataFrame, u: str, v: str) -> DataFrame:
+    """Discordant weight (u_i < u_j, v_i > v_j) within each ``(pair, grp)``, summed per pair: ``(var1, var2, disc)``.
 
-    Each level pairs the left and right halves of blocks of size 2*width; every pair
-    i < j is counted once, at the first level where both fall into one block.
+    Two ranks of v differ first at exactly one bit. Per bit, rows that agree above it meet in the order of u;
+    a row with a 0 there is discordant with the weight of the rows with a 1 before it (at equal u the 0 comes
+    first, so ties in u add nothing; ties in v differ at no bit). All windows keep the partitioning by group.
     """
-    n = len(v)
-    if n < 2:
-        return 0.0
-    _, ranks = np.unique(v, return_inverse=True)
-    ranks = ranks.astype(np.int64)
-    span = int(ranks.max()) + 2
-    w = w.astype(np.float64)
-    idx = np.arange(n, dtype=np.int64)
-    total = 0.0
-    width = 1
-    while width < n:
-        block = idx // (2 * width)
-        right = ((idx // width) % 2) == 1
-        left = ~right
-        if right.any():
-            kl = block[left] * span + ranks[left]
-            order = np.argsort(kl, kind="stable")
-            kl = kl[order]
-            cw = np.concatenate([[0.0], np.cumsum(w[left][order])])
-            br, rr = block[right], ranks[right]
-            end = np.searchsorted(kl, br * span + span - 1, side="left")
-            pos = np.searchsorted(kl, br * span + rr, side="right")
-            total += float(np.sum(w[right] * (cw[end] - cw[pos])))
-        width *= 2
-    return total
-
-
-_DISC_SCHEMA = StructType([StructField("var1", StringType()), StructField("var2", StringType()),
-                           StructField("disc", DoubleType())])
-
-
-def _discordant_in_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Discordant weight of one group whose rows are pre-keyed by ``(u, v)`` order."""
-    pdf = pdf.sort_values(["u", "v"], kind="stable")
-    d = _weighted_discordance(pdf["v"].to_numpy(), pdf["w"].to_numpy())
-    return pd.DataFrame({"var1": [pdf["var1"].iloc[0]], "var2": [pdf["var2"].iloc[0]], "disc": [d]})
-
-
-def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int = 32) -> DataFrame:
+    group = PAIR + ["grp"]
+    ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy(*group).orderBy(v)) - 1)
+    ranked = ranked.withColumn("top", F.max("r").over(Window.partitionBy(*group)))
+    bits = ranked.filter("top > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1)))
+    bits = bits.select(*group, u, "w", "level", F.call_function("shiftright", "r", F.col("level") + 1).alias("prefix"),
+                       (F.call_function("shiftright", "r", F.col("level")) % 2).alias("bit"))
+    before = Window.partitionBy(*group, "level", "prefix").orderBy(u, "bit").rowsBetween(Window.unboundedPreceding, -1)
+    met = bits.withColumn("ones", F.sum(F.col("w") * F.col("bit")).over(before))
+    return met.filter("bit = 0").groupBy(*PAIR).agg(F.sum(F.col("w") * F.col("ones")).alias("disc"))
+
+
+#: distinct cells of a pair that one bucket holds about, and buckets at least
+CELLS_PER_BUCKET, LEAST_BUCKETS = 250_000, 8
+
+
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int | None = None) -> DataFrame:
     """Kendall tau-b, exact, with S = n0 - n1 - n2 + n3 - 2 * discordant.
 
     Discordant pairs (x_i < x_j, y_i > y_j) are split by equi-depth buckets of x and of y
@@ -184,18 +160,22 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int =
 
     * different x-bucket and different y-bucket: from the dense bucket grid by two
       partitioned running-sum windows (no pair enumeration);
-    * same x-bucket: inversion count of the bucket sorted by (x, y), per bucket;
-    * same y-bucket, different x-bucket: inversion count sorted by (x-bucket, y), per bucket.
+    * same x-bucket: counted per bucket, bit by bit of the ranks of y (``_discordance``);
+    * same y-bucket, different x-bucket: the same over (x-bucket, y), per bucket.
 
-    Single-value buckets hold no discordant pair and are skipped, so every per-bucket task
-    sees at most ~1/n_buckets of a pair's distinct cells. Pairs are never enumerated.
+    Single-value buckets hold no discordant pair and are skipped. Buckets are as many as the pair with most
+    distinct cells needs for CELLS_PER_BUCKET each (``n_buckets`` overrides it), so a window's share doesn't
+    grow with the table. Built-in functions only; pairs are never enumerated.
     """
     cells = long_pairs(df, pairs, "double", "double").groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("w"))
+    cells = materialize(cells)      # feeds the splits and six branches (ties, grid, two counts): cut once
+    if n_buckets is None:
+        most = cells.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 0
+        n_buckets = max(LEAST_BUCKETS, -(-most // CELLS_PER_BUCKET))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = cells.groupBy(*PAIR).agg(F.percentile_approx("x", probs, 10 * n_buckets * 10).alias("sx"),
                                       F.percentile_approx("y", probs, 10 * n_buckets * 10).alias("sy"))
-    # the bucketed cell table feeds six branches (ties, grid, two inversion passes): cut once
-    c = materialize(cells.join(F.broadcast(splits), PAIR)
+    c = materialize(cells.join(F.broadcast(splits), PAIR)      # one row per pair
                     .withColumn("bx", _isolating_bucket("x", "sx")).withColumn("by", _isolating_bucket("y", "sy"))
                     .drop("sx", "sy"))
     # tie terms
@@ -217,16 +197,10 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int =
     left = Window.partitionBy(*PAIR, "by").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)
     dense = dense.withColumn("K", F.coalesce(F.sum("R").over(left), F.lit(0.0)))
     grid = dense.groupBy(*PAIR).agg(F.sum(F.col("G") * F.col("K")).alias("d_grid"))
-    # same x-bucket (multi-value buckets only): order by (x, y)
-    sx = (c.filter(F.col("bx") % 2 == 0).select(*PAIR, F.col("bx").alias("grp"), F.col("x").alias("u"),
-                                                  F.col("y").alias("v"), "w")
-          .groupBy(*PAIR, "grp").applyInPandas(_discordant_in_group, _DISC_SCHEMA)
-          .groupBy(*PAIR).agg(F.sum("disc").alias("d_x")))
-    # same y-bucket, different x-bucket (multi-value y buckets only): order by (bx, y)
-    sy = (c.filter(F.col("by") % 2 == 0).select(*PAIR, F.col("by").alias("grp"), F.col("bx").cast("double").alias("u"),
-                                                  F.col("y").alias("v"), "w")
-          .groupBy(*PAIR, "grp").applyInPandas(_discordant_in_group, _DISC_SCHEMA)
-          .groupBy(*PAIR).agg(F.sum("disc").alias("d_y")))
+    # only multi-value buckets (even ids) hold discordant pairs
+    sx = _discordance(c.filter("bx % 2 = 0").withColumn("grp", F.col("bx")), "x", "y").withColumnRenamed("disc", "d_x")
+    by_column = c.filter("by % 2 = 0").groupBy(*PAIR, F.col("by").alias("grp"), "bx", "y").agg(F.sum("w").alias("w"))
+    sy = _discordance(by_column, "bx", "y").withColumnRenamed("disc", "d_y")
     t = (base.join(tx, PAIR).join(ty, PAIR).join(grid, PAIR, "left").join(sx, PAIR, "left").join(sy, PAIR, "left")
          .fillna(0.0, subset=["d_grid", "d_x", "d_y"]))
     n0 = F.col("N") * (F.col("N") - 1) / 2
@@ -333,7 +307,7 @@ def kruskal_anova_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
 # T9 runner and G4 matrix
 # --------------------------------------------------------------------------------------
 
-def bivariate_summary(df: DataFrame, cols: list[str] | None = None, kendall_buckets: int = 32) -> DataFrame:
+def bivariate_summary(df: DataFrame, cols: list[str] | None = None, kendall_buckets: int | None = None) -> DataFrame:
     """Every pair, statistics + two-sided p-values, families unioned by name (ragged keys)."""
     plan = pair_plan(df, cols)
     parts = []

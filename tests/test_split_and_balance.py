@@ -89,3 +89,40 @@ def test_kendall_exact_with_buckets(spark):
     n1, n2 = (tx * (tx - 1) / 2).sum(), (ty * (ty - 1) / 2).sum()
     assert r["kendall_s"] == pytest.approx(s)
     assert r["kendall_tau"] == pytest.approx(s / np.sqrt((n0 - n1) * (n0 - n2)))
+
+
+def _plain_discordance(v):
+    """Pairs i < j with v_i > v_j, by merging."""
+    if len(v) < 2:
+        return 0, v
+    (a, left), (b, right) = _plain_discordance(v[:len(v) // 2]), _plain_discordance(v[len(v) // 2:])
+    over = int((len(left) - np.searchsorted(left, right, side="right")).sum())
+    return a + b + over, np.sort(np.concatenate([left, right]))
+
+
+@pytest.mark.parametrize("n_buckets", [None, 3])
+def test_kendall_of_many_distinct_values(spark, n_buckets):
+    from pyspark.sql import functions as F
+
+    from churnkit.operators.assoc import kendall_pairs
+    n = 300_000
+    i = F.col("id")
+    rows = spark.range(n).select((i * 7919 % n).cast("double").alias("x"), (i * 104729 % n + i * 7919 % n / 2).cast("double").alias("y"), F.lit(1.0).alias("z"))
+    at = np.arange(n)
+    x, y = at * 7919 % n, at * 104729 % n + at * 7919 % n / 2
+    order = np.lexsort((y, x))
+    assert len(np.unique(x)) == n
+    ties = sum(c * (c - 1) // 2 for c in np.unique(y, return_counts=True)[1].tolist())
+    discordant = _plain_discordance(y[order])[0]
+    found = {r["var2"]: r for r in kendall_pairs(rows, [("x", "y"), ("x", "z")], n_buckets).collect()}
+    assert found["y"]["kendall_s"] == n * (n - 1) / 2 - ties - 2 * discordant
+    assert found["z"]["kendall_s"] == 0 and found["z"]["kendall_tau"] is None
+
+
+def test_kendall_edges(spark):
+    from churnkit.operators.assoc import kendall_pairs
+    odd = spark.createDataFrame([(1.0, None, 1.0), (float("nan"), 2.0, 2.0), (3.0, 1.0, 2.0), (2.0, 4.0, 2.0)], "x double, y double, z double")
+    found = {(r["var1"], r["var2"]): (r["n_apparies"], r["kendall_s"]) for r in kendall_pairs(odd, [("x", "y"), ("x", "z"), ("y", "z")]).collect()}
+    assert found == {("x", "y"): (2, -1.0), ("x", "z"): (3, 2.0), ("y", "z"): (3, 0.0)}
+    empty = kendall_pairs(odd.limit(0), [("x", "y")]).first()
+    assert (empty["n_apparies"], empty["kendall_s"], empty["kendall_tau"]) == (0, None, None)
