@@ -1404,6 +1404,54 @@ def q_m10(spark, sf):
     return tuned(spark, sf).board
 
 
+CERTIFIED = sorted(f for f in MATRIX_FEATURES if not f.startswith("cat_"))
+_MOMENTS = "\nUNION ALL\n".join(
+    f"SELECT '{model}' AS model, '{f}' AS feature, count(*) AS n_rows, {sround(f'sum({t} * {x})')} AS observed, true AS stationary FROM certified"
+    for model, t in (("logreg", "y"), ("svm", "(2 * y - 1)"))
+    for f, x in [(f, f"CAST({f} AS DOUBLE)") for f in CERTIFIED] + [("intercept", "1.0")])
+
+
+@query("M4_M5_optimality", with_members(UNION_FULL_CTE, MATRIX_CTE, SPLIT_CTE, f"""
+certified AS (SELECT m.* EXCLUDE (cible_churn), CAST(m.cible_churn AS DOUBLE) AS y FROM matrix m JOIN splitted s ON s.ID = m.ID WHERE s.split = 'train')""", body=_MOMENTS))
+def q_m4_m5_certificate(spark, sf):
+    """Logistic regression and squared-hinge SVM (C = 1) on the training rows: moments of the data, which SQL
+    knows without a model, and whether the penalised gradient vanishes at the returned weights."""
+    from churnkit.operators.certificates import logistic_certificate, margin_certificate
+    from churnkit.operators.margins import fit_margins
+    from churnkit.operators.models import fit_model, with_unit_weights
+    train = train_rows(spark, sf)
+    logreg = fit_model("logreg", {"C": 1.0}, train, features=CERTIFIED)
+    svm = fit_margins(with_unit_weights(train), CERTIFIED, [{"C": 1.0, "balanced": False, "without": -1}])[0]
+    return rounded(logistic_certificate(train, logreg).unionByName(margin_certificate(train, CERTIFIED, svm.weights, 1.0)))
+
+
+def _sql_best_splits(cells: str, name: str) -> str:
+    """CTE: the split of each node with the largest gain of the Gini index (ties: first feature, least value)."""
+    def gini(n, k):
+        return f"(1 - pow(CAST({k} AS DOUBLE) / {n}, 2) - pow(CAST({n} - {k} AS DOUBLE) / {n}, 2))"
+    gain = f"{gini('nn', 'kk')} - nl * {gini('nl', 'kl')} / nn - (nn - nl) * {gini('(nn - nl)', '(kk - kl)')} / nn"
+    return f"""{name} AS (SELECT node, feature, value, nn, kk, gain FROM (SELECT *, {gain} AS gain FROM (
+  SELECT node, feature, value, sum(n) OVER w AS nl, sum(k) OVER w AS kl, sum(n) OVER (PARTITION BY node, feature) AS nn, sum(k) OVER (PARTITION BY node, feature) AS kk
+  FROM (SELECT node, feature, value, count(*) AS n, sum(y) AS k FROM {cells} GROUP BY ALL)
+  WINDOW w AS (PARTITION BY node, feature ORDER BY value)) WHERE nl < nn)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, feature, value) = 1)"""
+
+
+@query("M1_tree_top_splits", with_members(UNION_FULL_CTE, MATRIX_CTE, SPLIT_CTE, f"""
+codes AS (SELECT ID, y, feature, value FROM (SELECT m.ID, CAST(m.cible_churn AS BIGINT) AS y, {', '.join(f'CAST(m.{c} AS DOUBLE) AS {c}' for c in CAT_FEATURES)}
+  FROM matrix m JOIN splitted s ON s.ID = m.ID WHERE s.split = 'train') UNPIVOT (value FOR feature IN ({', '.join(CAT_FEATURES)})))""",
+  _sql_best_splits("(SELECT 'root' AS node, * FROM codes)", "first_split"), """
+sides AS (SELECT c.ID, CASE WHEN c.value <= f.value THEN 'left' ELSE 'right' END AS node FROM codes c JOIN first_split f USING (feature))""",
+  _sql_best_splits("(SELECT s.node, c.* FROM codes c JOIN sides s USING (ID))", "second_split"), body=f"""
+SELECT node, CAST(nn AS BIGINT) AS n_rows, CAST(kk AS BIGINT) AS n_churn, feature, {sround('gain')} AS gain
+FROM (SELECT * FROM first_split UNION ALL SELECT * FROM second_split)"""))
+def q_m1_top_splits(spark, sf):
+    """The first splits of a deep Gini tree on the category codes, against the best ones among all codes in SQL."""
+    from churnkit.operators.certificates import top_splits, tree_nodes
+    from churnkit.operators.models import fit_model
+    return rounded(top_splits(tree_nodes(fit_model("tree", {"criterion": "gini", "max_depth": None}, train_rows(spark, sf), features=CAT_FEATURES))))
+
+
 @query("M10_tuning_quick")
 def q_m10q(spark, sf):
     """An extra for a first look: one grid point per algorithm; no other query rests on it."""
