@@ -50,20 +50,19 @@ def prefix_sums(sizes: Column, block: int = 256) -> Column:
     return let(sizes, of_sizes)
 
 
-def matches(text: Column, pattern: str, context: int = 0) -> Column:
+def matches(text: Column, pattern: str, before: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<start, end, value, before>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    `before` is the end of the text before the match, `context` code points at most. `text` must be free
-    of marks: the matches are bracketed by marks in one pass and the pieces between marks are measured.
+    `before` of a match is this function of the text from the match before it (included) up to it. `text` must
+    be free of marks: the matches are bracketed by marks in one pass and the pieces between marks are measured.
     """
     def found(pieces: Column, at: Column) -> Column:
         def one(i: Column) -> Column:
             start, value = F.element_at(at, i), F.element_at(pieces, i)
-            before = F.lit("")
-            if context:
-                earlier = F.concat(F.when(i > 2, F.element_at(pieces, F.greatest(i - 2, F.lit(1)))).otherwise(F.lit("")), F.element_at(pieces, i - 1))
-                before = F.substring(earlier, -context, context)
-            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before"))
+            earlier = F.lit("")
+            if before:
+                earlier = before(F.concat(F.when(i > 2, F.element_at(pieces, F.greatest(i - 2, F.lit(1)))).otherwise(F.lit("")), F.element_at(pieces, i - 1)))
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), earlier.alias("before"))
         return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(2), F.size(pieces) - 1, F.lit(2)), one)).otherwise(F.array().cast(MATCHES))
 
     split = F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]", -1)

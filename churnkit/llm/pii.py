@@ -22,8 +22,6 @@ from churnkit.llm.tables import stage_table
 KINDS = ["email", "ip", "card", "phone"]
 #: turns of scoring, seeds that count as doubt against a pattern, least score of a new instance
 TURNS, DOUBT, ACCEPT = 3, 2.0, 0.8
-#: code points before a token that are searched for its context word
-CONTEXT = 40
 
 #: The patterns of the contract, in forms that cost linear time and no recursion: a run is entered
 #: only at its start (or where the last match ended), and separators inside a run are one mark each.
@@ -32,6 +30,8 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = rf"[0-9][0-9{DASH}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: the last word of a text (words are entered at their starts only: linear time)
+LAST_WORD = r"(?<!\S)(\S++)\s*+$"
 
 def _none() -> Column:
     return F.array().cast(MATCHES)
@@ -83,11 +83,11 @@ def tokens(text: Column) -> Column:
     def one(m: Column) -> Column:
         lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], r"^[^A-Za-z0-9+(]+", ""))
         value = F.regexp_replace(m["value"], trimmed, "")
-        near = F.lower(F.regexp_extract(m["before"], r"(\S+)\s*$", 1))
+        near = F.lower(m["before"])
         return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(value)).alias("end"), form(value).alias("form"),
                         F.xxhash64(value).alias("code"), F.when(F.regexp_like(near, F.lit("[0-9]")), form(near)).otherwise(near).alias("before"))
 
-    found = F.transform(matches(text, TOKEN, CONTEXT), one)
+    found = F.transform(matches(text, TOKEN, lambda earlier: F.regexp_extract(earlier, LAST_WORD, 1)), one)
     return F.filter(found, lambda t: t["end"] > t["start"])
 
 

