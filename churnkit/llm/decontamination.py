@@ -20,8 +20,8 @@ from churnkit.llm.tables import stage_table
 
 SPAN, GRAM = 13, 8
 WINDOW = SPAN - GRAM + 1
-#: documents with hits whose shifts are broadcast at most (others join by shuffle)
-BROADCAST_DOCS, BROADCAST_HITS = 200_000, 1_000_000
+#: documents with hits, and bytes of their hits (item words included), that are broadcast at most (others join by shuffle)
+BROADCAST_DOCS, BROADCAST_BYTES = 200_000, 64 << 20
 
 #: words are runs of digits, letters and everything beyond ASCII
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,8 +85,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = items.select(F.struct(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.xxhash64("item_words").alias("which")).alias("which_item"), "item_words").dropDuplicates(["which_item"])
     hits = stage_table(met.join(texts, "which_item").select(F.col("doc_id").alias("hit_doc"), "item_id", "item_words", "span", "shift"), "hits")
     per_doc = hits.groupBy("hit_doc").agg(F.collect_list(F.struct("item_id", "item_words", "span", "shift")).alias("hits"))
-    size = hits.agg(F.count("*").alias("n"), F.countDistinct("hit_doc").alias("d")).first()
-    if size.n <= BROADCAST_HITS and size.d <= BROADCAST_DOCS:
+    # a word of a hit takes its bytes, rounded up to eight, and eight for its place
+    of_hit = 64 + F.octet_length(F.array_join("item_words", "")) + 16 * F.size("item_words")
+    size = hits.agg(F.coalesce(F.sum(of_hit.cast("long")), F.lit(0)).alias("bytes"), F.countDistinct("hit_doc").alias("d")).first()
+    if size.bytes <= BROADCAST_BYTES and size.d <= BROADCAST_DOCS:
         per_doc = F.broadcast(per_doc)
 
     rows = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["hit_doc"]), "left").select("doc_id", words_of(F.col("text")).alias("words"), "hits")

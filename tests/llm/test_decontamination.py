@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from churnkit.llm import decontamination
 from churnkit.llm.decontamination import contamination, decontaminate
 from tests.llm.helpers import documents, lower_ascii
 
@@ -70,3 +71,21 @@ def test_awkward_tables(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_joins_of_hits_agree(spark, monkeypatch):
+    texts, items = fixture(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [*texts, "a b c", None])
+    sent = sorted(contamination(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert sorted(contamination(docs, bench).collect()) == sent
+    assert contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_passage_repeated_in_one_text(spark):
+    """A text that holds a passage of repeats thousands of times."""
+    item = "la " * 40
+    docs = documents(spark, ["la " * 6000, "x " * 500 + "la " * 12])
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: (6000, 6000, True), 1: (512, 0, False)}
