@@ -191,6 +191,7 @@ class CountTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes)) if len(points) else np.zeros(0, int)
         self.points, self.sizes = points[self.order], sizes[self.order]
+        self.compared = 0  # entries whose own bound was tried
         self.levels = []  # from the leaves up: upper corners and smallest / largest size of each node
         top, low, high = self.points, self.sizes, self.sizes
         while len(top) > 1:
@@ -214,6 +215,7 @@ class CountTree:
             nodes = nodes[nodes < below]
         if not self.levels:
             nodes = np.arange(len(self.points))
+        self.compared += len(nodes)
         bound = np.minimum(self.points[nodes], point).sum(axis=1)
         return self.order[nodes[bound >= _needed(self.sizes[nodes], size, num, den)]]
 
@@ -224,12 +226,6 @@ def surviving(points: np.ndarray, sizes: np.ndarray, left: int, num: int, den: i
     Entries are the later points; of the first ones too if `left` is all of them.
     """
     base = left if left < len(sizes) else 0
-    if len(sizes) - base <= 4 * LEAF:
-        for q in range(left):
-            own = np.arange(max(base, q + 1), len(sizes))
-            bound = np.minimum(points[own], points[q]).sum(axis=1)
-            yield q, own[bound >= _needed(sizes[own], int(sizes[q]), num, den)]
-        return
     tree = CountTree(points[base:], sizes[base:])
     for q in range(left):
         found = tree.search(points[q], int(sizes[q]), num, den) + base

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from churnkit.llm import ngram_join as nj
@@ -98,3 +99,24 @@ def test_components_of_paths(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("members", [0, 1, 2, 17, 40, 200])
+def test_every_unit_is_searched_through_a_tree_that_prunes(monkeypatch, members):
+    built = []
+
+    class Watched(nj.CountTree):
+        def __init__(self, *given):
+            super().__init__(*given)
+            built.append(self)
+
+    monkeypatch.setattr(nj, "CountTree", Watched)
+    draw = np.random.default_rng(members)
+    points = draw.integers(0, 4, (members, 64)).astype(np.int32)
+    points[members // 2:] *= 3
+    sizes = points.sum(axis=1)
+    found = {(q, int(p)) for q, own in nj.surviving(points, sizes, members, 4, 5) for p in own}
+    bound = {(i, j) for i in range(members) for j in range(i + 1, members) if 9 * np.minimum(points[i], points[j]).sum() >= 4 * (sizes[i] + sizes[j])}
+    assert found == bound and len(built) == 1
+    if members >= 40:
+        assert built[0].compared < 0.7 * members ** 2
