@@ -136,8 +136,8 @@ def q_w2(spark, sf):
 @query("A9_union_summary", with_members(body=f"""
 SELECT n1 AS n_table1, n2 AS n_table2, n1 + n2 AS n_union_common, n1 + n2 AS n_union_full,
        '{",".join(COMMON)}' AS common_columns, CAST({len(COMMON)} AS INTEGER) AS n_common_columns,
-       'AGEAD,RANGADH' AS columns_only_table1, 'BPADH,DTNAIS' AS columns_only_table2,
-       CAST(17 AS INTEGER) AS n_columns_union_full,
+       'ADH,AGEAD,AGEDEM,ANNEEDEM,CDDEM,RANGADH,RANGAGEAD,RANGAGEDEM,RANGDEM' AS columns_only_table1,
+       'BPADH,DTNAIS' AS columns_only_table2, CAST(24 AS INTEGER) AS n_columns_union_full,
        round(leave2 / CAST(n2 AS DOUBLE), 6) AS table2_leave_rate,
        leave2 AS table2_n_leave, n2 - leave2 AS table2_n_stay,
        n1 + leave2 AS union_common_n_label_1, n2 - leave2 AS union_common_n_label_0,
@@ -169,7 +169,8 @@ def q_p11(spark, sf):
 
 LEFT_COLS = {"ID": "BIGINT", "CDSEXE": "INTEGER", "MTREV": "INTEGER", "NBENF": "INTEGER", "CDSITFAM": "VARCHAR",
              "DTADH": "VARCHAR", "CDTMT": "INTEGER", "CDCATCL": "INTEGER", "CDMOTDEM": "VARCHAR", "DTDEM": "VARCHAR",
-             "AGEAD": "INTEGER", "RANGADH": "VARCHAR"}
+             "AGEAD": "INTEGER", "RANGADH": "VARCHAR", "CDDEM": "INTEGER", "ANNEEDEM": "INTEGER", "RANGDEM": "VARCHAR",
+             "RANGAGEAD": "VARCHAR", "AGEDEM": "INTEGER", "RANGAGEDEM": "VARCHAR", "ADH": "INTEGER"}
 MIXED_COLS = {"ID": "BIGINT", "CDSEXE": "INTEGER", "MTREV": "INTEGER", "NBENF": "INTEGER", "CDSITFAM": "VARCHAR",
               "DTADH": "VARCHAR", "CDTMT": "INTEGER", "CDCATCL": "INTEGER", "CDMOTDEM": "VARCHAR", "DTDEM": "VARCHAR",
               "DTNAIS": "VARCHAR", "BPADH": "INTEGER"}
@@ -439,8 +440,8 @@ def q_r5(spark, sf):
 # Association tests
 # --------------------------------------------------------------------------------------
 
-LEFT_QUANT = quant_of(LEFT_COLS)                      # CDSEXE MTREV NBENF CDTMT CDCATCL AGEAD
-LEFT_QUAL = [c for c in qual_of(LEFT_COLS)]           # CDSITFAM DTADH CDMOTDEM DTDEM RANGADH
+LEFT_QUANT = quant_of(LEFT_COLS)                      # CDSEXE MTREV NBENF CDTMT CDCATCL AGEAD CDDEM ANNEEDEM AGEDEM ADH
+LEFT_QUAL = [c for c in qual_of(LEFT_COLS)]           # CDSITFAM DTADH CDMOTDEM DTDEM RANGADH RANGDEM RANGAGEAD RANGAGEDEM
 MIXED_QUAL = [c for c in qual_of(MIXED_COLS)]         # CDSITFAM DTADH CDMOTDEM DTDEM DTNAIS
 
 
@@ -646,6 +647,35 @@ def q_t9_mixed(spark, sf):
     return bivariate_summary(members_mixed(spark, sf))
 
 
+def _sql_statistics(table: str, qq, cc, qc) -> str:
+    """T9 without p-values: the families side by side, with the case and the order-free name of the pair."""
+    def of(cas: str, body: str, *cols: str) -> str:
+        return (f"SELECT var1, var2, '{cas}' AS cas, least(var1, var2) || '__' || greatest(var1, var2) AS paire, n_apparies, "
+                f"{', '.join(cols)} FROM ({body})")
+    quant = (f"SELECT p.*, s.spearman_rho, k.kendall_tau FROM ({_sql_pearson(table, qq)}) p JOIN ({_sql_spearman(table, qq)}) s USING (var1, var2) "
+             f"JOIN ({_sql_kendall(table, qq)}) k USING (var1, var2)")
+    return "\nUNION ALL BY NAME\n".join([
+        of("quantitatif_quantitatif", quant, "pearson_r", "spearman_rho", "kendall_tau"),
+        of("qualitatif_qualitatif", "\nUNION ALL\n".join(_sql_chi2_pair(table, a, b) for a, b in cc), "chi2", "dof", "cramers_v"),
+        of("quantitatif_qualitatif", "\nUNION ALL\n".join(_sql_kruskal_pair(table, a, b) for a, b in qc), "kruskal_h", "epsilon2_kruskal", "anova_f")])
+
+
+def _statistics(df: DataFrame) -> DataFrame:
+    from churnkit.operators.assoc import bivariate_summary
+    t = bivariate_summary(df)
+    return rounded(t.drop(*[c for c in t.columns if c.endswith("_p")]))
+
+
+@query("T9_statistics_table1", with_members(body=_sql_statistics("members_left", QQ_PAIRS, LEFT_CC, QC_PAIRS)))
+def q_t9_statistics_left(spark, sf):
+    return _statistics(members_left(spark, sf))
+
+
+@query("T9_statistics_table2", with_members(body=_sql_statistics("members_mixed", MIXED_QQ, CC_PAIRS, MIXED_QC)))
+def q_t9_statistics_mixed(spark, sf):
+    return _statistics(members_mixed(spark, sf))
+
+
 @query("G4_correlation_matrix_pearson", with_members(body=f"""
 SELECT var1, var2, pearson_r AS r FROM ({_sql_pearson('members_left', QQ_PAIRS)})
 UNION ALL SELECT var2 AS var1, var1 AS var2, pearson_r AS r FROM ({_sql_pearson('members_left', QQ_PAIRS)})

@@ -7,8 +7,9 @@ Every pair of columns falls in one family:
 * quantitative x qualitative:  Kruskal-Wallis H (T6), epsilon^2 (T7), one-way ANOVA F (T8)
 
 Nulls are removed listwise inside each pair. Pairs are processed together: Pearson in one
-wide aggregation over the table; the rank- and group-based statistics on a long form
-``(var1, var2, x, y)`` holding only the complete rows of every pair, grouped by pair.
+wide aggregation over the table; the rank- and group-based statistics on cells
+``(var1, var2, x, y, w)``: the distinct complete values of every pair and their rows. A family builds its own
+cells; the runner over all pairs (T9) builds them once for all families, in one scan and one shuffle.
 Test statistics are computed in Spark; p-values are added on the small per-pair result.
 """
 
@@ -48,16 +49,46 @@ def pair_plan(df: DataFrame, cols: list[str] | None = None) -> dict[str, list[tu
     return plan
 
 
-def long_pairs(df: DataFrame, pairs: list[tuple[str, str]], x_type: str, y_type: str) -> DataFrame:
-    """Complete rows of every pair as ``(var1, var2, x, y)``; NaN is missing."""
-    def of_type(c: str, kind: str):
-        return number(c) if kind == "double" else F.col(c).cast(kind)
+QUANT, QUAL, MIXED = "quantitatif_quantitatif", "qualitatif_qualitatif", "quantitatif_qualitatif"
 
-    items = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                      of_type(a, x_type).alias("x"), of_type(b, y_type).alias("y")) for a, b in pairs]
-    cols = sorted({c for p in pairs for c in p})
-    return (df.select(*cols).select(F.explode(F.array(*items)).alias("p")).select("p.*")
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+
+def pair_cells(df: DataFrame, plan: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """Cells of all pairs of a ``pair_plan``: ``(cas, var1, var2, x, y, w)``, ``x`` and ``y`` as structs of a number and a text.
+
+    Every value of a row is converted once, in one array of numbers and one of texts; the pairs are a list of
+    places in them, so generated code doesn't grow with the number of pairs. Rows with a missing value (null or
+    NaN) are no cell of that pair. Equal cells are combined before the only shuffle; the result is a checkpoint.
+    """
+    kinds = [(QUANT, plan["quant"], "x", "x"), (MIXED, plan["mixed"], "x", "s"), (QUAL, plan["qual"], "s", "s")]
+    numbers = sorted({c for p in plan["quant"] for c in p} | {p[0] for p in plan["mixed"]})
+    texts = sorted({c for p in plan["qual"] for c in p} | {p[1] for p in plan["mixed"]})
+
+    def place(c: str, kind: str):
+        return F.lit(numbers.index(c) if kind == "x" else -1).alias("number"), F.lit(texts.index(c) if kind == "s" else -1).alias("text")
+
+    asked = [F.struct(F.lit(cas).alias("cas"), F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                      F.struct(*place(a, ka)).alias("a"), F.struct(*place(b, kb)).alias("b"))
+             for cas, pairs, ka, kb in kinds for a, b in pairs]
+    values = df.select(F.array(*[number(c) for c in numbers], F.lit(None).cast("double")).alias("numbers"),
+                       F.array(*[F.col(c).cast("string") for c in texts], F.lit(None).cast("string")).alias("texts"))
+
+    def value(p):       # a place of -1 is no element: NULL
+        return F.struct(F.when(p["number"] >= 0, F.get("numbers", p["number"])).alias("number"),
+                        F.when(p["text"] >= 0, F.get("texts", p["text"])).alias("text"))
+
+    cells = (values.select(F.explode(F.transform(F.array(*asked), lambda p: F.struct(
+        p["cas"].alias("cas"), p["var1"].alias("var1"), p["var2"].alias("var2"), value(p["a"]).alias("x"), value(p["b"]).alias("y")))).alias("c"))
+        .select("c.*").filter("(x.number IS NOT NULL OR x.text IS NOT NULL) AND (y.number IS NOT NULL OR y.text IS NOT NULL)"))
+    return materialize(cells.groupBy("cas", *PAIR, "x", "y").agg(F.count("*").alias("w")))
+
+
+def _cells(df: DataFrame, pairs: list[tuple[str, str]], cas: str, cells: DataFrame | None) -> DataFrame:
+    """The family's cells as ``(var1, var2, x, y, w)``, out of the common ones or built here."""
+    if cells is None:
+        cells = pair_cells(df, {"quant": pairs if cas == QUANT else [], "qual": pairs if cas == QUAL else [],
+                                "mixed": pairs if cas == MIXED else []})
+    x, y = ("x.text" if cas == QUAL else "x.number"), ("y.number" if cas == QUANT else "y.text")
+    return cells.filter(F.col("cas") == cas).select(*PAIR, F.col(x).alias("x"), F.col(y).alias("y"), "w")
 
 
 def _pairs_frame(df: DataFrame, pairs) -> DataFrame:
@@ -92,21 +123,36 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def _ranked_pairs(long: DataFrame) -> DataFrame:
-    """Collapsed ``(var1, var2, x, y, w)`` with average ranks ``rx``, ``ry`` within each pair."""
-    cells = materialize(long.groupBy(*PAIR, "x", "y").agg(F.count("*").alias("w")))
+def pearson_of_cells(cells: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """T1 from the cells of ``pair_cells``: moments centred on each pair's means; same columns as ``pearson_pairs``."""
+    c = _cells(cells, pairs, QUANT, cells)
+    means = c.groupBy(*PAIR).agg(F.sum("w").alias("N"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"),
+                                 (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"),
+                                 F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    sums = c.join(F.broadcast(means), PAIR).groupBy(*PAIR).agg(      # one row per pair
+        F.sum(F.col("w") * dx * dy).alias("sxy"), F.sum(F.col("w") * dx * dx).alias("sxx"), F.sum(F.col("w") * dy * dy).alias("syy"))
+    t = _pairs_frame(cells, pairs).join(means.join(sums, PAIR), PAIR, "left")
+    # the mean of a constant column may be off by a rounding error: compare its ends instead of the moment with 0
+    r = F.when((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")), F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy")))
+    return t.select(*PAIR, F.coalesce("N", F.lit(0)).cast("long").alias("n_apparies"),
+                    F.when(F.col("N") >= 2, clip(r, -1.0, 1.0)).alias("pearson_r"))
+
+
+def _ranked_pairs(cells: DataFrame) -> DataFrame:
+    """Cells with average ranks ``rx``, ``ry`` within each pair."""
     rx = average_rank_table(cells, "x", PAIR, weight_col="w", out_col="rx").drop("n")
     ry = average_rank_table(cells, "y", PAIR, weight_col="w", out_col="ry").drop("n")
     return cells.join(rx, PAIR + ["x"]).join(ry, PAIR + ["y"])
 
 
-def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], cells: DataFrame | None = None) -> DataFrame:
     """Spearman rho = Pearson on average ranks recomputed within each pair's complete rows.
 
     Ranks are centred on their exact mean (N+1)/2 before the weighted moments, so the sums
     do not cancel catastrophically at large N.
     """
-    r = _ranked_pairs(long_pairs(df, pairs, "double", "double"))
+    r = _ranked_pairs(_cells(df, pairs, QUANT, cells))
     n = r.groupBy(*PAIR).agg(F.sum("w").alias("N"))
     r = r.join(n, PAIR)
     m = (F.col("N") + 1) / 2.0
@@ -152,7 +198,8 @@ def _discordance(rows: DataFrame, u: str, v: str) -> DataFrame:
 CELLS_PER_BUCKET, LEAST_BUCKETS = 250_000, 8
 
 
-def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int | None = None) -> DataFrame:
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int | None = None,
+                  cells: DataFrame | None = None) -> DataFrame:
     """Kendall tau-b, exact, with S = n0 - n1 - n2 + n3 - 2 * discordant.
 
     Discordant pairs (x_i < x_j, y_i > y_j) are split by equi-depth buckets of x and of y
@@ -167,8 +214,7 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int |
     distinct cells needs for CELLS_PER_BUCKET each (``n_buckets`` overrides it), so a window's share doesn't
     grow with the table. Built-in functions only; pairs are never enumerated.
     """
-    cells = long_pairs(df, pairs, "double", "double").groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("w"))
-    cells = materialize(cells)      # feeds the splits and six branches (ties, grid, two counts): cut once
+    cells = _cells(df, pairs, QUANT, cells).withColumn("w", F.col("w").cast("double"))
     if n_buckets is None:
         most = cells.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 0
         n_buckets = max(LEAST_BUCKETS, -(-most // CELLS_PER_BUCKET))
@@ -223,15 +269,14 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int |
 # qualitative x qualitative
 # --------------------------------------------------------------------------------------
 
-def chi2_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def chi2_pairs(df: DataFrame, pairs: list[tuple[str, str]], cells: DataFrame | None = None) -> DataFrame:
     """T4/T5: chi-square of independence from the sparse contingency table, Cramer's V.
 
     chi2 = N * (sum O^2 / (R * C) - 1) over observed cells only (equal to the dense form).
     When dof = 1 (2 x 2 table), the Yates-corrected statistic is computed on the four
     cells of the table (zero cells included).
     """
-    long = long_pairs(df, pairs, "string", "string")
-    cells = materialize(long.groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("O")))
+    cells = _cells(df, pairs, QUAL, cells).select(*PAIR, "x", "y", F.col("w").cast("double").alias("O"))
     rows = cells.groupBy(*PAIR, "x").agg(F.sum("O").alias("R"))
     cols = cells.groupBy(*PAIR, "y").agg(F.sum("O").alias("C"))
     shape = (rows.groupBy(*PAIR).agg(F.count("*").alias("r"), F.sum("R").alias("N"))
@@ -260,15 +305,14 @@ def chi2_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 # quantitative x qualitative
 # --------------------------------------------------------------------------------------
 
-def kruskal_anova_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def kruskal_anova_pairs(df: DataFrame, pairs: list[tuple[str, str]], cells: DataFrame | None = None) -> DataFrame:
     """Kruskal-Wallis H (tie-corrected), epsilon^2, one-way ANOVA F per (quant, qual) pair.
 
     H from rank sums per group (ranks within the pair's complete rows); ANOVA from per-group
     count / mean / variance, centred on the grand mean. Needs n >= 3 and >= 2 groups.
     Perfect separation (within-group variance 0) gives F = +inf; all-equal values give NULL.
     """
-    long = long_pairs(df, pairs, "double", "string")
-    cells = materialize(long.groupBy(*PAIR, "x", "y").agg(F.count("*").cast("double").alias("w")))
+    cells = _cells(df, pairs, MIXED, cells).withColumn("w", F.col("w").cast("double"))
     ranks = average_rank_table(cells, "x", PAIR, weight_col="w", out_col="rk")
     ties = ranks.groupBy(*PAIR).agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie"))
     rc = cells.join(ranks.drop("n"), PAIR + ["x"])
@@ -308,28 +352,32 @@ def kruskal_anova_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
 # --------------------------------------------------------------------------------------
 
 def bivariate_summary(df: DataFrame, cols: list[str] | None = None, kendall_buckets: int | None = None) -> DataFrame:
-    """Every pair, statistics + two-sided p-values, families unioned by name (ragged keys)."""
+    """Every pair, statistics + two-sided p-values, families unioned by name (ragged keys).
+
+    One scan of the table gives the cells of all pairs; every family starts from them.
+    """
     plan = pair_plan(df, cols)
+    cells = pair_cells(df, plan)
     parts = []
     if plan["quant"]:
         q = plan["quant"]
-        pr = pearson_pairs(df, q)
-        sp = spearman_pairs(df, q).drop("n_apparies")
-        kd = kendall_pairs(df, q, kendall_buckets).drop("n_apparies")
+        pr = pearson_of_cells(cells, q)
+        sp = spearman_pairs(df, q, cells).drop("n_apparies")
+        kd = kendall_pairs(df, q, kendall_buckets, cells).drop("n_apparies")
         t = pr.join(sp, PAIR).join(kd, PAIR)
         parts.append(t.select(
-            *PAIR, F.lit("quantitatif_quantitatif").alias("cas"), "n_apparies", "pearson_r",
+            *PAIR, F.lit(QUANT).alias("cas"), "n_apparies", "pearson_r",
             pv.corr_pvalue(F.col("pearson_r"), F.col("n_apparies")).alias("pearson_p"),
             "spearman_rho", pv.corr_pvalue(F.col("spearman_rho"), F.col("n_apparies")).alias("spearman_p"),
             "kendall_tau", pv.kendall_pvalue(F.col("n_apparies"), F.col("kendall_s"), F.col("ties_x"), F.col("ties_y"),
                                              F.col("kendall_z")).alias("kendall_p")))
     if plan["qual"]:
-        c = chi2_pairs(df, plan["qual"])
-        parts.append(c.select(*PAIR, F.lit("qualitatif_qualitatif").alias("cas"), "n_apparies", "chi2",
+        c = chi2_pairs(df, plan["qual"], cells)
+        parts.append(c.select(*PAIR, F.lit(QUAL).alias("cas"), "n_apparies", "chi2",
                               pv.chi2_pvalue(F.col("chi2"), F.col("dof")).alias("chi2_p"), "dof", "cramers_v"))
     if plan["mixed"]:
-        m = kruskal_anova_pairs(df, plan["mixed"])
-        parts.append(m.select(*PAIR, F.lit("quantitatif_qualitatif").alias("cas"), "n_apparies", "kruskal_h",
+        m = kruskal_anova_pairs(df, plan["mixed"], cells)
+        parts.append(m.select(*PAIR, F.lit(MIXED).alias("cas"), "n_apparies", "kruskal_h",
                               pv.chi2_pvalue(F.col("kruskal_h"), F.col("n_groups") - 1).alias("kruskal_p"),
                               "epsilon2_kruskal", "anova_f",
                               pv.f_pvalue(F.col("anova_f"), F.col("n_groups") - 1,

@@ -137,13 +137,17 @@ def functional_dependencies(df: DataFrame, pairs: list[tuple[str, str]]) -> Data
 def _tuple_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
     """Number of distinct tuples (NULL is a value) of each set of up to three columns, in one pass.
 
-    A row becomes one short tuple per set; equal ones are combined before the only shuffle. A row per set is collected.
+    A row becomes one short tuple per set (a list of places in the array of the row's values, so generated code doesn't
+    grow with the sets); equal ones are combined before the only shuffle. A row per set is collected.
     """
     if not sets:
         return {}
-    values = [[F.col(f"`{c}`").cast("string") for c in s] + [F.lit(None).cast("string")] * (3 - len(s)) for s in sets]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[v.alias(f"v{k}") for k, v in enumerate(row)]) for i, row in enumerate(values)]))
-    found = df.select(each.alias("t")).select("t.*").groupBy("i", "v0", "v1", "v2").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n"))
+    cols = df.columns
+    places = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(cols.index(s[k]) if k < len(s) else len(cols)).alias(f"p{k}") for k in range(3)])
+                       for i, s in enumerate(sets)])
+    row = df.select(F.array(*[F.col(f"`{c}`").cast("string") for c in cols], F.lit(None).cast("string")).alias("row"))
+    each = F.explode(F.transform(places, lambda p: F.struct(p["i"].alias("i"), *[F.get("row", p[f"p{k}"]).alias(f"v{k}") for k in range(3)])))
+    found = row.select(each.alias("t")).select("t.*").groupBy("i", "v0", "v1", "v2").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n"))
     counts = {r["i"]: r["n"] for r in found.collect()}
     return {s: counts.get(i, 0) for i, s in enumerate(sets)}
 

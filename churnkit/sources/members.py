@@ -54,18 +54,35 @@ def _common(ok: Column, ck: Column) -> list[Column]:
     ]
 
 
+def _age_band(age: Column, bands: int) -> Column:
+    """``'k  low-high'`` in steps of five years: band 1 ends at 25, the last band has no upper end."""
+    k = F.greatest(F.lit(1), F.least(F.lit(bands), F.floor((age - 16) / 5).cast("int")))
+    low = F.when(k == 1, F.lit(19)).otherwise(16 + 5 * k)
+    return F.concat(k.cast("string"), F.lit("  "), low.cast("string"),
+                    F.when(k == bands, F.lit("+")).otherwise(F.concat(F.lit("-"), (20 + 5 * k).cast("string"))))
+
+
 def members_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Historical leavers: 12 columns, ``RANGADH`` has nulls, income mostly zero."""
+    """Historical leavers: 19 columns, ``RANGADH`` has nulls, income mostly zero, ``CDDEM`` nearly constant."""
     j = _orders_customers(spark, sf_dir).filter(F.col("o_orderstatus") == "F")
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     day = F.col("o_orderdate").cast("date")
+    age = (F.lit(19) + ck % 60).cast("int")
+    years = F.floor(ok % 3000 / 365).cast("int")      # of membership: DTADH lies ok % 3000 days before DTDEM
     return j.select(
         *_common(ok, ck),
         F.lit("DV").alias("CDMOTDEM"),
         _dmy(day).alias("DTDEM"),
-        (F.lit(19) + ck % 60).cast("int").alias("AGEAD"),
+        age.alias("AGEAD"),
         F.when(ck % 12 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("r"), (ck % 60).cast("int").cast("string"))).alias("RANGADH"),
+        F.when(ok % 1000 == 3, F.lit(1)).otherwise(F.lit(2)).alias("CDDEM"),
+        F.year(day).alias("ANNEEDEM"),
+        F.concat((F.year(day) - 1991).cast("string"), F.lit("  "), F.year(day).cast("string")).alias("RANGDEM"),
+        _age_band(age, 8).alias("RANGAGEAD"),
+        (age + years).alias("AGEDEM"),
+        _age_band(age + years, 11).alias("RANGAGEDEM"),
+        years.alias("ADH"),
     )
 
 
@@ -86,9 +103,15 @@ def members_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_age_band(age: str, bands: int) -> str:
+    k = f"greatest(1, least({bands}, ({age} - 16) // 5))"
+    return (f"CAST({k} AS VARCHAR) || '  ' || CAST(CASE WHEN {k} = 1 THEN 19 ELSE 16 + 5 * {k} END AS VARCHAR) || "
+            f"CASE WHEN {k} = {bands} THEN '+' ELSE '-' || CAST(20 + 5 * {k} AS VARCHAR) END")
+
+
 # DuckDB view definitions of the same two tables, used by the SQL oracle.
-MEMBERS_SQL = """
-members_left AS (
+MEMBERS_SQL = f"""
+members_left_of_age AS (
   SELECT o.o_orderkey AS ID,
          CAST(2 + o.o_orderkey % 3 AS INTEGER) AS CDSEXE,
          CASE WHEN o.o_orderkey % 5 = 0 THEN CAST(floor(o.o_totalprice) AS INTEGER) ELSE 0 END AS MTREV,
@@ -100,9 +123,16 @@ members_left AS (
          'DV' AS CDMOTDEM,
          strftime(CAST(o.o_orderdate AS DATE), '%d/%m/%Y') AS DTDEM,
          CAST(19 + o.o_custkey % 60 AS INTEGER) AS AGEAD,
-         CASE WHEN o.o_custkey % 12 = 0 THEN NULL ELSE 'r' || CAST(CAST(o.o_custkey % 60 AS INTEGER) AS VARCHAR) END AS RANGADH
+         CASE WHEN o.o_custkey % 12 = 0 THEN NULL ELSE 'r' || CAST(CAST(o.o_custkey % 60 AS INTEGER) AS VARCHAR) END AS RANGADH,
+         CASE WHEN o.o_orderkey % 1000 = 3 THEN 1 ELSE 2 END AS CDDEM,
+         CAST(year(CAST(o.o_orderdate AS DATE)) AS INTEGER) AS ANNEEDEM,
+         CAST((o.o_orderkey % 3000) // 365 AS INTEGER) AS ADH
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   WHERE o.o_orderstatus = 'F'),
+members_left AS (
+  SELECT *, CAST(ANNEEDEM - 1991 AS VARCHAR) || '  ' || CAST(ANNEEDEM AS VARCHAR) AS RANGDEM,
+         {_sql_age_band('AGEAD', 8)} AS RANGAGEAD, AGEAD + ADH AS AGEDEM, {_sql_age_band('(AGEAD + ADH)', 11)} AS RANGAGEDEM
+  FROM members_left_of_age),
 members_mixed AS (
   SELECT o.o_orderkey AS ID,
          CAST(2 + o.o_orderkey % 3 AS INTEGER) AS CDSEXE,
