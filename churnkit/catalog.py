@@ -548,7 +548,8 @@ def q_t2(spark, sf):
 @query("T3_kendall_tau_b", with_members(body=_sql_kendall("members_left", QQ_PAIRS)))
 def q_t3(spark, sf):
     from churnkit.operators.assoc import kendall_pairs
-    return rounded(kendall_pairs(members_left(spark, sf), QQ_PAIRS).drop("ties_x", "ties_y"))
+    found = rounded(kendall_pairs(members_left(spark, sf), QQ_PAIRS).drop("ties_x", "ties_y"))
+    return found.withColumn("kendall_s", F.round("kendall_s"))   # a whole number, as in the other table's query
 
 
 @query("T4_T5_chi2_cramers_v", with_members(body="\nUNION ALL\n".join(_sql_chi2_pair("members_mixed", a, b) for a, b in CC_PAIRS)))
