@@ -101,3 +101,21 @@ def test_session_leaves_master_to_the_cluster():
 
     from churnkit import session
     assert inspect.signature(session.get_spark).parameters["master"].default is None
+
+
+def test_ordered_windows_are_dealt_to_many_tasks(spark):
+    """Two groups, many buckets: no join brings a group's rows into one partition, ids stay exact."""
+    from churnkit.functions.ranks import _attach_buckets, _below, dense_row_ids
+
+    df = spark.range(4000).select((F.col("id") * 7919 % 4001).alias("k"), (F.col("id") % 2).alias("g"), F.lit("x").alias("t"))
+    plan = _attach_buckets(df, "k", ["g"], 40)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    out = dense_row_ids(df, "k", [("g", [1, 0])], out_col="ID", n_buckets=40, tie_cols=["t"])
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 1000
+    want = sorted((-r["g"], r["k"]) for r in df.collect())
+    assert [(-r["g"], r["k"]) for r in out.orderBy("ID").collect()] == want
+    for n in (1, 2, 7, 63, 64, 1000):
+        values = F.array(*[F.lit(float(2 * i)) for i in range(n)])
+        found = spark.range(-3, 2 * n + 3).select("id", values.alias("a")).select("id", _below("a", n, F.col("id").cast("double")).alias("b")).collect()
+        assert [r["b"] for r in found] == [min(n, max(0, -(-r["id"] // 2))) for r in found]
