@@ -12,6 +12,8 @@ from churnkit.functions.scalar import BIRTH_DATE_SENTINEL, LEAVE_DATE_SENTINEL,
 from churnkit.operators.profile import _rows_from_wide, long_form
 from churnkit.operators.schema import numeric_columns
 
+FIRST_BLOCK = 2_000     # rows of the first block that rules dependencies out
+
 
 def missing_report(df: DataFrame, table: str) -> DataFrame:
     """A4: per column: rows, NULLs, blank strings (after stripping, NULLs excluded), total, pct (4 dp).
@@ -152,26 +154,45 @@ def _tuple_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str,
     return {s: counts.get(i, 0) for i, s in enumerate(sets)}
 
 
+def _refuted(n: dict[tuple[str, ...], int], asked: set, of) -> set:
+    """The (determinants, column) whose column makes new tuples: two rows agree on the determinants and differ in it."""
+    return {(x, c) for x, c in asked if n[x] != n[of(*x, c)]}
+
+
 def discover_dependencies(df: DataFrame) -> DataFrame:
     """R2: every minimal functional dependency with one or two determinants: ``determinant, dependent, n_levels``.
 
     Columns X determine c when the partition of the rows by X is as fine as the one by X and c, so when both have as
-    many classes (NULL is a value like others). Single columns and pairs are counted in one pass; triples only where
-    no smaller set already determines the column or makes the pair redundant. No rows: everything determines everything.
+    many classes (NULL is a value like others). Two rows that contradict a dependency contradict it in the whole table,
+    so growing blocks of rows (``FIRST_BLOCK``, then ten times as many) only rule dependencies out; all that no block
+    contradicts are counted on all rows, where single determinants go first: pairs are counted only where no smaller set
+    already determines the column or makes the pair redundant. No rows: everything determines everything.
     """
     from itertools import combinations
     cols = df.columns
-    sets = [(c,) for c in cols] + list(combinations(cols, 2))
-    n = _tuple_counts(df, sets)
 
     def of(*names: str) -> tuple[str, ...]:
         return tuple(sorted(names, key=cols.index))
 
-    single = {(a, b) for a in cols for b in cols if a != b and n[(a,)] == n[of(a, b)]}
-    open_ = [(a, b, c) for a, b in combinations(cols, 2) if (a, b) not in single and (b, a) not in single
-             for c in cols if c not in (a, b) and (a, c) not in single and (b, c) not in single]
-    n |= _tuple_counts(df, sorted({of(*t) for t in open_}))
-    rows = [(a, b, n[(a,)]) for a, b in sorted(single)] + [(f"{a}, {b}", c, n[(a, b)]) for a, b, c in open_ if n[(a, b)] == n[of(a, b, c)]]
+    def counted(rows: DataFrame, asked: set) -> dict[tuple[str, ...], int]:
+        return _tuple_counts(rows, sorted({s for x, c in asked for s in (x, of(*x, c))}))
+
+    open_ = {(x, c) for k in (1, 2) for x in combinations(cols, k) for c in cols if c not in x}
+    total = df.count()
+    size = FIRST_BLOCK
+    while 2 * size < total and open_:
+        block = df.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(total // size)) == 0)
+        block = block.repartition(df.sparkSession.sparkContext.defaultParallelism)
+        open_ -= _refuted(counted(block, open_), open_, of)
+        size *= 10
+    asked = {(x, c) for x, c in open_ if len(x) == 1}
+    n = counted(df, asked)
+    single = asked - _refuted(n, asked, of)
+    held = {(x[0], c) for x, c in single}
+    asked = {((a, b), c) for (a, b), c in (t for t in open_ if len(t[0]) == 2)
+             if not {(a, b), (b, a), (a, c), (b, c)} & held}
+    n |= counted(df, asked)
+    rows = [(", ".join(x), c, n[x]) for x, c in sorted(single) + sorted(asked - _refuted(n, asked, of))]
     return df.sparkSession.createDataFrame(rows, "determinant string, dependent string, n_levels long")
 
 

@@ -175,3 +175,34 @@ def test_dependencies_like_all_pairs_of_rows(spark):
     assert set(found) == single | double and len(double) > 0
     assert all(n == len({tuple(r[cols.index(k)] for k in x) for r in rows}) for (x, _), n in found.items())
     assert len({r["determinant"] for r in discover_dependencies(df.limit(0)).collect()}) == 6
+
+
+def test_dependencies_are_ruled_out_on_blocks_and_held_on_all_rows(spark, monkeypatch):
+    """Columns that blocks contradict are not counted on the whole table; one contradiction in 30,000 rows is still found."""
+    from itertools import combinations
+
+    from churnkit.operators import quality
+
+    i = F.col("id")
+    df = spark.range(30000).select((i % 97).alias("a"), (i % 97 % 10).alias("b"), F.when(i == 12345, 77).otherwise(i % 97 % 7).alias("c"),
+                                   (i * 7919 % 101).alias("d"), F.when(i % 3 > 0, (i % 97 + i * 7919 % 101) % 13).alias("e"))
+    whole, counted = [], quality._tuple_counts
+
+    def count(rows, sets):
+        if rows is df:
+            whole.extend(sets)
+        return counted(rows, sets)
+    monkeypatch.setattr(quality, "_tuple_counts", count)
+    found = {(r["determinant"], r["dependent"], r["n_levels"]) for r in quality.discover_dependencies(df).collect()}
+    data = [tuple(r) for r in df.collect()]
+    cols = df.columns
+    levels = {x: len({tuple(r[k] for k in x) for r in data}) for n in (1, 2, 3) for x in combinations(range(5), n)}
+
+    def holds(x, c):
+        return levels[x] == levels[tuple(sorted((*x, c)))]
+    singles = {(a, c) for a in range(5) for c in range(5) if a != c and holds((a,), c)}
+    want = {(cols[a], cols[c], levels[(a,)]) for a, c in singles}
+    want |= {(f"{cols[a]}, {cols[b]}", cols[c], levels[(a, b)]) for a, b in combinations(range(5), 2) for c in range(5)
+             if c not in (a, b) and not {(a, b), (b, a), (a, c), (b, c)} & singles and holds((a, b), c)}
+    assert found == want and ("a", "b", 97) in found and ("a", "c", 97) not in found
+    assert ("a", "b") in whole and ("c", "d") not in whole
