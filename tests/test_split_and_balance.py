@@ -56,6 +56,55 @@ def test_knn_exact_against_brute_force(spark):
         assert g == d, i
 
 
+def test_knn_exact_over_many_leaves_and_blocks(spark):
+    from churnkit.operators.balance import minority_neighbours
+    rng = np.random.default_rng(3)
+    pts = [(i + 1, *map(float, np.round(rng.normal(size=3), 1))) for i in range(400)] + [(401, float("inf"), 0.0, 0.0)]
+    df = spark.createDataFrame(pts, "ID long, a double, b double, c double")
+    nb = minority_neighbours(df, ["a", "b", "c"], 5, block=8, n_buckets=4, leaf_blocks=4).collect()
+    assert not [r for r in nb if 401 in (r["ID"], r["nbr_id"])]      # no finite distance
+    X, exp = _brute_knn(pts[:-1], 5)
+    got = {}
+    for r in nb:
+        got.setdefault(r["ID"], {})[r["j"]] = r["nbr_id"]
+    for i, d in exp.items():
+        assert [round(float(((X[got[i][j]] - X[i]) ** 2).sum()), 9) for j in range(5)] == d, i
+
+
+def test_work_per_vector_does_not_grow_with_the_leaf(monkeypatch):
+    from churnkit.operators import balance
+
+    class Counted(list):
+        taken = 0
+
+        def __getitem__(self, i):
+            Counted.taken += 1
+            return super().__getitem__(i)
+
+    plain = balance.blocks_of
+    monkeypatch.setattr(balance, "blocks_of", lambda vectors, rows: Counted(plain(vectors, rows)))
+    share = []
+    for n in (4_096, 32_768):
+        x, Counted.taken = np.random.default_rng(7).uniform(size=(n, 2)), 0
+        found = list(balance.nearest(x, x, 5, 64, itself=True))
+        assert sum(len(at) for at, _, _ in found) == n
+        share.append(Counted.taken * 64 / n)
+    assert share[1] < 1.2 * share[0] < 20 * 1.2      # blocks met by a block of 64 vectors
+
+
+def test_nearest_keeps_ties_in_order_and_far_coordinates():
+    from churnkit.operators.balance import nearest
+    for shift in (0.0, 1e6, 1e200):
+        rng = np.random.default_rng(11)
+        x, y = (np.round(rng.normal(size=(m, 4)), 0) + shift for m in (60, 150))
+        within = rng.uniform(0, 9, 60)
+        for at, j, d in nearest(x, y, 5, 16, within):
+            for row, places, there in zip(at, j, d):
+                squares = sum((x[row, c] - y[:, c]) ** 2 for c in range(4))
+                wanted = sorted((e, i) for i, e in enumerate(squares) if e <= within[row])[:5]
+                assert [(e, i) for e, i in zip(there, places) if i < len(y)] == wanted
+
+
 def test_smote_minority_of_six_and_segments(spark):
     from churnkit.operators.balance import smote
     rows = [(i, float(i), float(i % 2), 0) for i in range(1, 7)] + [(100 + i, float(i), 1.0, 1) for i in range(20)]
