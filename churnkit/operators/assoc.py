@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from churnkit.functions import pvalues as pv
-from churnkit.functions.ranks import average_rank_table
+from churnkit.functions.ranks import _below, average_rank_table
 from churnkit.functions.scalar import clip, number, pair_key, sanitize_name
 from churnkit.operators.schema import columns_without_id, is_quantitative
 from churnkit.session import materialize
@@ -55,31 +55,43 @@ QUANT, QUAL, MIXED = "quantitatif_quantitatif", "qualitatif_qualitatif", "quanti
 def pair_cells(df: DataFrame, plan: dict[str, list[tuple[str, str]]]) -> DataFrame:
     """Cells of all pairs of a ``pair_plan``: ``(cas, var1, var2, x, y, w)``, ``x`` and ``y`` as structs of a number and a text.
 
-    Every value of a row is converted once, in one array of numbers and one of texts; the pairs are a list of
-    places in them, so generated code doesn't grow with the number of pairs. Rows with a missing value (null or
-    NaN) are no cell of that pair. Equal cells are combined before the only shuffle; the result is a checkpoint.
+    Equal cells are combined by the pair's number before the only shuffle; the result, with the pair's names, is a checkpoint.
     """
+    named = _numbered_pairs(plan)
+    names = F.array(*[F.struct(F.lit(cas).alias("cas"), F.lit(a).alias("var1"), F.lit(b).alias("var2")) for cas, a, b, _, _ in named])
+    counted = _cell_rows(df, plan).groupBy("pair", "xn", "xt", "yn", "yt").agg(F.count("*").alias("w"))
+    return materialize(counted.withColumn("named", F.get(names, F.col("pair"))).select(
+        "named.*", F.struct(F.col("xn").alias("number"), F.col("xt").alias("text")).alias("x"),
+        F.struct(F.col("yn").alias("number"), F.col("yt").alias("text")).alias("y"), "w"))
+
+
+def _numbered_pairs(plan: dict[str, list[tuple[str, str]]]) -> list[tuple[str, str, str, str, str]]:
+    """(family, column, column, kind, kind) of every pair; a kind is a number (x) or a text (s)."""
     kinds = [(QUANT, plan["quant"], "x", "x"), (MIXED, plan["mixed"], "x", "s"), (QUAL, plan["qual"], "s", "s")]
-    numbers = sorted({c for p in plan["quant"] for c in p} | {p[0] for p in plan["mixed"]})
-    texts = sorted({c for p in plan["qual"] for c in p} | {p[1] for p in plan["mixed"]})
+    return [(cas, a, b, ka, kb) for cas, pairs, ka, kb in kinds for a, b in pairs]
 
-    def place(c: str, kind: str):
-        return F.lit(numbers.index(c) if kind == "x" else -1).alias("number"), F.lit(texts.index(c) if kind == "s" else -1).alias("text")
 
-    asked = [F.struct(F.lit(cas).alias("cas"), F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                      F.struct(*place(a, ka)).alias("a"), F.struct(*place(b, kb)).alias("b"))
-             for cas, pairs, ka, kb in kinds for a, b in pairs]
+def _cell_rows(df: DataFrame, plan: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """A row per row and pair: ``(pair, xn, xt, yn, yt)``, the pair's number and either the number or the text of its values.
+
+    Every value of a row is converted once, in one array of numbers and one of texts; the pairs are lists of
+    places in them, so generated code doesn't grow with the number of pairs. Rows with a missing value (null or
+    NaN) are no cell of that pair. No lambda: those are interpreted, row by row.
+    """
+    named = _numbered_pairs(plan)
+    numbers = sorted({c for _, a, b, ka, kb in named for c, kind in ((a, ka), (b, kb)) if kind == "x"})
+    texts = sorted({c for _, a, b, ka, kb in named for c, kind in ((a, ka), (b, kb)) if kind == "s"})
     values = df.select(F.array(*[number(c) for c in numbers], F.lit(None).cast("double")).alias("numbers"),
-                       F.array(*[F.col(c).cast("string") for c in texts], F.lit(None).cast("string")).alias("texts"))
+                       F.array(*[F.col(c).cast("string") for c in texts], F.lit(None).cast("string")).alias("texts"),
+                       F.explode(F.array(*[F.lit(i) for i in range(len(named))])).alias("pair"))
 
-    def value(p):       # a place of -1 is no element: NULL
-        return F.struct(F.when(p["number"] >= 0, F.get("numbers", p["number"])).alias("number"),
-                        F.when(p["text"] >= 0, F.get("texts", p["text"])).alias("text"))
+    def value(of: str, known: list[str], side: int, kind: str):       # a place of -1 is no element: NULL
+        places = F.array(*[F.lit(known.index(p[side]) if p[side + 2] == kind else -1) for p in named])
+        return F.get(of, F.get(places, F.col("pair")))
 
-    cells = (values.select(F.explode(F.transform(F.array(*asked), lambda p: F.struct(
-        p["cas"].alias("cas"), p["var1"].alias("var1"), p["var2"].alias("var2"), value(p["a"]).alias("x"), value(p["b"]).alias("y")))).alias("c"))
-        .select("c.*").filter("(x.number IS NOT NULL OR x.text IS NOT NULL) AND (y.number IS NOT NULL OR y.text IS NOT NULL)"))
-    return materialize(cells.groupBy("cas", *PAIR, "x", "y").agg(F.count("*").alias("w")))
+    cells = values.select("pair", value("numbers", numbers, 1, "x").alias("xn"), value("texts", texts, 1, "s").alias("xt"),
+                          value("numbers", numbers, 2, "x").alias("yn"), value("texts", texts, 2, "s").alias("yt"))
+    return cells.filter("(xn IS NOT NULL OR xt IS NOT NULL) AND (yn IS NOT NULL OR yt IS NOT NULL)")
 
 
 def _cells(df: DataFrame, pairs: list[tuple[str, str]], cas: str, cells: DataFrame | None) -> DataFrame:
@@ -152,9 +164,9 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], cells: DataFrame
     Ranks are centred on their exact mean (N+1)/2 before the weighted moments, so the sums
     do not cancel catastrophically at large N.
     """
-    r = _ranked_pairs(_cells(df, pairs, QUANT, cells))
-    n = r.groupBy(*PAIR).agg(F.sum("w").alias("N"))
-    r = r.join(n, PAIR)
+    cells = _cells(df, pairs, QUANT, cells)
+    n = cells.groupBy(*PAIR).agg(F.sum("w").alias("N"))
+    r = _ranked_pairs(cells).join(F.broadcast(n), PAIR)      # one row per pair
     m = (F.col("N") + 1) / 2.0
     dx, dy = F.col("rx") - m, F.col("ry") - m
     agg = r.groupBy(*PAIR).agg(
@@ -168,12 +180,10 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], cells: DataFrame
 
 # ---- Kendall tau-b ---------------------------------------------------------------------
 
-def _isolating_bucket(col: str, splits: str) -> F.Column:
-    """Bucket id that gives every split value its own (odd) bucket: a hot value never shares."""
-    v = F.col(col)
-    below = F.size(F.filter(splits, lambda s: s < v))
-    equal = F.exists(splits, lambda s: s == v).cast("int")
-    return 2 * below + equal
+def _isolating_bucket(col: str, splits: str, size: int) -> F.Column:
+    """Bucket id that gives every split value (at most ``size``, sorted) its own (odd) bucket: a hot value never shares."""
+    below = _below(splits, size, F.col(col))
+    return 2 * below + F.coalesce(F.get(splits, below) == F.col(col), F.lit(False)).cast("int")
 
 
 def _discordance(rows: DataFrame, u: str, v: str) -> DataFrame:
@@ -222,7 +232,7 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int |
     splits = cells.groupBy(*PAIR).agg(F.percentile_approx("x", probs, 10 * n_buckets * 10).alias("sx"),
                                       F.percentile_approx("y", probs, 10 * n_buckets * 10).alias("sy"))
     c = materialize(cells.join(F.broadcast(splits), PAIR)      # one row per pair
-                    .withColumn("bx", _isolating_bucket("x", "sx")).withColumn("by", _isolating_bucket("y", "sy"))
+                    .withColumn("bx", _isolating_bucket("x", "sx", n_buckets - 1)).withColumn("by", _isolating_bucket("y", "sy", n_buckets - 1))
                     .drop("sx", "sy"))
     # tie terms
     tx = c.groupBy(*PAIR, "x").agg(F.sum("w").alias("t")).groupBy(*PAIR).agg(
@@ -316,8 +326,9 @@ def kruskal_anova_pairs(df: DataFrame, pairs: list[tuple[str, str]], cells: Data
     ranks = average_rank_table(cells, "x", PAIR, weight_col="w", out_col="rk")
     ties = ranks.groupBy(*PAIR).agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie"))
     rc = cells.join(ranks.drop("n"), PAIR + ["x"])
-    grp = rc.groupBy(*PAIR, "y").agg(F.sum("w").alias("ng"), F.sum(F.col("w") * F.col("rk")).alias("Rg"),
-                                     F.sum(F.col("w") * F.col("x")).alias("sx"))
+    # totals, between and within start from the groups: written once, so that the ranks are joined once
+    grp = materialize(rc.groupBy(*PAIR, "y").agg(F.sum("w").alias("ng"), F.sum(F.col("w") * F.col("rk")).alias("Rg"),
+                                                 F.sum(F.col("w") * F.col("x")).alias("sx")))
     tot = grp.groupBy(*PAIR).agg(F.sum("ng").alias("N"), F.count("*").alias("k"),
                                  F.sum(F.col("Rg") * F.col("Rg") / F.col("ng")).alias("sr2"),
                                  F.sum("sx").alias("sxt"))

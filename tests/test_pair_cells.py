@@ -50,3 +50,18 @@ def test_constant_column_and_empty_table(rows):
     assert of["a", "same"] is None and of["b", "same"] is None and of["a", "b"] is not None
     empty = bivariate_summary(rows.limit(0)).collect()
     assert len(empty) == 15 and all(r["n_apparies"] == 0 and r["pearson_r"] is None and r["chi2"] is None for r in empty)
+
+
+def test_rows_of_cells_are_generated_code(rows):
+    from churnkit.operators.assoc import _cell_rows
+    plan = _cell_rows(rows, pair_plan(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Generate" in plan
+
+
+def test_buckets_isolate_split_values(spark):
+    from churnkit.operators.assoc import _isolating_bucket
+    splits = [1.0, 1.0, 2.0, 4.0, 4.0, 4.0, 7.0]
+    values = [0.0, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 7.0, 8.0]
+    df = spark.createDataFrame([(v, splits) for v in values], "x double, s array<double>").select("x", _isolating_bucket("x", "s", 9).alias("b"))
+    for r in df.collect():
+        assert r["b"] == 2 * sum(s < r["x"] for s in splits) + (r["x"] in splits)
