@@ -103,3 +103,33 @@ def test_stopped_tuning_goes_on(spark, rows, monkeypatch):
     monkeypatch.setattr(experiment, "fit_svms", None)
     assert experiment.fit_plan(spark, plan, train, val).exceptAll(first).count() == 0
     assert experiment.fit_store(spark, train, val) != experiment.fit_store(spark, train, val.filter("ID > 0"))
+
+
+def test_fits_share_balanced_weights_and_are_read_in_one_scan(spark, rows, monkeypatch):
+    import json
+    import uuid
+
+    from churnkit.operators import models
+    from churnkit.plans import experiment
+    monkeypatch.setattr(experiment, "VERSION", uuid.uuid4().hex)
+    points = [("cnb", "cat", {"alpha": 0.5}), ("cnb", "cat", {"alpha": 1.0})] + [("logreg", "z", {"C": c, "class_weight": "balanced"}) for c in (0.1, 1.0)]
+    plan = spark.createDataFrame([(0, k, k, m, i, json.dumps(p)) for i, (k, m, p) in enumerate(points)], "position int, key string, label string, mode string, grid_index int, params string")
+    train, val = rows.filter("ID % 4 > 0"), rows.filter("ID % 4 = 0")
+    alone = {r["ID"]: r["proba"] for r in fit_model("logreg", points[2][2], train).transform(val).collect()}
+    counted = []
+    plain = models.with_balanced_weights
+    monkeypatch.setattr(models, "with_balanced_weights", lambda *a, **b: counted.append(1) or plain(*a, **b))
+    found = experiment.fit_plan(spark, plan, train, val)
+    assert not counted                                       # once for all, with the assembled rows
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert found.count() == 175 * len(points)
+    assert {r["ID"]: r["proba"] for r in found.filter("key = 'logreg' and grid_index = 2").collect()} == pytest.approx(alone)
+    assert experiment.fit_plan(spark, plan.limit(0), train, val).count() == 0
+
+
+def test_rows_without_a_class_keep_their_place(spark):
+    from churnkit.operators.models import with_balanced_weights
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "ID long, cible_churn int")
+    kept = {r["ID"]: r["weight"] for r in with_balanced_weights(df, how="left").collect()}
+    assert set(kept) == {1, 2, 3, 4} and kept[4] is None
+    assert {r["ID"]: r["weight"] for r in with_balanced_weights(df).collect()} == {i: kept[i] for i in (1, 2, 3)}
