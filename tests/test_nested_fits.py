@@ -76,6 +76,28 @@ def test_calibration_is_the_logistic_optimum(rows):
         assert abs(e.sum()) < 1e-5 and abs((e * margin).sum()) < 1e-5 and m.slope < 0
 
 
+def test_a_step_adds_up_matrices_not_columns(spark, monkeypatch):
+    from churnkit.operators import margins
+    draw = np.random.default_rng(9)
+    x, y, weight, fold = draw.normal(size=(500, 40)), np.where(draw.random(500) < 0.4, 1.0, -1.0), draw.random(500), draw.integers(0, 3, 500)
+    d = spark.createDataFrame([(int(f), float(t), float(w), *map(float, r)) for f, t, w, r in zip(fold, y, weight, x)],
+                              "fold int, y double, weight double, " + ", ".join(f"x{j} double" for j in range(40))).repartition(4)
+    models = [{"C": 1.0, "balanced": b, "without": w} for b in (False, True) for w in (-1, 1)]
+    at = draw.normal(size=(4, 40)) / 10
+
+    def refused(*_):
+        raise AssertionError("a sum for every pair of features")
+    monkeypatch.setattr(margins.F, "sum", refused)
+    found = margins._sums(d, 40, models, at, 3)
+    for i, m in enumerate(models):
+        own = fold != m["without"]
+        s = weight[own] if m["balanced"] else np.ones(own.sum())
+        short = np.maximum(0, 1 - y[own] * (x[own] @ at[i]))
+        assert found[i][0] == pytest.approx((s * short ** 2).sum()) and np.allclose(found[i][1], (s * short * y[own]) @ x[own])
+        assert np.allclose(found[i][2], (x[own] * (s * (short > 0))[:, None]).T @ x[own])
+    assert margins._sums(d.filter("fold = 1"), 40, models, at, 3).keys() == {0, 2}
+
+
 def test_margins_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, 0, None), (2, 1, float("nan")), (3, None, 5.0), (4, 1, 2.0)], "ID long, cible_churn int, z_a double").withColumn("weight", F.lit(None).cast("double"))
     one = fit_margins(rows, ["z_a"], [{"C": 1.0, "balanced": True, "without": -1}])[0]
