@@ -206,3 +206,35 @@ def test_dependencies_are_ruled_out_on_blocks_and_held_on_all_rows(spark, monkey
              if c not in (a, b) and not {(a, b), (b, a), (a, c), (b, c)} & singles and holds((a, b), c)}
     assert found == want and ("a", "b", 97) in found and ("a", "c", 97) not in found
     assert ("a", "b") in whole and ("c", "d") not in whole
+
+
+@pytest.mark.parametrize("buckets", ["1", "7"])
+def test_auc_of_many_fits_reads_its_rows_once(spark, buckets):
+    import numpy as np
+
+    from churnkit.functions.ranks import BUCKETS_CONF
+    from churnkit.operators.metrics import roc_auc
+    draw = np.random.default_rng(6)
+    rows = [(f, int(draw.random() < 0.4), None if draw.random() < 0.05 else float(np.round(draw.random(), 1 + f))) for f in range(3) for _ in range(300)] + [(3, 1, 0.5)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    df = spark.createDataFrame(rows, "fit int, y_true int, proba double").repartition(3).mapInPandas(counted, "fit int, y_true int, proba double")
+    spark.conf.set(BUCKETS_CONF, buckets)
+    try:
+        found = {r["fit"]: r["roc_auc"] for r in roc_auc(df, ["fit"]).collect()}
+        whole = roc_auc(spark.createDataFrame(rows, "fit int, y_true int, proba double")).collect()
+    finally:
+        spark.conf.unset(BUCKETS_CONF)
+
+    def plain(of):
+        pairs = [(a > b) + (a == b) / 2 for t, a in of if t for u, b in of if not u]
+        return sum(pairs) / len(pairs)
+    kept = [(f, t, p) for f, t, p in rows if p is not None]
+    assert found.pop(3) is None
+    assert found == pytest.approx({f: plain([(t, p) for g, t, p in kept if g == f]) for f in range(3)})
+    assert len(whole) == 1 and whole[0]["roc_auc"] == pytest.approx(plain([(t, p) for _, t, p in kept]))
+    assert read.value == len(rows)
