@@ -30,6 +30,15 @@ def test_cut_trees_equal_separate_fits(spark, rows, tmp_path, criterion, least):
         assert {r["ID"]: (r["pred"], r["proba"]) for r in got if r["depth_index"] == i} == alone
 
 
+def test_growing_trees_are_not_shipped(rows):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from churnkit.operators.models import _depth, assembled, build_estimator
+    assert build_estimator("tree", {}).getCacheNodeIds()
+    plain = DecisionTreeClassifier(labelCol="cible_churn", seed=42, maxDepth=_depth(None), maxBins=64).fit(assembled(rows, ["z_a", "z_b"]))
+    assert fit_model("tree", {}, rows, features=["z_a", "z_b"]).model.stages[-1].toDebugString.partition("\n")[2] == plain.toDebugString.partition("\n")[2]
+
+
 def test_one_count_serves_all_smoothings(rows):
     counts = nb_counts(rows, ["cat_p", "cat_q"])
     for alpha in (0.1, 1.0):
