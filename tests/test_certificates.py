@@ -61,3 +61,34 @@ def test_node_table_holds_the_rows_of_each_split(rows):
     best = max(gini(table) - (len(a) * gini(a) + len(b) * gini(b)) / len(table) for a, b in splits)
     root = top_splits(tree_nodes(fit_model("tree", {"criterion": "gini", "max_depth": None}, rows, features=["cat_b"]))).filter("node = 'root'").first()
     assert root["gain"] == pytest.approx(best) and root["feature"] == "cat_b"
+
+
+def test_covariances_add_up_matrices_like_the_pairwise_aggregate(spark, monkeypatch):
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from churnkit.operators import reduce
+    draw = np.random.default_rng(4)
+    names = ["a", "b", "c", "d", "e", "none"]
+    rows = [(float(1e6 + x), float(x * y), None if draw.random() < 0.3 else float(y), None if i % 2 else float(i), 7.0 if i else None, None) for i, (x, y) in enumerate(draw.normal(size=(400, 2)))]
+    schema = ", ".join(f"{n} double" for n in names)
+
+    def pairwise(df):
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+        return dict(zip(pairs, df.agg(*[F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()))
+    plain = spark.createDataFrame(rows, schema).repartition(5)
+    odd = plain.union(spark.createDataFrame([(1e6, 1.0, float("nan"), 2.0, None, None), (1e6, None, 1.0, float("inf"), 3.0, None)], schema))
+    tables = [plain, odd, plain.limit(0), plain.limit(1), spark.createDataFrame([], schema)]
+    wanted = [pairwise(t) for t in tables]
+
+    def refused(*_):
+        raise AssertionError("an aggregate for every pair of features")
+    monkeypatch.setattr(reduce.F, "covar_pop", refused)
+    for table, want in zip(tables, wanted):
+        found = {(r["feature1"], r["feature2"]): r["covariance"] for r in reduce.covariances(table, names).collect()}
+        assert found.keys() == want.keys()
+        for k, w in want.items():
+            assert (found[k] is None) == (w is None), k
+            assert w is None or (math.isnan(w) and math.isnan(found[k])) or found[k] == pytest.approx(w, rel=1e-7, abs=1e-9), k
